@@ -53,17 +53,19 @@ def risk_label(severity: Column) -> Column:
     )
 
 
-def _half_up(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+def fixed(value: Column, digits: int) -> Column:
+    """The double's exact value rounded half to even, as C's ``%.Nf`` prints it."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
 
 
 def format_ms(value: Column) -> Column:
     return (
         F.when(value.isNull(), "--")
         .when((value >= 0) & (value < 0.001), "<0.001ms")
-        .when(value < 0.1, F.concat(_half_up(value, 3), F.lit("ms")))
-        .when(value < 10, F.concat(_half_up(value, 2), F.lit("ms")))
-        .otherwise(F.concat(_half_up(value, 1), F.lit("ms")))
+        .when(value < 0.1, F.concat(fixed(value, 3), F.lit("ms")))
+        .when(value < 10, F.concat(fixed(value, 2), F.lit("ms")))
+        .otherwise(F.concat(fixed(value, 1), F.lit("ms")))
     )
 
 
@@ -71,9 +73,9 @@ def format_percent(value: Column) -> Column:
     return (
         F.when(value.isNull(), "--")
         .when((value > 0) & (value < 0.01), "<0.01%")
-        .when(value < 0.1, F.concat(_half_up(value, 2), F.lit("%")))
-        .when(value < 10, F.concat(_half_up(value, 1), F.lit("%")))
-        .otherwise(F.concat(_half_up(value, 0), F.lit("%")))
+        .when(value < 0.1, F.concat(fixed(value, 2), F.lit("%")))
+        .when(value < 10, F.concat(fixed(value, 1), F.lit("%")))
+        .otherwise(F.concat(fixed(value, 0), F.lit("%")))
     )
 
 
@@ -85,8 +87,8 @@ def format_bytes(value: Column, signed: bool = False) -> Column:
     """``12 B`` / ``1.5 KB`` / ``2.25 MB``; the signed form is for deltas."""
     size = F.abs(value.cast("double"))
     text = (
-        F.when(size >= 1048576, F.concat(_half_up(size / 1048576, 2), F.lit(" MB")))
-        .when(size >= 1024, F.concat(_half_up(size / 1024, 1), F.lit(" KB")))
+        F.when(size >= 1048576, F.concat(fixed(size / 1048576, 2), F.lit(" MB")))
+        .when(size >= 1024, F.concat(fixed(size / 1024, 1), F.lit(" KB")))
         .otherwise(F.concat(F.floor(size + 0.5).cast("string"), F.lit(" B")))
     )
     body = F.concat(_sign(value), text) if signed else text
@@ -96,8 +98,8 @@ def format_bytes(value: Column, signed: bool = False) -> Column:
 def format_memory(kilobytes: Column, signed: bool = False) -> Column:
     """Kilobytes as ``12 KB`` / ``1.5 MB``."""
     size = F.abs(kilobytes) if signed else kilobytes
-    text = F.when(size >= 1024, F.concat(_half_up(size / 1024, 1), F.lit(" MB"))).otherwise(
-        F.concat(_half_up(size, 0), F.lit(" KB"))
+    text = F.when(size >= 1024, F.concat(fixed(size / 1024, 1), F.lit(" MB"))).otherwise(
+        F.concat(fixed(size, 0), F.lit(" KB"))
     )
     body = F.concat(_sign(kilobytes), text) if signed else text
     return F.when(kilobytes.isNull(), "--").otherwise(body)

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["capture"]
+MODULES = ["capture", "health", "lifecycle"]
 
 
 def load():

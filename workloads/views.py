@@ -213,13 +213,13 @@ function_snapshots AS (
 
 
 def storage_roots(spark, d):
-    """Persistent roots before and after: one root per document source and language."""
+    """Persistent roots before and after: one root per document source and batch."""
     docs = table(spark, d, "documents")
     phased = docs.withColumn(
         "phase",
         F.explode(F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("initial"), F.lit("final"))).otherwise(F.array(F.lit("final")))),
     )
-    return phased.groupBy(F.col("lang").alias("session_id"), F.col("source").alias("name"), "phase").agg(
+    return phased.groupBy(F.expr("doc_id div 20 % 5").alias("session_id"), F.col("source").alias("name"), "phase").agg(
         (F.lit(48) + F.sum(F.octet_length("text") + 16)).cast("bigint").alias("bytes"),
         F.count_distinct((F.col("doc_id") % 7)).alias("tables"),
         F.count(F.lit(1)).alias("entries"),
@@ -228,7 +228,7 @@ def storage_roots(spark, d):
 
 STORAGE_ROOTS = """
 storage_roots AS (
-  SELECT lang AS session_id, source AS name, phase, (48 + sum(strlen(text) + 16))::BIGINT AS bytes,
+  SELECT doc_id // 20 % 5 AS session_id, source AS name, phase, (48 + sum(strlen(text) + 16))::BIGINT AS bytes,
     count(DISTINCT doc_id % 7) AS tables, count(*) AS entries
   FROM (SELECT *, 'final' AS phase FROM documents
         UNION ALL SELECT *, 'initial' AS phase FROM documents WHERE doc_id % 3 = 0)
