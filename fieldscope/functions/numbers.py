@@ -62,7 +62,7 @@ def fixed(value: Column, digits: int) -> Column:
 def format_ms(value: Column) -> Column:
     return (
         F.when(value.isNull(), "--")
-        .when((value >= 0) & (value < 0.001), "<0.001ms")
+        .when((value >= 0) & (value < 0.001), "below 0.001 ms")
         .when(value < 0.1, F.concat(fixed(value, 3), F.lit("ms")))
         .when(value < 10, F.concat(fixed(value, 2), F.lit("ms")))
         .otherwise(F.concat(fixed(value, 1), F.lit("ms")))

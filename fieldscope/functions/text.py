@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: what an event name looks like.
+EVENT_NAME = "[A-Z][A-Z0-9_]*"
+
+
 def trimmed(text: Column) -> Column:
     """Without leading and trailing white space of any kind."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -124,7 +128,7 @@ def event_name(query: Column) -> Column:
 
 
 def valid_event_name(name: Column) -> Column:
-    return F.coalesce(name.rlike("^[A-Z][A-Z0-9_]*$"), F.lit(False))
+    return F.coalesce(name.rlike(f"^{EVENT_NAME}$"), F.lit(False))
 
 
 def placeholders(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["capture", "health", "lifecycle"]
+MODULES = ["capture", "health", "lifecycle", "events", "errors", "evidence"]
 
 
 def load():

@@ -141,7 +141,7 @@ def recent_sessions(spark, d):
 
 
 def _ms(x):
-    return f"""CASE WHEN {x} IS NULL THEN '--' WHEN {x} >= 0 AND {x} < 0.001 THEN '<0.001ms'
+    return f"""CASE WHEN {x} IS NULL THEN '--' WHEN {x} >= 0 AND {x} < 0.001 THEN 'below 0.001 ms'
       WHEN {x} < 0.1 THEN printf('%.3fms', {x}) WHEN {x} < 10 THEN printf('%.2fms', {x}) ELSE printf('%.1fms', {x}) END"""
 
 

@@ -284,7 +284,7 @@ event_records AS (
     ['"t\\"' || event_type || '"', regexp_extract(props, '"k": ([0-9]+)', 1),
      CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END,
      CASE event_id % 5 WHEN 0 THEN '<table>' WHEN 1 THEN '<secret>' WHEN 2 THEN '<userdata>' ELSE 'nil' END]
-    || list_transform(range(1, event_id % 20 + 2), i -> (event_id % 10 + i)::VARCHAR) AS shown
+    || list_transform(range(1, event_id % 20 + 2), lambda i: (event_id % 10 + i)::VARCHAR) AS shown
   FROM events)"""
 
 
