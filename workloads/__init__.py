@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["capture", "health", "lifecycle", "events", "errors", "evidence"]
+MODULES = ["capture", "health", "lifecycle", "events", "errors", "evidence", "trees", "audit"]
 
 
 def load():

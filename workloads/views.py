@@ -456,12 +456,15 @@ labels_ AS (
 def manifest(spark, d):
     """Ordered file lists per build; build 0 differs where the supplier key is a multiple of 30."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    b, o = (F.col("k") % 3).cast("string"), F.expr("k div 3")
     return s.select(
         (F.col("k") % 3).alias("build"),
-        F.expr("k div 3").alias("ord"),
-        F.when(F.col("k") % 30 == 0, F.concat(F.lit("x"), F.expr("k div 3").cast("string")))
-        .when(F.expr("k div 3 = 1"), F.concat(F.lit("Core/Clients/c"), (F.col("k") % 3).cast("string"), F.lit(".lua")))
-        .otherwise(F.concat(F.lit("f"), F.expr("k div 3").cast("string"), F.lit(".lua"))).alias("path"),
+        o.alias("ord"),
+        F.when(F.col("k") % 30 == 0, F.concat(F.lit("x"), o.cast("string")))
+        .when(o == 0, F.concat(F.lit("Core/Clients/c"), b, F.lit(".lua")))
+        .when(o == 1, "Core/Compatibility.lua")
+        .when(o == 2, F.concat(F.lit("Modules/Events/CatalogData_c"), b, F.lit(".lua")))
+        .otherwise(F.concat(F.lit("f"), o.cast("string"), F.lit(".lua"))).alias("path"),
     )
 
 
@@ -469,7 +472,9 @@ MANIFEST = """
 manifest AS (
   SELECT s_suppkey % 3 AS build, s_suppkey // 3 AS ord,
     CASE WHEN s_suppkey % 30 = 0 THEN 'x' || (s_suppkey // 3)
-         WHEN s_suppkey // 3 = 1 THEN 'Core/Clients/c' || (s_suppkey % 3) || '.lua'
+         WHEN s_suppkey // 3 = 0 THEN 'Core/Clients/c' || (s_suppkey % 3) || '.lua'
+         WHEN s_suppkey // 3 = 1 THEN 'Core/Compatibility.lua'
+         WHEN s_suppkey // 3 = 2 THEN 'Modules/Events/CatalogData_c' || (s_suppkey % 3) || '.lua'
          ELSE 'f' || (s_suppkey // 3) || '.lua' END AS path
   FROM supplier)"""
 
