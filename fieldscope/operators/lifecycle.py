@@ -16,12 +16,8 @@ def snapshot_chunk(size: int = CHUNK) -> Column:
     return F.floor(F.col("snap_no") / size)
 
 
-def object_lifecycle(snapshots: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Per session: objects first seen after the baseline, activations, reuse, hiding, counts.
-
-    An activation is a shown object that was hidden at its previous observation;
-    it is a reuse unless the object had never been shown before.
-    """
+def per_object(snapshots: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One row per object: transitions between consecutive observations, first and last state."""
     rows = previous_row(
         snapshots.select("session_id", "object_id", "snap_no", "shown"),
         ["session_id", "object_id"],
@@ -30,13 +26,22 @@ def object_lifecycle(snapshots: DataFrame, chunk: int = CHUNK) -> DataFrame:
         ["shown"],
     )
     was = F.col("prev.shown")
-    objects = rows.groupBy("session_id", "object_id").agg(
+    return rows.groupBy("session_id", "object_id").agg(
         F.count_if(F.col("shown") & ~was).alias("activations"),
         F.count_if(~F.col("shown") & was).alias("hidden"),
         F.min_by("shown", "snap_no").alias("born_shown"),
+        F.max_by("shown", "snap_no").alias("last_shown"),
         F.min("snap_no").alias("first_snap"),
+        F.max("snap_no").alias("last_snap"),
     )
-    # The one activation that is no reuse: the first showing of an object first seen hidden.
+
+
+def object_moves(objects: DataFrame) -> DataFrame:
+    """Per session: objects first seen after the baseline, activations, reuse, hiding.
+
+    The one activation of an object that is no reuse is its first showing after it was
+    first seen hidden.
+    """
     debut = ((F.col("activations") > 0) & ~F.col("born_shown")).cast("bigint")
     by_birth = objects.groupBy("session_id", "first_snap").agg(
         F.count(F.lit(1)).alias("n"),
@@ -50,6 +55,18 @@ def object_lifecycle(snapshots: DataFrame, chunk: int = CHUNK) -> DataFrame:
         F.sum("reused").alias("reused_activations"),
         F.sum("hidden").alias("hidden_transitions"),
     )
+    return moves.withColumn(
+        "reuse_rate",
+        F.when(F.col("activations") > 0, F.col("reused_activations") / F.col("activations") * 100),
+    )
+
+
+def object_lifecycle(snapshots: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Per session: object counts over its snapshots and what happened to the objects.
+
+    An activation is a shown object that was hidden at its previous observation;
+    it is a reuse unless the object had never been shown before.
+    """
     counts = (
         snapshots.groupBy("session_id", "snap_no")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -60,10 +77,7 @@ def object_lifecycle(snapshots: DataFrame, chunk: int = CHUNK) -> DataFrame:
             F.max("n").alias("peak_objects"),
         )
     )
-    return counts.join(moves, "session_id").withColumn(
-        "reuse_rate",
-        F.when(F.col("activations") > 0, F.col("reused_activations") / F.col("activations") * 100),
-    )
+    return counts.join(object_moves(per_object(snapshots, chunk)), "session_id")
 
 
 def pool_activity(snapshots: DataFrame, chunk: int = CHUNK) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["capture", "health", "lifecycle", "events", "errors", "evidence", "trees", "audit"]
+MODULES = ["capture", "health", "lifecycle", "events", "errors", "evidence", "trees", "audit", "streams"]
 
 
 def load():

@@ -18,9 +18,9 @@ def epoch_us(col: str):
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {col})")
 
 
-def samples(spark, d):
+def samples(spark, d, events=None):
     """Capture samples: one per event, session = user, some counters unreadable."""
-    return table(spark, d, "events").select(
+    return (table(spark, d, "events") if events is None else events).select(
         F.col("user_id").alias("session_id"),
         F.col("event_id").alias("sample_id"),
         epoch_us("ts").alias("ts_us"),
@@ -252,7 +252,7 @@ catalog AS (
   FROM part GROUP BY ALL)"""
 
 
-def event_records(spark, d):
+def event_records(spark, d, events=None):
     """Raw event records; arguments are typed values."""
     k = F.regexp_extract("props", r'"k": (\d+)', 1).cast("bigint")
     arg = lambda t, v: F.struct(F.lit(t).alias("type"), v.cast("string").alias("text"))
@@ -260,7 +260,7 @@ def event_records(spark, d):
         F.sequence(F.lit(1), (F.col("event_id") % 20).cast("int") + 1),
         lambda i: F.struct(F.lit("number").alias("type"), (F.col("event_id") % 10 + i).cast("string").alias("text")),
     )
-    return table(spark, d, "events").select(
+    return (table(spark, d, "events") if events is None else events).select(
         F.col("user_id").alias("session_id"),
         F.col("event_id").alias("seq"),
         epoch_us("ts").alias("ts_us"),
@@ -288,9 +288,9 @@ event_records AS (
   FROM events)"""
 
 
-def errors(spark, d):
+def errors(spark, d, events=None):
     """Captured errors."""
-    e = table(spark, d, "events").filter(F.col("event_type") == "error")
+    e = (table(spark, d, "events") if events is None else events).filter(F.col("event_type") == "error")
     u = F.col("user_id")
     return e.select(
         F.col("event_id").alias("seq"),
