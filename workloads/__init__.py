@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["capture", "health", "lifecycle", "events", "errors", "evidence", "trees", "audit", "streams"]
+MODULES = ["capture", "health", "lifecycle", "events", "errors", "evidence", "trees", "audit", "streams", "reports"]
 
 
 def load():
