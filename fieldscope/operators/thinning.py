@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,20 +11,55 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The group functions run on executors that may not have this package installed.
+# The partition functions run on executors that may not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _exits(times: np.ndarray, gap: int) -> np.ndarray:
+COLLECTED = 10_000  # rows gathered before an output batch is handed on
+
+
+def _stretches(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of equal (session_id, _span) of a sorted partition as column arrays, one whole run at a time."""
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if rows.empty:
+            continue
+        arrays = [rows[c].to_numpy() for c in ("session_id", "_span", *columns)]
+        owner, span = arrays[:2]
+        cuts = [0, *(np.flatnonzero((owner[1:] != owner[:-1]) | (span[1:] != span[:-1])) + 1).tolist()]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield tuple(x[a:b] for x in arrays)
+        rest = rows.iloc[cuts[-1] :]
+    if rest is not None and len(rest):
+        yield tuple(rest[c].to_numpy() for c in ("session_id", "_span", *columns))
+
+
+def _frames(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= COLLECTED:
+            yield pd.DataFrame(held, columns=names)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=names)
+
+
+def _ends(times: np.ndarray, gap: int) -> list[int]:
     """For each sample: the last one kept in this stretch if that sample is kept."""
-    following = np.searchsorted(times, times + gap)
-    last = times.copy()
-    for i in range(len(times) - 1, -1, -1):
-        if following[i] < len(times):
+    following = np.searchsorted(times, times + gap).tolist()
+    last = times.tolist()
+    for i in range(len(last) - 1, -1, -1):
+        if following[i] < len(last):
             last[i] = last[following[i]]
     return last
 
 
+def _sorted(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
 def downsample_gap(samples: DataFrame, gap_us: int = 1_000_000, span_us: int = 600_000_000) -> DataFrame:
     """Samples kept per session: the first, then each first one at least ``gap_us`` after the last kept.
 
@@ -34,40 +70,47 @@ def downsample_gap(samples: DataFrame, gap_us: int = 1_000_000, span_us: int = 6
     """
     if span_us < gap_us:
         raise ValueError("a stretch must be at least as long as the gap")
-    rows = samples.withColumn("_span", F.floor(F.col("ts_us") / span_us).cast("bigint"))
-
-    def outcomes(key, part: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(part["ts_us"].to_numpy())
-        last = _exits(times, gap_us)
-        starts = min(len(times), int(np.searchsorted(times, key[1] * span_us + gap_us)) + 1)
-        return pd.DataFrame({"session_id": [key[0]], "_span": [key[1]], "starts": [times[:starts]], "ends": [last[:starts]]})
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_span")
-        kept, entries = None, []
-        for starts, ends in zip(part["starts"], part["ends"]):
-            at = 0 if kept is None else int(np.searchsorted(starts, kept + gap_us))
-            entries.append(-1 if kept is None else kept)
-            if at < len(starts):
-                kept = int(ends[at])
-        return pd.DataFrame({"session_id": part["session_id"], "_span": part["_span"], "_kept": entries})
-
-    def keep(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["ts_us", "sample_id"])
-        times = part["ts_us"].to_numpy()
-        last = int(part["_kept"].iloc[0])
-        at = 0 if last < 0 else int(np.searchsorted(times, last + gap_us))
-        chosen = []
-        while at < len(times):
-            chosen.append(at)
-            at = int(np.searchsorted(times, times[at] + gap_us))
-        return part.iloc[chosen][["session_id", "sample_id", "ts_us"]]
-
-    narrow = rows.select("session_id", "_span", "sample_id", "ts_us")
-    stretches = narrow.select("session_id", "_span", "ts_us").groupBy("session_id", "_span").applyInPandas(
+
+    def outcomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows():
+            for owner, span, times in _stretches(batches, ["ts_us"]):
+                starts = min(len(times), int(np.searchsorted(times, span[0] * span_us + gap_us)) + 1)
+                yield owner[0], span[0], times[:starts], _ends(times, gap_us)[:starts]
+
+        return _frames(rows(), ["session_id", "_span", "starts", "ends"])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, kept = None, None
+        for batch in batches:
+            entries = []
+            for owner, starts, ends in zip(batch["session_id"], batch["starts"], batch["ends"]):
+                if owner != session:
+                    session, kept = owner, None
+                entries.append(-1 if kept is None else kept)
+                at = 0 if kept is None else int(np.searchsorted(starts, kept + gap_us))
+                if at < len(starts):
+                    kept = int(ends[at])
+            yield batch[["session_id", "_span"]].assign(_kept=entries)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def rows():
+            for owner, _, times, ids, kept in _stretches(batches, ["ts_us", "sample_id", "_kept"]):
+                following = np.searchsorted(times, times + gap_us).tolist()
+                at = 0 if kept[0] < 0 else int(np.searchsorted(times, kept[0] + gap_us))
+                while at < len(times):
+                    yield owner[0], ids[at], times[at]
+                    at = following[at]
+
+        return _frames(rows(), ["session_id", "sample_id", "ts_us"])
+
+    keys = ["session_id", "_span"]
+    narrow = samples.select(
+        "session_id", F.floor(F.col("ts_us") / span_us).cast("bigint").alias("_span"), "sample_id", "ts_us"
+    )
+    stretches = _sorted(narrow.select("session_id", "_span", "ts_us"), keys, ["ts_us"]).mapInPandas(
         outcomes, "session_id bigint, _span bigint, starts array<bigint>, ends array<bigint>"
     )
-    entries = stretches.groupBy("session_id").applyInPandas(walk, "session_id bigint, _span bigint, _kept bigint")
-    return narrow.join(entries, ["session_id", "_span"]).groupBy("session_id", "_span").applyInPandas(
+    entries = _sorted(stretches, ["session_id"], ["_span"]).mapInPandas(walk, "session_id bigint, _span bigint, _kept bigint")
+    return _sorted(narrow.join(entries, keys), keys, ["ts_us", "sample_id"]).mapInPandas(
         keep, "session_id bigint, sample_id bigint, ts_us bigint"
     )

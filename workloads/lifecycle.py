@@ -31,21 +31,22 @@ def object_lifecycle(spark, d):
     return L.object_lifecycle(V.object_snapshots(spark, d))
 
 
-@query(
-    "pool_activity",
-    """WITH p AS (SELECT *, active - lag(active) OVER w AS change,
+POOLS = """
+pools AS (
+  WITH p AS (SELECT *, active - lag(active) OVER w AS change,
         first_value(capacity) OVER w AS c0, last_value(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS c1,
         first_value(active) OVER w AS a0, last_value(active) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS a1
       FROM pool_snapshots WINDOW w AS (PARTITION BY session_id, pool_id ORDER BY snap_no))
-    SELECT session_id, pool_id, any_value(path) AS path, max(a0) AS initial_active, max(active) AS peak_active,
+  SELECT session_id, pool_id, any_value(path) AS path, max(a0) AS initial_active, max(active) AS peak_active,
       max(a1) AS final_active, max(c0) AS initial_capacity, coalesce(max(c1), max(c0)) AS final_capacity,
       sum(greatest(0, coalesce(change, 0)))::BIGINT AS acquisitions, sum(greatest(0, -coalesce(change, 0)))::BIGINT AS releases,
       sum(CASE WHEN change > 0 AND (capacity IS NULL OR c0 IS NULL OR capacity <= c0) THEN change ELSE 0 END)::BIGINT AS reuse_acquisitions,
       sum(CASE WHEN change > 0 AND (capacity IS NULL OR c0 IS NULL OR capacity <= c0) THEN change ELSE 0 END)
         / nullif(sum(greatest(0, coalesce(change, 0))), 0) * 100 AS reuse_rate
-    FROM p GROUP BY session_id, pool_id""",
-    ("pool_snapshots",),
-)
+  FROM p GROUP BY session_id, pool_id)"""
+
+
+@query("pool_activity", f"WITH {POOLS} SELECT * FROM pools", ("pool_snapshots",))
 def pool_activity(spark, d):
     return L.pool_activity(V.pool_snapshots(spark, d))
 
@@ -61,18 +62,19 @@ def function_churn(spark, d):
     return L.function_churn(V.function_snapshots(spark, d))
 
 
-@query(
-    "new_functions",
-    """WITH s AS (SELECT session_id, snap_no // 8000 AS snap, fn_id FROM function_snapshots),
+NEW_FUNCTIONS = """
+new_functions AS (
+  WITH s AS (SELECT session_id, snap_no // 8000 AS snap, fn_id FROM function_snapshots),
     b AS (SELECT session_id, min(snap) AS base FROM s GROUP BY 1),
     f AS (SELECT session_id, fn_id, min(snap) AS first FROM s GROUP BY 1, 2),
     k AS (SELECT session_id, snap, count(DISTINCT fn_id) AS fns, count(*) AS refs FROM s GROUP BY 1, 2),
     p AS (SELECT session_id, max(fns) AS functions_discovered, max(refs) AS function_references FROM k GROUP BY 1)
-    SELECT session_id, any_value(functions_discovered) AS functions_discovered,
+  SELECT session_id, any_value(functions_discovered) AS functions_discovered,
       any_value(function_references) AS function_references, count(*) FILTER (first > base) AS new_function_instances
-    FROM f JOIN b USING (session_id) JOIN p USING (session_id) GROUP BY session_id""",
-    ("function_snapshots",),
-)
+  FROM f JOIN b USING (session_id) JOIN p USING (session_id) GROUP BY session_id)"""
+
+
+@query("new_functions", f"WITH {NEW_FUNCTIONS} SELECT * FROM new_functions", ("function_snapshots",))
 def new_functions(spark, d):
     coarse = V.function_snapshots(spark, d).withColumn("snap_no", F.expr("snap_no div 8000"))
     return L.new_functions(coarse)

@@ -14,7 +14,7 @@ from fieldscope.sources.store import EvidenceStore, clear_table
 from workloads import views as V
 from workloads.evidence import TICKET
 from workloads.health import ADDONS, CODES, SEVERITY, TOTALS, _bytes, _ms, snapshot
-from workloads.lifecycle import CHURN, HOT_FUNCTIONS, HOT_OBJECTS, LIFECYCLE, STORAGE
+from workloads.lifecycle import CHURN, HOT_FUNCTIONS, HOT_OBJECTS, LIFECYCLE, NEW_FUNCTIONS, POOLS, STORAGE
 from workloads.registry import query
 
 
@@ -152,14 +152,14 @@ def cpu_report(spark, d):
     return cpu(spark, d)
 
 
-@query(
-    "storage_report",
-    f"""WITH {STORAGE}, s AS (SELECT session_id, max(initial_total) AS i, max(final_total) AS f, max(total_delta) AS dl FROM storage GROUP BY 1)
+STORAGE_TOTALS = "s AS (SELECT session_id, max(initial_total) AS i, max(final_total) AS f, max(total_delta) AS dl FROM storage GROUP BY 1)"
+STORAGE_SQL = f"""
     {lines_sql('s', 'session_id', 0, lit(W.STORAGE_TITLE), lit(W.STORAGE_NOTE), fill(W.STORAGE_TOTAL, _bytes('i'), _bytes('f'), signed_bytes('dl')),
       f"CASE WHEN dl = 0 THEN {lit(W.STORAGE_NO_CHANGE)} END")}
-    UNION ALL SELECT session_id, 1, -abs(bytes_delta), {fill(W.STORAGE_ROOT, 'name', signed_bytes('bytes_delta'), 'tables_delta', 'entries_delta')} FROM storage""",
-    ("storage_roots",),
-)
+    UNION ALL SELECT session_id, 1, -abs(bytes_delta), {fill(W.STORAGE_ROOT, 'name', signed_bytes('bytes_delta'), 'tables_delta', 'entries_delta')} FROM storage"""
+
+
+@query("storage_report", f"WITH {STORAGE}, {STORAGE_TOTALS} {STORAGE_SQL}", ("storage_roots",))
 def storage_report(spark, d):
     return storage(spark, d)
 
@@ -214,11 +214,11 @@ CAPTURE_SQL = f"""
       f"CASE WHEN over100 > 0 THEN {fill('- ' + W.COUNT_FINDINGS['spike_100'], 'over100')} WHEN over50 > 0 THEN {fill('- ' + W.COUNT_FINDINGS['spike_50'], 'over50')} WHEN over10 = 0 THEN {lit('- ' + W.NO_SPIKE)} END",
       label('- P95', _ms('p95')), label('- ' + W.MAXIMUM, _ms('maximum')), label('- ' + W.MEMORY_DELTA, signed_memory('memory_delta')))}
     UNION ALL {lines_sql('c', 'session_id', 1, lit(W.NEXT_ACTION), fill('- ' + W.ACTION_FUNCTION, 'hf', _ms('hft')), f"CASE WHEN ho IS NOT NULL THEN {fill('- ' + W.ACTION_OBJECT, 'ho', _ms('hot'), 'hoc')} END",
-      f"CASE WHEN hf IS NOT NULL THEN NULL END", f"CASE WHEN rep > 0 THEN {fill('- ' + W.ACTION_REPLACED, 'rep')} END",
+      f"CASE WHEN rep > 0 THEN {fill('- ' + W.ACTION_REPLACED, 'rep')} END",
       f"CASE WHEN grown > 0 THEN {fill('- ' + W.ACTION_STORAGE, signed_bytes('grown'))} END",
       f"CASE WHEN hf IS NULL AND ho IS NULL AND coalesce(rep, 0) <= 0 AND coalesce(grown, 0) <= 0 THEN {lit('- ' + W.NO_HOTSPOT)} END")}
     UNION ALL {lines_sql('c', 'session_id', 2, lit(W.RAW_EVIDENCE), label('P50', _ms('p50')), label('P95', _ms('p95')), label('P99', _ms('p99')),
-      label(W.MAXIMUM, _ms('maximum')), fill(W.RELATIVE_LOAD, pct('s50'), pct('s95')))}""".replace('''CASE WHEN hf IS NOT NULL THEN NULL END, ''', "")
+      label(W.MAXIMUM, _ms('maximum')), fill(W.RELATIVE_LOAD, pct('s50'), pct('s95')))}"""
 
 
 @query("capture_report", f"WITH {CAPTURE_CTE} {CAPTURE_SQL}", CAPTURE_VIEWS)
@@ -235,12 +235,53 @@ def objects(spark, d):
     )
 
 
-@query("object_report")
+OBJECT_VIEWS = ("object_snapshots", "function_snapshots", "pool_snapshots")
+OBJECT_PARTS = f"""{LIFECYCLE}, {NEW_FUNCTIONS}, {POOLS},
+    last AS (SELECT * FROM object_snapshots QUALIFY snap_no = max(snap_no) OVER (PARTITION BY session_id)),
+    o AS (SELECT *, (SELECT count(*) FROM last l WHERE l.session_id = lifecycle.session_id AND on_update) AS updating,
+        (SELECT count(*) FROM last l WHERE l.session_id = lifecycle.session_id AND shown) AS visible
+      FROM lifecycle LEFT JOIN new_functions USING (session_id)
+      LEFT JOIN (SELECT session_id, sum(replacements)::BIGINT AS replaced FROM churn GROUP BY 1) USING (session_id)),
+    kinds AS (SELECT session_id, coalesce(object_type, 'unknown') AS k, count(*) AS n FROM last GROUP BY ALL),
+    sources AS (SELECT session_id, regexp_extract(location, 'AddOns/([^/]+)/', 1) AS k, count(*) AS n FROM last GROUP BY ALL),
+    paths AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY replacements DESC, path) AS rank FROM churn QUALIFY rank <= 20),
+    listed AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY path, pool_id) AS rank FROM pools QUALIFY rank <= 12)"""
+OBJECT_CTE = f"{CHURN}, {OBJECT_PARTS}"
+OBJECT_SQL = f"""
+    {lines_sql('o', 'session_id', 0, lit(W.OBJECTS_TITLE), fill(W.OBJECT_COUNTS, 'initial_objects', 'final_objects', 'peak_objects', 'newly_observed'),
+      fill(W.OBJECT_TRANSITIONS, 'hidden_transitions', 'activations', pct('reuse_rate')), label(W.ON_UPDATE, 'updating'), fill(W.VISIBLE, 'visible'), lit(W.OBJECT_TYPES))}
+    UNION ALL SELECT session_id, 1, -n, k || ': ' || n FROM kinds
+    UNION ALL {lines_sql('o', 'session_id', 2, lit(W.OBJECT_SOURCES))}
+    UNION ALL SELECT session_id, 3, -n, k || ': ' || n FROM sources
+    UNION ALL {lines_sql('o', 'session_id', 4, lit(W.CLOSURES),
+      fill(W.FUNCTION_COUNTS, 'coalesce(functions_discovered, 0)', 'coalesce(function_references, 0)', 'coalesce(new_function_instances, 0)', 'coalesce(replaced, 0)'))}
+    UNION ALL SELECT session_id, 5, rank, {fill(W.CHURN_ROW, 'path', 'replacements')} FROM paths
+    UNION ALL SELECT session_id, 5, 0, {lit(W.NO_CHURN)} FROM o WHERE session_id NOT IN (SELECT session_id FROM churn)
+    UNION ALL {lines_sql('o', 'session_id', 6, lit(W.POOLS))}
+    UNION ALL SELECT session_id, 7, rank, concat_ws(chr(10), path, {fill(W.POOL_ACTIVE, 'initial_active', 'final_active', 'peak_active')},
+      {fill(W.POOL_REUSE, 'acquisitions', 'releases', "printf('%.1f', coalesce(reuse_rate, 0))")}) FROM listed
+    UNION ALL SELECT session_id, 7, 0, {lit(W.NO_POOLS)} FROM o WHERE session_id NOT IN (SELECT session_id FROM pools)
+    UNION ALL {lines_sql('o', 'session_id', 8, lit(W.LIMITS), lit(W.TRANSIENT_LIMIT), lit(W.POOL_HEURISTIC))}"""
+
+
+@query("object_report", f"WITH {OBJECT_CTE} {OBJECT_SQL}", OBJECT_VIEWS)
 def object_report(spark, d):
     return objects(spark, d)
 
 
-@query("full_report")
+TIMELINE_SQL = f"""
+    SELECT session_id, 1, ts_us, {fill(W.RAW_SAMPLE, "printf('%.2f', (ts_us - min(ts_us) OVER (PARTITION BY session_id)) / 1e6::DOUBLE)",
+      *[_ms(c) for c in ('last_time', 'recent_average', 'overall_last', 'application_last', 'self_overhead')])} FROM samples"""
+PARTS = (CAPTURE_SQL, CPU_SQL, OBJECT_SQL, STORAGE_SQL, TIMELINE_SQL)
+
+
+@query(
+    "full_report",
+    f"WITH {CAPTURE_CTE}, {OBJECT_PARTS}, {STORAGE_TOTALS} "
+    + " UNION ALL ".join(f"SELECT session_id, {i} AS part, section, item, line FROM ({sql}) t{i}(session_id, section, item, line)" for i, sql in enumerate(PARTS))
+    + f" UNION ALL SELECT DISTINCT session_id, 4, 0, 0, {lit(W.TIMELINE)} FROM samples",
+    (*CAPTURE_VIEWS, "pool_snapshots"),
+)
 def full_report(spark, d):
     samples = V.samples(spark, d)
     starts = samples.groupBy("session_id").agg(F.min("ts_us").alias("start"))
@@ -254,7 +295,8 @@ def full_report(spark, d):
 @query(
     "downsample_gap",
     """WITH RECURSIVE s AS (SELECT DISTINCT session_id, ts_us FROM samples),
-    n AS (SELECT a.session_id, a.ts_us, b.ts_us AS following FROM s a ASOF LEFT JOIN s b ON a.session_id = b.session_id AND a.ts_us + 21600000000 <= b.ts_us),
+    n AS (SELECT session_id, ts_us, first_value(ts_us) OVER (PARTITION BY session_id ORDER BY ts_us
+      RANGE BETWEEN 21600000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM s),
     r AS (SELECT session_id, min(ts_us) AS ts_us FROM s GROUP BY 1
       UNION ALL SELECT n.session_id, n.following FROM r JOIN n USING (session_id, ts_us) WHERE n.following IS NOT NULL)
     SELECT r.session_id, r.ts_us, min(sample_id) AS sample_id FROM r JOIN samples USING (session_id, ts_us) GROUP BY ALL""",
