@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 import sys
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql.types import StringType
 
 from fieldscope.functions import wording as W
 from fieldscope.functions.text import byte_truncate, quoted
+from fieldscope.plans import spread
 
 # Helpers below run on executors that may not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -77,7 +80,7 @@ def variant_nodes(
     above and all nodes are exploded once, without a shuffle. A document that is not
     valid JSON has no nodes.
     """
-    level = docs.select(doc_id, F.expr(f"try_parse_json({json_column})").alias("_v")).filter(F.col("_v").isNotNull())
+    level = spread(docs.select(doc_id, json_column)).select(doc_id, F.expr(f"try_parse_json({json_column})").alias("_v")).filter(F.col("_v").isNotNull())
     level = level.withColumn("_l0", F.array(_node(F.array().cast("array<string>"), F.col("_v"))))
     for depth in range(max_depth):
         tables = F.filter(F.col(f"_l{depth}"), _is_table)
@@ -218,7 +221,7 @@ EXPORT_LIMITS = {"max_depth": 32, "max_entries": 10000, "max_bytes": W.STORE_BYT
 
 def fingerprints(docs: DataFrame, doc_id: str, json_column: str, **limits) -> DataFrame:
     """Distinct documents by canonical text: fingerprint, first id, copies."""
-    text = docs.select(doc_id, canonical_text(F.col(json_column), **limits).alias("text")).filter(F.col("text").isNotNull())
+    text = spread(docs.select(doc_id, json_column)).select(doc_id, canonical_text(F.col(json_column), **limits).alias("text")).filter(F.col("text").isNotNull())
     return (
         text.select(doc_id, F.sha2("text", 256).alias("fingerprint"), F.octet_length("text").alias("bytes"))
         .groupBy("fingerprint")
@@ -334,15 +337,27 @@ def parse_tree(text: str | None) -> list[tuple[int, list[str], str, str]] | None
     return rows or None
 
 
-class TreeFromText:
-    """Table function: serialised text -> node rows."""
-
-    def eval(self, text: str):
-        for position, path, kind, value in parse_tree(text) or ():
-            yield position, len(path) - 1, path, kind, value
+NODE_SCHEMA = pa.schema(
+    [("position", pa.int32()), ("depth", pa.int32()), ("path", pa.list_(pa.string())), ("kind", pa.string()), ("value", pa.string())]
+)
 
 
 def tree_from_text(entries: DataFrame, text_column: str, keys: list[str]) -> DataFrame:
     """Node rows of the serialised text of each entry; malformed text has none."""
-    table_function = F.udtf(TreeFromText, returnType="position int, depth int, path array<string>, kind string, value string")
-    return entries.select(*keys, text_column).lateralJoin(table_function(F.col(text_column).outer())).drop(text_column)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, rows = [], []
+            for at, text in enumerate(batch.column(text_column).to_pylist()):
+                found = parse_tree(text) or ()
+                owners.extend([at] * len(found))
+                rows.extend(found)
+            carried = [batch.column(k).take(pa.array(owners, pa.int64())) for k in keys]
+            position, path, kind, value = zip(*rows) if rows else ((), (), (), ())
+            node = [position, [len(p) - 1 for p in path], path, kind, value]
+            made = [pa.array(column, field.type) for column, field in zip(node, NODE_SCHEMA)]
+            yield pa.RecordBatch.from_arrays([*carried, *made], [*keys, *NODE_SCHEMA.names])
+
+    chosen = spread(entries.select(*keys, text_column))
+    head = chosen.select(*keys).schema.simpleString().removeprefix("struct<").removesuffix(">")
+    return chosen.mapInArrow(parse, f"{head},position:int,depth:int,path:array<string>,kind:string,value:string")

@@ -2,38 +2,52 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldscope.functions.text import source_attribution
 from fieldscope.plans import top_per_key
-from fieldscope.session import pin
+from fieldscope.session import fresh_dir, pin
+
+
+class _Levels:
+    """Result of a level-by-level walk: one folder per level, readable as one table."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.path = fresh_dir(spark, label)
+        self.schema = None
+
+    def add(self, df: DataFrame, depth: int) -> DataFrame | None:
+        """Write a level, which ends its lineage; None if it has no rows."""
+        folder = f"{self.path}/depth={depth}"
+        df.write.parquet(folder)
+        self.schema = df.schema
+        level = self.spark.read.schema(df.schema).parquet(folder)
+        return None if level.isEmpty() else level
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(self.path).withColumn(
+            "depth", F.col("depth").cast("int")
+        )
 
 
 def graph_reach(edges: DataFrame, roots: DataFrame, max_depth: int = 8) -> DataFrame:
     """Nodes reachable from ``roots`` (column ``id``) over ``edges`` (``src``, ``dst``) with their least depth.
 
     One hash join per level: the new frontier is what the edges lead to and no earlier
-    level has. Each level is written to the shared folder, which ends its lineage.
+    level has. Edges and levels are written to the shared folder, so a level never goes
+    back further than the one before.
     """
-    links = edges.select("src", "dst").distinct()
-    levels = [pin(roots.select("id").distinct().withColumn("depth", F.lit(0)), "reach")]
+    links = pin(edges.select("src", "dst").distinct(), "links")
+    levels = _Levels(edges.sparkSession, "reach")
+    frontier = levels.add(roots.select("id").distinct(), 0)
     for depth in range(1, max_depth + 1):
-        seen = reduce(DataFrame.unionByName, levels).select("id")
-        step = (
-            links.join(levels[-1].select(F.col("id").alias("src")), "src")
-            .select(F.col("dst").alias("id"))
-            .distinct()
-            .join(seen, "id", "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        found = pin(step, "reach")
-        if found.isEmpty():
+        if frontier is None:
             break
-        levels.append(found)
-    return reduce(DataFrame.unionByName, levels)
+        step = links.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
+        frontier = levels.add(step.join(levels.all().select("id"), "id", "left_anti"), depth)
+    return levels.all()
 
 
 def bounded_reach(reached: DataFrame, max_objects: int = 1600) -> DataFrame:
@@ -79,33 +93,32 @@ def load_closure(entries: DataFrame, references: DataFrame, files: DataFrame, ma
     loaded files (build, path, depth), each once, and the findings (build, finding, path,
     evidence) for references that are missing or leave the root.
     """
-    links = references.select(F.lower("src").alias("src"), folder_of(F.col("src")).alias("base"), "reference").distinct()
-    present = files.select(F.col("path"), F.lower("path").alias("file")).groupBy("file").agg(F.min("path").alias("path"))
+    links = pin(references.select(F.lower("src").alias("src"), folder_of(F.col("src")).alias("base"), "reference").distinct(), "links")
+    present = pin(files.select("path", F.lower("path").alias("file")).groupBy("file").agg(F.min("path").alias("path")), "files")
+    target = resolve_reference(F.col("base"), F.col("reference"))
+    # References that leave the root are told apart by their own text.
+    file = F.lower(F.coalesce("target", F.concat(F.lit("\0"), "reference")))
+    status = F.when(F.col("target").isNull(), "load-path-escape").when(F.col("path").isNull(), "missing-load-file").otherwise("loaded")
+    placed = F.coalesce("path", "target")
+
+    levels = _Levels(entries.sparkSession, "closure")
     asked = entries.select("build", F.lit("").alias("base"), F.col("path").alias("reference"))
-    levels: list[DataFrame] = []
     for depth in range(max_rounds):
-        resolved = asked.withColumn("target", resolve_reference(F.col("base"), F.col("reference")))
-        # References that leave the root are told apart by their own text.
-        file = F.lower(F.coalesce("target", F.concat(F.lit("\0"), "reference")))
-        fresh = resolved.groupBy("build", file.alias("file")).agg(F.min("target").alias("target"), F.min("reference").alias("evidence"))
-        if levels:
-            seen = reduce(DataFrame.unionByName, levels).select("build", "file")
-            fresh = fresh.join(seen, ["build", "file"], "left_anti")
-        status = F.when(F.col("target").isNull(), "load-path-escape").when(F.col("path").isNull(), "missing-load-file").otherwise("loaded")
-        level = pin(
-            fresh.join(present, "file", "left").select(
-                "build", "file", "evidence", F.coalesce("path", "target").alias("path"), status.alias("status"), F.lit(depth).alias("depth")
-            ),
-            "closure",
+        fresh = asked.withColumn("target", target).groupBy("build", file.alias("file")).agg(
+            F.min("target").alias("target"), F.min("reference").alias("evidence")
+        )
+        if depth:
+            fresh = fresh.join(levels.all().select("build", "file"), ["build", "file"], "left_anti")
+        level = levels.add(
+            fresh.join(present, "file", "left").select("build", "file", "evidence", placed.alias("path"), status.alias("status")), depth
         )
-        if level.isEmpty():
+        if level is None:
             break
-        levels.append(level)
         sources = level.filter((F.col("status") == "loaded") & F.col("file").endswith(".xml")).select("build", F.col("file").alias("src"))
         asked = links.join(sources, "src").select("build", "base", "reference").distinct()
     else:
         raise ValueError(f"the load closure is deeper than {max_rounds} references")
-    everything = reduce(DataFrame.unionByName, levels)
+    everything = levels.all()
     loaded = everything.filter("status = 'loaded'").select("build", "path", "depth")
     findings = everything.filter("status <> 'loaded'").select(
         "build", F.col("status").alias("finding"), F.coalesce("path", "evidence").alias("path"), "evidence"

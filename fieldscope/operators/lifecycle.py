@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldscope.functions.text import source_attribution
-from fieldscope.plans import previous_row, running_total, top_per_key
+from fieldscope.plans import previous_row, running_total, top_per_key, transition_totals
 
 # Snapshots handled by one task before a carry to the next chunk of the same key.
 CHUNK = 100_000
@@ -18,21 +18,26 @@ def snapshot_chunk(size: int = CHUNK) -> Column:
 
 def per_object(snapshots: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per object: transitions between consecutive observations, first and last state."""
-    rows = previous_row(
-        snapshots.select("session_id", "object_id", "snap_no", "shown"),
+    totals = transition_totals(
+        snapshots,
         ["session_id", "object_id"],
         ["snap_no"],
         snapshot_chunk(chunk),
         ["shown"],
+        {
+            "activations": lambda was, now: (now["shown"] & ~was["shown"]).cast("bigint"),
+            "hidden": lambda was, now: (~now["shown"] & was["shown"]).cast("bigint"),
+        },
     )
-    was = F.col("prev.shown")
-    return rows.groupBy("session_id", "object_id").agg(
-        F.count_if(F.col("shown") & ~was).alias("activations"),
-        F.count_if(~F.col("shown") & was).alias("hidden"),
-        F.min_by("shown", "snap_no").alias("born_shown"),
-        F.max_by("shown", "snap_no").alias("last_shown"),
-        F.min("snap_no").alias("first_snap"),
-        F.max("snap_no").alias("last_snap"),
+    return totals.select(
+        "session_id",
+        "object_id",
+        "activations",
+        "hidden",
+        F.col("first.shown").alias("born_shown"),
+        F.col("last.shown").alias("last_shown"),
+        F.col("first.snap_no").alias("first_snap"),
+        F.col("last.snap_no").alias("last_snap"),
     )
 
 
@@ -130,18 +135,15 @@ def pool_activity(snapshots: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def function_churn(snapshots: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Per path: how often another function stood there at the previous observation."""
-    rows = previous_row(
-        snapshots.select("session_id", "path", "snap_no", "fn_id"),
+    totals = transition_totals(
+        snapshots,
         ["session_id", "path"],
         ["snap_no", "fn_id"],
         snapshot_chunk(chunk),
-        ["fn_id"],
-    )
-    return (
-        rows.groupBy("session_id", "path")
-        .agg(F.count_if(F.col("prev.fn_id") != F.col("fn_id")).alias("replacements"))
-        .filter("replacements > 0")
+        [],
+        {"replacements": lambda was, now: (was["fn_id"] != now["fn_id"]).cast("bigint")},
     )
+    return totals.select("session_id", "path", "replacements").filter("replacements > 0")
 
 
 def new_functions(snapshots: DataFrame) -> DataFrame:

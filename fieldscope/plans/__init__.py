@@ -1,7 +1,8 @@
 """Plan patterns that hold when one key owns a large share of the rows."""
 
-from fieldscope.plans.ordered import previous_row, running_total, split_points, bucket_of
+from fieldscope.plans.ordered import bucket_of, previous_row, running_total, split_points, transition_totals
 from fieldscope.plans.quantiles import nearest_rank
+from fieldscope.plans.spread import spread
 from fieldscope.plans.topk import top_per_key
 
-__all__ = ["previous_row", "running_total", "split_points", "bucket_of", "nearest_rank", "top_per_key"]
+__all__ = ["bucket_of", "nearest_rank", "previous_row", "running_total", "split_points", "spread", "top_per_key", "transition_totals"]

@@ -1,4 +1,4 @@
-"""Ordered computations (previous row, running total) in two levels.
+"""Ordered computations (steps between rows, previous row, running total) in two levels.
 
 A plain window over ``key`` sends a key to one task. Here the caller also names
 a *chunk*: a column that never decreases along the order inside a key (a snapshot
@@ -8,7 +8,7 @@ one summary row per chunk is carried over to the next chunk of the same key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -43,6 +43,42 @@ def bucket_of(column: str, points: Sequence) -> Column:
     return F.size(F.filter(edges, lambda edge: edge <= F.col(column)))
 
 
+def transition_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    cols: Sequence[str],
+    measures: Mapping[str, Callable[[Column, Column], Column]],
+) -> DataFrame:
+    """Per key: the sum of each measure over consecutive rows, and the first and last row.
+
+    A measure maps (previous row, row) to a number or null. Rows are shuffled once, by
+    (key, chunk); what crosses a chunk border is added from one row per chunk.
+    """
+    row = F.struct(*order, *[c for c in cols if c not in order])
+    inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
+    stepped = df.withColumn("_chunk", chunk).select(
+        *keys, "_chunk", row.alias("_row"), F.lag(row).over(inside).alias("_prev"), F.lead(F.lit(1)).over(inside).alias("_more")
+    )
+    here, prev = F.col("_row"), F.col("_prev")
+    chunks = stepped.groupBy(*keys, "_chunk").agg(
+        *[F.sum(F.when(prev.isNotNull(), step(prev, here))).alias(name) for name, step in measures.items()],
+        F.max(F.when(prev.isNull(), here)).alias("first"),
+        F.max(F.when(F.col("_more").isNull(), here)).alias("last"),
+    )
+    linked = chunks.withColumn("_prev", F.lag("last").over(W.partitionBy(*keys).orderBy("_chunk")))
+    border = lambda step: F.when(prev.isNotNull(), step(prev, F.col("first")))
+    return linked.groupBy(*keys).agg(
+        *[
+            F.sum(F.coalesce(F.col(name), F.lit(0)) + F.coalesce(border(step), F.lit(0))).alias(name)
+            for name, step in measures.items()
+        ],
+        F.min("first").alias("first"),
+        F.max("last").alias("last"),
+    )
+
+
 def previous_row(
     df: DataFrame,
     keys: Sequence[str],
@@ -52,13 +88,14 @@ def previous_row(
     out: str = "prev",
 ) -> DataFrame:
     """Add struct ``out`` with ``cols`` of the previous row of the key, null on its first row."""
-    order_cols = [F.col(c) for c in order]
-    chunked = df.withColumn("_chunk", chunk)
     packed = F.struct(*[F.col(c) for c in cols])
-    inside = W.partitionBy(*keys, "_chunk").orderBy(*order_cols)
-    local = chunked.withColumn("_near", F.lag(packed).over(inside))
-
-    tails = chunked.groupBy(*keys, "_chunk").agg(F.max_by(packed, F.struct(*order_cols)).alias("_tail"))
+    inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
+    local = (
+        df.withColumn("_chunk", chunk)
+        .withColumn("_near", F.lag(packed).over(inside))
+        .withColumn("_more", F.lead(F.lit(1)).over(inside))
+    )
+    tails = local.filter(F.col("_more").isNull()).select(*keys, "_chunk", packed.alias("_tail"))
     carried = (
         tails.withColumn("_far", F.lag("_tail").over(W.partitionBy(*keys).orderBy("_chunk")))
         .filter(F.col("_far").isNotNull())
@@ -67,7 +104,7 @@ def previous_row(
     return (
         local.join(carried, [*keys, "_chunk"], "left")
         .withColumn(out, F.coalesce("_near", "_far"))
-        .drop("_near", "_far", "_chunk")
+        .drop("_near", "_far", "_more", "_chunk")
     )
 
 

@@ -32,10 +32,11 @@ def nearest_rank(
     counts = (
         df.select(*keys, F.explode(measures).alias("_x"))
         .select(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
-        .filter(F.col("_v").isNotNull())
-        .groupBy(*keys, "_m", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_b", _bucket(F.col("_v")))
+        # Asked for here so that both readers of the counts share one shuffle.
+        .filter(F.col("_v").isNotNull() & F.col("_b").isNotNull())
+        .groupBy(*keys, "_m", "_b", "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
     wanted = F.create_map(
         *[

@@ -6,6 +6,7 @@ from fieldscope.functions.text import variable_names as names_of
 from fieldscope.operators import documents as D
 from fieldscope.operators import graph as G
 from fieldscope.operators import trees as T
+from fieldscope.plans import spread
 from workloads import views as V
 from workloads.registry import query
 
@@ -351,7 +352,7 @@ def canonical_text(spark, d):
 )
 def tree_from_text(spark, d):
     text = F.concat(F.lit("log line\n[1] = "), D.canonical_text(F.col("content")))
-    entries = json_docs(spark, d).select("event_id", F.coalesce(text, F.lit("[1] = {[")).alias("result"))
+    entries = spread(json_docs(spark, d)).select("event_id", F.coalesce(text, F.lit("[1] = {[")).alias("result"))
     return D.tree_from_text(entries, "result", ["event_id"]).select(
         "event_id", "position", "depth", F.array_join("path", "/").alias("path"), "kind", "value"
     )
