@@ -45,13 +45,17 @@ def whole(name: str) -> Column:
     return F.coalesce(F.col(name).cast("bigint"), F.lit(0))
 
 
-def block(df: DataFrame, key: str, section: int, *lines: Column | str) -> DataFrame:
-    """One report section of consecutive lines; null lines are left out."""
-    texts = F.array(*[line if isinstance(line, Column) else F.lit(line) for line in lines])
-    kept = F.filter(texts, lambda t: t.isNotNull())
-    return df.select(key, F.lit(section).alias("section"), F.posexplode(kept).alias("item", "line")).select(
-        key, "section", F.col("item").cast("bigint").alias("item"), "line"
-    )
+def sections(df: DataFrame, key: str, parts: dict[int, list[Column | str] | Column]) -> DataFrame:
+    """Report sections of consecutive lines, all from one pass over ``df``; null lines are left out."""
+    rows = []
+    for number, lines in parts.items():
+        if isinstance(lines, list):
+            lines = F.array(*[line if isinstance(line, Column) else F.lit(line) for line in lines])
+        kept = F.filter(lines, lambda t: t.isNotNull())
+        section = F.lit(number).alias("section")
+        numbered = F.transform(kept, lambda t, i: F.struct(i.cast("bigint").alias("item"), t.alias("line")))
+        rows.append(F.transform(numbered, lambda r: F.struct(section, r["item"].alias("item"), r["line"].alias("line"))))
+    return df.select(key, F.inline(F.concat(*rows)))
 
 
 def listing(df: DataFrame, key: str, section: int, item: Column, line: Column) -> DataFrame:
@@ -84,31 +88,24 @@ def health_report(snapshot: DataFrame, profiler: bool = True, deep: bool = False
     """Baseline report of every addon of a health snapshot."""
     ms = lambda c: N.format_ms(F.col(c))
     found = F.transform("findings", _finding_text)
-    findings = snapshot.select(
-        "name", F.lit(1).alias("section"),
-        F.posexplode(F.when(F.size("findings") > 0, found).otherwise(F.array(F.lit(R.NO_FINDINGS)))).alias("item", "line"),
-    ).select("name", "section", (F.col("item") + 1).cast("bigint").alias("item"), "line")
-    ready = lambda flag, yes, no: F.lit("- " + (yes if flag else no))
-    return stacked(
-        block(snapshot, "name", 0, R.BASELINE, F.concat("title", F.lit("  ("), "name", F.lit(")")), R.CONCLUSION),
-        listing(snapshot, "name", 1, F.lit(0), pair(R.RISK_LABEL, _risk(F.col("severity")))),
-        findings,
-        block(
-            snapshot, "name", 2, R.CURRENT_LOAD, pair(R.RECENT, ms("recent_average")),
-            pair(R.SHARE, N.format_percent(F.col("addon_share"))),
+    findings = F.when(F.size("findings") > 0, found).otherwise(F.array(F.lit(R.NO_FINDINGS)))
+    ready = lambda flag, yes, no: "- " + (yes if flag else no)
+    bound = [] if cpu_bound is None else [f"- {R.CPU_BOUND}: {R.CPU_BOUND_YES if cpu_bound else R.CPU_BOUND_NO}"]
+    return sections(snapshot, "name", {
+        0: [R.BASELINE, F.concat("title", F.lit("  ("), "name", F.lit(")")), R.CONCLUSION],
+        1: F.concat(F.array(pair(R.RISK_LABEL, _risk(F.col("severity")))), findings),
+        2: [
+            R.CURRENT_LOAD, pair(R.RECENT, ms("recent_average")), pair(R.SHARE, N.format_percent(F.col("addon_share"))),
             say(R.ALL_SHARE, N.format_percent(F.col("overall_share"))), pair(R.MEMORY, N.format_memory(F.col("memory"))),
-        ),
-        block(
-            snapshot, "name", 3, R.LONG_TERM, pair(R.SESSION_AVERAGE, ms("session_average")), pair(R.ENCOUNTER, ms("encounter_average")),
+        ],
+        3: [
+            R.LONG_TERM, pair(R.SESSION_AVERAGE, ms("session_average")), pair(R.ENCOUNTER, ms("encounter_average")),
             pair(R.PEAK, ms("peak_time")), say("1/5/10ms: %d / %d / %d", *[whole(f"over{k}") for k in (1, 5, 10)]),
             say("50/100/500/1000ms: %d / %d / %d / %d", *[whole(f"over{k}") for k in (50, 100, 500, 1000)]),
-        ),
-        block(
-            snapshot, "name", 4, R.CAPABILITIES, ready(profiler, R.PROFILER_READY, R.PROFILER_MISSING), ready(deep, R.DEEP_READY, R.DEEP_MISSING),
-            *([] if cpu_bound is None else [F.lit(f"- {R.CPU_BOUND}: {R.CPU_BOUND_YES if cpu_bound else R.CPU_BOUND_NO}")]),
-        ),
-        block(snapshot, "name", 5, R.NEXT_ACTION, R.START_GUIDE),
-    )
+        ],
+        4: [R.CAPABILITIES, ready(profiler, R.PROFILER_READY, R.PROFILER_MISSING), ready(deep, R.DEEP_READY, R.DEEP_MISSING), *bound],
+        5: [R.NEXT_ACTION, R.START_GUIDE],
+    })
 
 
 def _without(sessions: DataFrame, rows: DataFrame) -> DataFrame:
@@ -122,27 +119,25 @@ def cpu_report(summary: DataFrame, hot_functions: DataFrame, hot_objects: DataFr
     """
     ms = lambda c: N.format_ms(F.col(c))
     ratio = N.format_percent(F.col("overhead_ratio"))
-    head = block(
-        summary, "session_id", 0, R.CPU_TITLE, pair("P50", ms("p50")), pair("P95", ms("p95")), pair("P99", ms("p99")),
+    head = sections(summary, "session_id", {0: [
+        R.CPU_TITLE, pair("P50", ms("p50")), pair("P95", ms("p95")), pair("P99", ms("p99")),
         pair(R.MAXIMUM, ms("maximum")), pair(R.RECENT_P95, ms("recent_p95")), pair(R.ANALYZER_OVERHEAD, ms("overhead_p95")),
         say(R.SAMPLE_ACTIVITY, whole("active_samples"), whole("sample_count"), ms("total_sampled_time")),
         say(R.RELATIVE_LOAD, N.format_percent(F.col("share_p50")), N.format_percent(F.col("share_p95"))),
         say(R.SAMPLE_SPIKES, *[whole(f"over{k}") for k in (1, 5, 10, 50, 100)]),
         say(R.COUNTER_SPIKES, *[whole(f"over{k}_delta") for k in (10, 50, 100, 500, 1000)]),
         F.when(F.col("overhead_ratio") >= 10, say(R.OVERHEAD_WARNING, ratio)).otherwise(say(R.OVERHEAD_OK, ratio)),
-    )
+    ], 1: [R.FUNCTION_HOTSPOTS], 3: [R.FRAME_HOTSPOTS]})
     functions = hot_functions.filter("rank <= 30")
     frames = hot_objects.filter("rank <= 30")
     return stacked(
         head,
-        block(summary, "session_id", 1, R.FUNCTION_HOTSPOTS),
         listing(functions, "session_id", 2, F.col("rank"), say(
             R.FUNCTION_ROW, F.col("rank"), ms("elapsed"), ms("inclusive"), F.col("path"), whole("calls"), ms("average"))),
-        block(_without(summary, functions), "session_id", 2, R.NO_HOTSPOT),
-        block(summary, "session_id", 3, R.FRAME_HOTSPOTS),
+        sections(_without(summary, functions), "session_id", {2: [R.NO_HOTSPOT]}),
         listing(frames, "session_id", 4, F.col("rank"), say(
             R.FRAME_ROW, F.col("rank"), ms("elapsed"), F.col("path"), whole("calls"), ms("average"))),
-        block(_without(summary, frames), "session_id", 4, R.NO_HOTSPOT),
+        sections(_without(summary, frames), "session_id", {4: [R.NO_HOTSPOT]}),
     )
 
 
@@ -170,25 +165,21 @@ def object_report(
     active = say(R.POOL_ACTIVE, whole("initial_active"), whole("final_active"), whole("peak_active"))
     reuse = say(R.POOL_REUSE, whole("acquisitions"), whole("releases"), N.fixed(F.coalesce("reuse_rate", F.lit(0.0)), 1))
     return stacked(
-        block(
-            one, "session_id", 0, R.OBJECTS_TITLE,
+        sections(one, "session_id", {0: [
+            R.OBJECTS_TITLE,
             say(R.OBJECT_COUNTS, *[whole(c) for c in ("initial_objects", "final_objects", "peak_objects", "newly_observed")]),
             say(R.OBJECT_TRANSITIONS, whole("hidden_transitions"), whole("activations"), N.format_percent(F.col("reuse_rate"))),
             pair(R.ON_UPDATE, whole("on_update").cast("string")), say(R.VISIBLE, whole("visible")), R.OBJECT_TYPES,
-        ),
+        ], 2: [R.OBJECT_SOURCES], 4: [
+            R.CLOSURES,
+            say(R.FUNCTION_COUNTS, *[whole(c) for c in ("functions_discovered", "function_references", "new_function_instances", "replaced")]),
+        ], 6: [R.POOLS], 8: [R.LIMITS, R.TRANSIENT_LIMIT, R.POOL_HEURISTIC]}),
         counted(by_type, 1, "object_type"),
-        block(one, "session_id", 2, R.OBJECT_SOURCES),
         counted(by_source, 3, "source"),
-        block(
-            one, "session_id", 4, R.CLOSURES,
-            say(R.FUNCTION_COUNTS, *[whole(c) for c in ("functions_discovered", "function_references", "new_function_instances", "replaced")]),
-        ),
         listing(shown, "session_id", 5, F.col("rank"), say(R.CHURN_ROW, F.col("path"), whole("replacements"))),
-        block(_without(lifecycle, shown), "session_id", 5, R.NO_CHURN),
-        block(one, "session_id", 6, R.POOLS),
+        sections(_without(lifecycle, shown), "session_id", {5: [R.NO_CHURN]}),
         listing(listed, "session_id", 7, F.col("rank"), F.concat_ws("\n", "path", active, reuse)),
-        block(_without(lifecycle, listed), "session_id", 7, R.NO_POOLS),
-        block(one, "session_id", 8, R.LIMITS, R.TRANSIENT_LIMIT, R.POOL_HEURISTIC),
+        sections(_without(lifecycle, listed), "session_id", {7: [R.NO_POOLS]}),
     )
 
 
@@ -210,12 +201,12 @@ def storage_report(sessions: DataFrame, roots: DataFrame) -> DataFrame:
     )
     shown = roots.join(one.filter("status = 'delta'").select("session_id"), "session_id", "left_semi")
     return stacked(
-        block(
-            one, "session_id", 0, R.STORAGE_TITLE, R.STORAGE_NOTE,
+        sections(one, "session_id", {0: [
+            R.STORAGE_TITLE, R.STORAGE_NOTE,
             F.when(F.col("status") == "none", R.STORAGE_NOT_DECLARED)
             .when(F.col("status") == "absent", say(R.STORAGE_NOT_CREATED, whole("declared"))).otherwise(total),
             F.when((F.col("status") == "delta") & (change == 0), R.STORAGE_NO_CHANGE),
-        ),
+        ]}),
         # Larger changes first.
         listing(shown, "session_id", 1, -F.abs("bytes_delta"), say(
             R.STORAGE_ROOT, F.col("name"), N.format_bytes(F.col("bytes_delta"), signed=True), whole("tables_delta"), whole("entries_delta"))),
@@ -237,22 +228,22 @@ def capture_report(summary: DataFrame) -> DataFrame:
         F.when(F.col("storage_delta") > 0, say(R.ACTION_STORAGE, N.format_bytes(F.col("storage_delta"), signed=True))),
     ]
     nothing = F.coalesce(*actions).isNull()
-    return stacked(
-        block(
-            summary, "session_id", 0, R.CONCLUSION,
+    return sections(summary, "session_id", {
+        0: [
+            R.CONCLUSION,
             say(R.CAPTURE_META, N.fixed(F.coalesce("elapsed", F.lit(0.0)), 2), whole("sample_count"), F.coalesce("stop_reason", F.lit("complete"))),
             F.when(F.col("over100") > 0, dash(say(R.COUNT_FINDINGS["spike_100"], F.col("over100"))))
             .when(F.col("over50") > 0, dash(say(R.COUNT_FINDINGS["spike_50"], F.col("over50"))))
             .when(F.col("over10") == 0, dash(F.lit(R.NO_SPIKE))),
             dash(pair("P95", ms("p95"))), dash(pair(R.MAXIMUM, ms("maximum"))),
             dash(pair(R.MEMORY_DELTA, N.format_memory(F.col("memory_delta"), signed=True))),
-        ),
-        block(summary, "session_id", 1, R.NEXT_ACTION, *[dash(a) for a in actions], F.when(nothing, dash(F.lit(R.NO_HOTSPOT)))),
-        block(
-            summary, "session_id", 2, R.RAW_EVIDENCE, pair("P50", ms("p50")), pair("P95", ms("p95")), pair("P99", ms("p99")),
+        ],
+        1: [R.NEXT_ACTION, *[dash(a) for a in actions], F.when(nothing, dash(F.lit(R.NO_HOTSPOT)))],
+        2: [
+            R.RAW_EVIDENCE, pair("P50", ms("p50")), pair("P95", ms("p95")), pair("P99", ms("p99")),
             pair(R.MAXIMUM, ms("maximum")), say(R.RELATIVE_LOAD, N.format_percent(F.col("share_p50")), N.format_percent(F.col("share_p95"))),
-        ),
-    )
+        ],
+    })
 
 
 def timeline(samples: DataFrame) -> DataFrame:
@@ -265,17 +256,17 @@ def timeline(samples: DataFrame) -> DataFrame:
 def full_report(sessions: DataFrame, *parts: DataFrame) -> DataFrame:
     """Several reports and the sample timeline (last) as one, each with its part number."""
     numbered = [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)]
-    heading = block(sessions, "session_id", 0, R.TIMELINE).withColumn("part", F.lit(len(parts) - 1))
+    heading = sections(sessions, "session_id", {0: [R.TIMELINE]}).withColumn("part", F.lit(len(parts) - 1))
     return stacked(*numbered, heading).select("session_id", "part", "section", "item", "line")
 
 
 def benchmark_report(summary: DataFrame, as_method: bool = False) -> DataFrame:
     ms = lambda c: N.format_ms(F.col(c))
-    return block(
-        summary, "run_id", 0, R.REPORT_TITLE, F.col("run_id"),
+    return sections(summary, "run_id", {0: [
+        R.REPORT_TITLE, F.col("run_id"),
         say(R.BENCHMARK_META, whole("iterations"), F.lit(R.AS_METHOD if as_method else R.WITHOUT_ARGUMENTS)), R.EXACT,
         pair(R.MEAN, ms("mean")), pair("P50", ms("p50")), pair("P95", ms("p95")), pair("P99", ms("p99")), pair(R.MAXIMUM, ms("maximum")),
         pair(R.ALLOCATED, N.format_bytes(F.col("allocated_per_call"), signed=True)),
         pair(R.NET_ALLOCATION, N.format_bytes(F.col("net_per_call"), signed=True)),
         pair(R.THROUGHPUT, F.coalesce(N.fixed(F.col("calls_per_second"), 1), F.lit("--"))),
-    )
+    ]})

@@ -1,5 +1,7 @@
 """Text reports, thinning, masking, and the store as a table on disk."""
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from fieldscope.functions import report_wording as W
@@ -9,8 +11,8 @@ from fieldscope.operators import lifecycle as L
 from fieldscope.operators import reports as R
 from fieldscope.operators import secrets as X
 from fieldscope.operators.thinning import downsample_gap as thin
-from fieldscope.session import fresh_dir
-from fieldscope.sources.store import EvidenceStore, clear_table
+from fieldscope.session import fresh_dir, pin
+from fieldscope.sources.store import EvidenceStore
 from workloads import views as V
 from workloads.evidence import TICKET
 from workloads.health import ADDONS, CODES, SEVERITY, TOTALS, _bytes, _ms, snapshot
@@ -135,13 +137,69 @@ CPU_SQL = f"""
     UNION ALL SELECT session_id, 4, 0, {lit(W.NO_HOTSPOT)} FROM summary WHERE session_id NOT IN (SELECT session_id FROM hot_objects)"""
 
 
-def cpu_summary(spark, d):
-    counters = V.metric_counters(spark, d)
-    return C.capture_summary(V.samples(spark, d)).join(C.metric_delta(counters), "session_id", "left")
-
-
-def cpu(spark, d):
-    return R.cpu_report(cpu_summary(spark, d), L.hot_functions(V.function_snapshots(spark, d)), L.hot_objects(V.object_snapshots(spark, d)))
+class Layers:
+    """What the reports of all captures are made of; ``keep`` is applied to what several reports share."""
+
+    def __init__(self, spark, d, keep=lambda df, label: df):
+        self.spark, self.d, self.keep = spark, d, keep
+        self.samples = V.samples(spark, d)
+        self.counters = V.metric_counters(spark, d)
+        self.functions = V.function_snapshots(spark, d)
+
+    @cached_property
+    def objects(self):
+        return self.keep(V.object_snapshots(self.spark, self.d), "objects")
+
+    @cached_property
+    def summary(self):
+        return self.keep(C.capture_summary(self.samples), "summary")
+
+    @cached_property
+    def hot_functions(self):
+        return self.keep(L.hot_functions(self.functions), "hot-functions")
+
+    @cached_property
+    def hot_objects(self):
+        return self.keep(L.hot_objects(self.objects), "hot-objects")
+
+    @cached_property
+    def churn(self):
+        return self.keep(L.function_churn(self.functions), "churn")
+
+    @cached_property
+    def storage(self):
+        return self.keep(L.storage_delta(V.storage_roots(self.spark, self.d)), "storage")
+
+    def cpu_report(self):
+        summary = self.summary.join(C.metric_delta(self.counters), "session_id", "left")
+        return R.cpu_report(summary, self.hot_functions, self.hot_objects)
+
+    def capture_report(self):
+        first = lambda df, *cols: df.filter("rank = 1").select("session_id", *cols)
+        hot = first(self.hot_functions, F.col("path").alias("hot_function"), F.col("elapsed").alias("hot_function_time"))
+        top = first(
+            self.hot_objects, F.col("path").alias("hot_object"), F.col("elapsed").alias("hot_object_time"), F.col("calls").alias("hot_object_calls")
+        )
+        span = self.samples.groupBy("session_id").agg(((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("elapsed"))
+        churn = self.churn.groupBy("session_id").agg(F.sum("replacements").alias("replacements"))
+        grown = self.storage.groupBy("session_id").agg(F.max("total_delta").alias("storage_delta"))
+        joined = self.summary.join(span.withColumn("stop_reason", F.lit("manual")), "session_id")
+        for side in (hot, top, churn, grown, C.memory_delta(self.counters)):
+            joined = joined.join(side, "session_id", "left")
+        return R.capture_report(joined)
+
+    def object_report(self):
+        coarse = self.functions.withColumn("snap_no", F.expr("snap_no div 8000"))
+        return R.object_report(
+            L.object_lifecycle(self.objects), L.object_totals(self.objects), L.counts_by_type(self.objects),
+            L.counts_by_source(self.objects), L.new_functions(coarse), self.churn, L.pool_activity(V.pool_snapshots(self.spark, self.d)),
+        )
+
+    def storage_report(self):
+        declared = V.storage_roots(self.spark, self.d).groupBy("session_id").agg(
+            F.count_distinct("name").alias("declared"), F.count_if(F.col("phase") == "final").alias("loaded")
+        )
+        return R.storage_report(declared, self.storage)
 
 
 CPU_VIEWS = ("samples", "metric_counters", "function_snapshots", "object_snapshots")
@@ -149,7 +207,7 @@ CPU_VIEWS = ("samples", "metric_counters", "function_snapshots", "object_snapsho
 
 @query("cpu_report", f"WITH {SUMMARY}, {DELTA}, {HOT_FUNCTIONS}, {HOT_OBJECTS} {CPU_SQL}", CPU_VIEWS)
 def cpu_report(spark, d):
-    return cpu(spark, d)
+    return Layers(spark, d).cpu_report()
 
 
 STORAGE_TOTALS = "s AS (SELECT session_id, max(initial_total) AS i, max(final_total) AS f, max(total_delta) AS dl FROM storage GROUP BY 1)"
@@ -161,13 +219,7 @@ STORAGE_SQL = f"""
 
 @query("storage_report", f"WITH {STORAGE}, {STORAGE_TOTALS} {STORAGE_SQL}", ("storage_roots",))
 def storage_report(spark, d):
-    return storage(spark, d)
-
-
-def storage(spark, d):
-    roots = V.storage_roots(spark, d)
-    declared = roots.groupBy("session_id").agg(F.count_distinct("name").alias("declared"), F.count_if(F.col("phase") == "final").alias("loaded"))
-    return R.storage_report(declared, L.storage_delta(roots))
+    return Layers(spark, d).storage_report()
 
 
 @query(
@@ -185,22 +237,6 @@ def benchmark_report(spark, d):
     return R.benchmark_report(C.benchmark_summary(V.benchmark_samples(spark, d)))
 
 
-def capture_rows(spark, d):
-    fns, objects = V.function_snapshots(spark, d), V.object_snapshots(spark, d)
-    samples = V.samples(spark, d)
-    hot = L.hot_functions(fns, 1).select("session_id", F.col("path").alias("hot_function"), F.col("elapsed").alias("hot_function_time"))
-    top = L.hot_objects(objects, 1).select(
-        "session_id", F.col("path").alias("hot_object"), F.col("elapsed").alias("hot_object_time"), F.col("calls").alias("hot_object_calls")
-    )
-    span = samples.groupBy("session_id").agg(((F.max("ts_us") - F.min("ts_us")) / 1e6).alias("elapsed")).withColumn("stop_reason", F.lit("manual"))
-    churn = L.function_churn(fns).groupBy("session_id").agg(F.sum("replacements").alias("replacements"))
-    grown = L.storage_delta(V.storage_roots(spark, d)).groupBy("session_id").agg(F.max("total_delta").alias("storage_delta"))
-    joined = C.capture_summary(samples).join(span, "session_id")
-    for side in (hot, top, churn, grown, C.memory_delta(V.metric_counters(spark, d))):
-        joined = joined.join(side, "session_id", "left")
-    return joined
-
-
 CAPTURE_VIEWS = ("samples", "metric_counters", "function_snapshots", "object_snapshots", "storage_roots")
 CAPTURE_CTE = f"""{SUMMARY}, {DELTA}, {HOT_FUNCTIONS}, {HOT_OBJECTS}, {CHURN}, {STORAGE},
     span AS (SELECT session_id, (max(ts_us) - min(ts_us)) / 1e6::DOUBLE AS seconds FROM samples GROUP BY 1),
@@ -223,16 +259,7 @@ CAPTURE_SQL = f"""
 
 @query("capture_report", f"WITH {CAPTURE_CTE} {CAPTURE_SQL}", CAPTURE_VIEWS)
 def capture_report(spark, d):
-    return R.capture_report(capture_rows(spark, d))
-
-
-def objects(spark, d):
-    snaps, fns = V.object_snapshots(spark, d), V.function_snapshots(spark, d)
-    coarse = fns.withColumn("snap_no", F.expr("snap_no div 8000"))
-    return R.object_report(
-        L.object_lifecycle(snaps), L.object_totals(snaps), L.counts_by_type(snaps), L.counts_by_source(snaps),
-        L.new_functions(coarse), L.function_churn(fns), L.pool_activity(V.pool_snapshots(spark, d)),
-    )
+    return Layers(spark, d).capture_report()
 
 
 OBJECT_VIEWS = ("object_snapshots", "function_snapshots", "pool_snapshots")
@@ -266,7 +293,7 @@ OBJECT_SQL = f"""
 
 @query("object_report", f"WITH {OBJECT_CTE} {OBJECT_SQL}", OBJECT_VIEWS)
 def object_report(spark, d):
-    return objects(spark, d)
+    return Layers(spark, d).object_report()
 
 
 TIMELINE_SQL = f"""
@@ -283,12 +310,11 @@ PARTS = (CAPTURE_SQL, CPU_SQL, OBJECT_SQL, STORAGE_SQL, TIMELINE_SQL)
     (*CAPTURE_VIEWS, "pool_snapshots"),
 )
 def full_report(spark, d):
-    samples = V.samples(spark, d)
-    starts = samples.groupBy("session_id").agg(F.min("ts_us").alias("start"))
-    raw = samples.join(starts, "session_id").withColumn("elapsed", (F.col("ts_us") - F.col("start")) / 1e6)
-    sessions = samples.select("session_id").distinct()
+    layers = Layers(spark, d, pin)
+    starts = layers.samples.groupBy("session_id").agg(F.min("ts_us").alias("start"))
+    raw = layers.samples.join(starts, "session_id").withColumn("elapsed", (F.col("ts_us") - F.col("start")) / 1e6)
     return R.full_report(
-        sessions, R.capture_report(capture_rows(spark, d)), cpu(spark, d), objects(spark, d), storage(spark, d), R.timeline(raw)
+        starts.select("session_id"), layers.capture_report(), layers.cpu_report(), layers.object_report(), layers.storage_report(), R.timeline(raw)
     )
 
 
