@@ -142,7 +142,7 @@ def benchmark_summary(calls: DataFrame, keys: Sequence[str] = ("run_id",)) -> Da
 def recent_samples(samples: DataFrame, limit: int = 720, key: str = "session_id") -> DataFrame:
     """The newest samples of each session, newest first."""
     order = [F.col("ts_us").desc(), F.col("sample_id").desc()]
-    return top_per_key(samples, [key], order, limit, ["sample_id"])
+    return top_per_key(samples, [key], order, limit)
 
 
 def timeline_scale(samples: DataFrame, limit: int = 80, height: int = 112, key: str = "session_id") -> DataFrame:
@@ -160,7 +160,7 @@ def timeline_scale(samples: DataFrame, limit: int = 80, height: int = 112, key:
 def recent_sessions(sessions: DataFrame, limit: int = 12, key: str = "client_id") -> DataFrame:
     """The newest captures of each client."""
     order = [F.col("created_at").desc(), F.col("session_id").desc()]
-    return top_per_key(sessions, [key], order, limit, ["session_id"])
+    return top_per_key(sessions, [key], order, limit)
 
 
 def sessions_for_addon(sessions: DataFrame, addon: str) -> DataFrame:

@@ -70,7 +70,7 @@ def elapsed_since_start(records: DataFrame, key: str = "session_id") -> DataFram
 
 def newest_records(records: DataFrame, limit: int, key: str = "session_id") -> DataFrame:
     order = [F.col("ts_us").desc(), F.col("seq").desc()]
-    return top_per_key(records, [key], order, limit, ["seq"])
+    return top_per_key(records, [key], order, limit)
 
 
 def latest_events(records: DataFrame, limit: int = 500, key: str = "session_id") -> DataFrame:

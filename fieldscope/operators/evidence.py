@@ -24,8 +24,8 @@ def accepted(exports: DataFrame, limit: int = W.STORE_BYTES) -> DataFrame:
     return exports.filter((F.octet_length("content") > 0) & (F.octet_length("content") <= limit))
 
 
-def hour_of(epoch_seconds: str) -> Column:
-    return F.floor(F.col(epoch_seconds) / 3600)
+def minute_of(epoch_seconds: str) -> Column:
+    return F.floor(F.col(epoch_seconds) / 60)
 
 
 def evidence_number(exports: DataFrame, last_ids: DataFrame | None = None) -> DataFrame:
@@ -36,7 +36,7 @@ def evidence_number(exports: DataFrame, last_ids: DataFrame | None = None) -> Da
     too, so ids may have gaps once those are dropped.
     """
     numbered = running_total(
-        exports, ["account"], [F.col("created_at"), F.col("id")], hour_of("created_at"), F.lit(1), "_n"
+        exports, ["account"], [F.col("created_at"), F.col("id")], minute_of("created_at"), F.lit(1), "_n"
     )
     if last_ids is None:
         base = F.lit(0)
@@ -195,7 +195,7 @@ def evidence_prune(records: DataFrame, max_bytes: int = W.STORE_BYTES, max_recor
     Only the newest ``max_records`` can stay, so the running byte sum sees no more than those.
     """
     order = [F.col("created_at").desc(), F.col("id").desc()]
-    newest = top_per_key(records, ["account"], order, max_records, ["id"], rank="position")
+    newest = top_per_key(records, ["account"], order, max_records, rank="position")
     upto = Win.partitionBy("account").orderBy("position").rowsBetween(Win.unboundedPreceding, 0)
     return newest.withColumn("running_bytes", F.sum(F.octet_length("content").cast("bigint")).over(upto)).filter(
         F.col("running_bytes") <= max_bytes
@@ -242,7 +242,7 @@ def order_reconcile(order: DataFrame, records: DataFrame) -> DataFrame:
         present.withColumn("was_listed", F.col("_listed").isNotNull()).drop("_listed"),
         ["account"],
         [F.col("created_at").desc(), F.col("ticket").asc()],
-        hour_of("created_at"),
+        minute_of("created_at"),
         F.lit(1),
         "position",
         descending=True,

@@ -44,6 +44,6 @@ def history_prune(
 
     No entry counts less than ``smallest``, so at most ``budget / smallest`` can stay.
     """
-    newest = top_per_key(entries, ["account"], [F.col("seq").desc()], budget // smallest, ["seq"], rank="position")
+    newest = top_per_key(entries, ["account"], [F.col("seq").desc()], budget // smallest, rank="position")
     upto = Win.partitionBy("account").orderBy("position").rowsBetween(Win.unboundedPreceding, 0)
     return newest.withColumn("running_bytes", F.sum("bytes").over(upto)).filter(F.col("running_bytes") <= budget)

@@ -172,7 +172,7 @@ def function_registry(snapshots: DataFrame, max_paths: int = 6) -> DataFrame:
         F.sum("refs").alias("references"), F.min("path").alias("first_path")
     )
     listed = (
-        top_per_key(per_path, ["session_id", "fn_id"], [F.col("path").asc()], max_paths, ["path"])
+        top_per_key(per_path, ["session_id", "fn_id"], [F.col("path").asc()], max_paths)
         .groupBy("session_id", "fn_id")
         .agg(F.array_sort(F.collect_list("path")).alias("paths"))
     )
@@ -206,7 +206,7 @@ def hot_functions(snapshots: DataFrame, limit: int = 80) -> DataFrame:
         .filter((F.col("elapsed") > 0) | (F.col("calls") > 0))
     )
     order = [F.col("elapsed").desc(), F.col("calls").desc(), F.col("fn_id").asc()]
-    return top_per_key(moved, ["session_id"], order, limit, ["fn_id"]).withColumn("average", _average("elapsed", "calls"))
+    return top_per_key(moved, ["session_id"], order, limit).withColumn("average", _average("elapsed", "calls"))
 
 
 def session_ends(snapshots: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def hot_objects(snapshots: DataFrame, limit: int = 50) -> DataFrame:
         .filter((F.col("elapsed") > 0) | (F.col("calls") > 0))
     )
     order = [F.col("elapsed").desc(), F.col("object_id").asc()]
-    return top_per_key(moved, ["session_id"], order, limit, ["object_id"]).withColumn("average", _average("elapsed", "calls"))
+    return top_per_key(moved, ["session_id"], order, limit).withColumn("average", _average("elapsed", "calls"))
 
 
 def object_totals(snapshots: DataFrame) -> DataFrame:

@@ -44,8 +44,8 @@ def name_match_roots(keys: DataFrame, addons: DataFrame, most: int = 16) -> Data
     addon_holds = addon_norms.select("addon_norm", F.explode(_parts(F.col("addon_norm"))).alias("norm")).join(key_norms, "norm")
     matches = key_holds.select("addon_norm", "norm").unionByName(addon_holds.select("addon_norm", "norm")).distinct()
 
-    usable = top_per_key(named, ["norm"], [F.col("key")], most, ["key"]).select("norm", "key")
+    usable = top_per_key(named, ["norm"], [F.col("key")], most).select("norm", "key")
     by_norm = top_per_key(
-        matches.join(usable, "norm").select("addon_norm", "key"), ["addon_norm"], [F.col("key")], most, ["key"]
+        matches.join(usable, "norm").select("addon_norm", "key"), ["addon_norm"], [F.col("key")], most
     )
     return owners.join(by_norm, "addon_norm").select("addon", "key", "rank")

@@ -21,7 +21,7 @@ def report_heads(hot_functions: DataFrame, churn: DataFrame, pools: DataFrame) -
     functions = hot_functions.filter("rank <= 30").select(
         F.lit("function").alias("section"), "session_id", F.col("path").alias("item"), F.col("rank").cast("bigint")
     )
-    pool_paths = top_per_key(pools.select("session_id", "path").distinct(), ["session_id"], [F.col("path")], 12, ["path"])
+    pool_paths = top_per_key(pools.select("session_id", "path").distinct(), ["session_id"], [F.col("path")], 12)
     listed = lambda df, section: df.select(
         F.lit(section).alias("section"), "session_id", F.col("path").alias("item"), F.col("rank").cast("bigint")
     )
@@ -29,7 +29,7 @@ def report_heads(hot_functions: DataFrame, churn: DataFrame, pools: DataFrame) -
 
 
 def top_churn(churn: DataFrame) -> DataFrame:
-    return top_per_key(churn, ["session_id"], [F.col("replacements").desc(), F.col("path")], 20, ["path"])
+    return top_per_key(churn, ["session_id"], [F.col("replacements").desc(), F.col("path")], 20)
 
 
 def say(pattern: str, *values: Column) -> Column:
@@ -161,7 +161,7 @@ def object_report(
         df.join(final, ["session_id", "snap_no"]), "session_id", section, -F.col("objects"), pair_of(F.col(label), F.col("objects"))
     )
     shown = top_churn(churn)
-    listed = top_per_key(pools, ["session_id"], [F.col("path"), F.col("pool_id")], 12, ["pool_id"])
+    listed = top_per_key(pools, ["session_id"], [F.col("path"), F.col("pool_id")], 12)
     active = say(R.POOL_ACTIVE, whole("initial_active"), whole("final_active"), whole("peak_active"))
     reuse = say(R.POOL_REUSE, whole("acquisitions"), whole("releases"), N.fixed(F.coalesce("reuse_rate", F.lit(0.0)), 1))
     return stacked(

@@ -54,7 +54,7 @@ def tree_flatten(nodes: DataFrame, max_depth: int = 8, max_entries: int = 200, m
     """
     below = nodes.filter(F.col("parent_id").isNotNull())
     wide = below.groupBy("parent_id").agg((F.count(F.lit(1)) > max_entries).alias("wide")).filter("wide")
-    first = top_per_key(below, ["parent_id"], [F.col("key"), F.col("id")], max_entries, ["id"], rank="_r").drop("_r")
+    first = top_per_key(below, ["parent_id"], [F.col("key"), F.col("id")], max_entries, rank="_r").drop("_r")
     bounded = nodes.filter(F.col("parent_id").isNull()).unionByName(first)
     placed = (
         ancestry(bounded, max_depth)
@@ -70,7 +70,7 @@ def tree_flatten(nodes: DataFrame, max_depth: int = 8, max_entries: int = 200, m
         ).alias("truncated")
     )
     kept = top_per_key(
-        placed.filter(F.col("depth") <= max_depth).drop("wide"), ["doc_id"], [F.col("path"), F.col("id")], max_nodes, ["id"], rank="position"
+        placed.filter(F.col("depth") <= max_depth).drop("wide"), ["doc_id"], [F.col("path"), F.col("id")], max_nodes, rank="position"
     )
     return kept.join(cut, "doc_id").withColumn("value", byte_truncate(F.col("value"), W.NODE_VALUE_BYTES, "..."))
 
@@ -115,7 +115,7 @@ def footprint(nodes: DataFrame, root_depth: int = 1, max_depth: int = 8, max_ent
     """
     rows = per_root(nodes, root_depth, max_depth)
     entries = rows.filter("below > 0")
-    counted = top_per_key(entries, ["root_id"], [F.col("path"), F.col("id")], max_entries, ["id"], rank="_r").drop("_r")
+    counted = top_per_key(entries, ["root_id"], [F.col("path"), F.col("id")], max_entries, rank="_r").drop("_r")
     inside = F.col("below") <= max_depth
     entry = F.when(F.col("below") > 0, 1).otherwise(0)
     size = entry * 16 + F.when(inside, value_bytes(F.col("kind"), F.col("value")) + entry * F.octet_length("key")).otherwise(0)
@@ -166,7 +166,7 @@ def key_search(placed: DataFrame, text: str, limit: int = 200, max_depth: int =
         raise ValueError("a search text is required")
     hits = _hits(placed.filter(F.col("depth").between(1, max_depth + 1)), F.lit(needle))
     totals = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_matches"))
-    shown = top_per_key(hits, ["doc_id"], [F.col(c) for c in SEARCH_ORDER], limit, ["id"])
+    shown = top_per_key(hits, ["doc_id"], [F.col(c) for c in SEARCH_ORDER], limit)
     return shown.join(totals, "doc_id").select(
         "doc_id", "rank", "id", "key", F.col("path").alias("keys"), "kind", preview(F.col("kind"), F.col("value")).alias("preview"), "match", "total_matches"
     )
@@ -197,7 +197,7 @@ def search_fallback(placed: DataFrame, queries: DataFrame, limit: int = 200, max
     found = hits.groupBy("query_id").agg(F.max((F.col("scope") == "local").cast("int")).alias("_local"))
     chosen = hits.join(found, "query_id").filter((F.col("scope") == "local") | (F.col("_local") == 0))
     totals = chosen.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_matches"))
-    shown = top_per_key(chosen, ["query_id"], [F.col(c) for c in SEARCH_ORDER], limit, ["id"])
+    shown = top_per_key(chosen, ["query_id"], [F.col(c) for c in SEARCH_ORDER], limit)
     return shown.join(totals, "query_id").select("query_id", "scope", "rank", "id", "key", "match", "total_matches")
 
 

@@ -1,13 +1,19 @@
-"""Parallelism for expensive row work on few input splits."""
+"""Parallelism for expensive row work on small inputs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+SPLIT_BYTES = 128 * 1024 * 1024
+
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has fewer splits than that; large inputs stay as they are."""
+    """Rows over all cores when the input is too small to have a split for each; larger inputs stay as they are.
+
+    Decided from the planner's size estimate, without running anything.
+    """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df

@@ -10,29 +10,23 @@ from pyspark.sql import functions as F
 
 
 def top_per_key(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    n: int,
-    spread: Sequence[str],
-    rank: str = "rank",
-    salts: int = 32,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank", salts: int = 256
 ) -> DataFrame:
     """The first ``n`` rows of every key in ``order``, numbered from 1.
 
-    A row can only be among the first ``n`` of its key if it is among the first
-    ``n`` of its (key, salt) shard, so the shards are cut first and the final
-    rank sees at most ``salts * n`` rows of any key. Both filters are of the
-    form ``row_number() <= n``, which Spark also applies before the shuffle.
-    ``spread`` names columns that vary within a key.
+    A row can only be among the first ``n`` of its key if it is among the first ``n`` of
+    the input tasks it shares a shard with. Shards are made of whole input tasks, and
+    ``row_number() <= n`` is also applied before a shuffle, so each task hands on at
+    most ``n`` rows of a key, a shard receives those of its tasks only, and the final
+    rank sees at most ``salts * n`` rows of any key.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    shard = W.partitionBy(*keys, "_salt").orderBy(*order)
+    sharded = df.withColumn("_shard", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    shard = W.partitionBy(*keys, "_shard").orderBy(*order)
     whole = W.partitionBy(*keys).orderBy(*order)
     return (
-        salted.withColumn(rank, F.row_number().over(shard))
+        sharded.withColumn(rank, F.row_number().over(shard))
         .filter(F.col(rank) <= n)
-        .drop("_salt")
+        .drop("_shard")
         .withColumn(rank, F.row_number().over(whole))
         .filter(F.col(rank) <= n)
     )

@@ -79,7 +79,7 @@ def ring_contents(changes: DataFrame, limit: int = 500) -> DataFrame:
     """Current content from the reported changes: the last version of each shard."""
     last = changes.groupBy("session_id", "shard").agg(F.max("version").alias("version"))
     current = changes.join(last, ["session_id", "shard", "version"]).drop("shard", "version")
-    return top_per_key(current, ["session_id"], [F.col("ts_us").desc(), F.col("seq").desc()], limit, ["seq"])
+    return top_per_key(current, ["session_id"], [F.col("ts_us").desc(), F.col("seq").desc()], limit)
 
 
 def sample_windows_stream(

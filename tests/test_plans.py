@@ -52,7 +52,7 @@ def test_nearest_rank_small_counts(spark):
 @pytest.mark.parametrize("salts", [1, 7])
 def test_top_per_key(skewed, salts):
     data, df = skewed
-    got = top_per_key(df, ["k"], [F.col("i").desc()], 6, ["i"], salts=salts).collect()
+    got = top_per_key(df, ["k"], [F.col("i").desc()], 6, salts=salts).collect()
     for key, part in by_key(data).items():
         want = [r[1] for r in part][::-1][:6]
         assert [r.i for r in sorted((r for r in got if r.k == key), key=lambda r: r["rank"])] == want

@@ -57,6 +57,8 @@ def metric_counters(spark, d):
     cents = F.col("value").cast("decimal(18,2)")
     u = F.col("user_id")
     mean = lambda cond: F.sum(F.when(cond, cents)).cast("double") / F.count_if(cond)
+    # Cut, not rounded: both engines agree on every digit.
+    cut = lambda c: F.floor(c * 1000000.0) / 1000000.0
     over = lambda k: F.count_if(F.col("value") > k).cast("double")
     g = phased.groupBy("user_id", "phase").agg(
         (mean(F.lit(True)) / 12).alias("session_average"),
@@ -76,9 +78,9 @@ def metric_counters(spark, d):
         F.when(u % 6 != 0, F.concat(F.lit("Title "), (u % 13).cast("string"))).alias("title"),
         (u % 11 != 0).alias("loaded"),
         "phase",
-        F.round("session_average", 6).alias("session_average"),
-        F.round(F.col("_click") * (u % 3), 6).alias("recent_average"),
-        F.round("encounter_average", 6).alias("encounter_average"),
+        cut(F.col("session_average")).alias("session_average"),
+        cut(F.col("_click") * (u % 3)).alias("recent_average"),
+        cut(F.col("encounter_average")).alias("encounter_average"),
         "last_time",
         "peak_time",
         "over1",
@@ -111,8 +113,9 @@ counters0 AS (
 metric_counters AS (
   SELECT u % 10 AS client_id, u AS session_id, 'Addon' || u AS name,
     CASE WHEN u % 6 <> 0 THEN 'Title ' || (u % 13) END AS title, u % 11 <> 0 AS loaded, phase,
-    round(sa, 6) AS session_average, round(click * (u % 3), 6) AS recent_average,
-    round(ea, 6) AS encounter_average, last_time, peak_time, over1, over5, over10,
+    floor(sa * 1000000::DOUBLE) / 1000000::DOUBLE AS session_average,
+    floor(click * (u % 3) * 1000000::DOUBLE) / 1000000::DOUBLE AS recent_average,
+    floor(ea * 1000000::DOUBLE) / 1000000::DOUBLE AS encounter_average, last_time, peak_time, over1, over5, over10,
     CASE WHEN u % 7 > 0 THEN over50 ELSE 0 END AS over50,
     CASE WHEN u % 5 > 0 THEN over100 ELSE 0 END AS over100,
     CASE WHEN u % 4 < 3 THEN o500 ELSE 0 END AS over500,
