@@ -230,6 +230,10 @@ def evidence_pending(created: DataFrame, persisted: DataFrame) -> DataFrame:
     return created.join(persisted.select("ticket"), "ticket", "left_anti")
 
 
+def pending_counts(pending: DataFrame) -> DataFrame:
+    return pending.groupBy("account").agg(F.count(F.lit(1)).alias("pending"))
+
+
 def order_reconcile(order: DataFrame, records: DataFrame) -> DataFrame:
     """Rebuild the order list of each account from what exists.
 

@@ -16,16 +16,18 @@ from fieldscope.functions import report_wording as R
 from fieldscope.plans import top_per_key
 
 
-def report_heads(hot_functions: DataFrame, churn: DataFrame, pools: DataFrame) -> DataFrame:
-    """What a report shows of its long lists: 30 functions, 20 churning paths, 12 pools."""
-    functions = hot_functions.filter("rank <= 30").select(
-        F.lit("function").alias("section"), "session_id", F.col("path").alias("item"), F.col("rank").cast("bigint")
-    )
+def report_heads(hot_functions: DataFrame, hot_objects: DataFrame, churn: DataFrame, pools: DataFrame) -> DataFrame:
+    """What a report shows of its long lists: 30 functions, 30 frames, 20 churning paths, 12 pools."""
     pool_paths = top_per_key(pools.select("session_id", "path").distinct(), ["session_id"], [F.col("path")], 12)
     listed = lambda df, section: df.select(
         F.lit(section).alias("section"), "session_id", F.col("path").alias("item"), F.col("rank").cast("bigint")
     )
-    return functions.unionByName(listed(top_churn(churn), "churn")).unionByName(listed(pool_paths, "pool"))
+    return stacked(
+        listed(hot_functions.filter("rank <= 30"), "function"),
+        listed(hot_objects.filter("rank <= 30"), "frame"),
+        listed(top_churn(churn), "churn"),
+        listed(pool_paths, "pool"),
+    )
 
 
 def top_churn(churn: DataFrame) -> DataFrame:

@@ -107,7 +107,11 @@ def sample_windows_stream(
 
 
 def capture_session_stream(samples: DataFrame, gap: str = "5 seconds", delay: str = "10 seconds") -> DataFrame:
-    """Implicit captures: samples of a session no further apart than ``gap``."""
+    """Implicit captures: samples of a session no further apart than ``gap``.
+
+    Sessions are merged inside each input task first, so a busy one is not shuffled sample by sample.
+    """
+    samples.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (
         event_time(samples, delay=delay)
         .groupBy("session_id", F.session_window("event_time", gap).alias("w"))

@@ -57,7 +57,9 @@ def test_store_numbers_deletes_clears(spark):
     df = lambda *rows: spark.createDataFrame(list(rows), EXPORT)
     first = store.append(df(export(1), export(2, ""), export(3, at=1700090000))).orderBy("id").collect()
     assert [r.ticket for r in first] == ["FSCOPE-20231114-221321-0001", None, "FSCOPE-20231115-231323-0003"]
-    assert S.evidence_get(store.records(), first[0].ticket).collect()[0].payload.content == "text"
+    hit = S.evidence_get(store.records(), first[0].ticket)
+    assert hit.collect()[0].payload.content == "text"
+    assert "PartitionFilters: [isnotnull(created_date" in hit._jdf.queryExecution().executedPlan().toString()
     assert store.delete(df().select(F.lit("nope").alias("ticket"))) == 0
     gone = spark.createDataFrame([(first[0].ticket,), ("nope",)], "ticket string")
     assert store.delete(gone) == 1 and store.delete(gone) == 0

@@ -100,3 +100,21 @@ def test_split_points_cut_in_order(spark):
     assert len(counts) == 8 and max(counts) < 300
     ranked = running_total(df, [], [F.col("key")], bucket_of("key", points), F.lit(1), "rn")
     assert [r.rn for r in ranked.orderBy("key").collect()] == list(range(1, 901))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_rows_are_cut_before_the_shuffle(skewed):
+    plan = plan_of(top_per_key(skewed[1], ["k"], [F.col("i").desc()], 6))
+    assert plan.count("Partial") == 2 and "_shard" in plan
+
+
+def test_hot_keys_are_shuffled_by_chunk(skewed):
+    plan = plan_of(transition_totals(skewed[1], ["k"], ["i"], F.floor(F.col("i") / 10), ["shown"], {}))
+    first = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line][-1]
+    assert "_chunk" in first
+    plan = plan_of(nearest_rank(skewed[1], ["k"], {"v": [("p", 0.5)]}))
+    first = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line][-1]
+    assert "_v" in first or "_b" in first

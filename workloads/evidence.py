@@ -139,13 +139,15 @@ def evidence_delete(spark, d):
 
 @query(
     "evidence_pending",
-    f"SELECT id, {BY_ID} AS ticket FROM exports WHERE id NOT IN (SELECT doc_id FROM labels)",
+    f"""SELECT account, id, {BY_ID} AS ticket, count(*) OVER (PARTITION BY account) AS pending
+    FROM exports WHERE id NOT IN (SELECT doc_id FROM labels)""",
     ("exports",),
 )
 def evidence_pending(spark, d):
-    created = ticketed(spark, d).select("id", "ticket")
+    created = ticketed(spark, d).select("account", "id", "ticket")
     persisted = created.join(V.table(spark, d, "labels").select(F.col("doc_id").alias("id")), "id")
-    return S.evidence_pending(created, persisted)
+    pending = S.evidence_pending(created, persisted)
+    return pending.join(S.pending_counts(pending), "account")
 
 
 @query(

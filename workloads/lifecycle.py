@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldscope.operators import capture as C
 from fieldscope.operators import lifecycle as L
+from fieldscope.operators.reports import report_heads
 from workloads import views as V
 from workloads.registry import query
 
@@ -161,19 +162,20 @@ def counts_by_source(spark, d):
 
 @query(
     "report_topk",
-    f"""WITH {CHURN}, {HOT_FUNCTIONS}, pools AS (SELECT DISTINCT session_id, path FROM pool_snapshots)
+    f"""WITH {CHURN}, {HOT_FUNCTIONS}, {HOT_OBJECTS}, pools AS (SELECT DISTINCT session_id, path FROM pool_snapshots)
     SELECT 'function' AS section, session_id, path AS item, rank FROM hot_functions WHERE rank <= 30
+    UNION ALL SELECT 'frame', session_id, path, rank FROM hot_objects WHERE rank <= 30
     UNION ALL SELECT 'churn', session_id, path, row_number() OVER (PARTITION BY session_id ORDER BY replacements DESC, path) AS rank
       FROM churn QUALIFY rank <= 20
     UNION ALL SELECT 'pool', session_id, path, row_number() OVER (PARTITION BY session_id ORDER BY path) AS rank
       FROM pools QUALIFY rank <= 12""",
-    ("function_snapshots", "pool_snapshots"),
+    ("function_snapshots", "object_snapshots", "pool_snapshots"),
 )
 def report_topk(spark, d):
-    from fieldscope.operators.reports import report_heads
-
     fns = V.function_snapshots(spark, d)
-    return report_heads(L.hot_functions(fns), L.function_churn(fns), L.pool_activity(V.pool_snapshots(spark, d)))
+    return report_heads(
+        L.hot_functions(fns), L.hot_objects(V.object_snapshots(spark, d)), L.function_churn(fns), L.pool_activity(V.pool_snapshots(spark, d))
+    )
 
 
 STORAGE = """
@@ -204,16 +206,22 @@ def storage_rank(spark, d):
 
 @query(
     "storage_status",
-    """SELECT name, CASE WHEN declared = 0 THEN 'not_declared' WHEN loaded = 0 THEN 'not_created' ELSE 'delta' END AS status
-    FROM (SELECT name, count(*) FILTER (phase = 'initial') % 4 AS declared,
-            count(*) FILTER (bytes > 9000 AND phase = 'initial') AS loaded FROM storage_roots GROUP BY name)""",
-    ("storage_roots",),
+    """SELECT n_name AS addon, CASE WHEN declared = 0 THEN 'not_declared' WHEN loaded = 0 THEN 'not_created' ELSE 'delta' END AS status
+    FROM (SELECT n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 7000) AS declared,
+            (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9950) AS loaded FROM nation)""",
 )
 def storage_status(spark, d):
-    declared = F.count_if(F.col("phase") == "initial") % 4
-    loaded = F.count_if((F.col("bytes") > 9000) & (F.col("phase") == "initial"))
-    counted = V.storage_roots(spark, d).groupBy("name").agg(declared.alias("declared"), loaded.alias("loaded"))
-    return counted.select("name", L.storage_status(F.col("declared"), F.col("loaded")).alias("status"))
+    """A nation stands for an addon, its rich suppliers for declared roots, its richest customers for loaded ones."""
+    count = lambda table, key, condition, name: V.table(spark, d, table).filter(condition).groupBy(F.col(key).alias("n_nationkey")).agg(
+        F.count(F.lit(1)).alias(name)
+    )
+    counted = (
+        V.table(spark, d, "nation")
+        .join(count("supplier", "s_nationkey", "s_acctbal > 7000", "declared"), "n_nationkey", "left")
+        .join(count("customer", "c_nationkey", "c_acctbal > 9950", "loaded"), "n_nationkey", "left")
+        .na.fill(0, ["declared", "loaded"])
+    )
+    return counted.select(F.col("n_name").alias("addon"), L.storage_status(F.col("declared"), F.col("loaded")).alias("status"))
 
 
 def correlated(spark, d):

@@ -66,7 +66,26 @@ def capture_session_stream(spark, d):
     return R.run_to_table(C.capture_session_stream(live, "12 hours", delay="1 hour"), "sessions")
 
 
-@query("capture_control_stream")
+@query(
+    "capture_control_stream",
+    """WITH RECURSIVE c AS (SELECT user_id AS session_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn,
+        CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'manual' ELSE 'combat' END AS action
+      FROM events WHERE event_type IN ('signup', 'purchase', 'error')),
+    r AS (SELECT DISTINCT session_id, 0::BIGINT AS rn, NULL::BIGINT AS open, 0::BIGINT AS no,
+        NULL::BIGINT AS capture_no, NULL::BIGINT AS started_us, NULL::BIGINT AS ended_us, NULL::VARCHAR AS reason FROM c
+      UNION ALL
+      SELECT session_id, rn, CASE WHEN action = 'start' THEN CASE WHEN running THEN open ELSE t END END,
+        no + CASE WHEN action = 'start' AND NOT running THEN 1 ELSE 0 END,
+        CASE WHEN over OR stopped THEN no END, CASE WHEN over OR stopped THEN open END,
+        CASE WHEN over THEN open + 1800000000 WHEN stopped THEN t END, CASE WHEN over THEN 'complete' WHEN stopped THEN action END
+      FROM (SELECT c.*, r.open, r.no, coalesce(c.t >= r.open + 1800000000, false) AS over, coalesce(c.t < r.open + 1800000000, false) AS running,
+              coalesce(c.t < r.open + 1800000000, false) AND c.action <> 'start' AS stopped
+            FROM r JOIN c ON c.session_id = r.session_id AND c.rn = r.rn + 1))
+    SELECT session_id, capture_no, started_us, ended_us, reason FROM r WHERE reason IS NOT NULL
+    UNION ALL SELECT session_id, no, open, open + 1800000000, 'complete' FROM r
+    WHERE open + 1800000000 <= (SELECT max(t) // 1000 * 1000 - 3600000000 FROM c)
+      AND rn = (SELECT max(rn) FROM c WHERE c.session_id = r.session_id)""",
+)
 def capture_control_stream(spark, d):
     """Signups start a capture of half an hour, purchases stop it by hand, errors by combat."""
     e = events(spark, d).filter("event_type IN ('signup', 'purchase', 'error')")
