@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from fieldscope.functions import wording as W
+from fieldscope.functions.wording import CUT_OUTPUT, NODE_VALUE_BYTES, OUTPUT_BYTES, STORE_BYTES
 from fieldscope.functions.text import byte_truncate, quoted
 from fieldscope.plans import spread
 
-# Helpers below run on executors that may not have this package installed.
+# The helpers below run on executors that may not have this package installed: they are sent
+# by value and refer to values of other modules, never to the modules.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
@@ -48,7 +49,7 @@ def _get(value: Column, kind: str) -> Column:
 def _text(node: Column, kind: Column) -> Column:
     raw = _get(node["v"], "string")
     shown = F.when(kind == "table", "Table").when(kind == "string", quoted(raw)).when(kind == "nil", "nil").otherwise(raw)
-    return byte_truncate(shown, W.NODE_VALUE_BYTES, "...")
+    return byte_truncate(shown, NODE_VALUE_BYTES, "...")
 
 
 def _node(path: Column, value: Column) -> Column:
@@ -200,13 +201,13 @@ def canonical(text: str | None, max_depth: int, max_entries: int, max_bytes: int
     for piece in _pieces(value, 0, "", max_depth, max_entries):
         size += len(piece.encode())
         if size > max_bytes:
-            out.append(W.CUT_OUTPUT)
+            out.append(CUT_OUTPUT)
             break
         out.append(piece)
     return "".join(out)
 
 
-def canonical_text(json_column: Column, max_depth: int = 6, max_entries: int = 200, max_bytes: int = W.OUTPUT_BYTES) -> Column:
+def canonical_text(json_column: Column, max_depth: int = 6, max_entries: int = 200, max_bytes: int = OUTPUT_BYTES) -> Column:
     """Nested value as text with sorted keys: equal documents give equal text."""
 
     @F.pandas_udf(StringType())
@@ -216,7 +217,7 @@ def canonical_text(json_column: Column, max_depth: int = 6, max_entries: int = 2
     return render(json_column)
 
 
-EXPORT_LIMITS = {"max_depth": 32, "max_entries": 10000, "max_bytes": W.STORE_BYTES}
+EXPORT_LIMITS = {"max_depth": 32, "max_entries": 10000, "max_bytes": STORE_BYTES}
 
 
 def fingerprints(docs: DataFrame, doc_id: str, json_column: str, **limits) -> DataFrame:
@@ -297,7 +298,7 @@ def parse_tree(text: str | None) -> list[tuple[int, list[str], str, str]] | None
 
     def cut(token: str) -> str:
         raw = token.encode()
-        return token if len(raw) <= W.NODE_VALUE_BYTES else raw[: W.NODE_VALUE_BYTES].decode(errors="ignore") + "..."
+        return token if len(raw) <= NODE_VALUE_BYTES else raw[: NODE_VALUE_BYTES].decode(errors="ignore") + "..."
 
     def value(path: list[str]) -> None:
         nonlocal at
