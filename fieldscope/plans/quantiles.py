@@ -22,21 +22,18 @@ def nearest_rank(
     """``sorted[max(1, ceil(n * p))]`` per key; null (no row) when a key has no value.
 
     ``points`` maps a numeric column to ``(alias, p)`` pairs; one column per alias
-    comes out. Rows shrink to counts per distinct value first, so a hot key is
-    split over its values; bucket totals then tell which bucket holds each rank,
-    and only those buckets are put in order.
+    comes out. Counts per bucket, combined before the shuffle, tell which bucket holds
+    each rank; only the values of those buckets are then counted and put in order.
     """
     measures = F.array(
         *[F.struct(F.lit(name).alias("m"), F.col(name).cast("double").alias("v")) for name in points]
     )
-    counts = (
+    bucket = [*keys, "_m", "_b"]
+    values = (
         df.select(*keys, F.explode(measures).alias("_x"))
         .select(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
+        .filter(F.col("_v").isNotNull())
         .withColumn("_b", _bucket(F.col("_v")))
-        # Asked for here so that both readers of the counts share one shuffle.
-        .filter(F.col("_v").isNotNull() & F.col("_b").isNotNull())
-        .groupBy(*keys, "_m", "_b", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
     )
     wanted = F.create_map(
         *[
@@ -51,28 +48,24 @@ def nearest_rank(
     by_measure = W.partitionBy(*keys, "_m")
     upto = by_measure.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     targets = (
-        counts.groupBy(*keys, "_m", "_b")
-        .agg(F.sum("_n").alias("_bn"))
+        values.groupBy(*bucket)
+        .agg(F.count(F.lit(1)).alias("_bn"))
         .withColumn("_cum", F.sum("_bn").over(upto))
         .withColumn("_all", F.sum("_bn").over(by_measure))
         .withColumn("_t", F.explode(F.element_at(wanted, F.col("_m"))))
         .withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.col("_all").cast("double") * F.col("_t.p"))))
         .filter((F.col("_rank") <= F.col("_cum")) & (F.col("_rank") > F.col("_cum") - F.col("_bn")))
-        .groupBy(*keys, "_m", "_b")
-        .agg(
-            F.collect_list(
-                F.struct(F.col("_t.alias").alias("alias"), (F.col("_rank") - F.col("_cum") + F.col("_bn")).alias("at"))
-            ).alias("_hits")
-        )
+        .select(*bucket, F.col("_t.alias").alias("_alias"), (F.col("_rank") - F.col("_cum") + F.col("_bn")).alias("_at"))
     )
-    inside = W.partitionBy(*keys, "_m", "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    found = (
-        counts.join(targets, [*keys, "_m", "_b"])
+    inside = W.partitionBy(*bucket).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    counts = (
+        values.join(targets.select(*bucket), bucket, "left_semi")
+        .groupBy(*bucket, "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_upto", F.sum("_n").over(inside))
-        .withColumn("_hit", F.explode("_hits"))
-        .filter((F.col("_hit.at") <= F.col("_upto")) & (F.col("_hit.at") > F.col("_upto") - F.col("_n")))
     )
-    aliases = [alias for pairs in points.values() for alias, _ in pairs]
-    return found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_hit.alias") == a, F.col("_v"))).alias(a) for a in aliases]
+    found = counts.join(targets, bucket).filter(
+        (F.col("_at") <= F.col("_upto")) & (F.col("_at") > F.col("_upto") - F.col("_n"))
     )
+    aliases = [alias for pairs in points.values() for alias, _ in pairs]
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_alias") == a, F.col("_v"))).alias(a) for a in aliases])
