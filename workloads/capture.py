@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fieldscope.functions import numbers as N
 from fieldscope.operators import capture as C
 from fieldscope.plans import nearest_rank as ranks
+from fieldscope.sources.tables import typed
 from workloads import views as V
 from workloads.registry import query
 
@@ -129,11 +130,9 @@ def timeline_scale(spark, d):
     ("metric_counters",),
 )
 def metrics_scan(spark, d):
-    from fieldscope.sources.tables import normalize_metrics
-
     raw = V.metric_counters(spark, d)
     text = raw.select("session_id", "phase", *[F.col(m).cast("string").alias(m) for m in [*N.METRICS, "memory"]])
-    return normalize_metrics(text)
+    return typed(text, "metric_counters").select("session_id", "phase", *N.METRICS, "memory")
 
 
 @query(
