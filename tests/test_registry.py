@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from workloads import load
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -23,8 +24,9 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    queries, oracle = entry.queries(), entry.oracle_sql()
-    assert len(queries) > 130 and set(oracle) == set(queries)
+    own, queries, oracle = load(), entry.queries(), entry.oracle_sql()
+    assert len(own.QUERIES) > 130 and set(own.ORACLES) == set(own.QUERIES)
+    assert set(own.QUERIES) <= set(queries) and set(own.ORACLES) <= set(oracle) <= set(queries)
 
 
 def test_entry_runs(spark):
