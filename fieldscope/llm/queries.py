@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.llm import substrings
+from fieldscope.llm import bpe, substrings, token_files
+from fieldscope.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    """Where this machine, and every executor, has a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _span_total(spans: str):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
@@ -40,3 +48,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         _span_total("removed").alias("n_removed"),
         F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"),
     )
+
+
+@query("op6_token_files")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_dir(spark, "tokens")
+    token_files.write_tokens(_documents(spark, sf_dir), path, _vocabulary("byte_bpe_50k.json"))
+    return token_files.token_checksums(token_files.token_starts(token_files.read_tokens(spark, path)))
+
+
+@query("op8_byte_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = _vocabulary("byte_bpe_50k.tiktoken")
+    done = bpe.decode(bpe.encode(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+    return done.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
