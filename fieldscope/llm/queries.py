@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.llm import bpe, substrings, token_files
+from fieldscope.llm import bpe, quality, simhash, substrings, token_files
 from fieldscope.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,20 @@ def _span_total(spans: str):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    done = quality.quality_rules(_documents(spark, sf_dir), labels)
+    counts = [F.col(f"signals.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return done.select("doc_id", *counts, "base_failed", "kept")
+
+
+@query("op3_simhash_groups")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = simhash.near_duplicates(_documents(spark, sf_dir))
+    return done.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query("op4_substring_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substrings.substring_dedup(_documents(spark, sf_dir))
