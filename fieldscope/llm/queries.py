@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.llm import bpe, quality, simhash, substrings, token_files
+from fieldscope.llm import bpe, quality, simhash, substrings, token_files, warc
 from fieldscope.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *counts, "base_failed", "kept")
 
 
+@query(
+    "op2_warc_index",
+    """
+    with p as (
+        select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
+    ), best as (
+        select payload_digest, payload_bytes, max(page_id) as best from p where payload_bytes >= 1000 group by all
+    )
+    select page_id, payload_bytes, payload_digest,
+        case when page_id < best then 'revisit' else 'response' end as record_type,
+        case when page_id < best then best end as refers_to
+    from p left join best using (payload_digest, payload_bytes)
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_dir(spark, "warc")
+    index = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    return warc.read_records(index, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op3_simhash_groups")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = simhash.near_duplicates(_documents(spark, sf_dir))
