@@ -24,7 +24,7 @@ from fieldscope.llm import arrays, segments
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-KEPT_STEPS = 400_000  # transitions and token pairs kept before they are worked out anew
+KEPT_STEPS = 500_000  # transitions and token pairs kept before they are worked out anew
 LOOKAHEAD = 512  # bytes held back before what is certain is emitted; longer than any token
 
 ENCODED = "doc_id long, ids binary, n_tokens long"
@@ -40,8 +40,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes pieces by ranks, byte by byte.
 
-    A state is a tuple of open ends: (trie node of the bytes since then, last token before then), in order of
-    position, the newest last. Steps are worked out when first needed and kept.
+    A state is a tuple of open ends in order of position, the newest last: each the trie node of the bytes since
+    then and the last token before then, as one number. Steps are worked out when first needed and kept.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -67,8 +67,8 @@ class Transducer:
     def restart(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.steps: dict[int, tuple] = {}
-        self.start = self.number(((0, -1),))
+        self.steps: dict[int, int] = {}  # state << 8 | byte -> next state << 24 | token that ends there + 1
+        self.start = self.number((0,))
 
     def number(self, state: tuple) -> int:
         known = self.numbers.get(state)
@@ -130,20 +130,21 @@ class Transducer:
     def step(self, state: int, byte: int) -> tuple[int, int]:
         """State after one more byte, and the token that ends there."""
         grown, by = [], -1
-        for node, last in self.states[state]:
-            node = self.children.get(node << 8 | byte)
+        for end in self.states[state]:
+            node = self.children.get(end >> 24 << 8 | byte)
             if node is None:
                 continue
-            grown.append((node, last))
+            last = end & 0xFFFFFF
+            grown.append(node << 24 | last)
             token = self.ending[node]
-            if by < 0 and token >= 0 and self.follows(last, token):
+            if by < 0 and token >= 0 and self.follows(last - 1, token):
                 by = token
-        grown.append((0, by))
+        grown.append(by + 1)
         return self.number(tuple(grown)), by
 
     def certain(self, state: int, trail: list[int]) -> int:
         """The last position that the ways to all open ends of ``state`` go through."""
-        ends = {len(trail) - self.depth[node] for node, _ in self.states[state]}
+        ends = {len(trail) - self.depth[end >> 24] for end in self.states[state]}
         while len(ends) > 1:
             far = max(ends)
             ends.remove(far)
@@ -171,9 +172,10 @@ class Transducer:
             key = state << 8 | byte
             move = known(key)
             if move is None:
-                move = self.steps[key] = self.step(state, byte)
-            state, by = move
-            trail.append(by)
+                state, by = self.step(state, byte)
+                move = self.steps[key] = state << 24 | by + 1
+            state = move >> 24
+            trail.append((move & 0xFFFFFF) - 1)
             if len(trail) > LOOKAHEAD:
                 sure = self.certain(state, trail)
                 out += self.way(trail, sure)
@@ -286,7 +288,7 @@ def decode(tokens: DataFrame, rank_file: str, step: int = 8192) -> DataFrame:
             return table
 
         table = arrays.worker_cache(f"tokens {rank_file}", build)
-        for batch in batches:
+        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, len(whole), 1024)):
             texts, replaced = [], []
             for ids in batch["ids"].to_pylist():
                 numbers = np.frombuffer(ids or b"", "<u4")

@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-KEPT = 250_000  # entries of a table before a new one begins: memory is bounded, results don't depend on it
+KEPT = 120_000  # entries of a table before a new one begins: memory is bounded, results don't depend on it
 PLAIN = "\u0250"  # letters below are letters in every version of Unicode
 MARKS = frozenset(".,;:!?")
 UNSAFE = re.compile(r"\s (?!\S)")
