@@ -28,6 +28,11 @@ def text_volume(docs: DataFrame, text: str = "text") -> int:
     return int(row["n"] or 0)
 
 
+def row_key(doc_id: str, text: str):
+    """Names a row by its id and a hash of its text; rows that repeat share a key, a null id is left out."""
+    return F.concat_ws(":", F.col(doc_id).cast("string"), F.hex(F.xxhash64(F.col(text))))
+
+
 def shares(volume: int, size: int) -> int:
     return max(1, -(-volume // size))
 

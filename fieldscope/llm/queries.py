@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.llm import bpe, quality, simhash, substrings, suffixes, token_files, warc
+from fieldscope.llm import bpe, quality, secrets, simhash, substrings, suffixes, token_files, warc
 from fieldscope.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(_documents(spark, sf_dir))
+    base = [r.kind for r in secrets.RULES if r.base]
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *[count(kind) for kind in base],
+        F.sha2(F.encode(secrets.written("spans", base), "utf-8"), 256).alias("base_sha256"),
+        secrets.written("spans").alias("spans"),
+    )
+
+
 @query("op6_token_files")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "tokens")

@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldscope.llm import arrays, components
+from fieldscope.llm import arrays, blocks, components
 from fieldscope.session import pin
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -51,7 +51,7 @@ def fingerprint(data: bytes, words: int, xxh64) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row_key, fp) per row; row_key is a hash of id and text. Null text counts as empty."""
+    """(doc_id, row_key, fp) per row; row_key names the row by id and text. Null text counts as empty."""
 
     def hashed(batches):
         import xxhash
@@ -60,8 +60,8 @@ def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text:
             found = [_signed(fingerprint(t or b"", words, xxhash.xxh64_intdigest)) for t in batch["text"].cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_key"], pa.array(found, pa.int64())], ["doc_id", "row_key", "fp"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("row_key"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(hashed, "doc_id long, row_key long, fp long")
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), blocks.row_key(doc_id, text).alias("row_key"), F.col(text).cast("string").alias("text"))
+    return source.mapInArrow(hashed, "doc_id long, row_key string, fp long")
 
 
 def _distances():
@@ -181,9 +181,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", tex
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: that of the smallest id (then by a hash of the row)."""
+    """``docs`` with one row of each group of near duplicates: that of the smallest id (then by row_key)."""
     groups = near_duplicates(docs, 4, doc_id, text)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     chosen = groups.groupBy("root").agg(F.min_by("row_key", order).alias("_row_key"))
-    rows = docs.withColumn("_row_key", F.xxhash64(F.col(doc_id), F.col(text)))
+    rows = docs.withColumn("_row_key", blocks.row_key(doc_id, text))
     return rows.join(chosen.select("_row_key"), "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
