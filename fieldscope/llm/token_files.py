@@ -7,6 +7,7 @@ document out.
 
 from __future__ import annotations
 
+import json
 import sys
 import zlib
 
@@ -17,15 +18,51 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldscope.llm import arrays, segments
+from fieldscope.session import pin
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WRITTEN = "doc_id long, part int, at long, n int, ids array<int>"
 # What the tokenizers library's byte-level pre-tokenizer splits by: fixed value.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+FILES = 100_000  # files whose starts may be broadcast: 12 bytes each
 FEW = 1024  # rows handed on at once
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it is visible, else the next one from U+0100 on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
+
+
+class _Whole:
+    """A tokenizer of any other kind, text by text."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def coder_of(tokenizer_file: str):
+    """Encodes texts with the tokenizers library. For a plain byte-level file its model is asked for each new piece, and its answers are kept."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file)
+    tokenizer.encode_special_tokens = True
+    parts = json.loads(tokenizer.to_str())
+    splits = parts["pre_tokenizer"] or {}
+    plain = splits.get("type") == "ByteLevel" and not splits.get("add_prefix_space") and splits.get("use_regex", True)
+    if not plain or parts["normalizer"] or parts["post_processor"] or parts["truncation"] or parts["padding"]:
+        return _Whole(tokenizer)
+    letters, tokenize = byte_letters(), tokenizer.model.tokenize
+    return segments.Segments(
+        segments.split_pattern(BYTE_LEVEL), lambda piece: [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
+    )
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", stride: int = 1000) -> None:
     """Encode every text with a byte-level tokenizer file, append ``end_id``, and write ORC files at ``path``.
 
@@ -35,14 +72,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     """
 
     def encoded(batches):
-        def build():
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(tokenizer_file)
-            tokenizer.encode_special_tokens = True
-            return segments.Segments(segments.split_pattern(BYTE_LEVEL), lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids)
-
-        coder = arrays.worker_cache(f"tokenizer {tokenizer_file}", build)
+        coder = arrays.worker_cache(f"tokenizer {tokenizer_file}", lambda: coder_of(tokenizer_file))
         part, at = TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -80,11 +110,15 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def token_starts(tokens: DataFrame) -> DataFrame:
     """``tokens`` with start: the number of ids of all rows before this one, over all files in order.
 
-    Only part, at and n of each file are read for the totals; a row per file meets in one task.
+    Only part, at and n of each file are read for the totals; a row per file meets in one task, and goes to all tasks
+    if there are no more than FILES of them.
     """
     ends = tokens.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("_held"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = ends.select("part", F.coalesce(F.sum("_held").over(order), F.lit(0)).alias("_before"))
+    before = pin(before, "token-starts")
+    if before.count() <= FILES:
+        before = F.broadcast(before)
     return tokens.join(before, "part").withColumn("start", F.col("_before") + F.col("at")).drop("_before")
 
 
