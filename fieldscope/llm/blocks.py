@@ -33,6 +33,14 @@ def row_key(doc_id: str, text: str):
     return F.concat_ws(":", F.col(doc_id).cast("string"), F.hex(F.xxhash64(F.col(text))))
 
 
+def spare(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it as long as a column has it (names differ in more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shares(volume: int, size: int) -> int:
     return max(1, -(-volume // size))
 

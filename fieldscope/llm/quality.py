@@ -167,10 +167,10 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", doc_i
         .join(marks.where("_good = 1"), "_id")
     )
     rows = good.select("_stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), b.alias("bin")) for r, b in _bins().items()])).alias("x"))
-    counts = rows.groupBy("_stratum", "x.rule", "x.bin").agg(F.count("*").alias("n"))  # bounded: strata x rules x bins
+    counts = pin(rows.groupBy("_stratum", "x.rule", "x.bin").agg(F.count("*").alias("n")), "holdout-counts")  # bounded: strata x rules x bins
+    strata = max(1, counts.select("_stratum").distinct().count())
     of_rule = Window.partitionBy("_stratum", "rule")
     tests = counts.withColumn("k", F.sum("n").over(of_rule.orderBy(F.desc("bin")))).withColumn("of", F.sum("n").over(of_rule))
-    strata = counts.select("_stratum").distinct().agg(F.count("*").alias("strata"))
 
     share = risk / len(RULES)
 
@@ -178,8 +178,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", doc_i
     def tail(k: pd.Series, of: pd.Series) -> pd.Series:
         return pd.Series([binomial_tail(int(a), int(b), share) for a, b in zip(k, of)], dtype="float64")
 
-    level = F.lit(error / len(RULES)) / F.col("strata")
-    tests = tests.withColumn("p", tail("k", "of")).withColumn("p0", tail(F.lit(0).cast("long"), F.col("of"))).crossJoin(strata)  # one row
+    level = error / len(RULES) / strata
+    tests = tests.withColumn("p", tail("k", "of")).withColumn("p0", tail(F.lit(0).cast("long"), F.col("of")))
     chosen = tests.groupBy("_stratum").pivot("rule", list(RULES)).agg(
         F.when(F.first(F.col("p0") <= level), F.max(F.when(F.col("p") > level, F.col("bin"))) + 1)
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.llm import bpe, quality, secrets, simhash, substrings, suffixes, token_files, warc
+from fieldscope.llm import bpe, decontaminate, licenses, quality, secrets, simhash, substrings, suffixes, token_files, warc
 from fieldscope.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_checksums(token_files.token_starts(token_files.read_tokens(spark, path)))
 
 
+@query("op7_benchmark_leaks")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.leaks(_documents(spark, sf_dir), items).select("doc_id", "item_id", "start", "similarity")
+
+
+@query("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(_documents(spark, sf_dir)).select("doc_id", "license", "start", "containment")
+
+
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

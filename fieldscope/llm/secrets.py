@@ -149,8 +149,10 @@ def written(spans: str, kinds: list[str] | None = None) -> Column:
 
 def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "<secret>", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with every span of a secret replaced by ``mask``; overlapping spans share one. All rows and columns stay."""
-    found = secret_spans(docs, rules, doc_id, text).where(F.size("spans") > 0).select(F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans")).dropDuplicates(["_row_key"])
-    rows = docs.withColumn("_row_key", blocks.row_key(doc_id, text)).join(found, "_row_key", "left")
+    key, spans = blocks.spare("_row_key", docs.columns), blocks.spare("_spans", docs.columns)
+    found = secret_spans(docs, rules, doc_id, text).where(F.size("spans") > 0)
+    found = found.select(F.col("row_key").alias(key), F.col("spans").alias(spans)).dropDuplicates([key])
+    rows = docs.withColumn(key, blocks.row_key(doc_id, text)).join(found, key, "left")
     begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     source = F.col(f"`{text}`")
 
@@ -161,5 +163,5 @@ def masked(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "<secre
         )
 
     rest = lambda done: F.concat(done["out"], F.substr(source, (done["at"] + 1).cast("int"), F.char_length(source)))
-    clean = F.when(F.col("_spans").isNull(), source).otherwise(F.aggregate("_spans", begin, step, rest))
+    clean = F.when(F.col(spans).isNull(), source).otherwise(F.aggregate(spans, begin, step, rest))
     return rows.withColumn(text, clean).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -184,6 +184,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """``docs`` with one row of each group of near duplicates: that of the smallest id (then by row_key)."""
     groups = near_duplicates(docs, 4, doc_id, text)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    chosen = groups.groupBy("root").agg(F.min_by("row_key", order).alias("_row_key"))
-    rows = docs.withColumn("_row_key", blocks.row_key(doc_id, text))
-    return rows.join(chosen.select("_row_key"), "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = blocks.spare("_row_key", docs.columns)
+    chosen = groups.groupBy("root").agg(F.min_by("row_key", order).alias(key)).select(key)
+    rows = docs.withColumn(key, blocks.row_key(doc_id, text))
+    return rows.join(chosen, key, "left_semi").dropDuplicates([key]).drop(key)
