@@ -28,13 +28,20 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """Where this machine, and every executor, has a public vocabulary file."""
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def split_rule() -> str:
+    """The pattern that goes with the rank files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def _span_total(spans: str):
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
@@ -100,7 +107,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_files")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "tokens")
-    token_files.write_tokens(_documents(spark, sf_dir), path, _vocabulary("byte_bpe_50k.json"))
+    token_files.write_tokens(_documents(spark, sf_dir), path, vocabulary("byte_bpe_50k.json"))
     return token_files.token_checksums(token_files.token_starts(token_files.read_tokens(spark, path)))
 
 
@@ -117,10 +124,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    ranks = _vocabulary("byte_bpe_50k.tiktoken")
-    done = bpe.decode(bpe.encode(_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+    ranks = vocabulary("byte_bpe_50k.tiktoken")
+    done = bpe.decode(bpe.encode(_documents(spark, sf_dir), ranks, split_rule()), ranks)
     return done.select(
         "doc_id",
         "n_tokens",
