@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from fieldscope.session import pin
 
+SALTS = 16
+
 
 def connected(edges: DataFrame, label: str = "links") -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node that can be reached.
 
     Alternating star contraction: every node hands its larger neighbours to its smallest one, then its smaller
     ones, until each component is a star. Rounds grow with the logarithm of the longest path; each is
-    written to the shared folder. Neighbours are never gathered, only the least is aggregated; hot centres are
-    left to skewed-join splitting.
+    written to the shared folder. Neighbours are never gathered: the least is aggregated before the shuffle, and its way back to
+    the edges is salted, since the centre of a star may stand in most of them.
     """
     stars = pin(_pairs(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), label)
     before = None
@@ -25,11 +27,17 @@ def connected(edges: DataFrame, label: str = "links") -> DataFrame:
         before = found
         both = stars.union(stars.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        larger = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        larger = _pairs(larger)
-        least = larger.groupBy("u").agg(F.min("v").alias("m"))
-        joined = larger.join(least, "u")
-        stars = pin(_pairs(joined.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))), label)
+        larger = _pairs(_with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")))
+        smallest = _with_least(larger, larger.groupBy("u").agg(F.min("v").alias("m")))
+        both_ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")
+        stars = pin(_pairs(smallest.select(both_ends).select("x.u", "x.v")), label)
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with the m of u; each u is dealt to SALTS tasks by v."""
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, ["u", "salt"]).drop("salt")
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
