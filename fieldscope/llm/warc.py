@@ -27,6 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LEAST_SHARED = 1000  # bytes; smaller payloads are written each time
 GAP = 64 << 10  # bytes between two wanted records that are read along rather than skipped
 RANGE = 8 << 20  # bytes of a joined range at most, unless a single record is larger
+STRETCH = 16 << 20  # bytes of records that a task reads, about
 FILE_BYTES = 256 << 20  # a task begins another archive beyond
 
 INDEX = "page_id long, url string, digest string, record_type string, file string, offset long, length long"
@@ -211,6 +212,7 @@ def read_records(selected: DataFrame, path: str, gap: int = GAP) -> DataFrame:
             source.close()
 
     placed = selected.select("file", "offset", "length")
-    # neighbours come to one task in order; a stretch of a file, not a whole one, is what is dealt out
-    stretch = F.floor(F.col("offset") / (4 * RANGE))
-    return placed.repartition("file", stretch).sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
+    # neighbours come to one task in order; a stretch of a file, not a whole one, is what is dealt out, to as many tasks as the bytes ask for
+    wanted = placed.agg(F.sum("length").alias("n")).first()["n"] or 0
+    stretch = F.floor(F.col("offset") / STRETCH)
+    return placed.repartition(max(1, -(-wanted // STRETCH)), "file", stretch).sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
