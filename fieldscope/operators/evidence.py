@@ -61,6 +61,11 @@ def ticket(created_at: Column, number: Column) -> Column:
     )
 
 
+def ticket_number(ticket_text: Column) -> Column:
+    """The number at the end of a ticket, null if it has none."""
+    return F.nullif(F.regexp_extract(ticket_text, r"-(\d+)$", 1), F.lit("")).try_cast("bigint")
+
+
 def ticket_date(ticket_text: str) -> str:
     """``yyyy-MM-dd`` of a ticket."""
     day = ticket_text.split("-")[1]
@@ -105,17 +110,20 @@ STORED = """account string, ticket string, schema string, created_at string,
     extra map<string,string>"""
 
 
-def evidence_migrate(records: DataFrame) -> DataFrame:
+def evidence_migrate(records: DataFrame, max_entries: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """Bring stored records of either version to v1; rows without text content are dropped.
 
-    Running it again changes nothing.
+    Metadata stay whole unless bounds are given: then the first ``max_entries`` keys and ``max_bytes`` of each
+    value are kept, and ``metadata_cut`` tells which records lost something. Running it again changes nothing.
     """
     v1 = F.col("payload.content").isNotNull()
     content = F.coalesce("payload.content", "content")
-    bounded = F.transform_values(
-        F.map_from_entries(F.slice(F.array_sort(F.map_entries(F.coalesce("metadata", F.create_map().cast("map<string,string>")))), 1, 32)),
-        lambda _, v: byte_truncate(v, 2048, ""),
-    )
+    held = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    bounded = F.map_from_entries(F.slice(F.array_sort(F.map_entries(held)), 1, max_entries)) if max_entries is not None else held
+    cut = F.size(held) > F.size(bounded)
+    if max_bytes is not None:
+        cut = cut | F.exists(F.map_values(held), lambda v: F.octet_length(v) > max_bytes)
+        bounded = F.transform_values(bounded, lambda _, v: byte_truncate(v, max_bytes, ""))
     path = F.coalesce("source.path", F.try_element_at(bounded, F.lit("path")))
     env = lambda c: F.when(v1, F.col(f"environment.{c}")).otherwise(F.col(f"client.{c}")).alias(c)
     return records.filter(content.isNotNull() & F.col("ticket").isNotNull()).select(
@@ -139,6 +147,7 @@ def evidence_migrate(records: DataFrame) -> DataFrame:
             *[env(c) for c in ENVIRONMENT[1:]],
         ).alias("environment"),
         bounded.alias("metadata"),
+        *([] if max_entries is None and max_bytes is None else [F.coalesce(cut, F.lit(False)).alias("metadata_cut")]),
         *[F.lit(None).cast("string").alias(c) for c in ("kind", "title", "content")],
         F.lit(None).cast("bigint").alias("byte_count"),
         F.lit(None).cast("struct<client_id:string,version:string,build:string,build_date:string,interface:string,locale:string>").alias("client"),
@@ -146,47 +155,59 @@ def evidence_migrate(records: DataFrame) -> DataFrame:
     )
 
 
-def _bounded_map(values: Column) -> Column:
-    """At most 32 entries of a map of variants, by key, without what cannot be kept (null)."""
-    kept = F.filter(F.array_sort(F.transform(F.map_entries(values), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))), lambda e: e["v"].isNotNull())
-    return F.slice(kept, 1, 32)
+METADATA_ENTRIES = 32
+METADATA_BYTES = 2048
 
 
-def metadata_bound(metadata: DataFrame, column: str = "metadata") -> DataFrame:
-    """Flat, bounded form of a JSON metadata column: (key path, type, text) rows per record.
+def metadata_bound(
+    metadata: DataFrame, column: str = "metadata", max_entries: int | None = METADATA_ENTRIES, max_bytes: int | None = METADATA_BYTES
+) -> DataFrame:
+    """Flat form of a JSON metadata column: the other columns with key_path, type, text and ``truncated`` per entry.
 
-    Strings are cut at 2048 bytes, numbers and booleans kept, maps followed for one
-    level below the top, everything else dropped; 32 entries per map in key order.
+    Numbers and booleans are kept, maps followed for one level below the top, everything else dropped. Of
+    each map the first ``max_entries`` kept keys stay, of each string ``max_bytes`` bytes; None keeps all. The flag tells
+    for each entry whether its map had more keys or its text was cut. All of it happens inside a record's
+    own row, whatever its other columns are called.
     """
-    top = metadata.select("*", F.expr(f"try_parse_json({column})").alias("_v"))
-    level1 = _entries(top, "_v", []).withColumn("depth", F.lit(1))
-    level2 = _entries(level1.filter("type = 'map'"), "value", ["key"]).withColumn("depth", F.lit(2))
-    keep = ["key_path", "type", "text"]
     base = [c for c in metadata.columns if c != column]
-    return level1.select(*base, *keep).unionByName(level2.filter("type <> 'map'").select(*base, *keep))
-
-
-def _entries(df: DataFrame, variant: str, parents: list[str]) -> DataFrame:
-    """Kept entries of an object variant, one row each, at most 32 per object by key."""
-    prefix = F.concat(F.col("key_path"), F.lit(".")) if parents else F.lit("")
-    outer = df.withColumn("_prefix", prefix).withColumn("_obj", F.col(variant)).drop("key_path", "type", "text", "value", "key", "pos", "depth")
-    exploded = outer.select("*", F.explode(F.expr("try_variant_get(_obj, '$', 'map<string,variant>')")).alias("key", "value"))
-    shape = F.expr("schema_of_variant(value)")
-    typed = exploded.withColumn(
-        "type",
-        F.when(shape == "STRING", "string")
-        .when(shape.startswith("OBJECT"), "map")
-        .when(shape == "BOOLEAN", "boolean")
-        .when(shape.isin("BIGINT", "DOUBLE") | shape.startswith("DECIMAL"), "number"),
-    ).filter(F.col("type").isNotNull())
-    if parents:
-        typed = typed.filter("type <> 'map'")
-    texted = typed.withColumn("text", F.when(F.col("type") == "map", "").otherwise(byte_truncate(F.expr("try_variant_get(value, '$', 'string')"), 2048, "")))
-    named = texted.withColumn("key_path", F.concat("_prefix", "key"))
-    # One object is one input value, so this window never holds more than one value's keys.
-    carried = [c for c in df.columns if c in ("account", "ticket", "id")]
-    inside = Win.partitionBy(*carried, "_prefix").orderBy("key")
-    return named.withColumn("_at", F.row_number().over(inside)).filter("_at <= 32").drop("_at", "_prefix", "_obj")
+    top = _kept_entries(F.expr(f"try_parse_json(`{column}`)"), F.lit(""), True, max_entries)
+    level1 = metadata.select(*[F.col(f"`{c}`") for c in base], F.explode(top).alias("_e"))
+    inner = _kept_entries(F.col("_e.value"), F.concat(F.col("_e.key_path"), F.lit(".")), False, max_entries)
+    none = F.filter(F.array("_e"), lambda _: F.lit(False))
+    both = F.concat(F.array("_e"), F.coalesce(F.when(F.col("_e.type") == "map", inner), none))
+    rows = level1.select(*[F.col(f"`{c}`") for c in base], F.explode(both).alias("_e"))
+    raw = F.expr("try_variant_get(_e.value, '$', 'string')")
+    text = raw if max_bytes is None else byte_truncate(raw, max_bytes, "")
+    cut = F.lit(False) if max_bytes is None else F.coalesce(F.octet_length(raw) > max_bytes, F.lit(False)) & (F.col("_e.type") != "map")
+    return rows.select(
+        *[F.col(f"`{c}`") for c in base],
+        F.col("_e.key_path").alias("key_path"),
+        F.col("_e.type").alias("type"),
+        F.when(F.col("_e.type") == "map", "").otherwise(text).alias("text"),
+        (F.col("_e.more") | cut).alias("truncated"),
+    )
+
+
+def _kept_entries(value: Column, prefix: Column, maps: bool, most: int | None) -> Column:
+    """The entries of an object variant that can be kept, by key, as an array of (key_path, type, value, more)."""
+
+    def typed(entry):
+        shape = F.call_function("schema_of_variant", entry["value"])
+        kind = F.when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean")
+        kind = kind.when(shape.isin("BIGINT", "DOUBLE") | shape.startswith("DECIMAL"), "number")
+        kind = kind.when(shape.startswith("OBJECT"), "map") if maps else kind
+        return F.struct(F.concat(prefix, entry["key"]).alias("key_path"), kind.alias("type"), entry["value"].alias("value"))
+
+    fields = F.call_function("try_variant_get", value, F.lit("$"), F.lit("map<string,variant>"))
+    # variants have no order: sort the keys and look each value up by its place
+    entries = F.map_entries(fields)
+    by_key = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"))))
+    inside = F.transform(by_key, lambda k: typed(F.get(entries, k["at"])))
+    kept = F.filter(inside, lambda e: e["type"].isNotNull())
+    if most is None:
+        return F.transform(kept, lambda e: F.struct(e["key_path"], e["type"], e["value"], F.lit(False).alias("more")))
+    more = F.size(kept) > most
+    return F.transform(F.slice(kept, 1, most), lambda e: F.struct(e["key_path"], e["type"], e["value"], more.alias("more")))
 
 
 def evidence_prune(records: DataFrame, max_bytes: int = W.STORE_BYTES, max_records: int = W.STORE_RECORDS) -> DataFrame:
@@ -212,22 +233,25 @@ def evidence_recent(records: DataFrame) -> DataFrame:
     return records.orderBy(F.col("created_at").desc(), F.col("ticket").asc())
 
 
-def evidence_get(store: DataFrame, ticket_text: str) -> DataFrame:
-    """The record of one ticket; the date in the ticket prunes a store partitioned by ``created_date``."""
-    hit = store.filter(F.col("ticket") == ticket_text)
+RECORD = ["account", "ticket"]  # what names a record: tickets are counted per account and repeat across accounts
+
+
+def evidence_get(store: DataFrame, account: str, ticket_text: str) -> DataFrame:
+    """The record of one account's ticket; the date in the ticket prunes a store partitioned by ``created_date``."""
+    hit = store.filter((F.col("account") == account) & (F.col("ticket") == ticket_text))
     if "created_date" in store.columns:
         hit = hit.filter(F.col("created_date") == ticket_date(ticket_text))
     return hit
 
 
 def evidence_delete(records: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Records without those whose ticket is listed."""
-    return records.join(tombstones.select("ticket"), "ticket", "left_anti")
+    """Records without those whose account and ticket are listed."""
+    return records.join(tombstones.select(*RECORD), RECORD, "left_anti")
 
 
 def evidence_pending(created: DataFrame, persisted: DataFrame) -> DataFrame:
-    """Tickets handed out but not in the store yet."""
-    return created.join(persisted.select("ticket"), "ticket", "left_anti")
+    """Tickets handed out to an account but not in its store yet."""
+    return created.join(persisted.select(*RECORD), RECORD, "left_anti")
 
 
 def pending_counts(pending: DataFrame) -> DataFrame:
@@ -254,10 +278,10 @@ def order_reconcile(order: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def export_chunks(records: DataFrame, size: int = W.OUTPUT_BYTES) -> DataFrame:
-    """Consecutive byte ranges of each content; joined in order they give the content back."""
+    """Consecutive byte ranges of each record's content; joined in order they give the content back."""
     raw = F.col("content").cast("binary")
     count = F.ceil(F.octet_length("content") / F.lit(float(size))).cast("int")
     numbered = records.filter(F.octet_length("content") > 0).select(
-        "ticket", "content", F.explode(F.sequence(F.lit(1), count)).alias("chunk_no")
+        *RECORD, "content", F.explode(F.sequence(F.lit(1), count)).alias("chunk_no")
     )
-    return numbered.select("ticket", "chunk_no", F.substring(raw, (F.col("chunk_no") - 1) * size + 1, F.lit(size)).alias("chunk"))
+    return numbered.select(*RECORD, "chunk_no", F.substring(raw, (F.col("chunk_no") - 1) * size + 1, F.lit(size)).alias("chunk"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.operators.evidence import accepted, evidence_envelope, evidence_number, evidence_prune
+from fieldscope.operators.evidence import RECORD, accepted, evidence_delete, evidence_envelope, evidence_number, evidence_prune, ticket_number
 from fieldscope.operators.history import history_normalize
 from fieldscope.session import pin
 
@@ -14,88 +17,125 @@ def _dated(df: DataFrame) -> DataFrame:
     return df.withColumn("created_date", F.date_from_unix_date(F.floor(F.col("created_at") / 86400).cast("int")))
 
 
+LOCK_POLL_S = 0.5
+
+
 class EvidenceStore:
     """Records below ``path/records`` by creation date, handed-out ids below ``path/ids``.
 
-    The id table only grows, so clearing or deleting records never frees a ticket.
+    A record is named by account and ticket. The id table only grows, so clearing or deleting records never
+    frees a ticket. Writers take turns: each holds the file ``path/lock``, which only one can create.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, lock_wait_s: float = 600):
         self.spark = spark
-        self.records_path = f"{path.rstrip('/')}/records"
-        self.ids_path = f"{path.rstrip('/')}/ids"
+        self.path = path.rstrip("/")
+        self.records_path = f"{self.path}/records"
+        self.ids_path = f"{self.path}/ids"
+        self.lock_wait_s = lock_wait_s
 
-    def _read(self, path: str) -> DataFrame | None:
+    def _files(self, path: str):
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        files = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return hadoop, hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    @contextmanager
+    def _writing(self):
+        """One writer at a time; a lock that a lost writer left must be removed by hand."""
+        lock, files = self._files(f"{self.path}/lock")
+        files.mkdirs(lock.getParent())
+        until = time.monotonic() + self.lock_wait_s
+        while not files.createNewFile(lock):
+            if time.monotonic() > until:
+                raise TimeoutError(f"another writer holds {self.path}/lock")
+            time.sleep(LOCK_POLL_S)
+        try:
+            yield
+        finally:
+            files.delete(lock, False)
+
+    def _read(self, path: str) -> DataFrame | None:
+        hadoop, files = self._files(path)
         return self.spark.read.parquet(path) if files.exists(hadoop) else None
 
     def records(self) -> DataFrame | None:
         return self._read(self.records_path)
 
     def last_ids(self) -> DataFrame | None:
-        ids = self._read(self.ids_path)
-        return None if ids is None else ids.groupBy("account").agg(F.max("last_id").alias("last_id"))
+        """The highest number of each account: handed out, or in a ticket that exists."""
+        ids, records = self._read(self.ids_path), self.records()
+        known = [] if ids is None else [ids.select("account", "last_id")]
+        known += [] if records is None else [records.select("account", ticket_number(F.col("ticket")).alias("last_id"))]
+        if not known:
+            return None
+        both = known[0] if len(known) == 1 else known[0].unionByName(known[1])
+        return both.groupBy("account").agg(F.max("last_id").alias("last_id"))
 
     def append(self, exports: DataFrame) -> DataFrame:
         """Number, envelope and append exports; returns (account, id, ticket), ticket null if rejected.
 
         Ids go on record before the content does: a crash in between leaves a gap, not a reused id.
         """
-        numbered = pin(evidence_number(exports, self.last_ids()), "numbered")
-        numbered.groupBy("account").agg(F.max("number").alias("last_id")).write.mode("append").parquet(self.ids_path)
-        good = accepted(numbered)
-        _dated(evidence_envelope(good)).write.mode("append").partitionBy("created_date").parquet(self.records_path)
+        with self._writing():
+            numbered = pin(evidence_number(exports, self.last_ids()), "numbered")
+            numbered.groupBy("account").agg(F.max("number").cast("bigint").alias("last_id")).write.mode("append").parquet(self.ids_path)
+            good = accepted(numbered)
+            _dated(evidence_envelope(good)).write.mode("append").partitionBy("created_date").parquet(self.records_path)
         stored = good.select("account", "id", "ticket")
         return numbered.select("account", "id").join(stored, ["account", "id"], "left")
 
     def _rewrite(self, keep: DataFrame, dates: DataFrame) -> None:
         """Replace the partitions of ``dates`` by the rows of ``keep`` in them."""
-        days = [row.created_date for row in dates.select("created_date").distinct().collect()]
-        if not days:
-            return
-        rows = pin(keep.filter(F.col("created_date").isin(days)), "rewrite")
+        days = pin(dates.select("created_date").distinct(), "days")
+        rows = pin(keep.join(days, "created_date", "left_semi").select(*keep.columns), "rewrite")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("created_date").parquet(
             self.records_path
         )
-        left = {row.created_date for row in rows.select("created_date").distinct().collect()}
-        for day in days:
-            if day not in left:
-                self._drop(f"{self.records_path}/created_date={day}")
+        emptied = days.join(rows.select("created_date").distinct(), "created_date", "left_anti")
+        for row in emptied.toLocalIterator():  # a folder per calendar day at most
+            self._drop(f"{self.records_path}/created_date={row.created_date}")
 
     def _drop(self, path: str) -> None:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        hadoop, files = self._files(path)
+        files.delete(hadoop, True)
 
-    def delete(self, tickets: DataFrame) -> int:
-        """Delete by ticket; returns how many existed."""
+    def _delete(self, records: DataFrame) -> int:
         current = self.records()
         if current is None:
             return 0
-        doomed = pin(current.join(tickets.select("ticket").distinct(), "ticket", "left_semi").select("ticket", "created_date"), "doomed")
+        doomed = pin(current.join(records.select(*RECORD).distinct(), RECORD, "left_semi").select(*RECORD, "created_date"), "doomed")
         removed = doomed.count()
-        self._rewrite(current.join(doomed.select("ticket"), "ticket", "left_anti"), doomed)
+        if removed:
+            self._rewrite(evidence_delete(current, doomed), doomed)
         return removed
 
+    def delete(self, records: DataFrame) -> int:
+        """Delete by account and ticket; returns how many existed."""
+        with self._writing():
+            return self._delete(records)
+
     def prune(self, max_bytes: int, max_records: int) -> int:
         """Apply the retention budgets for good; returns how many records went."""
-        current = self.records()
-        if current is None:
-            return 0
-        sized = current.select(
-            "account", "ticket", "created_at", "created_date", F.col("payload.content").alias("content"), F.col("ticket").alias("id")
-        )
-        kept = evidence_prune(sized, max_bytes, max_records).select("ticket")
-        return self.delete(current.join(kept, "ticket", "left_anti"))
+        with self._writing():
+            current = self.records()
+            if current is None:
+                return 0
+            sized = current.select(
+                *RECORD, "created_at", "created_date", F.col("payload.content").alias("content"), F.col("ticket").alias("id")
+            )
+            kept = evidence_prune(sized, max_bytes, max_records).select(*RECORD)
+            return self._delete(current.join(kept, RECORD, "left_anti"))
 
     def clear(self) -> int:
         """Remove every record and return their number; ids keep counting up."""
-        current = self.records()
-        if current is None:
-            return 0
-        removed = current.count()
-        self._drop(self.records_path)
-        return removed
+        with self._writing():
+            current = self.records()
+            if current is None:
+                return 0
+            removed = current.count()
+            # what imported tickets have used up goes on record before they go
+            self.last_ids().write.mode("append").parquet(self.ids_path)
+            self._drop(self.records_path)
+            return removed
 
 
 def append_history(entries: DataFrame, path: str) -> str:

@@ -33,7 +33,9 @@ def test_migration(spark):
     old = got["OLD-0004"]
     assert (old["schema"], old.source.kind, old.source.title, old.source.path) == (W.EVIDENCE_SCHEMA, "legacy_test", "Legacy evidence", "Legacy.Path")
     assert (old.payload.content, old.payload.byte_count, old.environment.version, old.content, old.kind) == ("legacy export", 13, "0.6.0", None, None)
-    assert old.extra == {"preserved": "keep-me"} and len(old.metadata["long"]) == 2048
+    assert old.extra == {"preserved": "keep-me"} and len(old.metadata["long"]) == 3000
+    cut = {r.ticket: r for r in S.evidence_migrate(legacy(spark), 1, 2048).collect()}
+    assert cut["OLD-0004"].metadata_cut and not cut["NEW-1"].metadata_cut and len(cut["OLD-0004"].metadata["long"]) == 2048
     new = got["NEW-1"]
     assert (new.created_at, new.payload.byte_count, new.payload.encoding, new.source.kind, new.source.path) == ("0", 6, "utf-8", "unknown", "P")
     assert new.environment.addon_name == W.PRODUCER
@@ -57,11 +59,11 @@ def test_store_numbers_deletes_clears(spark):
     df = lambda *rows: spark.createDataFrame(list(rows), EXPORT)
     first = store.append(df(export(1), export(2, ""), export(3, at=1700090000))).orderBy("id").collect()
     assert [r.ticket for r in first] == ["FSCOPE-20231114-221321-0001", None, "FSCOPE-20231115-231323-0003"]
-    hit = S.evidence_get(store.records(), first[0].ticket)
+    hit = S.evidence_get(store.records(), "a", first[0].ticket)
     assert hit.collect()[0].payload.content == "text"
     assert "PartitionFilters: [isnotnull(created_date" in hit._jdf.queryExecution().executedPlan().toString()
-    assert store.delete(df().select(F.lit("nope").alias("ticket"))) == 0
-    gone = spark.createDataFrame([(first[0].ticket,), ("nope",)], "ticket string")
+    assert store.delete(df().select("account", F.lit("nope").alias("ticket"))) == 0
+    gone = spark.createDataFrame([("a", first[0].ticket), ("a", "nope"), ("b", first[2].ticket)], "account string, ticket string")
     assert store.delete(gone) == 1 and store.delete(gone) == 0
     assert [r.ticket for r in store.records().select("ticket").collect()] == [first[2].ticket]
     assert store.clear() == 1 and store.clear() == 0
@@ -72,6 +74,33 @@ def test_store_numbers_deletes_clears(spark):
     assert sorted(r.ticket[-4:] for r in store.records().select("ticket").collect()) == ["0001", "0005"]
 
 
+def test_accounts_share_tickets(spark):
+    store = EvidenceStore(spark, fresh_dir(spark, "store"))
+    store.append(spark.createDataFrame([export(1), export(2, account="b", at=1699999999), export(3, account="b")], EXPORT))
+    tickets = {(r.account, r.ticket) for r in store.records().collect()}
+    same = "FSCOPE-20231114-221321-0001"
+    assert ("a", same) in tickets and ("b", same) in tickets
+    assert store.delete(spark.createDataFrame([("a", same)], "account string, ticket string")) == 1
+    assert {r.account for r in store.records().collect()} == {"b"}
+    assert store.prune(W.STORE_BYTES, 1) == 1 and [r.ticket[-4:] for r in store.records().collect()] == ["0002"]
+
+
+def test_existing_tickets_are_skipped_and_writers_take_turns(spark):
+    store = EvidenceStore(spark, fresh_dir(spark, "store"), lock_wait_s=0)
+    imported = spark.createDataFrame([("a", "FSCOPE-20231114-221321-0007", 5, "x"), ("a", "odd", 5, "x")], "account string, ticket string, created_at long, content string")
+    from fieldscope.sources import store as module
+
+    module._dated(S.evidence_envelope(imported)).write.partitionBy("created_date").parquet(store.records_path)
+    assert [r.ticket[-4:] for r in store.append(spark.createDataFrame([export(1)], EXPORT)).collect()] == ["0008"]
+    with store._writing():
+        import pytest
+
+        with pytest.raises(TimeoutError):
+            store.append(spark.createDataFrame([export(2)], EXPORT))
+    store.clear()
+    assert [r.ticket[-4:] for r in store.append(spark.createDataFrame([export(2)], EXPORT)).collect()] == ["0009"]
+
+
 def test_oversize_is_rejected_but_takes_an_id(spark):
     df = spark.createDataFrame([export(1, "x" * 20), export(2, "y")], EXPORT)
     numbered = S.evidence_number(df)
@@ -82,7 +111,7 @@ def test_pruned_record_stays_away_after_delete(spark):
     store = EvidenceStore(spark, fresh_dir(spark, "store"))
     store.append(spark.createDataFrame([export(i) for i in range(3)], EXPORT))
     assert store.prune(W.STORE_BYTES, 2) == 1
-    newest = store.records().orderBy(F.col("created_at").desc()).select("ticket").limit(1)
+    newest = store.records().orderBy(F.col("created_at").desc()).select("account", "ticket").limit(1)
     assert store.delete(newest) == 1
     assert store.prune(W.STORE_BYTES, 2) == 0 and store.records().count() == 1
 
@@ -94,7 +123,7 @@ def test_order_pending_chunks(spark):
     assert [(r.ticket, r.was_listed) for r in got] == [("t2", False), ("t3", False), ("t1", True)]
     assert [r.ticket for r in S.evidence_pending(records, order).orderBy("ticket").collect()] == ["t2", "t3"]
     text = "é" * 50000
-    chunks = S.export_chunks(spark.createDataFrame([("t", text)], "ticket string, content string")).orderBy("chunk_no").collect()
+    chunks = S.export_chunks(spark.createDataFrame([("a", "t", text)], "account string, ticket string, content string")).orderBy("chunk_no").collect()
     assert [len(c.chunk) for c in chunks] == [44000, 44000, 12000]
     assert b"".join(bytes(c.chunk) for c in chunks).decode() == text
 
@@ -111,6 +140,11 @@ def test_metadata_bounds(spark):
     one = {r.key_path: (r.type, r.text) for r in got if r.id == 1}
     assert set(one) == {"s", "n", "b", "m", "m.x"} and len(one["s"][1]) == 2048 and one["b"] == ("boolean", "false")
     assert sorted(r.key_path for r in got if r.id == 2) == [f"k{i:02d}" for i in range(32)]
+    assert {r.key_path for r in got if r.id == 1 and r.truncated} == {"s"} and all(r.truncated for r in got if r.id == 2)
+    whole = S.metadata_bound(spark.createDataFrame(rows, "record_id int, metadata string"), max_entries=None, max_bytes=None).collect()
+    assert sum(r.record_id == 2 for r in whole) == 40 and not any(r.truncated for r in whole)
+    many = spark.createDataFrame([(i, '{"a":1,"b":{"c":2}}') for i in range(100)], "record_id int, metadata string")
+    assert S.metadata_bound(many).count() == 300
 
 
 def test_history(spark):

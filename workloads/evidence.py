@@ -10,11 +10,11 @@ from workloads import views as V
 from workloads.registry import query
 
 TICKET = """'FSCOPE-' || strftime(make_timestamp(created_at * 1000000), '%Y%m%d-%H%M%S') || '-' || printf('%04d', {n})"""
-BY_ID = TICKET.format(n="id")
+BY_ID = TICKET.format(n="id // 20")  # accounts share seconds and numbers, so the same ticket occurs in several
 
 
 def ticketed(spark, d):
-    return V.exports(spark, d).withColumn("ticket", S.ticket(F.col("created_at"), F.col("id")))
+    return V.exports(spark, d).withColumn("ticket", S.ticket(F.col("created_at"), F.expr("id div 20")))
 
 
 @query(
@@ -33,7 +33,7 @@ def evidence_envelope(spark, d):
 def stored(spark, d):
     """A store with records of both versions, some broken, some with unknown fields."""
     flat = ticketed(spark, d)
-    v1 = S.evidence_envelope(flat.filter("id % 2 = 0")).withColumn("id", F.split("ticket", "-")[3].cast("bigint"))
+    v1 = S.evidence_envelope(flat.filter("id % 2 = 0"))
     none = lambda kind: F.lit(None).cast(kind)
     client = "struct<client_id:string,version:string,build:string,build_date:string,interface:string,locale:string>"
     new = v1.select(
@@ -119,22 +119,22 @@ def evidence_recent(spark, d):
     return S.evidence_recent(ticketed(spark, d).select("ticket", "created_at"))
 
 
-@query("evidence_get", f"SELECT id, account, title FROM exports WHERE {BY_ID} = 'FSCOPE-20231114-221520-0002'", ("exports",))
+@query("evidence_get", f"SELECT id, account, title FROM exports WHERE {BY_ID} = 'FSCOPE-20231114-221520-0002' AND account = 'src3'", ("exports",))
 def evidence_get(spark, d):
     store = ticketed(spark, d).withColumn("created_date", F.date_from_unix_date(F.floor(F.col("created_at") / 86400).cast("int")))
-    return S.evidence_get(store, "FSCOPE-20231114-221520-0002").select("id", "account", "title")
+    return S.evidence_get(store, "src3", "FSCOPE-20231114-221520-0002").select("id", "account", "title")
 
 
 @query(
     "evidence_delete",
-    f"SELECT id, {BY_ID} AS ticket FROM exports WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0)",
+    f"SELECT id, account, {BY_ID} AS ticket FROM exports WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0)",
     ("exports",),
 )
 def evidence_delete(spark, d):
-    records = ticketed(spark, d).select("id", "ticket", "created_at")
+    records = ticketed(spark, d).select("id", "account", "ticket", "created_at")
     marked = V.table(spark, d, "labels").filter("toxic = 1 OR quality = 0").select(F.col("doc_id").alias("id"))
-    tombstones = records.join(marked, "id").select("ticket")
-    return S.evidence_delete(records, tombstones).select("id", "ticket")
+    tombstones = records.join(marked, "id").select("account", "ticket")
+    return S.evidence_delete(records, tombstones).select("id", "account", "ticket")
 
 
 @query(
@@ -167,15 +167,15 @@ def order_reconcile(spark, d):
 
 @query(
     "export_chunks",
-    f"""WITH c AS (SELECT {BY_ID} AS ticket, encode(content) AS b, unnest(range(1, CAST(ceil(strlen(content) / 1500.0) AS BIGINT) + 1)) AS chunk_no
+    f"""WITH c AS (SELECT account, {BY_ID} AS ticket, encode(content) AS b, unnest(range(1, CAST(ceil(strlen(content) / 1500.0) AS BIGINT) + 1)) AS chunk_no
       FROM exports WHERE content <> '')
-    SELECT ticket, chunk_no::INTEGER AS chunk_no, octet_length(b[(chunk_no - 1) * 1500 + 1 : chunk_no * 1500]) AS bytes,
+    SELECT account, ticket, chunk_no::INTEGER AS chunk_no, octet_length(b[(chunk_no - 1) * 1500 + 1 : chunk_no * 1500]) AS bytes,
       sha256(b[(chunk_no - 1) * 1500 + 1 : chunk_no * 1500]) AS digest FROM c""",
     ("exports",),
 )
 def export_chunks(spark, d):
     return S.export_chunks(ticketed(spark, d), 1500).select(
-        "ticket", "chunk_no", F.octet_length("chunk").cast("bigint").alias("bytes"), F.sha2("chunk", 256).alias("digest")
+        "account", "ticket", "chunk_no", F.octet_length("chunk").cast("bigint").alias("bytes"), F.sha2("chunk", 256).alias("digest")
     )
 
 

@@ -360,16 +360,17 @@ def tree_from_text(spark, d):
 
 @query(
     "metadata_bound",
-    """SELECT event_id AS id, u.* FROM events, (VALUES ('flag', 'boolean', 'true'), ('inner', 'map', ''), ('inner.n', 'number', '5')) u(key_path, type, text)
+    """SELECT event_id AS record_id, u.*, false AS truncated FROM events, (VALUES ('flag', 'boolean', 'true'), ('inner', 'map', ''), ('inner.n', 'number', '5')) u(key_path, type, text)
     WHERE event_id % 100 <> 0
-    UNION ALL SELECT event_id, 'name', 'string', event_type FROM events WHERE event_id % 100 <> 0""",
+    UNION ALL SELECT event_id, 'name', 'string', left(repeat(event_type, event_id % 900 + 1), 2048), length(event_type) * (event_id % 900 + 1) > 2048
+    FROM events WHERE event_id % 100 <> 0""",
 )
 def metadata_bound(spark, d):
     from fieldscope.operators.evidence import metadata_bound as bound
 
     body = F.to_json(F.struct(
-        F.col("event_type").alias("name"), F.lit(True).alias("flag"),
+        F.expr("repeat(event_type, cast(event_id % 900 + 1 as int))").alias("name"), F.lit(True).alias("flag"),
         F.struct(F.lit(5).alias("n"), F.struct(F.lit(1).alias("x")).alias("deep")).alias("inner"),
     ))
-    rows = V.table(spark, d, "events").filter("event_id % 100 <> 0").select(F.col("event_id").alias("id"), body.alias("metadata"))
+    rows = V.table(spark, d, "events").select(F.col("event_id").alias("record_id"), F.when(F.col("event_id") % 100 != 0, body).otherwise("{broken").alias("metadata"))
     return bound(rows)
