@@ -11,7 +11,6 @@ from __future__ import annotations
 import re
 import sys
 
-import numpy as np
 from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,9 +34,9 @@ def split_pattern(pattern: str):
 class _Kept(dict):
     """Results by key; ``older`` is the table before it, whose entries move up when they are asked for again."""
 
-    def __init__(self, build, older=None):
+    def __init__(self, build, most, older=None):
         super().__init__()
-        self.build, self.older = build, older or {}
+        self.build, self.most, self.older = build, most, older or {}
 
     def __missing__(self, key):
         made = self.older.get(key)
@@ -48,19 +47,17 @@ class _Kept(dict):
 
     def renewed(self):
         """This table, or a new one after it when it is full; what is older still goes."""
-        if len(self) < KEPT:
-            return self
-        return _Kept(self.build, dict(self))
+        return self if len(self) < self.most else _Kept(self.build, self.most, dict(self))
 
 
 class Segments:
-    """Encodes texts to little-endian 32-bit ids; ``ids_of`` gives the ids of one piece."""
+    """Encodes texts to little-endian 32-bit ids; ``ids_of`` gives the ids of one piece, ``kept`` is the size of a table."""
 
-    def __init__(self, pattern, ids_of):
-        self.ids = lambda piece: np.array(ids_of(piece), "<u4").tobytes()
+    def __init__(self, pattern, ids_of, kept=None):
+        self.ids = lambda piece: b"".join([n.to_bytes(4, "little") for n in ids_of(piece)])
         self.find = pattern.findall
-        self.pieces = _Kept(self.ids)
-        self.spaced = _Kept(self.after_blank)
+        self.pieces = _Kept(self.ids, kept or KEPT)
+        self.spaced = _Kept(self.after_blank, kept or KEPT)
 
     def whole(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))

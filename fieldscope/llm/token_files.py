@@ -25,6 +25,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WRITTEN = "doc_id long, part int, at long, n int, ids array<int>"
 # What the tokenizers library's byte-level pre-tokenizer splits by: fixed value.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+KEPT = 400_000  # pieces whose ids a worker keeps, some 100 MB
 FILES = 100_000  # files whose starts may be broadcast: 12 bytes each
 FEW = 1024  # rows handed on at once
 
@@ -59,7 +60,7 @@ def coder_of(tokenizer_file: str):
         return _Whole(tokenizer)
     letters, tokenize = byte_letters(), tokenizer.model.tokenize
     return segments.Segments(
-        segments.split_pattern(BYTE_LEVEL), lambda piece: [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))]
+        segments.split_pattern(BYTE_LEVEL), lambda piece: [t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))], KEPT
     )
 
 
