@@ -22,9 +22,21 @@ METRICS = [
 ]
 
 
-def exact_sum(value: Column, scale: int = 6) -> Column:
-    """Sum of doubles that does not depend on row order."""
-    return F.sum(value.cast(f"decimal(28,{scale})")).cast("double")
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles that does not depend on row order.
+
+    Each value is added as a decimal of its own size: below 1e-4 with 24 digits after the point, from 1e15 on as a
+    whole number, in between with 12 digits; nothing down to 1e-24 is lost.
+    """
+    size = F.abs(value)
+    parts = (
+        (size < 1e-4, "decimal(28,24)"),
+        ((size >= 1e-4) & (size < 1e15), "decimal(28,12)"),
+        (size >= 1e15, "decimal(38,0)"),
+    )
+    sums = [F.sum(F.when(inside, value).cast(kind)).cast("double") for inside, kind in parts]
+    total = sum((F.coalesce(s, F.lit(0.0)) for s in sums[1:]), F.coalesce(sums[0], F.lit(0.0)))
+    return F.when(F.count(value) > 0, total)
 
 
 def relative_share(addon: Column, overall: Column, application: Column) -> Column:

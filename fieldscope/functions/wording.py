@@ -60,3 +60,6 @@ STORE_BYTES = 16 * 1024 * 1024
 STORE_RECORDS = 200
 HISTORY_BYTES = 16 * 1024 * 1024
 HISTORY_ENTRY_BYTES = 16 * 1024
+
+# Own wording: what stands in for nodes that no root leads to.
+CYCLE = "<cycle>"

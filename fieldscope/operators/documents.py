@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import json
 import re
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from fieldscope.functions.wording import CUT_OUTPUT, NODE_VALUE_BYTES, OUTPUT_BYTES, STORE_BYTES
+from fieldscope.functions.wording import CUT_OUTPUT, NODE_VALUE_BYTES
 from fieldscope.functions.text import byte_truncate, quoted
-from fieldscope.plans import spread
 
 # The helpers below run on executors that may not have this package installed: they are sent
 # by value and refer to values of other modules, never to the modules.
@@ -46,71 +42,129 @@ def _get(value: Column, kind: str) -> Column:
     return F.call_function("try_variant_get", value, F.lit("$"), F.lit(kind))
 
 
-def _text(node: Column, kind: Column) -> Column:
-    raw = _get(node["v"], "string")
-    shown = F.when(kind == "table", "Table").when(kind == "string", quoted(raw)).when(kind == "nil", "nil").otherwise(raw)
-    return byte_truncate(shown, NODE_VALUE_BYTES, "...")
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` refers to it."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _node(path: Column, value: Column) -> Column:
-    return F.struct(path.alias("path"), value.alias("v"), _shape(value).alias("shape"))
+def _fields(value: Column) -> Column:
+    return F.map_entries(F.call_function("try_variant_get", value, F.lit("$"), F.lit("map<string,variant>")))
 
 
-def _entries(node: Column, most: int) -> Column:
-    """Children of a node in key order: array positions from 1, or object keys."""
-    fields = F.call_function("try_variant_get", node["v"], F.lit("$"), F.lit("map<string,variant>"))
-    items = F.call_function("try_variant_get", node["v"], F.lit("$"), F.lit("array<variant>"))
-    child = lambda step, v: _node(F.concat(node["path"], F.array(step)), v)
-    named = F.transform(F.slice(F.array_sort(F.map_keys(fields)), 1, most), lambda k: child(F.concat(F.lit("s:"), k), fields[k]))
-    counted = F.transform(F.slice(items, 1, most), lambda v, i: child(F.concat(F.lit("n:"), F.lpad((i + 1).cast("string"), 9, "0")), v))
-    return F.when(node["shape"].startswith("ARRAY"), counted).otherwise(named)
+def _items(value: Column) -> Column:
+    return F.call_function("try_variant_get", value, F.lit("$"), F.lit("array<variant>"))
 
 
-def _width(node: Column) -> Column:
-    fields = F.call_function("try_variant_get", node["v"], F.lit("$"), F.lit("map<string,variant>"))
-    items = F.call_function("try_variant_get", node["v"], F.lit("$"), F.lit("array<variant>"))
-    return F.coalesce(F.when(node["shape"].startswith("ARRAY"), F.size(items)).otherwise(F.size(fields)), F.lit(0))
+def _node(path: Column, value: Column, above: Column, over: Column) -> Column:
+    """``over``: children that the bound leaves out; ``above``: the same of the tables around the node, from the root down."""
+    return F.struct(path.alias("path"), value.alias("v"), _shape(value).alias("shape"), above.alias("above"), over.alias("over"))
 
 
-def variant_nodes(
-    docs: DataFrame, doc_id: str, json_column: str, max_depth: int = 8, max_entries: int = 200, max_nodes: int = 4000
-) -> DataFrame:
-    """Pre-order node rows of one JSON document per row.
+def _entries(node: Column, most: int | None) -> Column:
+    """Children of a node in key order: array positions from 1, or object keys. The object is read once."""
 
-    A document never leaves its row: each level is built as an array from the level
-    above and all nodes are exploded once, without a shuffle. A document that is not
-    valid JSON has no nodes.
-    """
-    level = spread(docs.select(doc_id, json_column)).select(doc_id, F.expr(f"try_parse_json({json_column})").alias("_v")).filter(F.col("_v").isNotNull())
-    level = level.withColumn("_l0", F.array(_node(F.array().cast("array<string>"), F.col("_v"))))
+    def named(entries):
+        keys = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"))))
+        chosen = keys if most is None else F.slice(keys, 1, most)
+        return F.transform(chosen, lambda k: child(F.concat(F.lit("s:"), k["key"]), F.get(entries, k["at"])["value"]))
+
+    def counted(items):
+        chosen = items if most is None else F.slice(items, 1, most)
+        return F.transform(chosen, lambda v, i: child(F.concat(F.lit("n:"), F.lpad((i + 1).cast("string"), 9, "0")), v))
+
+    child = lambda step, v: _node(F.concat(node["path"], F.array(step)), v, F.concat(node["above"], F.array(node["over"])), _left_out(v, most))
+    is_list = node["shape"].startswith("ARRAY")
+    return F.when(is_list, _let(_items(node["v"]), counted)).otherwise(_let(_fields(node["v"]), named))
+
+
+def _left_out(value: Column, most: int | None) -> Column:
+    """How many children a value has beyond the bound."""
+    if most is None:
+        return F.lit(0)
+    width = F.coalesce(F.size(_items(value)), F.size(_fields(value)), F.lit(0))
+    return F.greatest(width - most, F.lit(0))
+
+
+def _has_children(node: Column) -> Column:
+    return _is_table(node) & (F.coalesce(F.size(_items(node["v"])), F.size(_fields(node["v"])), F.lit(0)) > 0)
+
+
+def nesting(json_text: Column) -> Column:
+    """How deep the brackets of a JSON text are nested (strings left out): no tree of it is deeper."""
+    unescaped = F.regexp_replace(json_text, r"(?s)\\.", "")
+    bare = F.regexp_replace(F.regexp_replace(unescaped, r'"[^"]*"', ""), r"[^\[\]{}]", "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state, c):
+        now = state["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    return F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), zero, step, lambda s: s["most"])
+
+
+def _documents_in_rows(
+    docs: DataFrame, doc_id: str, json_column: str, max_depth: int | None, max_entries: int | None
+) -> tuple[DataFrame, int]:
+    """(doc_id, _cut, _all): all nodes of each document in pre-order, in its row; and the depth that was gone to."""
+    if max_depth is None:
+        max_depth = docs.agg(F.max(nesting(F.col(json_column)))).first()[0] or 0
+    parsed = docs.select(doc_id, json_column).hint("rebalance")
+    level = parsed.select(doc_id, F.expr(f"try_parse_json(`{json_column}`)").alias("_v")).filter(F.col("_v").isNotNull())
+    level = level.withColumn("_l0", F.array(_node(F.array().cast("array<string>"), F.col("_v"), F.array().cast("array<int>"), _left_out(F.col("_v"), max_entries))))
     for depth in range(max_depth):
         tables = F.filter(F.col(f"_l{depth}"), _is_table)
         level = level.withColumn(f"_l{depth + 1}", F.flatten(F.transform(tables, lambda n: _entries(n, max_entries))))
     levels = [F.col(f"_l{d}") for d in range(max_depth + 1)]
-    cut_wide = [F.exists(c, lambda n: _is_table(n) & (_width(n) > max_entries)) for c in levels[:-1]]
-    cut_deep = F.exists(levels[-1], lambda n: _is_table(n) & (_width(n) > 0))
-    shown = lambda n: F.struct(n["path"].alias("path"), _kind(n).alias("kind"), _text(n, _kind(n)).alias("value"))
+    cut = F.exists(levels[-1], _has_children)
+    if max_entries is not None:
+        for c in levels[:-1]:
+            cut = cut | F.exists(c, lambda n: n["over"] > 0)
+
+    def shown(n):
+        raw = _get(n["v"], "string")
+        return F.struct(n["path"].alias("path"), n["shape"].alias("shape"), F.when(~_is_table(n), raw).alias("raw"), n["above"].alias("above"))
+
     every = F.transform(F.flatten(F.array(*levels)), shown)
-    truncated = cut_deep
-    for flag in cut_wide:
-        truncated = truncated | flag
-    ordered = level.select(doc_id, truncated.alias("_cut"), F.array_sort(every).alias("_all"))
-    return (
-        ordered.select(
-            doc_id,
-            (F.col("_cut") | (F.size("_all") > max_nodes)).alias("truncated"),
-            F.posexplode(F.slice("_all", 1, max_nodes)).alias("position", "n"),
-        )
-        .select(
-            doc_id,
-            F.col("position"),
-            F.size("n.path").alias("depth"),
-            F.transform("n.path", lambda p: F.when(p.startswith("n:"), F.regexp_replace(F.substring(p, F.lit(3), F.length(p)), "^0+", "")).otherwise(F.substring(p, F.lit(3), F.length(p)))).alias("path"),
-            F.try_element_at("n.path", F.lit(-1)).startswith("n:").alias("numeric_key"),
-            F.col("n.kind").alias("kind"),
-            F.col("n.value").alias("value"),
-            "truncated",
-        )
+    return level.select(doc_id, cut.alias("_cut"), F.array_sort(every).alias("_all")), max_depth
+
+
+def _plain_key(step: Column) -> Column:
+    rest = F.substring(step, F.lit(3), F.length(step))
+    return F.when(step.startswith("n:"), F.regexp_replace(rest, "^0+", "")).otherwise(rest)
+
+
+def variant_nodes(
+    docs: DataFrame,
+    doc_id: str,
+    json_column: str,
+    max_depth: int | None = None,
+    max_entries: int | None = None,
+    max_nodes: int | None = None,
+    value_bytes: int | None = NODE_VALUE_BYTES,
+) -> DataFrame:
+    """Pre-order node rows of one JSON document per row.
+
+    A document never leaves its row: each level is built as an array from the level above and all nodes are exploded
+    once. Without ``max_depth`` the deepest document tells how many levels there are. Bounds are the caller's and
+    ``truncated`` tells of them; the value shown is cut at ``value_bytes`` (None: whole), ``bytes`` is the size of the raw
+    value of a string. A document that is not valid JSON has no nodes.
+    """
+    ordered, _ = _documents_in_rows(docs, doc_id, json_column, max_depth, max_entries)
+    chosen = F.col("_all") if max_nodes is None else F.slice("_all", 1, max_nodes)
+    cut = F.col("_cut") if max_nodes is None else F.col("_cut") | (F.size("_all") > max_nodes)
+    node = F.col("n")
+    kind = _kind(node)
+    shown = F.when(kind == "table", "Table").when(kind == "string", quoted(node["raw"])).when(kind == "nil", "nil").otherwise(node["raw"])
+    return ordered.select(doc_id, cut.alias("truncated"), F.posexplode(chosen).alias("position", "n")).select(
+        doc_id,
+        "position",
+        F.size("n.path").alias("depth"),
+        F.transform("n.path", _plain_key).alias("path"),
+        F.try_element_at("n.path", F.lit(-1)).startswith("n:").alias("numeric_key"),
+        kind.alias("kind"),
+        (shown if value_bytes is None else byte_truncate(shown, value_bytes, "...")).alias("value"),
+        F.when(kind == "string", F.octet_length(node["raw"])).alias("bytes"),
+        "truncated",
     )
 
 
@@ -122,109 +176,104 @@ def document_scan(documents: DataFrame, declared: DataFrame) -> DataFrame:
     return declared.select("owner", "name").distinct().join(documents, ["owner", "name"], "left")
 
 
-def document_footprint(documents: DataFrame, max_depth: int = 8, max_entries: int = 5000) -> DataFrame:
+def document_footprint(documents: DataFrame, max_depth: int | None = None, max_entries: int | None = None) -> DataFrame:
     """Structural bytes of each declared document (``owner``, ``name``, ``content``).
 
-    One that was never created counts as a single empty value of 8 bytes.
+    Sizes are those of the raw values. One that was never created, or is no JSON, counts as a single empty value of 8
+    bytes. Bounds are the caller's; ``truncated`` tells where one left something out.
     """
     keyed = documents.withColumn("_doc", F.struct("owner", "name"))
-    nodes = variant_nodes(keyed.filter("content IS NOT NULL"), "_doc", "content", max_depth + 1, max_entries, max_entries + 1)
+    nodes = variant_nodes(
+        keyed.filter("content IS NOT NULL"), "_doc", "content", None if max_depth is None else max_depth + 1,
+        max_entries, None if max_entries is None else max_entries + 1,
+    )
     key = F.element_at("path", -1)
-    inside = F.col("depth") <= max_depth
+    inside = F.lit(True) if max_depth is None else F.col("depth") <= max_depth
     entry = F.when(F.col("depth") > 0, 1).otherwise(0)
-    raw = F.octet_length(F.regexp_replace(F.substring("value", F.lit(2), F.length("value") - 2), r'\\(["\\\n])', "$1"))
-    size = F.when(F.col("kind") == "string", raw).when(F.col("kind") == "table", 48).otherwise(8)
+    size = F.when(F.col("kind") == "string", F.col("bytes")).when(F.col("kind") == "table", 48).otherwise(8)
     key_size = F.when(F.col("depth") == 0, 0).when(F.col("numeric_key"), 8).otherwise(F.octet_length(key))
+    deeper = F.lit(False) if max_depth is None else F.max("depth") > max_depth
     sums = nodes.groupBy("_doc").agg(
         F.sum(entry * 16 + F.when(inside, size + key_size).otherwise(0)).cast("bigint").alias("bytes"),
         F.count_if(inside & (F.col("kind") == "table")).alias("tables"),
         F.sum(entry).cast("bigint").alias("entries"),
         (F.count_if(inside & (F.col("kind") == "string")) + F.count_if(inside & (F.col("depth") > 0) & ~F.col("numeric_key"))).alias("strings"),
-    ).select("_doc.owner", "_doc.name", "bytes", "tables", "entries", "strings")
+        (F.bool_or("truncated") | deeper).alias("truncated"),
+    ).select("_doc.owner", "_doc.name", "bytes", "tables", "entries", "strings", "truncated")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return documents.select("owner", "name", F.col("content").isNotNull().alias("loaded")).join(sums, ["owner", "name"], "left").select(
-        "owner", "name", "loaded", F.coalesce("bytes", F.lit(8)).alias("bytes"), zero("tables"), zero("entries"), zero("strings")
+        "owner", "name", "loaded", F.coalesce("bytes", F.lit(8)).alias("bytes"), zero("tables"), zero("entries"), zero("strings"),
+        F.coalesce("truncated", F.lit(False)).alias("truncated"),
     )
 
 
-def _quote(text: str) -> str:
-    text = re.sub(r'(["\\\n])', r"\\\1", text)
-    return '"' + text.replace("\r", "\\r").replace("\0", "\\0") + '"'
-
-
-def _scalar(value) -> str:
-    if value is None:
-        return "nil"
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    if isinstance(value, str):
-        return _quote(value)
-    if isinstance(value, float):
-        return "%.14g" % value
-    return str(value)
-
-
-def _pieces(value, depth: int, indent: str, max_depth: int, max_entries: int):
-    """The canonical text of one parsed document, piece by piece."""
-    if isinstance(value, list):
-        pairs = [(str(i), v) for i, v in enumerate(value, 1)]
-    elif isinstance(value, dict):
-        pairs = [(_quote(k), value[k]) for k in sorted(value, key=lambda k: k.encode())]
-    else:
-        yield _scalar(value)
-        return
-    if depth >= max_depth:
-        yield "<max depth>"
-        return
-    if not pairs:
-        yield "{}"
-        return
-    yield "{"
-    for key, child in pairs[:max_entries]:
-        yield f"\n{indent}  [{key}] = "
-        yield from _pieces(child, depth + 1, indent + "  ", max_depth, max_entries)
-        yield ","
-    if len(pairs) > max_entries:
-        yield f"\n{indent}  ... <{len(pairs) - max_entries} entries omitted>"
-    yield f"\n{indent}}}"
-
-
-def canonical(text: str | None, max_depth: int, max_entries: int, max_bytes: int) -> str | None:
-    """Canonical text of a JSON text, null if it is no JSON; stops with a marker at the byte limit."""
-    if text is None:
-        return None
-    try:
-        value = json.loads(text)
-    except ValueError:
-        return None
-    out, size = [], 0
-    for piece in _pieces(value, 0, "", max_depth, max_entries):
-        size += len(piece.encode())
-        if size > max_bytes:
-            out.append(CUT_OUTPUT)
-            break
-        out.append(piece)
-    return "".join(out)
-
-
-def canonical_text(json_column: Column, max_depth: int = 6, max_entries: int = 200, max_bytes: int = OUTPUT_BYTES) -> Column:
-    """Nested value as text with sorted keys: equal documents give equal text."""
-
-    @F.pandas_udf(StringType())
-    def render(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: canonical(t, max_depth, max_entries, max_bytes))
-
-    return render(json_column)
-
+def _number_text(raw: Column) -> Column:
+    """A JSON number as C's ``%.14g`` prints it, ties away from zero; whole numbers as they are."""
+    digits = F.format_string("%.13e", raw.try_cast("double"))
+    sign = F.when(digits.startswith("-"), "-").otherwise("")
+    parts = F.regexp_extract(digits, r"^-?(\d)\.(\d+)e", 1), F.regexp_extract(digits, r"^-?(\d)\.(\d+)e", 2)
+    power = F.regexp_extract(digits, r"e([+-]\d+)$", 1).try_cast("int")
+    all_digits = F.concat(*parts)
+    kept = F.regexp_replace(all_digits, "0+$", "")
+    point = lambda whole, rest: F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
+    large = point(F.substring(all_digits, F.lit(1), power + 1), F.regexp_replace(F.substring(all_digits, power + 2, F.lit(14)), "0+$", ""))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), kept)
+    scientific = F.concat(
+        point(parts[0], F.substring(kept, F.lit(2), F.lit(14))), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0")
+    )
+    shown = F.when(kept == "", "0").when((power >= 0) & (power < 14), large).when((power < 0) & (power >= -4), small).otherwise(scientific)
+    return F.when(raw.rlike(r"^-?\d+$"), raw).otherwise(F.concat(sign, shown))
 
-EXPORT_LIMITS = {"max_depth": 32, "max_entries": 10000, "max_bytes": STORE_BYTES}
 
+def canonical_documents(
+    docs: DataFrame, doc_id: str, json_column: str, max_depth: int | None = None, max_entries: int | None = None, max_bytes: int | None = None
+) -> DataFrame:
+    """(doc_id, text, truncated): each JSON document as text with sorted keys, so that equal documents give equal text.
 
-def fingerprints(docs: DataFrame, doc_id: str, json_column: str, **limits) -> DataFrame:
-    """Distinct documents by canonical text: fingerprint, first id, copies."""
-    text = spread(docs.select(doc_id, json_column)).select(doc_id, canonical_text(F.col(json_column), **limits).alias("text")).filter(F.col("text").isNotNull())
+    The text is put together in the document's row from its nodes in pre-order: what each node opens, and what ends
+    after it. Bounds are the caller's; a marker stands where one left something out, and ``truncated`` tells of it.
+    No row for what is not valid JSON.
+    """
+    ordered, _ = _documents_in_rows(docs, doc_id, json_column, max_depth, max_entries)
+    every = F.col("_all")
+
+    def indent(depth):
+        return F.repeat(F.lit("  "), depth)
+
+    def omitted(node, depth):
+        count = F.get(node["above"], depth)
+        return F.when(count > 0, F.concat(F.lit("\n"), indent(depth + 1), F.lit("... <"), count.cast("string"), F.lit(" entries omitted>"))).otherwise("")
+
+    def piece(node, at):
+        depth = F.size(node["path"])
+        following = F.coalesce(F.size(F.get(every, at + 1)["path"]), F.lit(0))
+        step = F.try_element_at(node["path"], F.lit(-1))
+        key = F.when(step.startswith("n:"), _plain_key(step)).otherwise(quoted(_plain_key(step)))
+        lead = F.when(depth > 0, F.concat(F.lit("\n"), indent(depth), F.lit("["), key, F.lit("] = "))).otherwise("")
+        kind = _kind(node)
+        scalar = F.when(kind == "string", quoted(node["raw"])).when(kind == "nil", "nil").when(kind == "boolean", node["raw"]).otherwise(_number_text(node["raw"]))
+        comma = lambda d: F.when(d > 0, ",").otherwise("")
+        ends = F.when(
+            depth > following,
+            F.transform(F.sequence(depth - 1, following, F.lit(-1)), lambda d: F.concat(omitted(node, d), F.lit("\n"), indent(d), F.lit("}"), comma(d))),
+        ).otherwise(F.array().cast("array<string>"))
+        opened = F.concat(lead, F.lit("{"))
+        empty = F.lit("{}") if max_depth is None else F.when(depth >= max_depth, "<max depth>").otherwise("{}")
+        closed = F.concat(lead, F.when(kind == "table", empty).otherwise(scalar), comma(depth), F.array_join(ends, ""))
+        return F.when(following > depth, opened).otherwise(closed)
+
+    texts = ordered.select(doc_id, F.array_join(F.transform(every, piece), "").alias("text"), F.col("_cut").alias("truncated"))
+    if max_bytes is None:
+        return texts
+    long = F.octet_length("text") > max_bytes
+    return texts.select(doc_id, byte_truncate(F.col("text"), max_bytes, CUT_OUTPUT).alias("text"), (F.col("truncated") | long).alias("truncated"))
+
+
+def fingerprints(docs: DataFrame, doc_id: str, json_column: str) -> DataFrame:
+    """Distinct documents by their whole canonical text: fingerprint, first id, copies."""
     return (
-        text.select(doc_id, F.sha2("text", 256).alias("fingerprint"), F.octet_length("text").alias("bytes"))
+        canonical_documents(docs, doc_id, json_column)
+        .select(doc_id, F.sha2("text", 256).alias("fingerprint"), F.octet_length("text").alias("bytes"))
         .groupBy("fingerprint")
         .agg(F.min(doc_id).alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("bytes").alias("bytes"))
     )
@@ -236,8 +285,6 @@ TOKEN = re.compile(
     re.S,
 )
 ROOT = re.compile(r"(?:^|\n)\[1\]\s*=")
-MAX_NODES = 4000
-
 
 class _Malformed(Exception):
     pass
@@ -264,8 +311,8 @@ def _scalar_kind(token: str) -> str:
     return "marker" if token.startswith("<") else "string"
 
 
-def parse_tree(text: str | None) -> list[tuple[int, list[str], str, str]] | None:
-    """Serialised values ``[1] = ...`` -> (position, path, kind, value) rows; None if malformed."""
+def parse_tree(text: str | None, max_nodes: int | None = None) -> list[tuple[int, list[str], str, str]] | None:
+    """Serialised values ``[1] = ...`` -> (position, path, kind, value) rows; None if malformed or larger than ``max_nodes``."""
     start = ROOT.search(text or "")
     if not start:
         return None
@@ -302,7 +349,7 @@ def parse_tree(text: str | None) -> list[tuple[int, list[str], str, str]] | None
 
     def value(path: list[str]) -> None:
         nonlocal at
-        if len(rows) >= MAX_NODES:
+        if max_nodes is not None and len(rows) >= max_nodes:
             raise _Malformed
         kind, token = peek()
         if (kind, token) != ("mark", "{"):
@@ -343,14 +390,14 @@ NODE_SCHEMA = pa.schema(
 )
 
 
-def tree_from_text(entries: DataFrame, text_column: str, keys: list[str]) -> DataFrame:
-    """Node rows of the serialised text of each entry; malformed text has none."""
+def tree_from_text(entries: DataFrame, text_column: str, keys: list[str], max_nodes: int | None = None) -> DataFrame:
+    """Node rows of the serialised text of each entry; malformed text, or one of more than ``max_nodes`` nodes, has none."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owners, rows = [], []
             for at, text in enumerate(batch.column(text_column).to_pylist()):
-                found = parse_tree(text) or ()
+                found = parse_tree(text, max_nodes) or ()
                 owners.extend([at] * len(found))
                 rows.extend(found)
             carried = [batch.column(k).take(pa.array(owners, pa.int64())) for k in keys]
@@ -359,6 +406,6 @@ def tree_from_text(entries: DataFrame, text_column: str, keys: list[str]) -> Dat
             made = [pa.array(column, field.type) for column, field in zip(node, NODE_SCHEMA)]
             yield pa.RecordBatch.from_arrays([*carried, *made], [*keys, *NODE_SCHEMA.names])
 
-    chosen = spread(entries.select(*keys, text_column))
+    chosen = entries.select(*keys, text_column).hint("rebalance")
     head = chosen.select(*keys).schema.simpleString().removeprefix("struct<").removesuffix(">")
     return chosen.mapInArrow(parse, f"{head},position:int,depth:int,path:array<string>,kind:string,value:string")

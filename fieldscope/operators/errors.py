@@ -10,7 +10,7 @@ from fieldscope.functions import wording as W
 
 
 def safe_text(value: Column) -> Column:
-    """Empty for null, bounded like every text of a report."""
+    """Empty for null, cut like every text that a report shows."""
     return T.byte_truncate(F.coalesce(value, F.lit("")), W.REPORT_BYTES, W.CUT_TEXT)
 
 
@@ -31,11 +31,11 @@ def errors_scope(errors: DataFrame, scope: str, current: int) -> DataFrame:
 
 
 def errors_search(errors: DataFrame, text: str) -> DataFrame:
-    """Literal match in any case over message, stack and source; empty matches all."""
+    """Literal match in any case over the whole message, stack and source; empty matches all."""
     needle = text.strip().lower()
     if not needle:
         return errors
-    searched = F.lower(F.concat_ws("\n", *[safe_text(F.col(c)) for c in ("message", "stack", "source")]))
+    searched = F.lower(F.concat_ws("\n", *[F.coalesce(c, F.lit("")) for c in ("message", "stack", "source")]))
     return errors.filter(F.contains(searched, F.lit(needle)))
 
 
@@ -44,9 +44,10 @@ def error_source() -> Column:
 
 
 def error_occurrences(errors: DataFrame) -> DataFrame:
-    """Occurrences per signature (message and stack); a missing counter is 1."""
+    """Occurrences per signature (whole message and stack); a missing counter is 1."""
+    whole = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return (
-        errors.groupBy(safe_text(F.col("message")).alias("message"), safe_text(F.col("stack")).alias("stack"))
+        errors.groupBy(whole("message"), whole("stack"))
         .agg(
             F.sum(F.coalesce("counter", F.lit(1))).alias("occurrences"),
             F.min("time").alias("first_time"),

@@ -32,9 +32,12 @@ class _Levels:
         )
 
 
-def graph_reach(edges: DataFrame, roots: DataFrame, max_depth: int = 8) -> DataFrame:
+def graph_reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Nodes reachable from ``roots`` (column ``id``) over ``edges`` (``src``, ``dst``) with their least depth.
 
+    ``max_depth`` stops the walk early; ``truncated`` then tells at each node of the last level whether an edge leads on
+    to a node that was not reached.
+
     One hash join per level: the new frontier is what the edges lead to and no earlier
     level has. Edges and levels are written to the shared folder, so a level never goes
     back further than the one before.
@@ -42,15 +45,20 @@ def graph_reach(edges: DataFrame, roots: DataFrame, max_depth: int = 8) -> DataF
     links = pin(edges.select("src", "dst").distinct(), "links")
     levels = _Levels(edges.sparkSession, "reach")
     frontier = levels.add(roots.select("id").distinct(), 0)
-    for depth in range(1, max_depth + 1):
-        if frontier is None:
-            break
+    depth = 0
+    while frontier is not None and (max_depth is None or depth < max_depth):
+        depth += 1
         step = links.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
         frontier = levels.add(step.join(levels.all().select("id"), "id", "left_anti"), depth)
-    return levels.all()
+    reached = levels.all()
+    if max_depth is None:
+        return reached.withColumn("truncated", F.lit(False))
+    leaving = links.join(reached.filter(F.col("depth") == max_depth).select(F.col("id").alias("src")), "src")
+    onward = leaving.join(reached.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.col("src").alias("id"), F.lit(True).alias("truncated")).distinct()
+    return reached.join(onward, "id", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
-def bounded_reach(reached: DataFrame, max_objects: int = 1600) -> DataFrame:
+def bounded_reach(reached: DataFrame, max_objects: int) -> DataFrame:
     """The first objects by depth, with a flag when there were more."""
     total = reached.agg(F.count(F.lit(1)) > max_objects).scalar()
     return reached.orderBy("depth", "id").limit(max_objects).withColumn("truncated", total)
@@ -86,7 +94,7 @@ def folder_of(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def load_closure(entries: DataFrame, references: DataFrame, files: DataFrame, max_rounds: int = 64) -> tuple[DataFrame, DataFrame]:
+def load_closure(entries: DataFrame, references: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files a manifest loads, following the references of its XML files breadth-first.
 
     ``entries`` (build, path), ``references`` (src, reference), ``files`` (path). Returns the
@@ -103,7 +111,9 @@ def load_closure(entries: DataFrame, references: DataFrame, files: DataFrame, ma
 
     levels = _Levels(entries.sparkSession, "closure")
     asked = entries.select("build", F.lit("").alias("base"), F.col("path").alias("reference"))
-    for depth in range(max_rounds):
+    depth, level = -1, entries
+    while level is not None:  # every round finds files that no earlier one has, so there is a last one
+        depth += 1
         fresh = asked.withColumn("target", target).groupBy("build", file.alias("file")).agg(
             F.min("target").alias("target"), F.min("reference").alias("evidence")
         )
@@ -116,8 +126,6 @@ def load_closure(entries: DataFrame, references: DataFrame, files: DataFrame, ma
             break
         sources = level.filter((F.col("status") == "loaded") & F.col("file").endswith(".xml")).select("build", F.col("file").alias("src"))
         asked = links.join(sources, "src").select("build", "base", "reference").distinct()
-    else:
-        raise ValueError(f"the load closure is deeper than {max_rounds} references")
     everything = levels.all()
     loaded = everything.filter("status = 'loaded'").select("build", "path", "depth")
     findings = everything.filter("status <> 'loaded'").select(

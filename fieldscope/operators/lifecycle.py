@@ -165,17 +165,15 @@ def new_functions(snapshots: DataFrame) -> DataFrame:
     return peaks.join(fresh, "session_id")
 
 
-def function_registry(snapshots: DataFrame, max_paths: int = 6) -> DataFrame:
-    """Distinct functions of a session with reference count and their first paths."""
+def function_registry(snapshots: DataFrame, max_paths: int | None = None) -> DataFrame:
+    """Distinct functions of a session with reference count and their paths, the first ``max_paths`` if given;
+    ``path_count`` counts all of them."""
     per_path = snapshots.groupBy("session_id", "fn_id", "path").agg(F.count(F.lit(1)).alias("refs"))
     totals = per_path.groupBy("session_id", "fn_id").agg(
-        F.sum("refs").alias("references"), F.min("path").alias("first_path")
-    )
-    listed = (
-        top_per_key(per_path, ["session_id", "fn_id"], [F.col("path").asc()], max_paths)
-        .groupBy("session_id", "fn_id")
-        .agg(F.array_sort(F.collect_list("path")).alias("paths"))
+        F.sum("refs").alias("references"), F.min("path").alias("first_path"), F.count(F.lit(1)).alias("path_count")
     )
+    chosen = per_path if max_paths is None else top_per_key(per_path, ["session_id", "fn_id"], [F.col("path").asc()], max_paths)
+    listed = chosen.groupBy("session_id", "fn_id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     return totals.join(listed, ["session_id", "fn_id"])
 
 

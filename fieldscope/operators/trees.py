@@ -7,74 +7,128 @@ root), ``key``, ``kind`` (table, string, number, boolean, function, ...), ``valu
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from fieldscope.functions import wording as W
 from fieldscope.functions.text import byte_truncate, quoted
 from fieldscope.plans import bucket_of, running_total, split_points, top_per_key
+from fieldscope.session import pin
 
 IDENTIFIER = "^[_A-Za-z][_A-Za-z0-9]*$"
 
 
-def ancestry(nodes: DataFrame, max_depth: int = 8, extra: Sequence[str] = ()) -> DataFrame:
-    """Add ``chain``: the (id, key) pairs from the root down to the node itself, for nodes
-    down to ``max_depth + 1``; nodes on or below a cycle have no root and are left out.
+def _walked(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(id, up, chain, cyclic): the way up from each node. ``up`` is null where it has ended at a root or on a cycle.
 
-    Pointers are doubled: after round r a row knows 2^r ancestors, so depth 8 takes four
-    joins. Rows that reached their root take part under their own id, which spreads them.
+    Pointers are doubled: after round r a row knows 2^r ancestors. Each round is written to the shared folder, so
+    the plan does not grow. Rows that are done take part under their own id, which spreads them. Nodes below a
+    missing parent are dropped.
     """
     step = F.struct("id", "key")
-    state = nodes.select("id", F.col("parent_id").alias("_up"), F.array(step).alias("chain"))
+    state = pin(nodes.select("id", F.col("parent_id").alias("up"), F.array(step).alias("chain"), F.lit(False).alias("cyclic")), "ancestry")
     reach = 1
-    while reach < max_depth + 2:
-        upper = state.select(F.col("id").alias("_id"), F.col("_up").alias("_next"), F.col("chain").alias("_above"))
-        lower = state.withColumn("_key", F.coalesce("_up", "id"))
-        joined = lower.join(upper, (F.col("_key") == F.col("_id")) & F.col("_up").isNotNull(), "left")
-        state = joined.filter(F.col("_up").isNull() | F.col("_id").isNotNull()).select(
+    while (max_depth is None or reach < max_depth + 2) and not state.filter(F.col("up").isNotNull()).isEmpty():
+        upper = state.select(F.col("id").alias("_id"), F.col("up").alias("_next"), F.col("chain").alias("_above"), F.col("cyclic").alias("_round"))
+        lower = state.withColumn("_key", F.coalesce("up", "id"))
+        joined = lower.join(upper, (F.col("_key") == F.col("_id")) & F.col("up").isNotNull(), "left")
+        moved = joined.filter(F.col("up").isNull() | F.col("_id").isNotNull()).select(
             "id",
-            F.when(F.col("_up").isNotNull(), F.col("_next")).alias("_up"),
-            F.when(F.col("_up").isNotNull(), F.concat("_above", "chain")).otherwise(F.col("chain")).alias("chain"),
+            F.when(F.col("up").isNotNull(), F.col("_next")).alias("up"),
+            F.when(F.col("up").isNotNull(), F.concat("_above", "chain")).otherwise(F.col("chain")).alias("chain"),
+            (F.col("cyclic") | F.coalesce("_round", F.lit(False))).alias("cyclic"),
+        )
+        ids = F.transform("chain", lambda c: c["id"])
+        again = (F.size(F.array_distinct(ids)) < F.size(ids)) | F.coalesce(F.array_contains(ids, F.col("up")), F.lit(False))
+        state = pin(
+            moved.withColumn("cyclic", F.col("cyclic") | again).withColumn("up", F.when(~F.col("cyclic"), F.col("up"))), "ancestry"
         )
         reach *= 2
-    rooted = state.filter(F.col("_up").isNull() & (F.size("chain") <= max_depth + 2)).select("id", "chain")
-    return nodes.select("id", "parent_id", "key", "kind", "value", *extra).join(rooted, "id").withColumn("depth", F.size("chain") - 1)
+    return state
+
+
+def ancestry(nodes: DataFrame, max_depth: int | None = None, extra: Sequence[str] = ()) -> DataFrame:
+    """Add ``chain``: the (id, key) pairs from the root down to the node itself, and ``depth``.
+
+    All nodes that hang below a root; with ``max_depth`` those down to one level further, so that a caller
+    can tell that there are deeper ones. Nodes on or below a cycle have no root: see ``cyclic_nodes``.
+    """
+    rooted = _walked(nodes, max_depth).filter(F.col("up").isNull() & ~F.col("cyclic"))
+    if max_depth is not None:
+        rooted = rooted.filter(F.size("chain") <= max_depth + 2)
+    placed = nodes.select("id", "parent_id", "key", "kind", "value", *extra).join(rooted.select("id", "chain"), "id")
+    return placed.withColumn("depth", F.size("chain") - 1)
+
+
+def cyclic_nodes(nodes: DataFrame) -> DataFrame:
+    """(id, parent_id, key, kind, marker) of the nodes on or below a cycle, which no tree view can place."""
+    found = _walked(nodes).filter("cyclic").select("id")
+    return nodes.join(found, "id", "left_semi").select("id", "parent_id", "key", "kind", F.lit(W.CYCLE).alias("marker"))
 
 
 def key_path() -> Column:
     return F.transform("chain", lambda c: c["key"])
 
 
-def tree_flatten(nodes: DataFrame, max_depth: int = 8, max_entries: int = 200, max_nodes: int = 4000) -> DataFrame:
-    """Pre-order node rows of every document within the view's bounds.
+def key_order(key: Column) -> Column:
+    """Whole numbers by value, before all other keys by text."""
+    number = F.when(key.rlike(r"^-?\d{1,18}$"), key.try_cast("bigint"))
+    return F.struct(number.isNull().alias("text"), number.alias("number"), key.alias("key"))
 
-    Bounds: depth, entries per table (first by key), nodes per document (first in
-    pre-order). ``truncated`` tells whether a bound cut something off the document.
+
+def path_order() -> Column:
+    """Pre-order of the nodes of one document: their keys from the root down, numbers by value; ids part equal keys."""
+    return F.transform("chain", lambda c: F.struct(key_order(c["key"]).alias("key"), c["id"].alias("id")))
+
+
+def tree_flatten(
+    nodes: DataFrame, max_depth: int | None = None, max_entries: int | None = None, max_nodes: int | None = None
+) -> DataFrame:
+    """Pre-order node rows of every document.
+
+    Bounds are the caller's: depth, entries per table (first by key), nodes per document (first in pre-order);
+    ``truncated`` tells whether a bound cut something off the document.
     """
-    below = nodes.filter(F.col("parent_id").isNotNull())
-    wide = below.groupBy("parent_id").agg((F.count(F.lit(1)) > max_entries).alias("wide")).filter("wide")
-    first = top_per_key(below, ["parent_id"], [F.col("key"), F.col("id")], max_entries, rank="_r").drop("_r")
-    bounded = nodes.filter(F.col("parent_id").isNull()).unionByName(first)
-    placed = (
-        ancestry(bounded, max_depth)
-        .withColumn("doc_id", F.col("chain")[0]["id"])
-        .join(wide.select(F.col("parent_id").alias("id"), "wide"), "id", "left")
-        .withColumn("path", key_path())
-    )
-    cut = placed.groupBy("doc_id").agg(
-        (
-            F.coalesce(F.bool_or("wide"), F.lit(False))
-            | (F.max("depth") > max_depth)
-            | (F.count_if(F.col("depth") <= max_depth) > max_nodes)
-        ).alias("truncated")
-    )
-    kept = top_per_key(
-        placed.filter(F.col("depth") <= max_depth).drop("wide"), ["doc_id"], [F.col("path"), F.col("id")], max_nodes, rank="position"
-    )
+    bounded, wide = nodes, None
+    if max_entries is not None:
+        below = nodes.filter(F.col("parent_id").isNotNull())
+        wide = below.groupBy("parent_id").agg((F.count(F.lit(1)) > max_entries).alias("wide")).filter("wide")
+        first = top_per_key(below, ["parent_id"], [key_order(F.col("key")), F.col("id")], max_entries, rank="_r").drop("_r")
+        bounded = nodes.filter(F.col("parent_id").isNull()).unionByName(first)
+    placed = ancestry(bounded, max_depth).withColumn("doc_id", F.col("chain")[0]["id"]).withColumn("path", key_path())
+    if wide is not None:
+        placed = placed.join(wide.select(F.col("parent_id").alias("id"), "wide"), "id", "left")
+    inside = F.lit(True) if max_depth is None else F.col("depth") <= max_depth
+    flags = [F.lit(False)]
+    flags += [] if wide is None else [F.coalesce(F.bool_or("wide"), F.lit(False))]
+    flags += [] if max_depth is None else [F.max("depth") > max_depth]
+    flags += [] if max_nodes is None else [F.count_if(inside) > max_nodes]
+    cut = placed.groupBy("doc_id").agg(reduce(or_, flags).alias("truncated"))
+    shown = placed.filter(inside).withColumn("_order", path_order())
+    shown = shown if wide is None else shown.drop("wide")
+    if max_nodes is None:
+        # split by the top-level key, under which the rest of the order stays together
+        kept = _numbered(shown.withColumn("_top", F.get("_order", F.lit(1))))
+    else:
+        kept = top_per_key(shown, ["doc_id"], [F.col("_order")], max_nodes, rank="position").drop("_order")
     return kept.join(cut, "doc_id").withColumn("value", byte_truncate(F.col("value"), W.NODE_VALUE_BYTES, "..."))
 
 
+def _numbered(shown: DataFrame) -> DataFrame:
+    """Positions in pre-order: counted per top-level branch first, so that a large document is not one window."""
+    branch = ["doc_id", "_top"]
+    sizes = shown.groupBy(*branch).agg(F.count(F.lit(1)).alias("_n"))
+    before = Win.partitionBy("doc_id").orderBy(F.col("_top").asc_nulls_first()).rowsBetween(Win.unboundedPreceding, -1)
+    bases = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("doc_id").alias("_doc"), F.col("_top").alias("_branch"), "_base")
+    ranked = shown.withColumn("_run", F.row_number().over(Win.partitionBy(*branch).orderBy("_order")))
+    joined = ranked.join(bases, (F.col("doc_id") == F.col("_doc")) & F.col("_top").eqNullSafe(F.col("_branch")))
+    return joined.withColumn("position", F.col("_run") + F.col("_base")).drop("_run", "_base", "_doc", "_branch", "_top", "_order")
+
+
 def _label(key: Column) -> Column:
     return F.when(key.rlike(IDENTIFIER), key).otherwise(F.concat(F.lit("["), quoted(key), F.lit("]")))
 
@@ -97,46 +151,53 @@ def value_bytes(kind: Column, value: Column) -> Column:
     )
 
 
-def per_root(nodes: DataFrame, root_depth: int, max_depth: int) -> DataFrame:
+def per_root(nodes: DataFrame, root_depth: int, max_depth: int | None = None) -> DataFrame:
     """Nodes at and below ``root_depth`` with their root and depth below it."""
-    placed = ancestry(nodes, max_depth + root_depth).filter(F.col("depth") >= root_depth)
+    placed = ancestry(nodes, None if max_depth is None else max_depth + root_depth).filter(F.col("depth") >= root_depth)
     return placed.select(
         "id", "key", "kind", "value",
         F.col("chain")[root_depth]["id"].alias("root_id"),
         (F.col("depth") - root_depth).alias("below"),
-        key_path().alias("path"),
+        path_order().alias("path"),
     )
 
 
-def footprint(nodes: DataFrame, root_depth: int = 1, max_depth: int = 8, max_entries: int = 5000) -> DataFrame:
+def footprint(nodes: DataFrame, root_depth: int = 1, max_depth: int | None = None, max_entries: int | None = None) -> DataFrame:
     """Structural bytes and counts per root: values, 16 per entry, and the keys themselves.
 
-    An entry of a table at the depth limit still counts, its key and value do not.
+    Bounds are the caller's; ``truncated`` tells where one left something out. An entry of a table at the
+    depth limit still counts, its key and value do not.
     """
     rows = per_root(nodes, root_depth, max_depth)
-    entries = rows.filter("below > 0")
-    counted = top_per_key(entries, ["root_id"], [F.col("path"), F.col("id")], max_entries, rank="_r").drop("_r")
-    inside = F.col("below") <= max_depth
+    counted = rows
+    if max_entries is not None:
+        first = top_per_key(rows.filter("below > 0"), ["root_id"], [F.col("path")], max_entries, rank="_r").drop("_r")
+        counted = rows.filter("below = 0").unionByName(first)
+    inside = F.lit(True) if max_depth is None else F.col("below") <= max_depth
     entry = F.when(F.col("below") > 0, 1).otherwise(0)
     size = entry * 16 + F.when(inside, value_bytes(F.col("kind"), F.col("value")) + entry * F.octet_length("key")).otherwise(0)
-    totals = entries.groupBy("root_id").agg((F.count(F.lit(1)) >= max_entries).alias("truncated"))
-    sums = rows.filter("below = 0").unionByName(counted).groupBy("root_id").agg(
+    more = F.lit(False) if max_entries is None else F.count_if(F.col("below") > 0) > max_entries
+    deeper = F.lit(False) if max_depth is None else F.max("below") > max_depth
+    totals = rows.groupBy("root_id").agg((more | deeper).alias("truncated"))
+    sums = counted.groupBy("root_id").agg(
         F.sum(size).cast("bigint").alias("bytes"),
         F.count_if(inside & (F.col("kind") == "table")).alias("tables"),
         F.sum(entry).cast("bigint").alias("entries"),
         (F.count_if(inside & (F.col("kind") == "string")) + F.count_if(inside & (entry == 1))).alias("strings"),
         F.count_if(inside & (F.col("kind") == "function")).alias("functions"),
     )
-    return sums.join(totals, "root_id", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
+    return sums.join(totals, "root_id")
 
 
-def graph_counts(nodes: DataFrame, root_depth: int = 1, max_depth: int = 8) -> DataFrame:
-    """Tables, functions, strings and entries below each root."""
-    return per_root(nodes, root_depth, max_depth).filter(F.col("below") <= max_depth).groupBy("root_id").agg(
-        F.count_if(F.col("kind") == "table").alias("tables"),
-        F.count_if(F.col("kind") == "function").alias("functions"),
-        F.count_if(F.col("kind") == "string").alias("strings"),
-        F.count_if(F.col("below") > 0).alias("entries"),
+def graph_counts(nodes: DataFrame, root_depth: int = 1, max_depth: int | None = None) -> DataFrame:
+    """Tables, functions, strings and entries below each root; ``truncated`` if ``max_depth`` left deeper ones out."""
+    inside = F.lit(True) if max_depth is None else F.col("below") <= max_depth
+    return per_root(nodes, root_depth, max_depth).groupBy("root_id").agg(
+        F.count_if(inside & (F.col("kind") == "table")).alias("tables"),
+        F.count_if(inside & (F.col("kind") == "function")).alias("functions"),
+        F.count_if(inside & (F.col("kind") == "string")).alias("strings"),
+        F.count_if(inside & (F.col("below") > 0)).alias("entries"),
+        F.bool_or(~inside).alias("truncated"),
     )
 
 
@@ -153,9 +214,10 @@ def _hits(placed: DataFrame, needle: Column) -> DataFrame:
 
 
 SEARCH_ORDER = ("match", "key", "path")
+GRAM = 3
 
 
-def key_search(placed: DataFrame, text: str, limit: int = 200, max_depth: int = 6) -> DataFrame:
+def key_search(placed: DataFrame, text: str, limit: int = 200, max_depth: int | None = None) -> DataFrame:
     """Keys holding ``text`` in any case: exact, then prefix, then inner matches, per document.
 
     ``placed`` is a flattened tree (``doc_id``, ``depth``, ``path``). All matches are ranked
@@ -164,7 +226,8 @@ def key_search(placed: DataFrame, text: str, limit: int = 200, max_depth: int =
     needle = text.strip().lower()
     if not needle:
         raise ValueError("a search text is required")
-    hits = _hits(placed.filter(F.col("depth").between(1, max_depth + 1)), F.lit(needle))
+    below = F.col("depth") >= 1 if max_depth is None else F.col("depth").between(1, max_depth + 1)
+    hits = _hits(placed.filter(below), F.lit(needle))
     totals = hits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_matches"))
     shown = top_per_key(hits, ["doc_id"], [F.col(c) for c in SEARCH_ORDER], limit)
     return shown.join(totals, "doc_id").select(
@@ -172,30 +235,42 @@ def key_search(placed: DataFrame, text: str, limit: int = 200, max_depth: int =
     )
 
 
-def search_fallback(placed: DataFrame, queries: DataFrame, limit: int = 200, max_depth: int = 6) -> DataFrame:
+def _grams(text: Column, size: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
+
+
+def _holding(keys: DataFrame, needles: DataFrame) -> DataFrame:
+    """(low, needle): which of the lower-case keys hold which needles.
+
+    Both are distinct. A needle is looked up by its first three letters (or all of a shorter one) among the grams
+    of the keys, and verified.
+    """
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    asked = needles.filter(F.length("needle") > 0).select("needle", F.substring(F.col("needle"), F.lit(1), size).alias("gram"))
+    sizes = [row[0] for row in asked.select(F.length("gram")).distinct().collect()]  # three numbers at most
+    grams = [F.when(F.length("low") >= n, _grams(F.col("low"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sizes]
+    parts = keys.select("low", F.explode(F.concat(*grams, F.array().cast("array<string>"))).alias("gram"))
+    return parts.join(asked, "gram").filter(F.contains("low", F.col("needle"))).select("low", "needle")
+
+
+def search_fallback(placed: DataFrame, queries: DataFrame, limit: int = 200, max_depth: int | None = None) -> DataFrame:
     """Answer each query (``query_id``, ``needle``, ``scope_id``) below its scope node, or, if nothing
     is found there, among the top-level keys of all documents.
 
-    The needles are few: they are compared against every key in one pass.
+    Any number of queries: needles are joined to the keys that hold them. An empty needle finds nothing.
     """
-    asked = [row.asDict() for row in queries.limit(1000).collect()]
-    wanted = F.array(*[
-        F.struct(F.lit(q["query_id"]).alias("query_id"), F.lit(q["needle"].strip().lower()).alias("needle"), F.lit(q["scope_id"]).alias("scope_id"))
-        for q in asked
-    ])
-    pairs = placed.withColumn("q", F.explode(F.filter(wanted, lambda q: F.contains(F.lower("key"), q["needle"]))))
-    place = F.array_position(F.transform("chain", lambda c: c["id"]), F.col("q.scope_id"))
+    asked = queries.select("query_id", F.lower(F.trim("needle")).alias("needle"), "scope_id")
+    keyed = placed.withColumn("low", F.lower("key"))
+    found = _holding(keyed.select("low").distinct(), asked.select("needle").distinct())
+    pairs = keyed.join(found, "low").join(asked, "needle")
+    place = F.array_position(F.transform("chain", lambda c: c["id"]), F.col("scope_id"))
     below = F.col("depth") + 1 - place
-    local = (place > 0) & below.between(1, max_depth + 1)
-    scoped = pairs.withColumn("scope", F.when(local, "local").when(F.col("depth") == 1, "global"))
+    local = (place > 0) & (below >= 1 if max_depth is None else below.between(1, max_depth + 1))
     # A top-level key below its own scope counts for both searches.
-    doubled = scoped.withColumn(
-        "scope",
-        F.explode(F.when(local & (F.col("depth") == 1), F.array(F.lit("local"), F.lit("global"))).otherwise(F.array("scope"))),
-    ).filter(F.col("scope").isNotNull())
-    hits = _hits(doubled, F.col("q.needle")).withColumn("query_id", F.col("q.query_id"))
-    found = hits.groupBy("query_id").agg(F.max((F.col("scope") == "local").cast("int")).alias("_local"))
-    chosen = hits.join(found, "query_id").filter((F.col("scope") == "local") | (F.col("_local") == 0))
+    scopes = F.array_compact(F.array(F.when(local, "local"), F.when(F.col("depth") == 1, "global")))
+    hits = _hits(pairs.withColumn("scope", F.explode(scopes)), F.col("needle"))
+    near = hits.groupBy("query_id").agg(F.max((F.col("scope") == "local").cast("int")).alias("_local"))
+    chosen = hits.join(near, "query_id").filter((F.col("scope") == "local") | (F.col("_local") == 0))
     totals = chosen.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_matches"))
     shown = top_per_key(chosen, ["query_id"], [F.col(c) for c in SEARCH_ORDER], limit)
     return shown.join(totals, "query_id").select("query_id", "scope", "rank", "id", "key", "match", "total_matches")
@@ -219,9 +294,12 @@ def canonical_key_order(keys: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def child_pages(children: DataFrame, page_size: int = 200) -> DataFrame:
-    """Pages of each parent's children in key order, with how many are loaded by then."""
-    points = split_points(children, "key")
-    placed = running_total(children, ["parent_id"], [F.col("key"), F.col("id")], bucket_of("key", points), F.lit(1), "position")
+    """Pages of each parent's children in key order (numbers by value, then texts), with how many are loaded by then."""
+    typed = children.withColumn("_order", key_order(F.col("key")))
+    numbers = bucket_of("_order.number", split_points(typed, "_order.number"))
+    texts = bucket_of("key", split_points(typed.filter("_order.text"), "key"))
+    chunk = F.when(F.col("_order.text"), texts + 1000).otherwise(numbers)
+    placed = running_total(typed, ["parent_id"], [F.col("_order"), F.col("id")], chunk, F.lit(1), "position").drop("_order")
     totals = children.groupBy("parent_id").agg(F.count(F.lit(1)).alias("children"))
     page = F.floor((F.col("position") - 1) / page_size)
     loaded = F.least((page + 1) * page_size, F.col("children"))
@@ -253,22 +331,25 @@ def canonical_path(tokens: Column) -> Column:
 
 
 def path_resolve(requests: DataFrame, placed: DataFrame) -> DataFrame:
-    """Look up requested paths (``request_id``, ``path``) in a flattened tree by their canonical form.
+    """Look up requested paths (``request_id``, ``doc_id``, ``path``) in their document of a flattened tree by their canonical form.
 
-    Keys that read as whole numbers answer to numeric tokens.
+    Keys that read as whole numbers answer to numeric tokens. Requests that cannot be read are answered without a lookup.
     """
     tokens = path_tokens(F.col("path"))
     empty = F.regexp_replace(F.coalesce(F.col("path"), F.lit("")), r"\s", "") == ""
     asked = requests.select(
         "request_id",
+        "doc_id",
         F.when(empty, "path_required").when(tokens.isNull(), "path_invalid").alias("reason"),
         canonical_path(tokens).alias("canonical"),
     )
     typed = F.transform("path", lambda k: F.concat(F.when(k.rlike(r"^-?\d+$"), "n:").otherwise("s:"), k))
-    known = placed.select(canonical_path(typed).alias("canonical"), "id", "kind")
-    return asked.join(known, "canonical", "left").select(
-        "request_id",
-        "id",
-        "kind",
-        F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("id").isNull(), "not_found").otherwise("found").alias("status"),
+    known = placed.select("doc_id", canonical_path(typed).alias("canonical"), "id", "kind")
+    none = placed.select("id", "kind").schema
+    unread = asked.filter(F.col("reason").isNotNull()).select(
+        "request_id", "doc_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in none], F.col("reason").alias("status")
+    )
+    looked = asked.filter(F.col("reason").isNull()).join(known, ["doc_id", "canonical"], "left").select(
+        "request_id", "doc_id", "id", "kind", F.when(F.col("id").isNull(), "not_found").otherwise("found").alias("status")
     )
+    return looked.unionByName(unread)

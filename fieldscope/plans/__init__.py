@@ -2,7 +2,6 @@
 
 from fieldscope.plans.ordered import bucket_of, previous_row, running_total, split_points, transition_totals
 from fieldscope.plans.quantiles import nearest_rank
-from fieldscope.plans.spread import spread
 from fieldscope.plans.topk import top_per_key
 
-__all__ = ["bucket_of", "nearest_rank", "previous_row", "running_total", "split_points", "spread", "top_per_key", "transition_totals"]
+__all__ = ["bucket_of", "nearest_rank", "previous_row", "running_total", "split_points", "top_per_key", "transition_totals"]

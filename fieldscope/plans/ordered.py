@@ -23,13 +23,9 @@ def split_points(df: DataFrame, column: str, parts: int = 64, sample_rows: int =
     """
     values = df.select(column).filter(F.col(column).isNotNull())
     total = values.count()
-    if total <= parts:
-        return []
-    sample = values.sample(fraction=min(1.0, sample_rows / total), seed=17).limit(2 * sample_rows)
+    sample = values.sample(fraction=min(1.0, sample_rows / max(1, total)), seed=17)  # about sample_rows of any total
     found = sorted({row[0] for row in sample.collect()})
-    if len(found) <= parts:
-        return []
-    return [found[i * len(found) // parts] for i in range(1, parts)]
+    return sorted({found[i * len(found) // parts] for i in range(1, parts)}) if found else []
 
 
 def bucket_of(column: str, points: Sequence) -> Column:

@@ -31,10 +31,16 @@ def test_flatten_in_pre_order(spark):
 
 def test_flatten_bounds(spark):
     chain = [(i, i - 1 if i else None, f"k{i}", "table", "") for i in range(14)]
-    flat = T.tree_flatten(spark.createDataFrame(chain, NODE)).collect()
+    flat = T.tree_flatten(spark.createDataFrame(chain, NODE), max_depth=8).collect()
     assert sorted(r.depth for r in flat) == list(range(9)) and all(r.truncated for r in flat)
+    whole = T.tree_flatten(spark.createDataFrame(chain, NODE)).orderBy("position").collect()
+    assert [r.depth for r in whole] == list(range(14)) and not any(r.truncated for r in whole)
+    counts = T.graph_counts(spark.createDataFrame(chain, NODE), 0).collect()[0]
+    cut = T.graph_counts(spark.createDataFrame(chain, NODE), 0, max_depth=8).collect()[0]
+    assert (counts.entries, counts.truncated, cut.entries, cut.truncated) == (13, False, 8, True)
     wide = [(0, None, "r", "table", "")] + [(i, 0, f"k{i:03d}", "string", "v" * 600) for i in range(1, 251)]
-    flat = T.tree_flatten(spark.createDataFrame(wide, NODE)).collect()
+    assert T.tree_flatten(spark.createDataFrame(wide, NODE)).count() == 251
+    flat = T.tree_flatten(spark.createDataFrame(wide, NODE), max_entries=200).collect()
     assert len(flat) == 201 and all(r.truncated for r in flat) and max(len(r.value) for r in flat) == 515
     few = T.tree_flatten(spark.createDataFrame(wide, NODE), max_entries=300, max_nodes=100).collect()
     assert len(few) == 100 and all(r.truncated for r in few)
@@ -43,6 +49,17 @@ def test_flatten_bounds(spark):
 def test_cycles_have_no_root(spark):
     df = spark.createDataFrame([(1, 2, "a", "table", ""), (2, 1, "b", "table", ""), (3, None, "c", "table", ""), (4, 99, "lost", "table", "")], NODE)
     assert [r.id for r in T.ancestry(df).collect()] == [3]
+    assert {(r.id, r.marker) for r in T.cyclic_nodes(df).collect()} == {(1, "<cycle>"), (2, "<cycle>")}
+    long = [(i, (i + 1) % 7, f"k{i}", "table", "") for i in range(7)] + [(50 + i, 49 + i if i else 3, "x", "string", "") for i in range(9)]
+    assert T.cyclic_nodes(spark.createDataFrame(long, NODE)).count() == 16 and T.ancestry(spark.createDataFrame(long, NODE)).count() == 0
+
+
+def test_keys_are_ordered_by_type_and_value(spark):
+    rows = [(0, None, "r", "table", "")] + [(i + 1, 0, k, "string", "") for i, k in enumerate(["10", "2", "b", "-1", "a"])]
+    flat = T.tree_flatten(spark.createDataFrame(rows, NODE)).orderBy("position").collect()
+    assert [r.key for r in flat] == ["r", "-1", "2", "10", "a", "b"]
+    pages = T.child_pages(spark.createDataFrame([(1, i, k) for i, k in enumerate(["10", "2", "b", "-1", "a"])], "parent_id int, id int, key string"))
+    assert [r.key for r in pages.orderBy("position").collect()] == ["-1", "2", "10", "a", "b"]
 
 
 def test_paths(placed):
@@ -64,6 +81,8 @@ def test_search_fallback(spark, placed):
     asked = spark.createDataFrame([(1, "nested", 20), (2, "Alpha", 20), (3, "add", 5), (4, "zzz", 1)], "query_id int, needle string, scope_id long")
     got = T.search_fallback(placed, asked).collect()
     assert {(r.query_id, r.scope, r.id) for r in got} == {(1, "local", 21), (2, "global", 2), (2, "global", 3), (2, "global", 4), (3, "local", 8)}
+    many = spark.createDataFrame([(i, "nested" if i % 2 else "n", 20) for i in range(1500)], "query_id int, needle string, scope_id long")
+    assert T.search_fallback(placed, many).select("query_id").distinct().count() == 1500
 
 
 def test_path_resolve(spark, placed):
@@ -72,7 +91,9 @@ def test_path_resolve(spark, placed):
         'TestRoot.Nested["3"]': "not_found", "TestRoot..Nested": "path_invalid", "TestRoot.": "path_invalid", "": "path_required", "TestRoot.Nope": "not_found",
         ".TestRoot": 1, "Test Root": "path_invalid", "TestRoot[3]Value": "path_invalid",
     }
-    asked = spark.createDataFrame(list(enumerate(paths)), "request_id int, path string")
+    asked = spark.createDataFrame([(i, 1, p) for i, p in enumerate(paths)], "request_id int, doc_id long, path string")
+    elsewhere = asked.filter("request_id < 2").withColumn("doc_id", F.lit(20).cast("long"))
+    assert {r.status for r in T.path_resolve(elsewhere, placed).collect()} == {"not_found"}
     got = {r.request_id: r.id if r.status == "found" else r.status for r in T.path_resolve(asked, placed).collect()}
     assert [got[i] for i in range(len(paths))] == list(paths.values())
 
@@ -129,6 +150,8 @@ def test_variant_nodes(spark):
     one = [("/".join(r.path), r.kind, r.value) for r in flat if r.doc == 1]
     assert one == [("", "table", "Table"), ("2", "boolean", "true"), ("a", "string", '"t"'), ("b", "table", "Table"), ("b/1", "number", "10"), ("b/2", "table", "Table"), ("b/2/k", "nil", "nil")]
     assert not [r for r in flat if r.doc == 2]
+    assert max(r.depth for r in flat if r.doc == 3) > 8 and not any(r.truncated for r in flat if r.doc in (3, 4))
+    flat = D.variant_nodes(spark.createDataFrame(docs, "doc int, body string"), "doc", "body", max_depth=8, max_entries=200).collect()
     assert max(r.depth for r in flat if r.doc == 3) == 8 and all(r.truncated for r in flat if r.doc == 3)
     four = [r for r in flat if r.doc == 4]
     assert len(four) == 201 and four[0].truncated
@@ -138,17 +161,44 @@ def test_variant_nodes(spark):
 def test_canonical_text(spark):
     docs = [(1, '{"b":2,"a":{"x":[1,"q\\"\\n"]},"e":{}}'), (2, '{"e":{},"a":{"x":[1,"q\\"\\n"]},"b":2}'), (3, "[[[[[[[1]]]]]]]"), (4, "nope")]
     df = spark.createDataFrame(docs, "id int, body string")
-    got = {r.id: r.t for r in df.select("id", D.canonical_text(F.col("body")).alias("t")).collect()}
+    got = {r.id: r.text for r in D.canonical_documents(df, "id", "body").collect()}
     assert got[1] == got[2] == '{\n  ["a"] = {\n    ["x"] = {\n      [1] = 1,\n      [2] = "q\\"\\\n",\n    },\n  },\n  ["b"] = 2,\n  ["e"] = {},\n}'
-    assert "<max depth>" in got[3] and got[4] is None
+    assert got[3].count("{") == 7 and "[1] = 1," in got[3] and 4 not in got
+    shallow = {r.id: r for r in D.canonical_documents(df, "id", "body", max_depth=2).collect()}
+    assert "<max depth>" in shallow[3].text and shallow[3].truncated
     same = {r.first_id: r.copies for r in D.fingerprints(df, "id", "body").collect()}
     assert same == {1: 2, 3: 1}
     wide = json.dumps({f"streamField{i}": "v" * 16 for i in range(3000)})
-    short = D.canonical(wide, 6, 200, 44000)
-    assert "... <2800 entries omitted>" in short
-    full = D.canonical(wide, **D.EXPORT_LIMITS)
-    assert '["streamField2999"]' in full and len(full) > 44000
-    assert D.canonical(wide, 32, 10000, 1000).endswith("\n... <output truncated>")
+    one = spark.createDataFrame([(1, wide), (2, json.dumps({"a": list(range(5)), "b": 1}))], "id int, body string")
+    few = {r.id: r for r in D.canonical_documents(one, "id", "body", max_entries=4).collect()}
+    assert few[1].text.endswith("\n  ... <2996 entries omitted>\n}") and few[1].truncated
+    assert few[2].text == '{\n  ["a"] = {\n    [1] = 0,\n    [2] = 1,\n    [3] = 2,\n    [4] = 3,\n    ... <1 entries omitted>\n  },\n  ["b"] = 1,\n}'
+    full = D.canonical_documents(one, "id", "body").filter("id = 1").collect()[0]
+    assert '["streamField2999"]' in full.text and len(full.text) > 44000 and not full.truncated
+    assert D.canonical_documents(one, "id", "body", max_bytes=1000).filter("id = 1").collect()[0].text.endswith("\n... <output truncated>")
+    far = [(i, json.dumps({"t": "x" * 50000 + str(i)})) for i in range(2)]
+    assert D.fingerprints(spark.createDataFrame(far, "id int, body string"), "id", "body").count() == 2
+
+
+def test_numbers_in_canonical_text(spark):
+    values = [1.5, -2.25, 1e3, 1.5e-7, 0.1, 100.0, 123456.789, 1e-4, 12345678901234.75, 0.0, -0.5, -3.25e-9]
+    df = spark.createDataFrame([(i, json.dumps([v])) for i, v in enumerate(values)] + [(99, "[12345678901234567890, 7]")], "id int, body string")
+    got = {r.id: r.text for r in D.canonical_documents(df, "id", "body").collect()}
+    for i, v in enumerate(values):
+        assert got[i] == "{\n  [1] = %.14g,\n}" % v, v
+    assert "[1] = 12345678901234567890," in got[99] and "[2] = 7," in got[99]
+
+
+def test_wide_objects_stay_linear(spark):
+    import time
+
+    spent = []
+    for n in (2000, 16000):
+        df = spark.createDataFrame([(1, json.dumps({f"k{i}": i for i in range(n)}))], "id int, body string")
+        began = time.time()
+        assert D.variant_nodes(df, "id", "body").count() == n + 1
+        spent.append(time.time() - began)
+    assert spent[1] < 20
 
 
 def test_tree_from_text(spark):
@@ -166,7 +216,8 @@ def test_tree_from_text(spark):
 
 def test_canonical_text_parses_back(spark):
     doc = {"name": "x", "list": [1, 2.5, None, True], "inner": {"k y": "v"}}
-    rows = D.parse_tree("[1] = " + D.canonical(json.dumps(doc), **D.EXPORT_LIMITS))
+    text = D.canonical_documents(spark.createDataFrame([(1, json.dumps(doc))], "id int, body string"), "id", "body").collect()[0].text
+    rows = D.parse_tree("[1] = " + text)
     assert ["/".join(p) for _, p, _, _ in rows][:3] == ["[1]", "[1]/inner", '[1]/inner/["k y"]'] and len(rows) == 9
 
 

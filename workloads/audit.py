@@ -42,7 +42,7 @@ BRANCH = "branches AS (" + " UNION ALL ".join(
     for p in BRANCHES
 ) + ")"
 LEGACY_SQL = r"""legacy AS (SELECT 'legacy-addon-api' AS id, 'warning' AS severity, build, file, line_no AS line,
-  'Legacy addon API access is outside the compatibility layer.' AS message,
+  'An old addon function is called outside the compatibility files.' AS message,
   regexp_extract(line, '(?:^|[^\w.])((?:track|stop)\s*\()', 1) AS evidence
   FROM source_lines WHERE regexp_matches(line, '(?:^|[^\w.])((?:track|stop)\s*\()') AND file NOT LIKE 'src/1%')"""
 

@@ -189,8 +189,8 @@ def normalize_name(spark, d):
     """WITH k AS (SELECT DISTINCT event_name AS key, regexp_replace(lower(event_name), '[^a-z0-9]', '', 'g') AS kn FROM catalog),
     a AS (SELECT addon, regexp_replace(lower(addon), '[^a-z0-9]', '', 'g') AS an
       FROM (SELECT DISTINCT p_name AS addon FROM part UNION SELECT DISTINCT p_name || ' ' || p_brand || ' extra' FROM part))
-    SELECT addon, key, row_number() OVER (PARTITION BY addon ORDER BY key) AS rank
-    FROM k JOIN a ON length(kn) >= 4 AND length(an) >= 4 AND (contains(kn, an) OR contains(an, kn)) QUALIFY rank <= 16""",
+    SELECT addon, key, row_number() OVER (PARTITION BY addon ORDER BY key) AS rank, count(*) OVER (PARTITION BY addon) AS matches
+    FROM k JOIN a ON length(kn) >= 4 AND length(an) >= 4 AND (contains(kn, an) OR contains(an, kn))""",
     ("catalog",),
 )
 def name_match_roots(spark, d):

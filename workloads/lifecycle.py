@@ -83,8 +83,8 @@ def new_functions(spark, d):
 
 @query(
     "function_registry",
-    """SELECT session_id, fn_id, count(*) AS "references", min(path) AS first_path,
-      array_to_string(list_sort(list_distinct(list(path)))[1:6], '|') AS paths
+    """SELECT session_id, fn_id, count(*) AS "references", min(path) AS first_path, count(DISTINCT path) AS path_count,
+      array_to_string(list_sort(list_distinct(list(path))), '|') AS paths
     FROM function_snapshots GROUP BY session_id, fn_id""",
     ("function_snapshots",),
 )

@@ -6,17 +6,16 @@ from fieldscope.functions.text import variable_names as names_of
 from fieldscope.operators import documents as D
 from fieldscope.operators import graph as G
 from fieldscope.operators import trees as T
-from fieldscope.plans import spread
 from workloads import views as V
 from workloads.registry import query
 
-# Every node with the ids and keys on its way from the root; bounded like the operator.
+# Every node with the ids and keys on its way from the root.
 PLACED = """
 placed AS (
   SELECT id, [id] AS ids, [key] AS path, 0 AS depth FROM nodes WHERE parent_id IS NULL
   UNION ALL
   SELECT n.id, list_append(p.ids, n.id), list_append(p.path, n.key), p.depth + 1
-  FROM nodes n JOIN placed p ON n.parent_id = p.id WHERE p.depth < 9)"""
+  FROM nodes n JOIN placed p ON n.parent_id = p.id)"""
 
 
 def label(k):
@@ -28,8 +27,8 @@ def label(k):
     f"""WITH RECURSIVE {PLACED}
     SELECT ids[1] AS doc_id, id, depth::INTEGER AS depth, array_to_string(path, '/') AS path, kind, value,
       row_number() OVER (PARTITION BY ids[1] ORDER BY path, id) AS position,
-      (SELECT count(*) > 4000 FROM placed WHERE depth <= 8) AS truncated
-    FROM placed JOIN nodes USING (id) WHERE depth <= 8 QUALIFY position <= 4000""",
+      false AS truncated
+    FROM placed JOIN nodes USING (id)""",
     ("nodes",),
 )
 def tree_flatten(spark, d):
@@ -64,12 +63,12 @@ BELOW = """below AS (
 @query(
     "footprint",
     f"""WITH RECURSIVE {PLACED}, {BELOW},
-    used AS (SELECT *, CASE WHEN below > 0 THEN 1 ELSE 0 END AS entry FROM below WHERE below = 0 OR rn <= 5000)
+    used AS (SELECT *, CASE WHEN below > 0 THEN 1 ELSE 0 END AS entry FROM below)
     SELECT root_id, sum(entry * 16 + CASE kind WHEN 'string' THEN strlen(value) WHEN 'table' THEN 48 WHEN 'function' THEN 16 ELSE 8 END
         + entry * strlen(key))::BIGINT AS bytes,
       count(*) FILTER (kind = 'table') AS tables, sum(entry)::BIGINT AS entries,
       count(*) FILTER (kind = 'string') + sum(entry)::BIGINT AS strings, count(*) FILTER (kind = 'function') AS functions,
-      sum(entry) >= 5000 AS truncated
+      false AS truncated
     FROM used GROUP BY root_id""",
     ("nodes",),
 )
@@ -81,7 +80,7 @@ def footprint(spark, d):
     "graph_counts",
     f"""WITH RECURSIVE {PLACED}, {BELOW}
     SELECT root_id, count(*) FILTER (kind = 'table') AS tables, count(*) FILTER (kind = 'function') AS functions,
-      count(*) FILTER (kind = 'string') AS strings, count(*) FILTER (below > 0) AS entries FROM below GROUP BY root_id""",
+      count(*) FILTER (kind = 'string') AS strings, count(*) FILTER (below > 0) AS entries, false AS truncated FROM below GROUP BY root_id""",
     ("nodes",),
 )
 def graph_counts(spark, d):
@@ -93,7 +92,7 @@ def graph_counts(spark, d):
     f"""WITH RECURSIVE {PLACED},
     hits AS (SELECT ids[1] AS doc_id, id, key, path, kind, value, CASE WHEN lower(key) = 'cold ring' THEN 1
         WHEN strpos(lower(key), 'cold ring') = 1 THEN 2 WHEN strpos(lower(key), 'cold ring') > 1 THEN 3 END AS match
-      FROM placed JOIN nodes USING (id) WHERE depth BETWEEN 1 AND 7)
+      FROM placed JOIN nodes USING (id) WHERE depth >= 1)
     SELECT doc_id, id, key, match, count(*) OVER (PARTITION BY doc_id) AS total_matches,
       row_number() OVER (PARTITION BY doc_id ORDER BY match, key, path) AS rank,
       CASE kind WHEN 'string' THEN '"' || value || '"' WHEN 'table' THEN 'table' ELSE value END AS preview
@@ -107,22 +106,26 @@ def key_search(spark, d):
 @query(
     "search_fallback",
     f"""WITH RECURSIVE {PLACED},
-    q(query_id, needle, scope_id) AS (VALUES (1, 'widget', 1), (2, 'small', 1900), (3, 'no such key', 2), (4, '_1', 5)),
-    hits AS (SELECT query_id, id, key, path, CASE WHEN list_position(ids, scope_id) > 0 AND depth + 1 - list_position(ids, scope_id) BETWEEN 1 AND 7
-          THEN true ELSE false END AS loc, depth = 1 AS toplevel,
+    q AS (SELECT c_custkey AS query_id, CASE c_custkey % 4 WHEN 0 THEN 'ring' WHEN 1 THEN 'no such key' WHEN 2 THEN '_' || c_custkey ELSE lower(split_part(p_name, ' ', 1)) END AS needle,
+        c_custkey % 50 AS scope_id FROM customer JOIN (SELECT p_partkey, p_name FROM part WHERE p_partkey < 100) ON p_partkey = c_custkey % 100),
+    hits AS (SELECT query_id, id, key, path, coalesce(list_position(ids, scope_id) > 0 AND depth + 1 - list_position(ids, scope_id) >= 1, false) AS loc, depth = 1 AS toplevel,
         CASE WHEN lower(key) = needle THEN 1 WHEN strpos(lower(key), needle) = 1 THEN 2 ELSE 3 END AS match
       FROM placed JOIN nodes USING (id) JOIN q ON contains(lower(key), needle)),
     u AS (SELECT *, 'local' AS scope FROM hits WHERE loc UNION ALL
           SELECT *, 'global' AS scope FROM hits WHERE toplevel AND query_id NOT IN (SELECT query_id FROM hits WHERE loc))
     SELECT query_id, scope, id, key, match, count(*) OVER (PARTITION BY query_id) AS total_matches,
-      row_number() OVER (PARTITION BY query_id ORDER BY match, key, path) AS rank FROM u QUALIFY rank <= 200""",
+      row_number() OVER (PARTITION BY query_id ORDER BY match, key, path) AS rank FROM u QUALIFY rank <= 5""",
     ("nodes",),
 )
 def search_fallback(spark, d):
-    asked = spark.createDataFrame(
-        [(1, "Widget ", 1), (2, "small", 1900), (3, "no such key", 2), (4, "_1", 5)], "query_id int, needle string, scope_id bigint"
+    k = F.col("c_custkey")
+    words = V.table(spark, d, "part").filter("p_partkey < 100").select("p_partkey", F.split("p_name", " ")[0].alias("word"))
+    asked = V.table(spark, d, "customer").withColumn("p_partkey", k % 100).join(words, "p_partkey").select(
+        k.alias("query_id"),
+        F.when(k % 4 == 0, "Ring ").when(k % 4 == 1, "no such key").when(k % 4 == 2, F.concat(F.lit("_"), k.cast("string"))).otherwise(F.col("word")).alias("needle"),
+        (k % 50).alias("scope_id"),
     )
-    return T.search_fallback(placed(spark, d), asked)
+    return T.search_fallback(placed(spark, d), asked, limit=5)
 
 
 @query(
@@ -149,21 +152,21 @@ def canonical_key_order(spark, d):
 
 @query(
     "child_pages",
-    """SELECT lang AS parent_id, doc_id AS id, 'doc' || doc_id AS key, row_number() OVER w AS position, (row_number() OVER w - 1) // 200 AS page,
+    """SELECT lang AS parent_id, doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'doc' || doc_id ELSE doc_id::VARCHAR END AS key, row_number() OVER w AS position, (row_number() OVER w - 1) // 200 AS page,
       least(((row_number() OVER w - 1) // 200 + 1) * 200, count(*) OVER (PARTITION BY lang)) AS loaded_count,
       ((row_number() OVER w - 1) // 200 + 1) * 200 < count(*) OVER (PARTITION BY lang) AS has_more
-    FROM documents WINDOW w AS (PARTITION BY lang ORDER BY 'doc' || doc_id, doc_id)""",
+    FROM documents WINDOW w AS (PARTITION BY lang ORDER BY doc_id % 2 = 0, CASE WHEN doc_id % 2 = 1 THEN doc_id END, 'doc' || doc_id, doc_id)""",
 )
 def child_pages(spark, d):
     children = V.table(spark, d, "documents").select(
-        F.col("lang").alias("parent_id"), F.col("doc_id").alias("id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("key")
+        F.col("lang").alias("parent_id"), F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("doc"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string")).alias("key")
     )
     return T.child_pages(children)
 
 
 @query(
     "path_resolve",
-    """SELECT id AS request_id, CASE WHEN id % 10 IN (1, 2, 3) THEN NULL ELSE id END AS id, CASE WHEN id % 10 NOT IN (1, 2, 3) THEN kind END AS kind,
+    """SELECT id AS request_id, 0::BIGINT AS doc_id, CASE WHEN id % 10 IN (1, 2, 3) THEN NULL ELSE id END AS id, CASE WHEN id % 10 NOT IN (1, 2, 3) THEN kind END AS kind,
       CASE id % 10 WHEN 1 THEN 'path_invalid' WHEN 2 THEN 'not_found' WHEN 3 THEN 'path_required' ELSE 'found' END AS status FROM nodes""",
     ("nodes",),
 )
@@ -173,6 +176,7 @@ def path_resolve(spark, d):
     k = F.col("id") % 10
     requests = tree.select(
         F.col("id").alias("request_id"),
+        "doc_id",
         F.when(k == 1, F.concat(path, F.lit("..x"))).when(k == 2, F.concat(path, F.lit("[3]"))).when(k == 3, "  ")
         .when(k % 2 == 0, F.concat(F.lit(" _G."), path)).otherwise(path).alias("path"),
     )
@@ -182,8 +186,8 @@ def path_resolve(spark, d):
 @query(
     "graph_reach",
     """WITH RECURSIVE r AS (SELECT 1::BIGINT AS id, 0 AS depth UNION SELECT 97, 0
-      UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = id WHERE depth < 8)
-    SELECT id, min(depth)::INTEGER AS depth FROM r GROUP BY id""",
+      UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = id WHERE depth < 40)
+    SELECT id, min(depth)::INTEGER AS depth, false AS truncated FROM r GROUP BY id""",
     ("edges",),
 )
 def graph_reach(spark, d):
@@ -193,13 +197,13 @@ def graph_reach(spark, d):
 
 @query(
     "owner_frames",
-    """WITH RECURSIVE r AS (SELECT 1::BIGINT AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = id WHERE depth < 3),
+    """WITH RECURSIVE r AS (SELECT 1::BIGINT AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN edges ON src = id WHERE depth < 40),
     u AS (SELECT id AS object_id, 1 AS g, 0 AS s FROM r UNION ALL SELECT object_id, 0, 1 FROM object_snapshots WHERE contains(location, '/Brand7/'))
     SELECT object_id, max(g)::INTEGER AS via_graph, max(s)::INTEGER AS via_source FROM u GROUP BY object_id""",
     ("edges", "object_snapshots"),
 )
 def owner_frames(spark, d):
-    reached = G.graph_reach(V.edges(spark, d), V.nodes(spark, d).filter("id = 1").select("id"), 3)
+    reached = G.graph_reach(V.edges(spark, d), V.nodes(spark, d).filter("id = 1").select("id"))
     return G.owner_frames(V.object_snapshots(spark, d), "Brand7", reached)
 
 
@@ -276,8 +280,8 @@ def tree_flatten_json(spark, d):
 
 
 def declared_documents(spark, d):
-    """Documents owned by users; every third is declared, and so are some that never existed."""
-    docs = json_docs(spark, d).filter("content <> '{broken'").join(
+    """Documents owned by users, some of them broken; every third is declared, and so are some that never existed."""
+    docs = json_docs(spark, d).filter("event_id % 100 <> 0 OR event_id % 200 = 0").join(
         V.table(spark, d, "events").select("event_id", F.col("user_id").alias("owner")), "event_id"
     ).select("owner", F.concat(F.lit("DB_"), F.col("event_id").cast("string")).alias("name"), "content")
     listing = V.table(spark, d, "events").filter("event_id % 3 = 0").select(
@@ -299,7 +303,7 @@ def variable_names(spark, d):
 
 @query(
     "document_scan",
-    """SELECT user_id AS owner, 'DB_' || event_id AS name, event_id % 100 <> 0 AS loaded FROM events WHERE event_id % 3 = 0""",
+    """SELECT user_id AS owner, 'DB_' || event_id AS name, event_id % 100 <> 0 OR event_id % 200 = 0 AS loaded FROM events WHERE event_id % 3 = 0""",
 )
 def document_scan(spark, d):
     docs, declared = declared_documents(spark, d)
@@ -308,15 +312,23 @@ def document_scan(spark, d):
 
 @query(
     "document_footprint",
-    """SELECT user_id AS owner, 'DB_' || event_id AS name, event_id % 100 <> 0 AS loaded,
-      CASE WHEN event_id % 100 = 0 THEN 8 ELSE 3 * 48 + 7 * 16 + 4 * 8 + 4 + 4 + 1 + 4 + 5 + 2 * 8 + length(event_type) END::BIGINT AS bytes,
-      CASE WHEN event_id % 100 = 0 THEN 0 ELSE 3 END::BIGINT AS tables, CASE WHEN event_id % 100 = 0 THEN 0 ELSE 7 END::BIGINT AS entries,
-      CASE WHEN event_id % 100 = 0 THEN 0 ELSE 6 END::BIGINT AS strings
-    FROM events WHERE event_id % 3 = 0""",
+    """SELECT source AS owner, 'DB_' || doc_id AS name, true AS loaded,
+      CASE WHEN doc_id % 50 = 0 THEN 8 ELSE 48 + 4 * 16 + strlen('lang') + strlen('n_chars') + strlen('source') + strlen('text')
+        + strlen(lang) + 8 + 1 + strlen(text) + 4 END::BIGINT AS bytes,
+      CASE WHEN doc_id % 50 = 0 THEN 0 ELSE 1 END::BIGINT AS tables, CASE WHEN doc_id % 50 = 0 THEN 0 ELSE 4 END::BIGINT AS entries,
+      CASE WHEN doc_id % 50 = 0 THEN 0 ELSE 7 END::BIGINT AS strings, false AS truncated
+    FROM documents
+    UNION ALL SELECT source, 'Never_' || doc_id, false, 8, 0, 0, 0, false FROM documents WHERE doc_id % 3 = 0""",
 )
 def document_footprint(spark, d):
-    docs, declared = declared_documents(spark, d)
-    return D.document_footprint(D.document_scan(docs, declared))
+    docs = wide_docs(spark, d, F.concat("text", F.lit("\r\0\n\"")))
+    owned = docs.join(V.table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    have = owned.select(
+        F.col("source").alias("owner"), F.concat(F.lit("DB_"), F.col("doc_id").cast("string")).alias("name"),
+        F.when(F.col("doc_id") % 50 != 0, F.col("content")).otherwise("{broken").alias("content"),
+    )
+    never = owned.filter("doc_id % 3 = 0").select(F.col("source").alias("owner"), F.concat(F.lit("Never_"), F.col("doc_id").cast("string")).alias("name"))
+    return D.document_footprint(D.document_scan(have, have.select("owner", "name").unionByName(never)))
 
 
 CANONICAL = """'{' || chr(10) || '  ["lang"] = "' || lang || '",' || chr(10) || '  ["n_chars"] = ' || n_chars || ',' || chr(10)
@@ -324,8 +336,8 @@ CANONICAL = """'{' || chr(10) || '  ["lang"] = "' || lang || '",' || chr(10) ||
   || replace(replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\' || chr(10)), chr(13), '\\r') || '",' || chr(10) || '}'"""
 
 
-def wide_docs(spark, d):
-    body = F.to_json(F.struct("text", (F.col("doc_id") % 2).cast("string").alias("source"), "n_chars", "lang"))
+def wide_docs(spark, d, text=None):
+    body = F.to_json(F.struct((F.col("text") if text is None else text).alias("text"), (F.col("doc_id") % 2).cast("string").alias("source"), "n_chars", "lang"))
     return V.table(spark, d, "documents").select("doc_id", body.alias("content"))
 
 
@@ -335,7 +347,7 @@ def wide_docs(spark, d):
     FROM (SELECT doc_id, {CANONICAL} AS t FROM documents) GROUP BY 1""",
 )
 def canonical_text(spark, d):
-    return D.fingerprints(wide_docs(spark, d), "doc_id", "content", **D.EXPORT_LIMITS)
+    return D.fingerprints(wide_docs(spark, d), "doc_id", "content")
 
 
 @query(
@@ -351,8 +363,9 @@ def canonical_text(spark, d):
     SELECT event_id, position::INTEGER AS position, depth::INTEGER AS depth, path, kind, value FROM n""",
 )
 def tree_from_text(spark, d):
-    text = F.concat(F.lit("log line\n[1] = "), D.canonical_text(F.col("content")))
-    entries = spread(json_docs(spark, d)).select("event_id", F.coalesce(text, F.lit("[1] = {[")).alias("result"))
+    docs = json_docs(spark, d)
+    good = D.canonical_documents(docs, "event_id", "content").select("event_id", F.concat(F.lit("log line\n[1] = "), "text").alias("result"))
+    entries = good.unionByName(docs.filter("content = '{broken'").select("event_id", F.lit("[1] = {[").alias("result")))
     return D.tree_from_text(entries, "result", ["event_id"]).select(
         "event_id", "position", "depth", F.array_join("path", "/").alias("path"), "kind", "value"
     )
