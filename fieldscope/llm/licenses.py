@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldscope.llm import shingles
+from fieldscope.session import pin
 
 CONTAINMENT = 0.8
 BANDS = 40
@@ -48,17 +49,17 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return spark.createDataFrame(list(templates), "license string, template string")
 
 
-def _signature(hashes: str):
-    """For each band the least of the hashes under that band's hash function."""
+def _signature(texts: str):
+    """For each band the least of the shingles' hashes under that band's hash function."""
 
-    def least(band: int):
+    def least(hashes, band: int):
         return F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(band))))
 
-    return F.array(*[least(band) for band in range(BANDS)])
+    return shingles.once(F.transform(texts, lambda t: F.xxhash64(t)), lambda hashes: F.array(*[least(hashes, band) for band in range(BANDS)]))
 
 
-def _bands(frame: DataFrame, hashes: str) -> DataFrame:
-    return frame.withColumn("_signature", _signature(hashes)).select("*", F.posexplode("_signature").alias("band", "least")).drop("_signature", hashes)
+def _bands(frame: DataFrame, texts: str) -> DataFrame:
+    return frame.withColumn("_signature", _signature(texts)).select("*", F.posexplode("_signature").alias("band", "least")).drop("_signature", texts)
 
 
 def license_matches(docs: DataFrame, templates: DataFrame | None = None, containment: float = CONTAINMENT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -83,13 +84,11 @@ def license_matches(docs: DataFrame, templates: DataFrame | None = None, contain
     number = F.floor(F.col("place") / F.col("width")).cast("int")
     numbers = F.array_distinct(F.array(F.least(number, last), F.least(F.greatest(number - 1, F.lit(0)), last)))
     windows = found.select("row_key", "width", F.explode(numbers).alias("number")).distinct()
-    windows = shingles.sendable(windows, "licence-windows")
-
-    cut = rows.join(windows, "row_key").withColumn("start", F.col("number") * F.col("width"))
-    cut = cut.withColumn("window", F.slice(shingles.words_of("text"), F.col("start") + 1, F.col("width") * 2))
-    cut = cut.select("row_key", "doc_id", "width", "start", F.array_distinct(shingles.texts_in(F.col("window"))).alias("texts")).distinct()
-    signed = _bands(cut.select("row_key", "width", "start", F.transform("texts", lambda t: F.xxhash64(t)).alias("hashes")), "hashes")
-    index = _bands(known.select("license", "template", "width", F.transform("texts", lambda t: F.xxhash64(t)).alias("hashes")), "hashes")
+    windows = windows.select("row_key", "width", (F.col("number") * F.col("width")).alias("start"))
+    cut = shingles.windows_of(rows, windows, F.col("start"), F.col("width") * 2)
+    cut = pin(cut.select("row_key", "doc_id", "width", "start", F.array_distinct("texts").alias("texts")).distinct(), "licence-window-texts")
+    signed = _bands(cut.select("row_key", "width", "start", "texts"), "texts")
+    index = _bands(known.select("license", "template", "width", "texts"), "texts")
     asked = signed.where("least is not null").join(index, ["width", "band", "least"]).select("row_key", "width", "start", "license", "template").distinct()
 
     held = asked.join(cut, ["row_key", "width", "start"]).join(known.select("license", "template", F.col("texts").alias("asked")), ["license", "template"])

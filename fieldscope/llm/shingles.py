@@ -40,10 +40,33 @@ def text_at(place: Column, words: Column) -> Column:
     return F.array_join(F.slice(words, place + 1, WORDS), " ")
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)``, the value being worked out once: an expression that a lambda refers to is else worked out in each step."""
+    return F.transform(F.array(value), use)[0]
+
+
 def texts_in(words: Column) -> Column:
     """All shingles of an array of words, repeats included."""
-    last = F.size(words) - WORDS
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: text_at(i, words))).otherwise(F.array().cast("array<string>"))
+
+    def cut(held):
+        last = F.size(held) - WORDS
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: text_at(i, held))).otherwise(F.array().cast("array<string>"))
+
+    return once(words, cut)
+
+
+def windows_of(rows: DataFrame, asked: DataFrame, first: Column, length: Column) -> DataFrame:
+    """A row per row of ``asked`` (row_key, ...) with ``texts``: the shingles of its window of the row's words.
+
+    The windows of a row come to its text together, so that the text is split once.
+    """
+    wanted = [c for c in asked.columns if c != "row_key"]
+    gathered = asked.withColumn("_first", first).withColumn("_length", length)
+    gathered = gathered.groupBy("row_key").agg(F.collect_list(F.struct(*wanted, "_first", "_length")).alias("_asked"))
+    joined = rows.join(sendable(gathered, "asked-windows"), "row_key")
+    cut = once(words_of("text"), lambda words: F.transform("_asked", lambda a: F.struct(a.alias("asked"), F.slice(words, a["_first"] + 1, a["_length"]).alias("words"))))
+    windows = joined.select("row_key", "doc_id", F.explode(cut).alias("_w"))
+    return windows.select("row_key", "doc_id", *[F.col(f"_w.asked.{c}").alias(c) for c in wanted], texts_in(F.col("_w.words")).alias("texts"))
 
 
 def sendable(table: DataFrame, label: str, most: int = SMALL) -> DataFrame:
