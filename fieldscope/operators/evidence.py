@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldscope.functions import wording as W
 from fieldscope.functions.text import byte_truncate
-from fieldscope.plans import running_total, top_per_key
+from fieldscope.plans import chunk_of, running_total, top_per_key
 
 ENVIRONMENT = ("addon_name", "client_id", "version", "build", "build_date", "interface", "locale")
 
@@ -24,10 +24,6 @@ def accepted(exports: DataFrame, limit: int = W.STORE_BYTES) -> DataFrame:
     return exports.filter((F.octet_length("content") > 0) & (F.octet_length("content") <= limit))
 
 
-def minute_of(epoch_seconds: str) -> Column:
-    return F.floor(F.col(epoch_seconds) / 60)
-
-
 def evidence_number(exports: DataFrame, last_ids: DataFrame | None = None) -> DataFrame:
     """Give every export the next id of its account and its ticket.
 
@@ -35,9 +31,8 @@ def evidence_number(exports: DataFrame, last_ids: DataFrame | None = None) -> Da
     before, also to records that are gone by now. Empty and oversize exports take an id
     too, so ids may have gaps once those are dropped.
     """
-    numbered = running_total(
-        exports, ["account"], [F.col("created_at"), F.col("id")], minute_of("created_at"), F.lit(1), "_n"
-    )
+    order = [F.col("created_at"), F.col("id")]
+    numbered = running_total(exports, ["account"], order, chunk_of(exports, order), F.lit(1), "_n")
     if last_ids is None:
         base = F.lit(0)
     else:
@@ -266,15 +261,9 @@ def order_reconcile(order: DataFrame, records: DataFrame) -> DataFrame:
     """
     listed = order.groupBy("account", "ticket").agg(F.min("position").alias("_listed"))
     present = records.select("account", "ticket", "created_at").join(listed, ["account", "ticket"], "left")
-    return running_total(
-        present.withColumn("was_listed", F.col("_listed").isNotNull()).drop("_listed"),
-        ["account"],
-        [F.col("created_at").desc(), F.col("ticket").asc()],
-        minute_of("created_at"),
-        F.lit(1),
-        "position",
-        descending=True,
-    )
+    order = [-F.col("created_at"), F.col("ticket")]
+    marked = present.withColumn("was_listed", F.col("_listed").isNotNull()).drop("_listed")
+    return running_total(marked, ["account"], order, chunk_of(records, order), F.lit(1), "position")
 
 
 def export_chunks(records: DataFrame, size: int = W.OUTPUT_BYTES) -> DataFrame:

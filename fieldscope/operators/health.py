@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldscope.functions.numbers import overall_share, relative_share
-from fieldscope.plans import bucket_of, running_total, split_points
+from fieldscope.plans import chunk_of, running_total
 
 
 def findings(metrics: dict[str, Column] | None = None) -> Column:
@@ -75,9 +75,5 @@ def health_snapshot(counters: DataFrame, totals: DataFrame, key: str = "client_i
 
 def health_rank(snapshot: DataFrame, key: str = "client_id") -> DataFrame:
     """Rank within a client: severity, then recent load, then name."""
-    recent = F.coalesce("recent_average", F.lit(-1.0))
-    order = [F.col("severity").desc(), recent.desc(), F.col("name").asc()]
-    # Chunks follow the order: severity, then steps of the load; the many idle addons are cut by name.
-    steps = F.col("severity") * 10000 + F.floor(F.log2(recent + 2) * 8)
-    idle = F.when(recent <= 0, bucket_of("name", split_points(snapshot, "name"))).otherwise(0)
-    return running_total(snapshot, [key], order, idle - steps * 100, F.lit(1), "rank")
+    order = [-F.col("severity"), -F.coalesce("recent_average", F.lit(-1.0)), F.col("name")]
+    return running_total(snapshot, [key], order, chunk_of(snapshot, order), F.lit(1), "rank")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldscope.functions.text import source_attribution
-from fieldscope.plans import previous_row, running_total, top_per_key, transition_totals
+from fieldscope.plans import chunk_of, previous_row, running_total, top_per_key, transition_totals
 
 # Snapshots handled by one task before a carry to the next chunk of the same key.
 CHUNK = 100_000
@@ -283,10 +283,8 @@ def storage_delta(roots: DataFrame) -> DataFrame:
 
 def storage_rank(roots: DataFrame) -> DataFrame:
     """Rank of each root by size within its session and phase."""
-    doublings = F.floor(F.log2(F.col("bytes").cast("double") + 1))
-    return running_total(
-        roots, ["session_id", "phase"], [F.col("bytes").desc(), F.col("name").asc()], doublings, F.lit(1), "rank", descending=True
-    )
+    order = [-F.col("bytes"), F.col("name")]
+    return running_total(roots, ["session_id", "phase"], order, chunk_of(roots, order), F.lit(1), "rank")
 
 
 def storage_status(declared: Column, loaded: Column) -> Column:

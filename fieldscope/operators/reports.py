@@ -47,7 +47,7 @@ def whole(name: str) -> Column:
     return F.coalesce(F.col(name).cast("bigint"), F.lit(0))
 
 
-def sections(df: DataFrame, key: str, parts: dict[int, list[Column | str] | Column]) -> DataFrame:
+def sections(df: DataFrame, key: str | list[str], parts: dict[int, list[Column | str] | Column]) -> DataFrame:
     """Report sections of consecutive lines, all from one pass over ``df``; null lines are left out."""
     rows = []
     for number, lines in parts.items():
@@ -57,7 +57,7 @@ def sections(df: DataFrame, key: str, parts: dict[int, list[Column | str] | Colu
         section = F.lit(number).alias("section")
         numbered = F.transform(kept, lambda t, i: F.struct(i.cast("bigint").alias("item"), t.alias("line")))
         rows.append(F.transform(numbered, lambda r: F.struct(section, r["item"].alias("item"), r["line"].alias("line"))))
-    return df.select(key, F.inline(F.concat(*rows)))
+    return df.select(*([key] if isinstance(key, str) else key), F.inline(F.concat(*rows)))
 
 
 def listing(df: DataFrame, key: str, section: int, item: Column, line: Column) -> DataFrame:
@@ -87,13 +87,13 @@ def _risk(severity: Column) -> Column:
 
 
 def health_report(snapshot: DataFrame, profiler: bool = True, deep: bool = False, cpu_bound: bool | None = None) -> DataFrame:
-    """Baseline report of every addon of a health snapshot."""
+    """Baseline report of every addon of each client of a health snapshot, keyed by (client_id, name)."""
     ms = lambda c: N.format_ms(F.col(c))
     found = F.transform("findings", _finding_text)
     findings = F.when(F.size("findings") > 0, found).otherwise(F.array(F.lit(R.NO_FINDINGS)))
     ready = lambda flag, yes, no: "- " + (yes if flag else no)
     bound = [] if cpu_bound is None else [f"- {R.CPU_BOUND}: {R.CPU_BOUND_YES if cpu_bound else R.CPU_BOUND_NO}"]
-    return sections(snapshot, "name", {
+    return sections(snapshot, ["client_id", "name"], {
         0: [R.BASELINE, F.concat("title", F.lit("  ("), "name", F.lit(")")), R.CONCLUSION],
         1: F.concat(F.array(pair(R.RISK_LABEL, _risk(F.col("severity")))), findings),
         2: [

@@ -24,7 +24,7 @@ def split_points(df: DataFrame, column: str, parts: int = 64, sample_rows: int =
     values = df.select(column).filter(F.col(column).isNotNull())
     total = values.count()
     sample = values.sample(fraction=min(1.0, sample_rows / max(1, total)), seed=17)  # about sample_rows of any total
-    found = sorted({row[0] for row in sample.collect()})
+    found = sorted({row[0] for row in sample.collect() if not isinstance(row[0], tuple) or None not in row[0]})
     return sorted({found[i * len(found) // parts] for i in range(1, parts)}) if found else []
 
 
@@ -36,6 +36,23 @@ def bucket_of(column: str, points: Sequence) -> Column:
     return F.size(F.filter(edges, lambda edge: edge <= F.col(column)))
 
 
+def chunk_of(df: DataFrame, order: Sequence[Column], parts: int = 64, sample_rows: int = 4000) -> Column:
+    """A chunk number that never falls along ``order`` (ascending columns), with about as many rows in each chunk.
+
+    Cut points are rows of a random sample, compared by the whole order: equal leading values, such as all
+    rows of one minute, are cut by what comes after them.
+    """
+    names = [f"_c{i}" for i in range(len(order))]
+    keyed = df.select(F.struct(*[c.alias(n) for c, n in zip(order, names)]).alias("_o"))
+    points = split_points(keyed, "_o", parts, sample_rows)
+    if not points:
+        return F.lit(0)
+    kinds = [f.dataType for f in keyed.schema["_o"].dataType.fields]
+    edges = F.array(*[F.struct(*[F.lit(p[n]).cast(k).alias(n) for n, k in zip(names, kinds)]) for p in points])
+    here = F.struct(*[c.alias(n) for c, n in zip(order, names)])
+    return F.size(F.filter(edges, lambda edge: edge <= here))
+
+
 def transition_totals(
     df: DataFrame,
     keys: Sequence[str],

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldscope.plans.ordered import running_total
+
+
+FINER = 4096  # parts of a bucket that holds a rank
+
 
 def _bucket(value: Column) -> Column:
     """Order-preserving bucket of a double: 64 steps per doubling, about 1 % wide."""
@@ -49,23 +54,22 @@ def nearest_rank(
     upto = by_measure.orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
     targets = (
         values.groupBy(*bucket)
-        .agg(F.count(F.lit(1)).alias("_bn"))
+        .agg(F.count(F.lit(1)).alias("_bn"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
         .withColumn("_cum", F.sum("_bn").over(upto))
         .withColumn("_all", F.sum("_bn").over(by_measure))
         .withColumn("_t", F.explode(F.element_at(wanted, F.col("_m"))))
         .withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.col("_all").cast("double") * F.col("_t.p"))))
         .filter((F.col("_rank") <= F.col("_cum")) & (F.col("_rank") > F.col("_cum") - F.col("_bn")))
-        .select(*bucket, F.col("_t.alias").alias("_alias"), (F.col("_rank") - F.col("_cum") + F.col("_bn")).alias("_at"))
-    )
-    inside = W.partitionBy(*bucket).orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    counts = (
-        values.join(targets.select(*bucket), bucket, "left_semi")
-        .groupBy(*bucket, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(inside))
+        .select(*bucket, "_low", "_high", F.col("_t.alias").alias("_alias"), (F.col("_rank") - F.col("_cum") + F.col("_bn")).alias("_at"))
     )
+    # A bucket of many close values is cut evenly between its ends, so that no task puts all of them in order.
+    ends = targets.select(*bucket, "_low", "_high").distinct()
+    distinct = values.join(ends, bucket).groupBy(*bucket, F.col("_v").alias("_x"), "_low", "_high").agg(F.count(F.lit(1)).alias("_n"))
+    place = (F.col("_x") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    finer = F.when(F.col("_high") > F.col("_low"), F.floor(place * FINER)).otherwise(0)
+    counts = running_total(distinct, bucket, [F.col("_x")], finer, F.col("_n"), "_upto").drop("_low", "_high")
     found = counts.join(targets, bucket).filter(
         (F.col("_at") <= F.col("_upto")) & (F.col("_at") > F.col("_upto") - F.col("_n"))
     )
     aliases = [alias for pairs in points.values() for alias, _ in pairs]
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_alias") == a, F.col("_v"))).alias(a) for a in aliases])
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_alias") == a, F.col("_x"))).alias(a) for a in aliases])

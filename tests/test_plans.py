@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fieldscope.plans import bucket_of, nearest_rank, previous_row, running_total, split_points, top_per_key, transition_totals
+from fieldscope.plans import bucket_of, chunk_of, nearest_rank, previous_row, running_total, split_points, top_per_key, transition_totals
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +41,30 @@ def test_nearest_rank_equals_sorted_position(skewed):
             assert got[key][name] == values[max(1, math.ceil(len(values) * p)) - 1]
 
 
+def test_close_values_are_cut_finer(spark):
+    """200,000 values within a thousandth fall into one bucket; its parts are ordered apart."""
+    df = spark.range(200_000).selectExpr("1 as k", "1.0e9 + id * 10.0 as v")
+    got = nearest_rank(df, ["k"], {"v": [("a", 0.5), ("b", 0.999)]})
+    assert tuple(got.collect()[0]) == (1, 1.0e9 + 99_999 * 10.0, 1.0e9 + 199_799 * 10.0)
+
+
+def test_chunks_cut_rows_that_share_their_first_column(spark):
+    df = spark.range(5000).selectExpr("1 as k", "7 as minute", "id")
+    chunk = chunk_of(df, [F.col("minute"), F.col("id")])
+    sizes = [r["count"] for r in df.groupBy(chunk.alias("c")).count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 500
+    ranked = running_total(df, ["k"], [F.col("minute"), F.col("id")], chunk, F.lit(1), "n")
+    assert all(r.n == r.id + 1 for r in ranked.collect())
+
+
+def test_exact_sum_keeps_small_samples(spark):
+    from fieldscope.functions.numbers import exact_sum
+
+    df = spark.range(1000).selectExpr("4e-7D as small", "1e16D as large", "0.1D as tenth", "cast(null as double) as none", "if(id = 0, 1e12D, 1e-9D) as both")
+    row = df.agg(*[exact_sum(F.col(c)).alias(c) for c in df.columns]).collect()[0]
+    assert (row.small, row.large, row.tenth, row.none, row.both) == (4e-4, 1e19, 100.0, None, 1e12 + 999e-9)
+
+
 def test_nearest_rank_small_counts(spark):
     data = [(n, float(v)) for n in range(1, 60) for v in range(n)]
     df = spark.createDataFrame(data, "n int, v double")

@@ -86,16 +86,16 @@ RISK = "CASE " + " ".join(f"WHEN severity >= {k} THEN {lit(v)}" for k, v in sort
         CASE WHEN a > 0 THEN greatest(0, o / a * 100) END AS overall
       FROM addons JOIN totals USING (client_id) WHERE loaded),
     f AS (SELECT *, unnest(string_split(codes, ',')) AS c, unnest(range(1, len(string_split(codes, ',')) + 1)) AS i FROM s)
-    {lines_sql('s', 'name', 0, lit(W.BASELINE), "shown || '  (' || name || ')'", lit(W.CONCLUSION))}
-    UNION ALL SELECT name, 1, 0, 'Risk: ' || {RISK} FROM s
-    UNION ALL SELECT name, 1, i, CASE WHEN c = '' THEN {lit(W.NO_FINDINGS)} ELSE {FINDING} END FROM f
-    UNION ALL {lines_sql('s', 'name', 2, lit(W.CURRENT_LOAD), "'Recent: ' || " + _ms('recent_average'), "'Addon Share: ' || " + pct('share'),
+    {lines_sql('s', 'client_id, name', 0, lit(W.BASELINE), "shown || '  (' || name || ')'", lit(W.CONCLUSION))}
+    UNION ALL SELECT client_id, name, 1, 0, 'Risk: ' || {RISK} FROM s
+    UNION ALL SELECT client_id, name, 1, i, CASE WHEN c = '' THEN {lit(W.NO_FINDINGS)} ELSE {FINDING} END FROM f
+    UNION ALL {lines_sql('s', 'client_id, name', 2, lit(W.CURRENT_LOAD), "'Recent: ' || " + _ms('recent_average'), "'Addon Share: ' || " + pct('share'),
       fill(W.ALL_SHARE, pct('overall')), "'Memory: ' || " + memory('memory'))}
-    UNION ALL {lines_sql('s', 'name', 3, lit(W.LONG_TERM), "'Session Average: ' || " + _ms('session_average'), "'Encounter: ' || " + _ms('encounter_average'),
+    UNION ALL {lines_sql('s', 'client_id, name', 3, lit(W.LONG_TERM), "'Session Average: ' || " + _ms('session_average'), "'Encounter: ' || " + _ms('encounter_average'),
       "'Peak: ' || " + _ms('peak_time'), fill('1/5/10ms: %d / %d / %d', *[f'over{k}::BIGINT' for k in (1, 5, 10)]),
       fill('50/100/500/1000ms: %d / %d / %d / %d', *[f'over{k}::BIGINT' for k in (50, 100, 500, 1000)]))}
-    UNION ALL {lines_sql('s', 'name', 4, lit(W.CAPABILITIES), lit('- ' + W.PROFILER_READY), lit('- ' + W.DEEP_MISSING), lit('- Client Bottleneck: CPU bound'))}
-    UNION ALL {lines_sql('s', 'name', 5, lit(W.NEXT_ACTION), lit(W.START_GUIDE))}""",
+    UNION ALL {lines_sql('s', 'client_id, name', 4, lit(W.CAPABILITIES), lit('- ' + W.PROFILER_READY), lit('- ' + W.DEEP_MISSING), lit('- Client Bottleneck: CPU bound'))}
+    UNION ALL {lines_sql('s', 'client_id, name', 5, lit(W.NEXT_ACTION), lit(W.START_GUIDE))}""",
     ("metric_counters",),
 )
 def health_report(spark, d):
