@@ -32,31 +32,28 @@ def elapsed_stream(records: DataFrame, captures: DataFrame) -> DataFrame:
 
 
 RING_COLUMNS = ["ts_us", "seq", "event"]
-RING_OUT = "session_id bigint, shard int, version bigint, ts_us bigint, seq bigint, event string"
+RING_OUT = "session_id bigint, shard int, ts_us bigint, seq bigint, event string"
 
 
 class NewestRecords(StatefulProcessor):
-    """Keeps the newest records of a (session, shard) and reports them after every change."""
+    """Keeps the newest records of a (session, shard) and reports those that are new among them, each once."""
 
     def __init__(self, limit: int):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.kept = handle.getListState("kept", "ts_us bigint, seq bigint, event string")
-        self.version = handle.getValueState("version", "n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = pd.DataFrame(list(self.kept.get()), columns=RING_COLUMNS) if self.kept.exists() else None
+        known = set() if kept is None else set(kept["seq"])
         for part in rows:
             part = part[RING_COLUMNS]
             both = part if kept is None else pd.concat([kept, part])
             kept = both.sort_values(["ts_us", "seq"], ascending=False).drop_duplicates("seq").head(self.limit)
-        version = (self.version.get()[0] if self.version.exists() else 0) + 1
-        self.version.update((version,))
         self.kept.put([(int(t), int(s), e) for t, s, e in kept.itertuples(index=False)])
-        yield kept.assign(session_id=key[0], shard=key[1], version=version)[
-            ["session_id", "shard", "version", *RING_COLUMNS]
-        ]
+        entered = kept[~kept["seq"].isin(known)]
+        yield entered.assign(session_id=key[0], shard=key[1])[["session_id", "shard", *RING_COLUMNS]]
 
     def close(self) -> None:
         pass
@@ -75,11 +72,9 @@ def ring_state_stream(records: DataFrame, limit: int = 500, shards: int = 16) ->
     )
 
 
-def ring_contents(changes: DataFrame, limit: int = 500) -> DataFrame:
-    """Current content from the reported changes: the last version of each shard."""
-    last = changes.groupBy("session_id", "shard").agg(F.max("version").alias("version"))
-    current = changes.join(last, ["session_id", "shard", "version"]).drop("shard", "version")
-    return top_per_key(current, ["session_id"], [F.col("ts_us").desc(), F.col("seq").desc()], limit)
+def ring_contents(entered: DataFrame, limit: int = 500) -> DataFrame:
+    """Current content from the records that entered the ring: what is in it has entered, and is the newest of that."""
+    return top_per_key(entered.drop("shard"), ["session_id"], [F.col("ts_us").desc(), F.col("seq").desc()], limit)
 
 
 def sample_windows_stream(
@@ -143,7 +138,7 @@ class CaptureControl(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         done = []
-        batch = pd.concat(list(rows)).sort_values("ts_us", kind="stable")
+        batch = pd.concat(list(rows)).dropna(subset=["action"]).sort_values("ts_us", kind="stable")
         for at_us, action, duration in zip(batch["ts_us"], batch["action"], batch["duration_us"]):
             if self.open.exists() and at_us >= self.open.get()[2]:
                 done.append(self._end(key, self.open.get()[2], "complete"))

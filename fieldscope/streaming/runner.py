@@ -33,18 +33,57 @@ def event_time(stream: DataFrame, micros: str = "ts_us", delay: str = "10 minute
     return stream.withColumn("event_time", F.timestamp_micros(micros)).withWatermark("event_time", delay)
 
 
-def run_to_table(stream: DataFrame, label: str, output_mode: str = "append") -> DataFrame:
-    """Process everything available, append to a new table, return that table."""
+END_OF_TIME_US = 7_258_118_400_000_000  # the year 2200: past every window, session and timer, and pandas can hold it
+
+
+class End:
+    """The end of a stream's input, as rows that a stream can carry."""
+
+    def __init__(self, stream: DataFrame, values: dict):
+        self.spark, self.schema, self.values = stream.sparkSession, stream.schema, values
+        self.path = fresh_dir(self.spark, "end")
+        self.spark.createDataFrame([], self.schema).write.parquet(self.path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.readStream.schema(self.schema).parquet(self.path)
+
+    def reach(self) -> None:
+        """Add one row, all null but for its time and key, which moves the watermark past everything."""
+        row = [F.lit(self.values.get(f.name)).cast(f.dataType).alias(f.name) for f in self.schema]
+        self.spark.range(1).select(*row).write.mode("append").parquet(self.path)
+
+
+def closable(stream: DataFrame, micros: str = "ts_us", **key) -> tuple[DataFrame, End]:
+    """The stream with an end that can be reached once its input is finished: what is open then is completed.
+
+    ``key`` gives the end's row values for columns that may not be null, such as a session that doesn't occur.
+    """
+    end = End(stream, {micros: END_OF_TIME_US, **key})
+    return stream.unionByName(end.rows()), end
+
+
+def run_to_table(stream: DataFrame, label: str, output_mode: str = "append", end: End | None = None) -> DataFrame:
+    """Process everything available, append to a new table, return that table.
+
+    With ``end`` (see ``closable``) the input is then declared finished, which writes what was still open.
+    """
     spark = stream.sparkSession
     path = fresh_dir(spark, label)
-    (
-        stream.writeStream.format("parquet")
-        .outputMode(output_mode)
-        .option("checkpointLocation", f"{path}.checkpoint")
-        .trigger(availableNow=True)
-        .start(path)
-        .awaitTermination()
-    )
+
+    def run() -> None:
+        (
+            stream.writeStream.format("parquet")
+            .outputMode(output_mode)
+            .option("checkpointLocation", f"{path}.checkpoint")
+            .trigger(availableNow=True)
+            .start(path)
+            .awaitTermination()
+        )
+
+    run()
+    if end is not None:
+        end.reach()
+        run()
     return spark.read.schema(stream.schema).parquet(path)
 
 

@@ -32,6 +32,8 @@ def test_ring_equals_batch(spark):
     want = E.newest_records(batch, 20)
     read = lambda df: sorted((r.session_id, r["rank"], r.seq, r.event) for r in df.collect())
     assert read(got) == read(want) and len(read(got)) == 60
+    entered = changes.collect()
+    assert len(entered) == len({r.seq for r in entered}) <= len(rows)  # nothing is reported twice
 
 
 def test_object_state_equals_batch(spark):
@@ -84,6 +86,21 @@ def test_windows_and_sessions(spark):
     assert sorted((r.started_us, r.ended_us, r.samples) for r in sessions.collect()) == [(0, 39 * SECOND // 4, 40), (30 * SECOND, 30 * SECOND + 7 * SECOND // 4, 8)]
 
 
+def test_what_is_open_at_the_end_is_written(spark):
+    rows = [(1, START + t * SECOND // 4, float(t % 5)) for t in range(40)]
+    stream, batch = staged(spark, [rows[:25], rows[25:]], SAMPLES)
+    live, end = S.closable(stream)
+    windows = S.run_to_table(C.sample_windows_stream(live), "windows", end=end)
+    assert sorted((r.session_id, r.samples) for r in windows.collect()) == [(1, 4)] * 10
+    live, end = S.closable(stream)
+    sessions = S.run_to_table(C.capture_session_stream(live), "sessions", end=end)
+    assert [(r.session_id, r.samples) for r in sessions.collect()] == [(1, 40)]
+    control = staged(spark, [[(1, START, "start", 60 * SECOND), (2, START, "start", None)]], "session_id long, ts_us long, action string, duration_us long")[0]
+    live, end = S.closable(control, session_id=-1)
+    done = S.run_to_table(C.capture_control_stream(live), "control", end=end).collect()
+    assert sorted((r.session_id, (r.ended_us - START) // SECOND, r.reason) for r in done) == [(1, 60, "complete"), (2, 10, "complete")]
+
+
 def test_moving_average(spark):
     rows = [(1, t * SECOND, float(t)) for t in range(10)] + [(9, 500 * SECOND, 0.0)]
     stream, _ = staged(spark, [rows], SAMPLES)

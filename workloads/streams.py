@@ -43,13 +43,12 @@ def ring_state_stream(spark, d):
     "sample_windows_stream",
     """WITH w AS (SELECT session_id, ts_us - ts_us % 21600000000 AS start_us, count(last_time) AS samples,
         sum(last_time::DECIMAL(28,6))::DOUBLE AS total, max(last_time) AS peak FROM samples GROUP BY ALL)
-    SELECT *, total / nullif(samples, 0) AS average FROM w
-    WHERE start_us + 21600000000 <= (SELECT max(ts_us) // 1000 * 1000 - 3600000000 FROM samples)""",
+    SELECT *, total / nullif(samples, 0) AS average FROM w""",
     ("samples",),
 )
 def sample_windows_stream(spark, d):
-    live = V.samples(spark, d, events(spark, d))
-    return R.run_to_table(C.sample_windows_stream(live, "6 hours", delay="1 hour"), "windows")
+    live, end = R.closable(V.samples(spark, d, events(spark, d)))
+    return R.run_to_table(C.sample_windows_stream(live, "6 hours", delay="1 hour"), "windows", end=end)
 
 
 @query(
@@ -58,12 +57,12 @@ def sample_windows_stream(spark, d):
     n AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id ORDER BY ts_us ROWS UNBOUNDED PRECEDING) AS no FROM g),
     s AS (SELECT session_id, count(*) AS samples, sum(last_time::DECIMAL(28,6))::DOUBLE AS total, min(ts_us) AS started_us, max(ts_us) AS ended_us
       FROM n GROUP BY session_id, no)
-    SELECT * FROM s WHERE ended_us + 43200000000 <= (SELECT max(ts_us) // 1000 * 1000 - 3600000000 FROM samples)""",
+    SELECT * FROM s""",
     ("samples",),
 )
 def capture_session_stream(spark, d):
-    live = V.samples(spark, d, events(spark, d))
-    return R.run_to_table(C.capture_session_stream(live, "12 hours", delay="1 hour"), "sessions")
+    live, end = R.closable(V.samples(spark, d, events(spark, d)))
+    return R.run_to_table(C.capture_session_stream(live, "12 hours", delay="1 hour"), "sessions", end=end)
 
 
 @query(
@@ -83,8 +82,7 @@ def capture_session_stream(spark, d):
             FROM r JOIN c ON c.session_id = r.session_id AND c.rn = r.rn + 1))
     SELECT session_id, capture_no, started_us, ended_us, reason FROM r WHERE reason IS NOT NULL
     UNION ALL SELECT session_id, no, open, open + 1800000000, 'complete' FROM r
-    WHERE open + 1800000000 <= (SELECT max(t) // 1000 * 1000 - 3600000000 FROM c)
-      AND rn = (SELECT max(rn) FROM c WHERE c.session_id = r.session_id)""",
+    WHERE open IS NOT NULL AND rn = (SELECT max(rn) FROM c WHERE c.session_id = r.session_id)""",
 )
 def capture_control_stream(spark, d):
     """Signups start a capture of half an hour, purchases stop it by hand, errors by combat."""
@@ -95,7 +93,8 @@ def capture_control_stream(spark, d):
         F.when(F.col("event_type") == "signup", "start").when(F.col("event_type") == "purchase", "manual").otherwise("combat").alias("action"),
         F.lit(1800 * 1000000).cast("bigint").alias("duration_us"),
     )
-    return R.run_to_table(C.capture_control_stream(control, longest_seconds=1800, delay="1 hour"), "control")
+    live, end = R.closable(control, session_id=-1)
+    return R.run_to_table(C.capture_control_stream(live, longest_seconds=1800, delay="1 hour"), "control", end=end)
 
 
 @query(
@@ -104,12 +103,12 @@ def capture_control_stream(spark, d):
     ("object_snapshots",),
 )
 def object_state_stream(spark, d):
-    """Snapshots stored year by year and read back one folder per micro-batch."""
+    """Snapshots stored in two stretches of four files, and read back a stretch per micro-batch."""
     path = fresh_dir(spark, "snapshots")
     snapshots = V.object_snapshots(spark, d).select("session_id", "object_id", "snap_no", "shown")
     for half in (F.col("snap_no") <= 1998, F.col("snap_no") > 1998):
-        snapshots.filter(half).coalesce(1).write.mode("append").parquet(path)
-    return M.object_state_stream(R.table_stream(spark, path, files_per_batch=1), fresh_dir(spark, "objects"))
+        snapshots.filter(half).repartition(4, "object_id").write.mode("append").parquet(path)
+    return M.object_state_stream(R.table_stream(spark, path, files_per_batch=4), fresh_dir(spark, "objects"))
 
 
 @query(
