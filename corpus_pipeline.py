@@ -37,8 +37,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digest of the bytes that they decode to."""
-    ranks = queries.vocabulary("byte_bpe_50k.tiktoken")
-    done = bpe.decode(bpe.encode(docs, ranks, queries.split_rule()), ranks)
+    done = bpe.round_trip(docs, queries.vocabulary("byte_bpe_50k.tiktoken"), queries.split_rule())
     return done.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -19,11 +19,16 @@ PIECE = 1 << 20  # bytes hashed in one go, so that work arrays stay small
 
 
 def worker_cache(name: str, build):
-    """What ``build`` returns, kept for the life of this Python worker process."""
+    """What ``build`` returns, kept for the next tasks of this Python worker until another name is asked for.
+
+    Workers are handed from stage to stage: one that goes on to other work lets go of what it held.
+    """
     store = sys.modules.setdefault("_fieldscope_worker", types.ModuleType("_fieldscope_worker"))
-    if not hasattr(store, name):
-        setattr(store, name, build())
-    return getattr(store, name)
+    if getattr(store, "name", None) != name:
+        store.name = store.value = None
+        store.value = build()
+        store.name = name
+    return store.value
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:

@@ -248,6 +248,66 @@ class Utf8Stream:
         return "\ufffd"
 
 
+class Coder:
+    """Both directions of a rank file in one worker."""
+
+    def __init__(self, rank_file: str, pattern: str):
+        ranks = read_ranks(rank_file)
+        self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        transducer = Transducer(ranks)
+        self.segments = segments.Segments(segments.split_pattern(pattern), lambda piece: transducer.ids(piece.encode()))
+
+    def encode(self, text: str | None) -> bytes:
+        return self.segments.encode(text) if text else b""
+
+    def decode(self, ids: bytes | None, step: int = 8192) -> tuple[bytes, int]:
+        """The tokens' bytes, and how many places would read as U+FFFD."""
+        numbers = np.frombuffer(ids or b"", "<u4")
+        strange = numbers >= len(self.tokens)
+        stream, out, unknown = Utf8Stream(), [], int(strange.sum())
+        if unknown:
+            numbers = numbers[~strange]
+        for at in range(0, len(numbers), step):
+            chunk = b"".join(map(self.tokens.__getitem__, numbers[at : at + step].tolist()))
+            stream.feed(chunk)
+            out.append(chunk)
+        stream.finish()
+        return b"".join(out), stream.replaced + unknown
+
+
+def _parts(batches, rows: int = 512):
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
+def _coded(source: DataFrame, rank_file: str, pattern: str, read_text: bool, write_text: bool) -> DataFrame:
+    """One pass over ``source``: texts to ids, or ids as given; and back to bytes if asked for."""
+    schema = DECODED if write_text else ENCODED
+
+    def coded(batches):
+        coder = arrays.worker_cache(f"bpe {rank_file} {pattern}", lambda: Coder(rank_file, pattern))
+        for part in _parts(batches):
+            if read_text:
+                ids = [coder.encode(t) for t in part["text"].to_pylist()]
+                columns = [part["doc_id"], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            else:
+                ids = part["ids"].to_pylist()
+                columns = [part["doc_id"], part["ids"], part["n_tokens"]]
+            if write_text:
+                back = [coder.decode(x) for x in ids]
+                columns += [pa.array([b for b, _ in back], pa.binary()), pa.array([n for _, n in back], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
+
+    return source.mapInArrow(coded, schema)
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"cast(`{text}` as string) text")
+
+
 def encode(docs: DataFrame, rank_file: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per input row: doc_id, ids (little-endian unsigned 32-bit integers), n_tokens.
 
@@ -255,57 +315,17 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, doc_id: str = "doc_id"
     special tokens. Null or empty text: no ids. Ids and repeated rows are taken as they come; other
     columns are not read.
     """
+    return _coded(_texts(docs, doc_id, text), rank_file, pattern, True, False)
 
-    def encoded(batches):
-        def build():
-            transducer = Transducer(read_ranks(rank_file))
-            return segments.Segments(segments.split_pattern(pattern), lambda piece: transducer.ids(piece.encode()))
-
-        coder = arrays.worker_cache(f"bpe {rank_file} {pattern}", build)
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                ids = [coder.encode(t) if t else b"" for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"]
-                )
 
-    return docs.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"cast(`{text}` as string) text").mapInArrow(encoded, ENCODED)
-
-
-def decode(tokens: DataFrame, rank_file: str, step: int = 8192) -> DataFrame:
+def decode(tokens: DataFrame, rank_file: str, pattern: str = "") -> DataFrame:
     """``encode``'s rows with the decoded bytes, and how many places were no UTF-8 and would read as U+FFFD.
 
     Ids without a token decode to nothing and count as replaced. Null ids: empty.
     """
+    return _coded(tokens.select("doc_id", "ids", "n_tokens"), rank_file, pattern, False, True)
+
 
-    def decoded(batches):
-        def build():
-            ranks = read_ranks(rank_file)
-            table = [b""] * (max(ranks.values(), default=-1) + 1)
-            for token, rank in ranks.items():
-                table[rank] = token
-            return table
-
-        table = arrays.worker_cache(f"tokens {rank_file}", build)
-        for batch in (whole.slice(at, 1024) for whole in batches for at in range(0, len(whole), 1024)):
-            texts, replaced = [], []
-            for ids in batch["ids"].to_pylist():
-                numbers = np.frombuffer(ids or b"", "<u4")
-                strange = numbers >= len(table)
-                stream, out, unknown = Utf8Stream(), [], int(strange.sum())
-                if unknown:
-                    numbers = numbers[~strange]
-                for at in range(0, len(numbers), step):
-                    chunk = b"".join(map(table.__getitem__, numbers[at : at + step].tolist()))
-                    stream.feed(chunk)
-                    out.append(chunk)
-                stream.finish()
-                texts.append(b"".join(out))
-                replaced.append(stream.replaced + unknown)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["ids"], batch["n_tokens"], pa.array(texts, pa.binary()), pa.array(replaced, pa.int64())],
-                ["doc_id", "ids", "n_tokens", "decoded", "replaced"],
-            )
-
-    return tokens.select("doc_id", "ids", "n_tokens").mapInArrow(decoded, DECODED)
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` in one pass, by one worker that holds the tables once."""
+    return _coded(_texts(docs, doc_id, text), rank_file, pattern, True, True)

@@ -124,8 +124,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = vocabulary("byte_bpe_50k.tiktoken")
-    done = bpe.decode(bpe.encode(_documents(spark, sf_dir), ranks, split_rule()), ranks)
+    done = bpe.round_trip(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), split_rule())
     return done.select(
         "doc_id",
         "n_tokens",

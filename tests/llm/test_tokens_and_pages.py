@@ -59,6 +59,7 @@ def test_encode_and_decode(docs, rows, reference):
         ids = reference.encode_ordinary(t or "")
         want.append((d, ids, len(ids), (t or "").encode(), 0))
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert sorted(map(repr, bpe.round_trip(docs, RANKS, public.PATTERN).collect())) == sorted(map(repr, done))
 
 
 def test_decode_of_strange_ids(spark):
