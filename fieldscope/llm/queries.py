@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.llm import bpe, decontaminate, licenses, quality, secrets, simhash, substrings, suffixes, token_files, warc
+from fieldscope.llm import bpe, decontaminate, licenses, oracles, quality, secrets, simhash, substrings, suffixes, token_files, warc
 from fieldscope.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,20 +54,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *counts, "base_failed", "kept")
 
 
-@query(
-    "op2_warc_index",
-    """
-    with p as (
-        select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages
-    ), best as (
-        select payload_digest, payload_bytes, max(page_id) as best from p where payload_bytes >= 1000 group by all
-    )
-    select page_id, payload_bytes, payload_digest,
-        case when page_id < best then 'revisit' else 'response' end as record_type,
-        case when page_id < best then best end as refers_to
-    from p left join best using (payload_digest, payload_bytes)
-    """,
-)
+@query("op2_warc_index", oracles.PAGES)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "warc")
     index = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
@@ -80,7 +67,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-@query("op4_substring_dedup")
+@query("op4_substring_dedup", oracles.WORD_WINDOWS)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substrings.substring_dedup(_documents(spark, sf_dir))
     return done.select(
@@ -91,7 +78,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op5_secret_scan")
+@query("op5_secret_scan", oracles.secret_spans())
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_spans(_documents(spark, sf_dir))
     base = [r.kind for r in secrets.RULES if r.base]
@@ -111,17 +98,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_checksums(token_files.token_starts(token_files.read_tokens(spark, path)))
 
 
-@query("op7_benchmark_leaks")
+@query("op7_benchmark_leaks", oracles.leaks())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.leaks(_documents(spark, sf_dir), items).select("doc_id", "item_id", "start", "similarity")
 
 
-@query("op9_license_scan")
-def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_matches(_documents(spark, sf_dir)).select("doc_id", "license", "start", "containment")
-
-
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.round_trip(_documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), split_rule())
@@ -133,7 +115,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_suffix_dedup")
+@query("op9_license_scan", oracles.license_matches())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(_documents(spark, sf_dir)).select("doc_id", "license", "start", "containment")
+
+
+@query("op10_suffix_dedup", oracles.BYTE_STRINGS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffixes.substring_dedup(_documents(spark, sf_dir))
     return done.select(
