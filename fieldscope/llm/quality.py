@@ -1,9 +1,10 @@
 """Quality rules whose cutoffs are chosen so that few good documents are rejected.
 
-Method: labelled holdout documents are counted by signal value; for each stratum and rule the strictest cutoff is
-taken whose false rejection is certified to stay below a limit by an exact binomial bound. The
-limit is split over the rules, the error probability over all tests of rules and strata (Bonferroni); the cutoffs of
-one rule are tested from the most lenient on, and the first failure ends them (a fixed sequence needs no further split).
+Method: labelled holdout documents are counted by signal value; for each stratum and rule an exact binomial bound
+certifies the cutoffs whose false rejection stays below a limit. The limit is split over the rules, the error
+probability over all tests of rules and strata (Bonferroni); the cutoffs of one rule are tested from the most lenient
+on, and the first failure ends them (a fixed sequence needs no further split). All certified cutoffs hold at once, so
+the one of most use may be picked: that which rejects the most bad documents, less PRICE times the good ones.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ RULES: dict[str, tuple[str, float, int]] = {
 
 FALSE_REJECTION = 0.02  # share of good documents of a stratum that all rules together may reject
 ERROR = 0.05  # probability that any certified cutoff is wrong
+PRICE = 10  # shares of the bad documents that a share of the good ones is worth
 SMALL_TABLE = 10_000  # strata whose cutoffs may be broadcast: a few hundred bytes each
 
 
@@ -154,23 +156,26 @@ def binomial_tail(k: int, n: int, share: float) -> float:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", doc_id: str = "doc_id", risk: float = FALSE_REJECTION, error: float = ERROR) -> DataFrame:
-    """The certified cutoffs: a row per stratum with a column per rule (null: no cutoff can be certified).
+    """The cutoffs: a row per stratum with a column per rule (null: none is certified, or none of use).
 
-    ``measured`` has signals, the stratum and the id; ``labels`` has doc_id and quality, of which 1 means good. A
-    document with several labels is good if all say so; null labels and ids don't count. Only good documents that
+    ``measured`` has signals, the stratum and the id; ``labels`` has doc_id and quality, of which 1 means good and all else
+    bad. A document with several labels is good if all say so; null labels and ids don't count. Only documents that
     the base rule keeps are counted. Null is a stratum of its own.
     """
-    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_good"))
-    good = (
+    marks = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min((F.col("quality") == 1).cast("int")).alias("_good"))
+    held = (
         measured.where(~base_failed())
         .select(F.col(f"`{doc_id}`").cast("long").alias("_id"), F.col(f"`{stratum}`").cast("string").alias("_stratum"), "signals")
-        .join(marks.where("_good = 1"), "_id")
+        .join(marks, "_id")
     )
-    rows = good.select("_stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), b.alias("bin")) for r, b in _bins().items()])).alias("x"))
-    counts = pin(rows.groupBy("_stratum", "x.rule", "x.bin").agg(F.count("*").alias("n")), "holdout-counts")  # bounded: strata x rules x bins
+    rows = held.select("_stratum", "_good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), b.alias("bin")) for r, b in _bins().items()])).alias("x"))
+    counts = pin(rows.groupBy("_stratum", "x.rule", "x.bin").agg(F.sum("_good").alias("good"), F.sum(1 - F.col("_good")).alias("bad")), "holdout-counts")
     strata = max(1, counts.select("_stratum").distinct().count())
     of_rule = Window.partitionBy("_stratum", "rule")
-    tests = counts.withColumn("k", F.sum("n").over(of_rule.orderBy(F.desc("bin")))).withColumn("of", F.sum("n").over(of_rule))
+    down = of_rule.orderBy(F.desc("bin"))  # a table of strata x rules x bins, however many documents there are
+    tests = counts
+    for kind in ("good", "bad"):
+        tests = tests.withColumn(f"k_{kind}", F.sum(kind).over(down)).withColumn(f"of_{kind}", F.sum(kind).over(of_rule))
 
     share = risk / len(RULES)
 
@@ -179,10 +184,10 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", doc_i
         return pd.Series([binomial_tail(int(a), int(b), share) for a, b in zip(k, of)], dtype="float64")
 
     level = error / len(RULES) / strata
-    tests = tests.withColumn("p", tail("k", "of")).withColumn("p0", tail(F.lit(0).cast("long"), F.col("of")))
-    chosen = tests.groupBy("_stratum").pivot("rule", list(RULES)).agg(
-        F.when(F.first(F.col("p0") <= level), F.max(F.when(F.col("p") > level, F.col("bin"))) + 1)
-    )
+    share_of = lambda kind: F.when(F.col(f"of_{kind}") > 0, F.col(f"k_{kind}") / F.col(f"of_{kind}")).otherwise(0.0)
+    tests = tests.withColumn("p", tail("k_good", "of_good")).withColumn("gain", share_of("bad") - PRICE * share_of("good"))
+    best = F.max(F.when((F.col("p") <= level) & (F.col("gain") > 0), F.struct("gain", "bin")))["bin"]
+    chosen = tests.groupBy("_stratum").pivot("rule", list(RULES)).agg(best)
     return pin(chosen, "cutoffs")
 
 

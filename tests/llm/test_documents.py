@@ -41,6 +41,14 @@ def test_cutoffs_are_certified(spark):
         assert own.count(False) <= quality.FALSE_REJECTION * len(own)
 
 
+def test_rules_of_no_use_are_left_out(spark):
+    """Signals that part good from bad no better than chance get no cutoff, though one could be certified."""
+    rows = [(i, "en", " ".join("w" * (3 + (i + k) % 5) + str(i * 50 + k) for k in range(20))) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 10 = 0, 0, 1) as quality")
+    assert quality.quality_rules(docs, labels).where("not kept").count() == 0
+
+
 @pytest.mark.parametrize("k,n,p", [(0, 10, 0.3), (3, 50, 0.2), (40, 9000, 0.005), (5, 5, 0.5), (0, 0, 0.1)])
 def test_binomial_tail(k, n, p):
     from fractions import Fraction
