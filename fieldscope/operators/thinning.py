@@ -20,19 +20,22 @@ COLLECTED = 10_000  # rows gathered before an output batch is handed on
 
 def _stretches(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
     """Runs of equal (session_id, _span) of a sorted partition as column arrays, one whole run at a time."""
-    rest = None
-    for batch in batches:
-        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+    held: list[list[np.ndarray]] = []  # the pieces of the run that is still open
+    key = None
+    for rows in batches:
         if rows.empty:
             continue
         arrays = [rows[c].to_numpy() for c in ("session_id", "_span", *columns)]
         owner, span = arrays[:2]
-        cuts = [0, *(np.flatnonzero((owner[1:] != owner[:-1]) | (span[1:] != span[:-1])) + 1).tolist()]
+        cuts = [0, *(np.flatnonzero((owner[1:] != owner[:-1]) | (span[1:] != span[:-1])) + 1).tolist(), len(owner)]
         for a, b in zip(cuts[:-1], cuts[1:]):
-            yield tuple(x[a:b] for x in arrays)
-        rest = rows.iloc[cuts[-1] :]
-    if rest is not None and len(rest):
-        yield tuple(rest[c].to_numpy() for c in ("session_id", "_span", *columns))
+            if held and (owner[a], span[a]) != key:
+                yield tuple(np.concatenate(pieces) for pieces in zip(*held))
+                held = []
+            key = (owner[a], span[a])
+            held.append([x[a:b] for x in arrays])
+    if held:
+        yield tuple(np.concatenate(pieces) for pieces in zip(*held))
 
 
 def _frames(rows: Iterator[tuple], names: list[str]) -> Iterator[pd.DataFrame]:
