@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldscope.llm import arrays
+from fieldscope.llm import arrays, blocks
 from fieldscope.session import pin
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -109,8 +109,8 @@ def signals(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     line), n_repeat_words (words in 5-word windows that occur twice or more), n_lines (lines with a word).
     Null text counts as empty. An input column named ``signals`` is replaced.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if c != "signals"]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("_measured"))
+    names = [c for c in (docs.columns if keep is None else keep) if c.lower() != "signals"]
+    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias(blocks.spare("_measured", names)))
     kinds = T.StructType([T.StructField(s, T.LongType()) for s in SIGNALS])
     schema = T.StructType([source.schema[c] for c in names] + [T.StructField("signals", kinds)])
 
