@@ -34,10 +34,15 @@ def connected(edges: DataFrame, label: str = "links") -> DataFrame:
 
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """``edges`` (u, v) with the m of u; each u is dealt to SALTS tasks by v."""
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    spread = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, ["u", "salt"]).drop("salt")
+    """``edges`` (u, v) with the m of u."""
+    return salted_join(edges, least, "u", "v")
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined to ``table``, which has a row per ``key``; the rows of a key are dealt to SALTS tasks by another column."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, [key, "_salt"]).drop("_salt")
 
 
 def _pairs(edges: DataFrame) -> DataFrame:

@@ -177,7 +177,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", tex
     roots = components.connected(links(classes.select("fp")), "fingerprint-links")
     placed = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     component = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(placed.select("fp", "root").join(component, "root"), "fp")
+    named = components.salted_join(placed.select("fp", "root"), component, "root", "fp")
+    return components.salted_join(marked, named, "fp", "row_key")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
