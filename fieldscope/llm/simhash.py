@@ -174,11 +174,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", tex
     """
     marked = pin(fingerprints(docs, words, doc_id, text), "fingerprints")
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components.connected(links(classes.select("fp")), "fingerprint-links")
-    placed = classes.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    component = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = components.salted_join(placed.select("fp", "root"), component, "root", "fp")
-    return components.salted_join(marked, named, "fp", "row_key")
+    roots = components.connected(links(classes.select("fp")), "fingerprint-links").withColumnRenamed("node", "fp")
+    component = roots.join(classes, "fp").groupBy("root").agg(F.min("least").alias("_least"))
+    linked = components.salted_join(roots, component, "root", "fp")
+    alone = F.col("root").isNull()
+    named = classes.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("_least")).alias("component_id")
+    )
+    return marked.join(named, "fp")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
