@@ -199,6 +199,26 @@ def test_leaks(docs, rows, items, small, monkeypatch):
     assert got == pytest.approx(want) and len(want) > 5
 
 
+def test_leaks_at_every_start(spark):
+    """Items with edited ends, swapped parts, cut off or repeated, each within a longer text: pairs, starts and similarities."""
+    item = [f"w{i}" for i in range(40)]
+    other = ["of", "them", "of", "them"] * 5
+    pad = [f"p{i}" for i in range(30)]
+    texts = [pad + x + pad[::-1] for x in (item, item[:-1] + ["edited"], item[:-2] + ["a", "b"], ["edited"] + item[1:], item[20:] + item[:20], item[13:] + item[:13], item + item, other)]
+    texts += [item[:-1], item[1:], item[20:] + item[:20], pad + item[:-1], item[1:] + pad, other + other]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    items = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(other))], "item_id long, text string")
+    want = {}
+    for i, t in enumerate(texts):
+        for n, x in enumerate((item, other)):
+            for s in range(max(1, len(t) - len(x) + 1)):
+                score = brute.leaks([" ".join(t[s : s + len(x)])], [" ".join(x)]).get((0, 0), 0)
+                if score > want.get((i, n), (0, 0))[1]:
+                    want[i, n] = s, score
+    got = {(r.doc_id, r.item_id): (r.start, r.similarity) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {k: (s, pytest.approx(v)) for k, (s, v) in want.items()} and want[1, 0][0] == 29 and (4, 0) in want
+
+
 def test_without_leaks(docs, rows, items):
     table, texts = items
     found = {r for r, _ in brute.leaks([t for _, t in rows], texts)}
