@@ -139,11 +139,11 @@ def _runs(data: np.ndarray, borders: np.ndarray, length: int) -> tuple[np.ndarra
     start = np.flatnonzero(new)
     stops = np.append(np.flatnonzero(new | ~valid), n)
     end = stops[np.searchsorted(stops, start, side="right")]
-    # anchors: grams that are the least of some string. One that comes again within a gram's reach tells of a period.
+    # anchors: grams that are the least of some string. One that comes again as soon as the run allows tells of a period.
     padded = np.concatenate((np.full(width - 1, 0, np.uint64), least, np.full(width - 1, 0, np.uint64)))
     highest = ~_least(~padded, width)
     anchors = np.flatnonzero(highest[: len(grams)] == grams)
-    again = (grams[anchors[1:]] == grams[anchors[:-1]]) & (np.diff(anchors) < width)
+    again = (grams[anchors[1:]] == grams[anchors[:-1]]) & (np.diff(anchors) <= width)
     at = anchors[:-1][again]
     at = at[(at < n)]
     at = at[valid[at] & (least[at] == grams[at])]

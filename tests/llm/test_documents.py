@@ -122,6 +122,21 @@ def test_long_documents_are_hashed_in_pieces(spark, monkeypatch):
     same(got, [(d, *x) for (d, _), x in zip(rows, brute.byte_strings(rows))])
 
 
+@pytest.mark.parametrize("length", [100, 32])
+def test_byte_strings_of_every_period(spark, length):
+    """Lines of each size that stand a few times in a row, alone, and within two documents that hold the same stretch."""
+    rng = np.random.default_rng(length)
+    rows = []
+    for period in range(1, 111):
+        line = bytes(rng.integers(97, 123, period, np.uint8)).decode()
+        rows.append((4 * period, line * (length // period + 3)))
+        other = bytes(rng.integers(65, 91, period, np.uint8)).decode()
+        rows += [(4 * period + k, f"{k}#" * 40 + other * (length // period + 2) + f"{k}!" * 40) for k in (1, 2)]
+    done = suffixes.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), length)
+    got = [(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.removed), len(r.removed), bytes(r.kept)) for r in done.collect()]
+    same(got, [(d, *x) for (d, _), x in zip(rows, brute.byte_strings(rows, length))])
+
+
 def test_deep_shallow_orders_like_sorted():
     rng = np.random.default_rng(1)
     for length in (16, 24, 40, 100):
