@@ -7,6 +7,9 @@ Candidates: of the grams (half the length) in a string, the one of least hash is
 anchors, so a string whose anchor occurs once in the corpus is unique. Consecutive strings with one anchor form a run;
 its bytes (about a length and a half) go to the bucket of the anchor only if the anchor occurs twice. Equal runs are
 one class there; the suffixes of different classes with one anchor are sorted.
+
+An anchor of more than HOT runs would not fit a bucket. Its runs are cut into their strings instead: a block judges its
+own, and sends each that may stay to the bucket of the whole string, so that equal ones still meet.
 """
 
 from __future__ import annotations
@@ -22,14 +25,15 @@ from fieldscope.llm import arrays, blocks
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SIGNATURES = "bucket long, block long, hashes binary"
-FLAGS = "block long, bucket long, bits binary"
+SIGNATURES = "bucket long, block long, hashes binary, sizes binary"
+FLAGS = "block long, bucket long, bits binary, hot binary"
 RUNS = "bucket long, block long, keys binary, text binary, lengths binary, repeats binary, row binary, start binary, ids binary, marks binary, done binary"
 CUTS = "block long, cuts binary"
 CLEANED = "doc_id long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>"
 
 SHALLOW = 16  # bytes ordered by quicksort
 PIECE = 1 << 20  # bytes whose grams are hashed at once
+HOT = 50_000  # runs of one anchor, of some 150 bytes each, that may go to one bucket
 
 
 # --- deep-shallow sorting ---------------------------------------------------------------------------------------
@@ -203,6 +207,22 @@ def _kept(group: np.ndarray, ids: np.ndarray, marks: np.ndarray, start: np.ndarr
     return kept
 
 
+def _strings(raw: bytes, start: np.ndarray, end: np.ndarray, of: np.ndarray, ids: np.ndarray, length: int):
+    """The strings of the runs, begin and document of each, that may stay by the block alone: those of the least id, the first of
+    each document. The others, as (begin, document), stand earlier in the block. Runs are in order of documents."""
+    begin, owners, lost, seen, least = [], [], [], set(), {}
+    for first, stop, doc in sorted(zip(start.tolist(), end.tolist(), of.tolist())):
+        for a in range(first, stop):
+            string = raw[a : a + length]
+            if ids[least.setdefault(string, doc)] != ids[doc] or (string, doc) in seen:
+                lost.append((a, doc))
+            else:
+                seen.add((string, doc))
+                begin.append(a)
+                owners.append(doc)
+    return np.array(begin, np.int64), np.array(owners, np.int64), lost
+
+
 def substring_dedup(
     docs: DataFrame, length: int = 100, doc_id: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20, bucket_bytes: int = 16 << 20
 ) -> DataFrame:
@@ -224,24 +244,28 @@ def substring_dedup(
     def signatures(table: pa.Table) -> pa.Table:
         rows, ids = blocks.ordered(table)
         data, offsets, _ = _bytes(rows, ids)
-        keys = np.unique(_block_runs(data, offsets, length)[2])
+        keys, times = np.unique(_block_runs(data, offsets, length)[2], return_counts=True)
+        sizes = np.ceil(np.log2(times)).astype(np.uint8)
         gather, names, borders = blocks.by_bucket(_bucket_of(keys, buckets))
         return pa.table(
             {
                 "bucket": pa.array(names, pa.int64()),
                 "block": pa.array([table["block"][0].as_py()] * len(names), pa.int64()),
                 "hashes": pa.array(blocks.packed(keys[gather], borders), pa.binary()),
+                "sizes": pa.array(blocks.packed(sizes[gather], borders), pa.binary()),
             }
         )
 
     def counted(table: pa.Table) -> pa.Table:
         keys, sizes = blocks.joined(table["hashes"], np.uint64)
+        runs = np.left_shift(1, blocks.joined(table["sizes"], np.uint8)[0].astype(np.int64))
         order, begins, run = blocks.firsts(keys)
-        twice = np.empty(len(keys), bool)
+        twice, hot = np.empty(len(keys), bool), np.empty(len(keys), bool)
         twice[order] = (np.diff(np.append(begins, len(keys))) > 1)[run]
+        hot[order] = (np.add.reduceat(runs[order], begins) > HOT)[run] if len(keys) else False
         borders = np.concatenate(([0], np.cumsum(sizes)))
-        bits = [np.packbits(twice[a:b]).tobytes() for a, b in zip(borders[:-1], borders[1:])]
-        return pa.table({"block": table["block"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary())})
+        bits, hots = ([np.packbits(x[a:b]).tobytes() for a, b in zip(borders[:-1], borders[1:])] for x in (twice, hot))
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "bits": pa.array(bits, pa.binary()), "hot": pa.array(hots, pa.binary())})
 
     def candidates(table: pa.Table, flags: pa.Table) -> pa.Table:
         rows, ids = blocks.ordered(table)
@@ -249,10 +273,12 @@ def substring_dedup(
         start, end, key, periodic = _block_runs(data, offsets, length)
         keys, place, times = np.unique(key, return_inverse=True, return_counts=True)
         gather, names, borders = blocks.by_bucket(_bucket_of(keys, buckets))
-        bits = dict(zip(flags["bucket"].to_pylist(), flags["bits"].to_pylist()))
-        wanted = times > 1
+        bits = dict(zip(flags["bucket"].to_pylist(), zip(flags["bits"].to_pylist(), flags["hot"].to_pylist())))
+        wanted, hot = times > 1, np.zeros(len(times), bool)
         for name, a, b in zip(names.tolist(), borders[:-1], borders[1:]):
-            wanted[gather[a:b]] |= np.unpackbits(np.frombuffer(bits[name], np.uint8), count=b - a).view(bool)
+            twice, many = (np.unpackbits(np.frombuffer(x, np.uint8), count=b - a).view(bool) for x in bits[name])
+            wanted[gather[a:b]] |= twice
+            hot[gather[a:b]] = many
         chosen = np.flatnonzero(wanted[place] | periodic)
         owner = np.searchsorted(offsets, start[chosen], side="right") - 1
         raw = data.tobytes()
@@ -266,9 +292,17 @@ def substring_dedup(
             else:  # all its strings start in an earlier document or place of this block
                 done.append((doc, a - int(offsets[doc]), b - int(offsets[doc])))
         at, of = (np.array(x, np.int64) for x in zip(*sent)) if sent else (np.zeros(0, np.int64),) * 2
+        marks = np.array([hash_text(t) for t in rows["text"].to_pylist()], np.uint64)
+        cold = ~hot[place[at]]
+        if not cold.all():
+            begin, owners, lost = _strings(raw, start[at[~cold]], end[at[~cold]], of[~cold], ids, length)
+            done += [(doc, a - int(offsets[doc]), a - int(offsets[doc]) + length) for a, doc in lost]
+            whole = np.array([hash_bytes(raw[a : a + length]) for a in begin], np.uint64)
+            start, end, key = np.append(start[at[cold]], begin).astype(np.int64), np.append(end[at[cold]], begin + 1).astype(np.int64), np.append(key[at[cold]], whole)
+            periodic, of = np.append(periodic[at[cold]], np.zeros(len(begin), bool)), np.append(of[cold], owners).astype(np.int64)
+            at = np.arange(len(of))
         gather, names, borders = blocks.by_bucket(_bucket_of(key[at], buckets))
         at, of = at[gather], of[gather]
-        marks = np.array([hash_text(t) for t in rows["text"].to_pylist()], np.uint64)
         out = {c: [] for c in ("bucket", "block", "keys", "text", "lengths", "repeats", "row", "start", "ids", "marks", "done")}
         block = table["block"][0].as_py()
 
@@ -378,3 +412,9 @@ def hash_text(text: str | None) -> int:
     import xxhash
 
     return xxhash.xxh64_intdigest((text or "").encode())
+
+
+def hash_bytes(string: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(string)

@@ -122,6 +122,33 @@ def test_long_documents_are_hashed_in_pieces(spark, monkeypatch):
     same(got, [(d, *x) for (d, _), x in zip(rows, brute.byte_strings(rows))])
 
 
+@pytest.mark.parametrize("sizes", [(4 << 20, 16 << 20), (3000, 2000)])
+@pytest.mark.parametrize("length", [100, 32])
+def test_byte_strings_of_hot_anchors(docs, rows, length, sizes, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 1)
+    test_byte_strings(docs, rows, length, sizes)
+
+
+def test_no_bucket_holds_all_runs_of_an_anchor(spark, monkeypatch, tmp_path):
+    """One line with other text around it in each document: its runs are dealt over the buckets, with the right result."""
+    monkeypatch.setattr(suffixes, "HOT", 50)
+    rng = np.random.default_rng(8)
+    line = bytes(rng.integers(97, 123, 80, np.uint8)).decode()
+    rows = [(i, bytes(rng.integers(65, 91, 150, np.uint8)).decode() + line + bytes(rng.integers(65, 91, 150, np.uint8)).decode() + "=" * (i % 9 * 20)) for i in range(300)]
+    deep_shallow, folder = suffixes.deep_shallow, str(tmp_path)
+
+    def watched(text, places, length):
+        open(f"{folder}/{len(places)}", "w").close()
+        return deep_shallow(text, places, length)
+
+    monkeypatch.setattr(suffixes, "deep_shallow", watched)
+    done = suffixes.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=10_000, bucket_bytes=5_000)
+    got = [(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.removed), len(r.removed), bytes(r.kept)) for r in done.collect()]
+    same(got, [(d, *x) for (d, _), x in zip(rows, brute.byte_strings(rows))])
+    sorted_at_once = [int(p.name) for p in tmp_path.iterdir()]
+    assert sorted_at_once and max(sorted_at_once) <= 50 * 51  # an anchor's runs below HOT, of 51 strings each
+
+
 @pytest.mark.parametrize("length", [100, 32])
 def test_byte_strings_of_every_period(spark, length):
     """Lines of each size that stand a few times in a row, alone, and within two documents that hold the same stretch."""
