@@ -110,3 +110,43 @@ scored as (select doc_id, license, st, (len(list_intersect(list_distinct({SHINGL
     from win join (select license, w as tw, s from templates) using (license, tw))
 select doc_id, license, arg_min(st, (-c, st))::bigint as start, max(c) as containment from scored where c >= 0.8 group by all
 """
+
+INFILL = r"""
+with d as (
+    select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as h,
+        regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u from documents
+), k as (
+    select *, len(u)::bigint as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from d
+), c as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain'
+            when h4 % 100 < 50 then 'spm' else 'psm' end as form from k
+), p as (
+    select *, array_to_string(u[1:a], '') as prefix, array_to_string(u[a + 1:b], '') as middle, array_to_string(u[b + 1:], '') as suffix from c
+)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+    sha256(t) as restored_sha256
+from p
+"""
+
+RANKED = r"""
+with d as (
+    select row_number() over () as r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+    from documents
+), s as (select count(*)::bigint as N, sum(len(w))::bigint as L from d where len(w) > 0),
+p as (select r, t, count(*)::bigint as tf from (select r, unnest(w) as t from d) group by all),
+f as (select t, floor(1000 * ln((2 * N + 2)::double / (2 * count(*) + 1)::double))::bigint as wt from p, s group by t, N),
+q as (
+    select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark
+), m as (select r, doc_id, 100 - 90 + ((90 * len(w) * N) // L) as m from d, s where len(w) > 0),
+found as (
+    select item_id, doc_id, r, sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+    from q join f using (t) join p using (t) join m using (r) group by all
+)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score
+from found where score > 0 qualify rank <= 10
+"""

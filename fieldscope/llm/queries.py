@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldscope.llm import bpe, decontaminate, licenses, oracles, quality, secrets, simhash, substrings, suffixes, token_files, warc
+from fieldscope.llm import bpe, decontaminate, infill, licenses, oracles, quality, ranking, secrets, sharding, simhash, substrings, suffixes, token_files, warc
 from fieldscope.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op11_uniform_shards")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = sharding.uniform_shards(_documents(spark, sf_dir), fresh_dir(spark, "shards"), shards=24)
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    return done.select(
+        "doc_id",
+        (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op12_ranked_search", oracles.RANKED)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_dir(spark, "ranked")
+    ranking.build_index(_documents(spark, sf_dir), path)
+    return ranking.search(spark, path, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=10)
+
+
+@query("op13_fill_in_middle", oracles.INFILL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_dir(spark, "frames")
+    infill.write_frames(_documents(spark, sf_dir), path)
+    return infill.digests(infill.infill(infill.read_frames(spark, path)))

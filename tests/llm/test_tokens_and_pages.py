@@ -150,9 +150,9 @@ def test_tokens_of_nothing(spark, nothing, tmp_path):
     assert token_files.token_starts(token_files.read_tokens(spark, str(tmp_path / "t"))).collect() == []
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_the_queries_and_the_pipeline_are_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and [n for n, _ in corpus_pipeline.STAGES][0] == "quality"
 
 
