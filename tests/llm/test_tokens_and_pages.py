@@ -86,7 +86,6 @@ def test_token_files(spark, docs, rows, tmp_path):
     held = token_files.read_tokens(spark, path)
     done = token_files.token_checksums(token_files.token_starts(held))
     library = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     ids = {t: library.encode(t or "", add_special_tokens=False).ids + [2] for _, t in rows}
     order = sorted(rows, key=lambda r: (brute.key(r[0]), r[1] is not None, r[1] or ""))
     at, want = 0, []
@@ -101,12 +100,22 @@ def test_token_files(spark, docs, rows, tmp_path):
     assert held.where("doc_id = 12").count() == 1 and held.where("doc_id = 7777").count() == 0
 
 
-def test_other_tokenizers_encode_whole_texts():
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_coder_equals_the_library(name, special_as_text):
     import tokenizers
 
-    library = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
-    coder = token_files.coder_of(public.path("word_bpe_49k.json"))
-    assert np.frombuffer(coder.encode("Hello world, hello"), "<u4").tolist() == library.encode("Hello world, hello", add_special_tokens=False).ids
+    library = tokenizers.Tokenizer.from_file(public.path(name))
+    library.encode_special_tokens = special_as_text
+    coder = token_files.coder_of(public.path(name), special_as_text)
+    rng, end = random.Random(5), np.array([2], "<u4").tobytes()
+    alphabet = [" ", "  ", "\n", "a", "b", "'s", "'", "1", "é", "漢", "\x1c", ".", "##", "🙂", "\t", "aa", "zq", "ab ", " \n", "the", "<|endoftext|>", " <|endoftext|>"]
+    texts = ["hello <|endoftext|> world", "", " ", "Hello world, hello"] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
+    for low in range(0, len(texts), 777):
+        some = texts[low : low + 777]
+        ids, n = coder.encode_all(some, end)
+        ends = np.cumsum(n)
+        assert [ids[a:b].tolist() for a, b in zip(ends - n, ends)] == [library.encode(t, add_special_tokens=False).ids + [2] for t in some]
 
 
 PAGES = [
