@@ -28,11 +28,13 @@ PIECE = 4 << 20  # bytes of text in a piece of a stratum
 HOT = 1 << 20  # strata of more than a piece that may be broadcast: 12 bytes each
 ITEMS = 4 << 20  # bytes of items that are searched at once
 PAIRS = 1 << 20  # pieces to visit that may be broadcast with their items: 8 bytes an item
-TILE = 4 << 20  # impacts that are held at once
+TILE = 1 << 20  # impacts that are held at once
 GROUP = 16 << 20  # bytes of a Parquet row group
 SEGMENT = """m long, piece int, ids array<long>, terms array<string>, df array<int>, top_tf array<int>,
     term_runs array<int>, run_tf array<int>, run_n array<int>, posts array<int>"""
 FOUND = "item int, doc_id long, score long"
+# A term: fixed value.
+PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Bytes of terms: digits, letters, and every byte of characters beyond ASCII.
 TERM = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
@@ -57,13 +59,6 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(borders), pa.py_buffer(kept)), first
 
 
-def counted(texts: pa.Array) -> pa.Array:
-    """The number of terms in each text of a column."""
-    data, offsets = arrays.text_bytes(texts)
-    n = [np.diff(term_runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[2]) for a, b in arrays.doc_slices(offsets)]
-    return pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())
-
-
 def impacts(tf: np.ndarray, m: int) -> np.ndarray:
     tf = tf.astype(np.int64)
     return 1_000_000_000 * tf // (1000 * tf + 8 * m)
@@ -104,12 +99,14 @@ def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """Index every document at ``path``: ``index``, a row per piece of a stratum, and ``lengths``, documents by number of terms.
 
     Terms are maximal runs of digits, letters and characters beyond ASCII, A-Z lower-cased. Null, empty and blank texts
-    have none and are in no stratum. Rows that repeat, equal and null ids are documents of their own. Other columns are not read.
+    have none: they are of length 0, and nothing finds them. Rows that repeat, equal and null ids are documents of their own.
+    Other columns are not read.
     """
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    chosen = sharding.read_again_alike(chosen).withColumn("n", F.arrow_udf(counted, "long")("text"))
-    size = F.octet_length("text").cast("long") + 64
-    chosen.where("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("docs"), F.sum(size).alias("bytes")).write.parquet(f"{path}/lengths")
+    n = F.coalesce(F.regexp_count("text", F.lit(PATTERN)), F.lit(0)).cast("long")
+    chosen = sharding.read_again_alike(chosen).withColumn("n", n)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64
+    chosen.groupBy("n").agg(F.count(F.lit(1)).alias("docs"), F.sum(size).alias("bytes")).write.parquet(f"{path}/lengths")
     lengths = read_lengths(docs.sparkSession, path)
     total, terms = totals(lengths)
     m = F.expr(f"100 - 90 + (90 * n * {total}L) div {max(terms, 1)}L").alias("m")
@@ -118,7 +115,7 @@ def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     hot = pin(volumes.where(F.col("bytes") > PIECE).select("m", F.ceil(F.col("bytes") / F.lit(PIECE)).alias("pieces")), "ranking")
     if hot.count() <= HOT:
         hot = F.broadcast(hot)
-    dealt = chosen.where("n > 0").select("doc_id", "text", m, F.monotonically_increasing_id().alias("at")).join(hot, "m", "left")
+    dealt = chosen.select("doc_id", "text", m, F.monotonically_increasing_id().alias("at")).join(hot, "m", "left")
     # Equal rows are dealt too: their place in the input is part of the hash.
     piece = F.pmod(F.xxhash64("doc_id", "at"), F.coalesce("pieces", F.lit(1))).cast("int").alias("piece")
     held = dealt.select("m", piece, "doc_id", "text").groupBy("m", "piece").applyInArrow(segment, SEGMENT)
@@ -135,7 +132,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def totals(lengths: DataFrame) -> tuple[int, int]:
     """Documents with a term, and terms of all documents."""
-    row = lengths.agg(F.sum("docs").alias("n"), F.sum(F.col("docs") * F.col("n")).alias("l")).first()
+    row = lengths.where("n > 0").agg(F.sum("docs").alias("n"), F.sum(F.col("docs") * F.col("n")).alias("l")).first()
     return int(row["n"] or 0), int(row["l"] or 0)
 
 
