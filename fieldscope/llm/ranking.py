@@ -76,8 +76,9 @@ def segment(table: pa.Table) -> pa.Table:
     doc, term = pairs // size, pairs % size
     order = np.lexsort((doc, -tf, term))
     doc, term, tf = doc[order], term[order], tf[order]
-    new_term = np.append(True, term[1:] != term[:-1])
-    run = np.flatnonzero(new_term | np.append(True, tf[1:] != tf[:-1]))
+    new_term, new_tf = np.ones(len(term), bool), np.ones(len(term), bool)
+    new_term[1:], new_tf[1:] = term[1:] != term[:-1], tf[1:] != tf[:-1]
+    run = np.flatnonzero(new_term | new_tf)
     columns = [
         [table["m"][0].as_py()],
         [table["piece"][0].as_py()],
