@@ -6,6 +6,7 @@ import re
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -13,124 +14,22 @@ from pyspark.sql import functions as F
 
 from fieldscope.functions.wording import CUT_OUTPUT, NODE_VALUE_BYTES
 from fieldscope.functions.text import byte_truncate, quoted
+from fieldscope.operators import json_index
 
 # The helpers below run on executors that may not have this package installed: they are sent
 # by value and refer to values of other modules, never to the modules.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _shape(value: Column) -> Column:
-    return F.call_function("schema_of_variant", value)
+def _head(docs: DataFrame, keys: list[str]) -> str:
+    """The columns that are carried along, as a schema."""
+    return docs.select(*keys).schema.simpleString().removeprefix("struct<").removesuffix(">")
 
 
-def _is_table(node: Column) -> Column:
-    return node["shape"].startswith("OBJECT") | node["shape"].startswith("ARRAY")
-
-
-def _kind(node: Column) -> Column:
-    shape = node["shape"]
-    return (
-        F.when(_is_table(node), "table")
-        .when(shape == "STRING", "string")
-        .when(shape == "BOOLEAN", "boolean")
-        .when(shape == "VOID", "nil")
-        .otherwise("number")
-    )
-
-
-def _get(value: Column, kind: str) -> Column:
-    return F.call_function("try_variant_get", value, F.lit("$"), F.lit(kind))
-
-
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once, however often ``use`` refers to it."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _fields(value: Column) -> Column:
-    return F.map_entries(F.call_function("try_variant_get", value, F.lit("$"), F.lit("map<string,variant>")))
-
-
-def _items(value: Column) -> Column:
-    return F.call_function("try_variant_get", value, F.lit("$"), F.lit("array<variant>"))
-
-
-def _node(path: Column, value: Column, above: Column, over: Column) -> Column:
-    """``over``: children that the bound leaves out; ``above``: the same of the tables around the node, from the root down."""
-    return F.struct(path.alias("path"), value.alias("v"), _shape(value).alias("shape"), above.alias("above"), over.alias("over"))
-
-
-def _entries(node: Column, most: int | None) -> Column:
-    """Children of a node in key order: array positions from 1, or object keys. The object is read once."""
-
-    def named(entries):
-        keys = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"))))
-        chosen = keys if most is None else F.slice(keys, 1, most)
-        return F.transform(chosen, lambda k: child(F.concat(F.lit("s:"), k["key"]), F.get(entries, k["at"])["value"]))
-
-    def counted(items):
-        chosen = items if most is None else F.slice(items, 1, most)
-        return F.transform(chosen, lambda v, i: child(F.concat(F.lit("n:"), F.lpad((i + 1).cast("string"), 9, "0")), v))
-
-    child = lambda step, v: _node(F.concat(node["path"], F.array(step)), v, F.concat(node["above"], F.array(node["over"])), _left_out(v, most))
-    is_list = node["shape"].startswith("ARRAY")
-    return F.when(is_list, _let(_items(node["v"]), counted)).otherwise(_let(_fields(node["v"]), named))
-
-
-def _left_out(value: Column, most: int | None) -> Column:
-    """How many children a value has beyond the bound."""
-    if most is None:
-        return F.lit(0)
-    width = F.coalesce(F.size(_items(value)), F.size(_fields(value)), F.lit(0))
-    return F.greatest(width - most, F.lit(0))
-
-
-def _has_children(node: Column) -> Column:
-    return _is_table(node) & (F.coalesce(F.size(_items(node["v"])), F.size(_fields(node["v"])), F.lit(0)) > 0)
-
-
-def nesting(json_text: Column) -> Column:
-    """How deep the brackets of a JSON text are nested (strings left out): no tree of it is deeper."""
-    unescaped = F.regexp_replace(json_text, r"(?s)\\.", "")
-    bare = F.regexp_replace(F.regexp_replace(unescaped, r'"[^"]*"', ""), r"[^\[\]{}]", "")
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-
-    def step(state, c):
-        now = state["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
-
-    return F.aggregate(F.filter(F.split(bare, ""), lambda c: c != ""), zero, step, lambda s: s["most"])
-
-
-def _documents_in_rows(
-    docs: DataFrame, doc_id: str, json_column: str, max_depth: int | None, max_entries: int | None
-) -> tuple[DataFrame, int]:
-    """(doc_id, _cut, _all): all nodes of each document in pre-order, in its row; and the depth that was gone to."""
-    if max_depth is None:
-        max_depth = docs.agg(F.max(nesting(F.col(json_column)))).first()[0] or 0
-    parsed = docs.select(doc_id, json_column).hint("rebalance")
-    level = parsed.select(doc_id, F.expr(f"try_parse_json(`{json_column}`)").alias("_v")).filter(F.col("_v").isNotNull())
-    level = level.withColumn("_l0", F.array(_node(F.array().cast("array<string>"), F.col("_v"), F.array().cast("array<int>"), _left_out(F.col("_v"), max_entries))))
-    for depth in range(max_depth):
-        tables = F.filter(F.col(f"_l{depth}"), _is_table)
-        level = level.withColumn(f"_l{depth + 1}", F.flatten(F.transform(tables, lambda n: _entries(n, max_entries))))
-    levels = [F.col(f"_l{d}") for d in range(max_depth + 1)]
-    cut = F.exists(levels[-1], _has_children)
-    if max_entries is not None:
-        for c in levels[:-1]:
-            cut = cut | F.exists(c, lambda n: n["over"] > 0)
-
-    def shown(n):
-        raw = _get(n["v"], "string")
-        return F.struct(n["path"].alias("path"), n["shape"].alias("shape"), F.when(~_is_table(n), raw).alias("raw"), n["above"].alias("above"))
-
-    every = F.transform(F.flatten(F.array(*levels)), shown)
-    return level.select(doc_id, cut.alias("_cut"), F.array_sort(every).alias("_all")), max_depth
-
-
-def _plain_key(step: Column) -> Column:
-    rest = F.substring(step, F.lit(3), F.length(step))
-    return F.when(step.startswith("n:"), F.regexp_replace(rest, "^0+", "")).otherwise(rest)
+def _normal(kind: Column, raw: Column) -> Column:
+    """The raw value with numbers as Spark's VARIANT prints them."""
+    number = F.call_function("try_variant_get", F.call_function("try_parse_json", raw), F.lit("$"), F.lit("string"))
+    return F.when(kind == "number", F.coalesce(number, raw)).otherwise(raw)
 
 
 def variant_nodes(
@@ -144,30 +43,58 @@ def variant_nodes(
 ) -> DataFrame:
     """Pre-order node rows of one JSON document per row.
 
-    A document never leaves its row: each level is built as an array from the level above and all nodes are exploded
-    once. Without ``max_depth`` the deepest document tells how many levels there are. Bounds are the caller's and
-    ``truncated`` tells of them; the value shown is cut at ``value_bytes`` (None: whole), ``bytes`` is the size of the raw
-    value of a string. A document that is not valid JSON has no nodes.
+    Documents are read in one pass over a batch's bytes, so the plan is the same and work is linear at any depth; a node's path is
+    as long as it is deep. Bounds are the caller's and ``truncated`` tells of them; the value shown is cut at
+    ``value_bytes`` (None: whole), ``bytes`` is the size of the raw value of a string. A document that is not valid JSON,
+    or names a key of an object twice, has no nodes.
     """
-    ordered, _ = _documents_in_rows(docs, doc_id, json_column, max_depth, max_entries)
-    chosen = F.col("_all") if max_nodes is None else F.slice("_all", 1, max_nodes)
-    cut = F.col("_cut") if max_nodes is None else F.col("_cut") | (F.size("_all") > max_nodes)
-    node = F.col("n")
-    kind = _kind(node)
-    shown = F.when(kind == "table", "Table").when(kind == "string", quoted(node["raw"])).when(kind == "nil", "nil").otherwise(node["raw"])
-    return ordered.select(doc_id, cut.alias("truncated"), F.posexplode(chosen).alias("position", "n")).select(
-        doc_id,
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, _, data, offsets in json_index.slices(batch.column(1)):
+                nodes = json_index.nodes_of(data, offsets, max_depth, max_entries, max_nodes)
+                ids = batch.column(0).take(pa.array(nodes.doc + first))
+                numeric = pa.array(nodes.numeric, mask=nodes.depth == 0)
+                columns = [ids, pa.array(nodes.position, pa.int32()), pa.array(nodes.depth, pa.int32()), json_index.paths(nodes), numeric, nodes.kind, nodes.raw, pa.array(nodes.cut[nodes.doc])]
+                yield pa.RecordBatch.from_arrays(columns, ["_id", "position", "depth", "path", "numeric_key", "kind", "raw", "truncated"])
+
+    chosen = docs.select(F.col(doc_id).alias("_id"), F.col(json_column).cast("string").alias("_json")).hint("rebalance")
+    schema = _head(chosen, ["_id"]) + ",position:int,depth:int,path:array<string>,numeric_key:boolean,kind:string,raw:string,truncated:boolean"
+    kind, raw = F.col("kind"), _normal(F.col("kind"), F.col("raw"))
+    shown = F.when(kind == "table", "Table").when(kind == "string", quoted(raw)).when(kind == "nil", "nil").otherwise(raw)
+    return chosen.mapInArrow(flat, schema).select(
+        F.col("_id").alias(doc_id.split(".")[-1]),
         "position",
-        F.size("n.path").alias("depth"),
-        F.transform("n.path", _plain_key).alias("path"),
-        F.try_element_at("n.path", F.lit(-1)).startswith("n:").alias("numeric_key"),
-        kind.alias("kind"),
+        "depth",
+        "path",
+        "numeric_key",
+        "kind",
         (shown if value_bytes is None else byte_truncate(shown, value_bytes, "...")).alias("value"),
-        F.when(kind == "string", F.octet_length(node["raw"])).alias("bytes"),
+        F.when(kind == "string", F.octet_length("raw")).alias("bytes"),
         "truncated",
     )
 
 
+def _nodes_in_rows(docs: DataFrame, doc_id: str, json_column: str, max_depth: int | None, max_entries: int | None) -> DataFrame:
+    """(_id, _cut, _all): each document's nodes in pre-order, in its row. ``ends`` has what was left out of the tables that end after a node."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, _, data, offsets in json_index.slices(batch.column(1)):
+                nodes = json_index.nodes_of(data, offsets, max_depth, max_entries)
+                roots = np.flatnonzero(nodes.parent < 0)
+                numeric = pa.array(nodes.numeric)
+                parts = [pa.array(nodes.depth, pa.int32()), nodes.key.cast(pa.string()), numeric, nodes.kind, nodes.raw, json_index.endings(nodes)]
+                rows = pa.StructArray.from_arrays(parts, ["depth", "key", "numeric", "kind", "raw", "ends"])
+                whole = nodes.doc[roots]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(roots, len(nodes.doc)), pa.int32()), rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whole + first)), pa.array(nodes.cut[whole]), lists], ["_id", "_cut", "_all"])
+
+    chosen = docs.select(F.col(doc_id).alias("_id"), F.col(json_column).cast("string").alias("_json")).hint("rebalance")
+    node = "struct<depth:int,key:string,numeric:boolean,kind:string,raw:string,ends:array<int>>"
+    return chosen.mapInArrow(flat, _head(chosen, ["_id"]) + f",_cut:boolean,_all:array<{node}>")
+
+
 def document_scan(documents: DataFrame, declared: DataFrame) -> DataFrame:
     """Persistent documents (``owner``, ``name``, ``content``) that their owner declares.
 
@@ -234,35 +161,31 @@ def canonical_documents(
     after it. Bounds are the caller's; a marker stands where one left something out, and ``truncated`` tells of it.
     No row for what is not valid JSON.
     """
-    ordered, _ = _documents_in_rows(docs, doc_id, json_column, max_depth, max_entries)
-    every = F.col("_all")
+    ordered = _nodes_in_rows(docs, doc_id, json_column, max_depth, max_entries)
 
     def indent(depth):
         return F.repeat(F.lit("  "), depth)
 
-    def omitted(node, depth):
-        count = F.get(node["above"], depth)
+    def omitted(count, depth):
         return F.when(count > 0, F.concat(F.lit("\n"), indent(depth + 1), F.lit("... <"), count.cast("string"), F.lit(" entries omitted>"))).otherwise("")
 
-    def piece(node, at):
-        depth = F.size(node["path"])
-        following = F.coalesce(F.size(F.get(every, at + 1)["path"]), F.lit(0))
-        step = F.try_element_at(node["path"], F.lit(-1))
-        key = F.when(step.startswith("n:"), _plain_key(step)).otherwise(quoted(_plain_key(step)))
+    def piece(node):
+        depth, kind = node["depth"], node["kind"]
+        raw = _normal(kind, node["raw"])
+        key = F.when(node["numeric"], node["key"]).otherwise(quoted(node["key"]))
         lead = F.when(depth > 0, F.concat(F.lit("\n"), indent(depth), F.lit("["), key, F.lit("] = "))).otherwise("")
-        kind = _kind(node)
-        scalar = F.when(kind == "string", quoted(node["raw"])).when(kind == "nil", "nil").when(kind == "boolean", node["raw"]).otherwise(_number_text(node["raw"]))
+        scalar = F.when(kind == "string", quoted(raw)).when(kind == "nil", "nil").when(kind == "boolean", raw).otherwise(_number_text(raw))
         comma = lambda d: F.when(d > 0, ",").otherwise("")
-        ends = F.when(
-            depth > following,
-            F.transform(F.sequence(depth - 1, following, F.lit(-1)), lambda d: F.concat(omitted(node, d), F.lit("\n"), indent(d), F.lit("}"), comma(d))),
-        ).otherwise(F.array().cast("array<string>"))
-        opened = F.concat(lead, F.lit("{"))
+        end = lambda count, i: F.concat(omitted(count, depth - 1 - i), F.lit("\n"), indent(depth - 1 - i), F.lit("}"), comma(depth - 1 - i))
         empty = F.lit("{}") if max_depth is None else F.when(depth >= max_depth, "<max depth>").otherwise("{}")
-        closed = F.concat(lead, F.when(kind == "table", empty).otherwise(scalar), comma(depth), F.array_join(ends, ""))
-        return F.when(following > depth, opened).otherwise(closed)
-
-    texts = ordered.select(doc_id, F.array_join(F.transform(every, piece), "").alias("text"), F.col("_cut").alias("truncated"))
+        closed = F.concat(lead, F.when(kind == "table", empty).otherwise(scalar), comma(depth), F.array_join(F.transform(node["ends"], end), ""))
+        return F.when(node["opens"], F.concat(lead, F.lit("{"))).otherwise(closed)
+
+    # A table is opened where the next node lies below it.
+    below = lambda n, i: n.withField("opens", F.coalesce(F.get("_all", i + 1)["depth"] > n["depth"], F.lit(False)))
+    pieces = F.transform(F.transform("_all", below), piece)
+    texts = ordered.select(F.col("_id").alias(doc_id.split(".")[-1]), F.array_join(pieces, "").alias("text"), F.col("_cut").alias("truncated"))
+    doc_id = doc_id.split(".")[-1]
     if max_bytes is None:
         return texts
     long = F.octet_length("text") > max_bytes
@@ -286,6 +209,15 @@ TOKEN = re.compile(
 )
 ROOT = re.compile(r"(?:^|\n)\[1\]\s*=")
 
+IDENTIFIER = re.compile(r"[_A-Za-z]\w*")
+NODE_ROWS = 20_000  # nodes that are handed on at once
+PATH_STEPS = 500_000  # keys of their paths
+NODE_SCHEMA = pa.schema(
+    [("position", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("key", pa.string()), ("kind", pa.string()), ("value", pa.string()), ("cut", pa.bool_())]
+)
+PATH = pa.field("path", pa.list_(pa.string()))
+
+
 class _Malformed(Exception):
     pass
 
@@ -311,101 +243,111 @@ def _scalar_kind(token: str) -> str:
     return "marker" if token.startswith("<") else "string"
 
 
-def parse_tree(text: str | None, max_nodes: int | None = None) -> list[tuple[int, list[str], str, str]] | None:
-    """Serialised values ``[1] = ...`` -> (position, path, kind, value) rows; None if malformed or larger than ``max_nodes``."""
+def parse_tree(text: str | None, max_nodes: int | None = None) -> list[tuple[int, int, str, str, str]] | None:
+    """Serialised values ``[1] = ...`` -> (parent, depth, key, kind, value) rows in pre-order; None if malformed or larger than ``max_nodes``.
+
+    Open tables wait on a stack of their own, so depth is bounded by the text alone.
+    """
     start = ROOT.search(text or "")
     if not start:
         return None
-    rows: list[tuple[int, list[str], str, str]] = []
-    stream = list(_tokens(text[start.start():].lstrip("\n")))
+    rows: list[tuple[int, int, str, str, str]] = []
+    open_tables: list[list[int]] = []  # row and entries so far of each table around the place
+    stream = [*_tokens(text[start.start():].lstrip("\n")), ("end", "")]
     at = 0
 
-    def take(kind: str, token: str | None = None) -> str:
-        nonlocal at
-        if at >= len(stream) or stream[at][0] != kind or (token is not None and stream[at][1] != token):
-            raise _Malformed
-        at += 1
-        return stream[at - 1][1]
-
-    def peek() -> tuple[str, str]:
-        return stream[at] if at < len(stream) else ("end", "")
-
     def key() -> str:
-        take("mark", "[")
-        kind, token = peek()
-        if kind not in ("quoted", "word"):
+        nonlocal at
+        (_, opened), (kind, token), closed, equals = stream[at : at + 4]
+        if opened != "[" or kind not in ("quoted", "word") or closed != ("mark", "]") or equals != ("mark", "="):
             raise _Malformed
-        take(kind)
-        take("mark", "]")
-        take("mark", "=")
+        at += 4
         inner = token.strip()
-        if kind == "quoted" and re.fullmatch(r"[_A-Za-z]\w*", inner[1:-1]):
+        if kind == "quoted" and IDENTIFIER.fullmatch(inner[1:-1]):
             return inner[1:-1]
         return f"[{inner}]"
 
-    def cut(token: str) -> str:
-        raw = token.encode()
-        return token if len(raw) <= NODE_VALUE_BYTES else raw[: NODE_VALUE_BYTES].decode(errors="ignore") + "..."
-
-    def value(path: list[str]) -> None:
+    def value(name: str) -> None:
         nonlocal at
         if max_nodes is not None and len(rows) >= max_nodes:
             raise _Malformed
-        kind, token = peek()
-        if (kind, token) != ("mark", "{"):
-            if kind not in ("quoted", "word"):
-                raise _Malformed
-            at += 1
-            rows.append((len(rows), path, _scalar_kind(token.strip()), cut(token.strip())))
-            return
-        at += 1
-        mine = len(rows)
-        rows.append((mine, path, "table", ""))
-        children = 0
-        while peek() != ("mark", "}"):
-            children += 1
-            if peek()[0] == "marker":
-                rows.append((len(rows), [*path, "..."], "marker", take("marker").strip()))
-                continue
-            value([*path, key()])
-            if peek() == ("mark", ","):
-                at += 1
+        kind, token = stream[at]
+        parent = open_tables[-1][0] if open_tables else -1
+        if (kind, token) == ("mark", "{"):
+            open_tables.append([len(rows), 0])
+            rows.append((parent, len(open_tables) - 1, name, "table", ""))
+        elif kind in ("quoted", "word"):
+            rows.append((parent, len(open_tables), name, _scalar_kind(token.strip()), token.strip()))
+        else:
+            raise _Malformed
         at += 1
-        rows[mine] = (mine, path, "table", f"Table ({children} entries)")
 
     try:
         index = 1
-        while peek() == ("mark", "["):
-            if key() != f"[{index}]":
-                break
-            value([f"[{index}]"])
-            index += 1
-    except (_Malformed, RecursionError):
+        while open_tables or stream[at] == ("mark", "["):
+            if not open_tables:
+                if key() != f"[{index}]":
+                    break
+                index += 1
+                value(f"[{index - 1}]")
+                continue
+            kind, token = stream[at]
+            if (kind, token) == ("mark", "}"):
+                mine, entries = open_tables.pop()
+                rows[mine] = (*rows[mine][:4], f"Table ({entries} entries)")
+                at += 1
+            else:
+                open_tables[-1][1] += 1
+                if kind == "marker":
+                    rows.append((open_tables[-1][0], len(open_tables), "...", "marker", token.strip()))
+                    at += 1
+                    continue
+                depth = len(open_tables)
+                value(key())
+                if len(open_tables) > depth:
+                    continue
+            if open_tables and stream[at] == ("mark", ","):
+                at += 1
+    except (_Malformed, IndexError, ValueError):  # also where the text ends too early
         return None
     return rows or None
 
 
-NODE_SCHEMA = pa.schema(
-    [("position", pa.int32()), ("depth", pa.int32()), ("path", pa.list_(pa.string())), ("kind", pa.string()), ("value", pa.string())]
-)
-
+def tree_from_text(
+    entries: DataFrame, text_column: str, keys: list[str], max_nodes: int | None = None, value_bytes: int | None = None, paths: bool = True
+) -> DataFrame:
+    """Node rows of the serialised text of each entry, in pre-order; malformed text, or one of more than ``max_nodes`` nodes, has none.
 
-def tree_from_text(entries: DataFrame, text_column: str, keys: list[str], max_nodes: int | None = None) -> DataFrame:
-    """Node rows of the serialised text of each entry; malformed text, or one of more than ``max_nodes`` nodes, has none."""
+    ``parent`` is the position of the table around a node, ``path`` its keys from the root down. A path is as long as its node is deep, so
+    that texts of great depth are better read without (``paths``). Values are whole unless ``value_bytes`` cuts them; ``cut``
+    tells where. Rows are handed on in batches of bounded size.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owners, rows = [], []
-            for at, text in enumerate(batch.column(text_column).to_pylist()):
-                found = parse_tree(text, max_nodes) or ()
-                owners.extend([at] * len(found))
-                rows.extend(found)
-            carried = [batch.column(k).take(pa.array(owners, pa.int64())) for k in keys]
-            position, path, kind, value = zip(*rows) if rows else ((), (), (), ())
-            node = [position, [len(p) - 1 for p in path], path, kind, value]
-            made = [pa.array(column, field.type) for column, field in zip(node, NODE_SCHEMA)]
-            yield pa.RecordBatch.from_arrays([*carried, *made], [*keys, *NODE_SCHEMA.names])
+            held: list[tuple] = []
+            steps = 0
+            for owner, text in enumerate(batch.column(text_column).to_pylist()):
+                way: list[str] = []
+                for position, (parent, depth, key, kind, value) in enumerate(parse_tree(text, max_nodes) or ()):
+                    del way[depth:]
+                    way.append(key)
+                    raw = value.encode() if value_bytes is not None and len(value) * 4 > value_bytes else b""
+                    cut = value_bytes is not None and len(raw) > value_bytes
+                    shown = raw[:value_bytes].decode(errors="ignore") + "..." if cut else value
+                    held.append((owner, position, parent if parent >= 0 else None, depth, key, kind, shown, cut, tuple(way) if paths else None))
+                    steps += depth + 1
+                    if len(held) >= NODE_ROWS or (paths and steps >= PATH_STEPS):
+                        yield made(batch, held)
+                        held, steps = [], 0
+            yield made(batch, held)
+
+    def made(batch: pa.RecordBatch, held: list[tuple]) -> pa.RecordBatch:
+        owner, *columns = zip(*held) if held else ((),) * (len(NODE_SCHEMA) + 2)
+        carried = [batch.column(k).take(pa.array(owner, pa.int64())) for k in keys]
+        fields = [f for f in [*NODE_SCHEMA, PATH] if paths or f is not PATH]
+        return pa.RecordBatch.from_arrays([*carried, *(pa.array(c, f.type) for c, f in zip(columns, fields))], [*keys, *(f.name for f in fields)])
 
     chosen = entries.select(*keys, text_column).hint("rebalance")
-    head = chosen.select(*keys).schema.simpleString().removeprefix("struct<").removesuffix(">")
-    return chosen.mapInArrow(parse, f"{head},position:int,depth:int,path:array<string>,kind:string,value:string")
+    schema = _head(chosen, keys) + ",position:int,parent:int,depth:int,key:string,kind:string,value:string,cut:boolean"
+    return chosen.mapInArrow(parse, schema + (",path:array<string>" if paths else ""))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldscope.operators import documents as D
+from fieldscope.operators import json_index
 from fieldscope.operators import graph as G
 from fieldscope.operators import trees as T
 
@@ -218,7 +219,84 @@ def test_canonical_text_parses_back(spark):
     doc = {"name": "x", "list": [1, 2.5, None, True], "inner": {"k y": "v"}}
     text = D.canonical_documents(spark.createDataFrame([(1, json.dumps(doc))], "id int, body string"), "id", "body").collect()[0].text
     rows = D.parse_tree("[1] = " + text)
-    assert ["/".join(p) for _, p, _, _ in rows][:3] == ["[1]", "[1]/inner", '[1]/inner/["k y"]'] and len(rows) == 9
+    assert [(parent, key) for parent, _, key, _, _ in rows][:3] == [(-1, "[1]"), (0, "inner"), (1, '["k y"]')] and len(rows) == 9
+
+
+def test_deep_texts_have_their_tree(spark):
+    deep = lambda n: "[1] = " + '{\n["x"] = ' * n + "1" + "\n}" * n
+    df = spark.createDataFrame([(1, deep(50_000)), (2, "[1] = 5"), (3, deep(50_000)[:-1])], "id int, body string")
+    got = {r.id: (r.n, r.d) for r in D.tree_from_text(df, "body", ["id"], paths=False).groupBy("id").agg(F.count("*").alias("n"), F.max("depth").alias("d")).collect()}
+    assert got == {1: (50_001, 50_000), 2: (1, 0)}
+    some = D.tree_from_text(spark.createDataFrame([(1, deep(1500))], "id int, body string"), "body", ["id"])
+    assert some.where("size(path) = depth + 1 and path[0] = '[1]' and path[depth] = key").count() == 1501
+    assert [(r.parent, r.position) for r in some.orderBy("position").limit(3).collect()] == [(None, 0), (0, 1), (1, 2)]
+
+
+def test_values_are_cut_by_argument_only(spark):
+    df = spark.createDataFrame([(1, '[1] = "' + "é" * 600 + '"')], "id int, body string")
+    whole, cut = (D.tree_from_text(df, "body", ["id"], value_bytes=b).collect()[0] for b in (None, 10))
+    assert len(whole.value) == 602 and not whole.cut and cut.value == '"éééé...' and cut.cut
+
+
+def test_json_of_great_depth_costs_only_itself(spark):
+    flat = spark.range(20_000).selectExpr("cast(id as int) as id", "concat('{\"a\":', id, ',\"b\":[1,\"x\"]}') as body")
+    deep = spark.createDataFrame([(-1, '{"k":' * 900 + "1" + "}" * 900), (-2, "[" * 70_000), (-3, "[" * 5000 + "]" * 5000)], "id int, body string")
+    nodes = D.variant_nodes(flat.where("id < 100").union(deep), "id", "body")
+    shallow = D.variant_nodes(flat, "id", "body")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert plan(nodes) < plan(shallow) + 10
+    got = {r.id: (r.n, r.d) for r in nodes.where("id < 2").groupBy("id").agg(F.count("*").alias("n"), F.max("depth").alias("d")).collect()}
+    assert got == {-1: (901, 900), -3: (5000, 4999), 0: (5, 2), 1: (5, 2)}
+    text = D.canonical_documents(deep.where("id = -1"), "id", "body").first().text
+    assert text.count("{") == text.count("}") == 900 and '["k"] = 1,\n' in text
+
+
+def _pre_order(value, path=()):
+    kind = "table" if isinstance(value, (dict, list)) else "string" if isinstance(value, str) else "boolean" if isinstance(value, bool) else "nil" if value is None else "number"
+    out = [(list(path), kind, value if kind == "string" else None)]
+    below = sorted(value.items(), key=lambda e: e[0].encode()) if isinstance(value, dict) else enumerate(value, 1) if isinstance(value, list) else ()
+    for key, inner in below:
+        out += _pre_order(inner, (*path, str(key)))
+    return out
+
+
+def test_json_index_against_a_parser():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+
+    def some(depth):
+        r = rng.random()
+        if depth < 5 and r < 0.3:
+            return {rng.choice(["a", "b", "é", 'q"x', "\\", "n\n", "zz", "", "\u2028"]) + str(rng.randint(0, 3)): some(depth + 1) for _ in range(rng.randint(0, 5))}
+        if depth < 5 and r < 0.5:
+            return [some(depth + 1) for _ in range(rng.randint(0, 4))]
+        return rng.choice([1, -2.5, True, False, None, "", "x", "\\\\", 'a"b', "{[,:]}", "ß é\t", 1e300, "end\\"])
+
+    def once(pairs):
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError
+        return dict(pairs)
+
+    def damaged(text):
+        at = rng.randrange(len(text) + 1)
+        return text[:at] + rng.choice(["", *'{}[],:"\\ 1atn']) + text[at + rng.randint(0, 1) :]
+
+    texts = [json.dumps(some(0), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])) for _ in range(1500)]
+    texts += [damaged(t) for t in texts] + ["", None, "\\", '"\\', '"a"', " 7 ", "nul", "[1,]", '{"a":1,"a":2}', "[NaN]", "01", '"\x01"', "]["]
+    for first, end, data, offsets in json_index.slices(pa.array(texts)):
+        nodes = json_index.nodes_of(data, offsets)
+        got = {}
+        for doc, *row in zip(nodes.doc.tolist(), json_index.paths(nodes).to_pylist(), nodes.kind.to_pylist(), nodes.raw.to_pylist()):
+            got.setdefault(doc, []).append((row[0], row[1], row[2] if row[1] == "string" else None))
+        for i, text in enumerate(texts[first:end]):
+            try:
+                want = _pre_order(json.loads(text or "", object_pairs_hook=once, parse_constant=lambda c: json.loads("")))
+            except ValueError:
+                want = None
+            assert got.get(i) == want, text
 
 
 def test_reach(spark):
