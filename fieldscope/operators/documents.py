@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fieldscope.functions.wording import CUT_OUTPUT, NODE_VALUE_BYTES
 from fieldscope.functions.text import byte_truncate, quoted
 from fieldscope.operators import json_index
+from fieldscope.plans.spread import spread
 
 # The helpers below run on executors that may not have this package installed: they are sent
 # by value and refer to values of other modules, never to the modules.
@@ -58,7 +59,7 @@ def variant_nodes(
                 columns = [ids, pa.array(nodes.position, pa.int32()), pa.array(nodes.depth, pa.int32()), json_index.paths(nodes), numeric, nodes.kind, nodes.raw, pa.array(nodes.cut[nodes.doc])]
                 yield pa.RecordBatch.from_arrays(columns, ["_id", "position", "depth", "path", "numeric_key", "kind", "raw", "truncated"])
 
-    chosen = docs.select(F.col(doc_id).alias("_id"), F.col(json_column).cast("string").alias("_json")).hint("rebalance")
+    chosen = spread(docs.select(F.col(doc_id).alias("_id"), F.col(json_column).cast("string").alias("_json")))
     schema = _head(chosen, ["_id"]) + ",position:int,depth:int,path:array<string>,numeric_key:boolean,kind:string,raw:string,truncated:boolean"
     kind, raw = F.col("kind"), _normal(F.col("kind"), F.col("raw"))
     shown = F.when(kind == "table", "Table").when(kind == "string", quoted(raw)).when(kind == "nil", "nil").otherwise(raw)
@@ -90,7 +91,7 @@ def _nodes_in_rows(docs: DataFrame, doc_id: str, json_column: str, max_depth: in
                 lists = pa.ListArray.from_arrays(pa.array(np.append(roots, len(nodes.doc)), pa.int32()), rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whole + first)), pa.array(nodes.cut[whole]), lists], ["_id", "_cut", "_all"])
 
-    chosen = docs.select(F.col(doc_id).alias("_id"), F.col(json_column).cast("string").alias("_json")).hint("rebalance")
+    chosen = spread(docs.select(F.col(doc_id).alias("_id"), F.col(json_column).cast("string").alias("_json")))
     node = "struct<depth:int,key:string,numeric:boolean,kind:string,raw:string,ends:array<int>>"
     return chosen.mapInArrow(flat, _head(chosen, ["_id"]) + f",_cut:boolean,_all:array<{node}>")
 
@@ -348,6 +349,6 @@ def tree_from_text(
         fields = [f for f in [*NODE_SCHEMA, PATH] if paths or f is not PATH]
         return pa.RecordBatch.from_arrays([*carried, *(pa.array(c, f.type) for c, f in zip(columns, fields))], [*keys, *(f.name for f in fields)])
 
-    chosen = entries.select(*keys, text_column).hint("rebalance")
+    chosen = spread(entries.select(*keys, text_column))
     schema = _head(chosen, keys) + ",position:int,parent:int,depth:int,key:string,kind:string,value:string,cut:boolean"
     return chosen.mapInArrow(parse, schema + (",path:array<string>" if paths else ""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,51 +87,84 @@ def run_to_table(stream: DataFrame, label: str, output_mode: str = "append", end
     return spark.read.schema(stream.schema).parquet(path)
 
 
-class MergedTable:
-    """A keyed table that a stream keeps up to date, one version folder per micro-batch.
+class LogTable:
+    """A keyed table that a stream keeps up to date as a log of runs, merged when there are enough of them.
 
-    ``collapse`` reduces a micro-batch to one row per key, ``merge`` combines such rows
-    with the last version. A batch that is run again rewrites its own version from the
-    one before, so a restart changes nothing.
+    ``collapse`` turns a micro-batch into rows of the table; they become a run of their own, in folders by hash of the key,
+    so that a batch writes what it brings and no more. ``merge`` puts the rows of several runs together: each time ``fan`` runs
+    of a size are there, they become one, so a row is written once per power of ``fan``. Runs from the first batch on, before which
+    nothing lies, are put together by ``settle``, and all that a reader sees by ``finish``. A run that covers other runs takes their
+    place once it is complete; they go with the next batch. A batch that is run again writes its own run anew, or nothing if
+    its run was merged already, so a restart changes nothing.
     """
 
-    def __init__(self, path: str, collapse: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame]):
-        self.path = path.rstrip("/")
-        self.collapse = collapse
-        self.merge = merge
+    def __init__(
+        self,
+        path: str,
+        keys: Sequence[str],
+        collapse: Callable[[DataFrame], DataFrame],
+        merge: Callable[[DataFrame], DataFrame],
+        settle: Callable[[DataFrame], DataFrame] | None = None,
+        finish: Callable[[DataFrame], DataFrame] | None = None,
+        buckets: int = 64,
+        fan: int = 8,
+    ):
+        self.path, self.keys, self.collapse, self.merge = path.rstrip("/"), list(keys), collapse, merge
+        self.settle, self.finish, self.buckets, self.fan = settle or merge, finish or merge, buckets, fan
 
     def _files(self, spark: SparkSession):
         jvm = spark.sparkContext._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm, root, root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self, spark: SparkSession) -> list[int]:
+    def runs(self, spark: SparkSession) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+        """The complete runs that count, as first and last batch, and those that others cover."""
         jvm, root, files = self._files(spark)
         if not files.exists(root):
-            return []
-        complete = [
-            s.getPath().getName()
-            for s in files.listStatus(root)
-            if files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-        ]
-        return sorted(int(name.removeprefix("v")) for name in complete if name.startswith("v"))
+            return [], []
+        names = [s.getPath().getName() for s in files.listStatus(root)]
+        complete = [n for n in names if n.startswith("run=") and files.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        spans = sorted((tuple(map(int, n.removeprefix("run=").split("_"))) for n in complete), key=lambda r: (r[0], -r[1]))
+        live, covered, upto = [], [], -1
+        for run in spans:
+            (covered if run[1] <= upto else live).append(run)
+            upto = max(upto, run[1])
+        return live, covered
+
+    def _read(self, spark: SparkSession, runs: list[tuple[int, int]]) -> DataFrame | None:
+        jvm, _, files = self._files(spark)
+        paths = [f"{self.path}/run={a}_{b}" for a, b in runs]
+        filled = [p for p in paths if any(s.isDirectory() for s in files.listStatus(jvm.org.apache.hadoop.fs.Path(p)))]
+        return spark.read.option("basePath", self.path).parquet(*filled).drop("_bucket", "run") if filled else None
+
+    def _write(self, rows: DataFrame, first: int, last: int) -> None:
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        rows.withColumn("_bucket", bucket).repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/run={first}_{last}")
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = [v for v in self._versions(spark) if v < batch_id]
-        rows = self.collapse(batch)
-        if before:
-            rows = self.merge(spark.read.parquet(f"{self.path}/v{before[-1]}"), rows)
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
+        live, covered = self.runs(spark)
+        if not any(a <= batch_id <= b and (a, b) != (batch_id, batch_id) for a, b in live):
+            self._write(self.collapse(batch), batch_id, batch_id)
         jvm, _, files = self._files(spark)
-        for old in before[:-1]:
-            files.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{old}"), True)
+        for a, b in covered:  # no reader of an earlier batch needs them any more
+            files.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/run={a}_{b}"), True)
+        size = self.fan
+        while (batch_id + 1) % size == 0:
+            first = batch_id + 1 - size
+            parts = [r for r in self.runs(spark)[0] if r[0] >= first]
+            held = self._read(spark, parts) if len(parts) > 1 else None
+            if held is not None:
+                self._write(self.settle(held) if first == 0 else self.merge(held), first, batch_id)
+            size *= self.fan
 
     def current(self, spark: SparkSession) -> DataFrame:
-        versions = self._versions(spark)
-        if not versions:
-            raise ValueError(f"no complete version below {self.path}")
-        return spark.read.parquet(f"{self.path}/v{versions[-1]}")
+        """A row per key, from all runs that count."""
+        live, _ = self.runs(spark)
+        held = self._read(spark, live)
+        if held is None:
+            raise ValueError(f"no rows below {self.path}")
+        return self.finish(held)
 
     def follow(self, stream: DataFrame, **trigger) -> None:
         """Feed the stream into the table; by default all that is available, then stop."""

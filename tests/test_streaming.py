@@ -59,15 +59,71 @@ def test_error_feed_equals_batch(spark):
     assert read(M.error_feed_stream(stream, path)) == read(got)
 
 
-def test_repeated_micro_batch_changes_nothing(spark):
-    table = S.MergedTable(fresh_dir(spark, "merged"), R.error_occurrences, M.merge_errors)
-    df = spark.createDataFrame([(1, "m", "s", 2, 5)], "seq long, message string, stack string, counter int, time long")
-    table.update(df, 0)
-    table.update(df, 1)
-    table.update(df, 1)
-    assert table.current(spark).collect()[0].occurrences == 4
-    table.update(df, 2)
-    assert table._versions(spark) == [1, 2] and table.current(spark).collect()[0].occurrences == 6
+ERROR = "seq long, message string, stack string, counter int, time long"
+
+
+def folders(table, spark):
+    import os
+
+    live, covered = table.runs(spark)
+    root = table.path.removeprefix("file:")
+    return live, covered, {r: sorted(n for n in os.listdir(f"{root}/run={r[0]}_{r[1]}") if n.startswith("_bucket")) for r in live}
+
+
+def test_a_batch_writes_what_it_brings_and_a_repeated_one_changes_nothing(spark):
+    table = M.error_table(fresh_dir(spark, "log"), fan=3)
+    many = spark.createDataFrame([(i, f"m{i}", "s", 1, 5) for i in range(200)], ERROR)
+    one = spark.createDataFrame([(300, "m7", "s", 2, 9)], ERROR)
+    total = lambda: {r.message: r.occurrences for r in table.current(spark).collect()}
+    table.update(many, 0)
+    table.update(one, 1)
+    table.update(one, 1)
+    assert len(folders(table, spark)[2][(1, 1)]) == 1 and len(folders(table, spark)[2][(0, 0)]) > 30
+    assert total()["m7"] == 3 and sum(total().values()) == 202
+    table.update(one, 2)
+    assert folders(table, spark)[:2] == ([(0, 2)], [(0, 0), (1, 1), (2, 2)]) and total()["m7"] == 5
+    table.update(one, 2)  # merged already
+    assert total()["m7"] == 5 and folders(table, spark)[0] == [(0, 2)]
+    for batch in range(3, 11):
+        table.update(one, batch)
+        assert total()["m7"] == 5 + 2 * (batch - 2) and sum(total().values()) == 204 + 2 * (batch - 2)
+    assert folders(table, spark)[0] == [(0, 8), (9, 9), (10, 10)]
+
+
+def test_a_writer_lost_while_merging_leaves_the_runs(spark):
+    table = M.error_table(fresh_dir(spark, "log"), fan=2)
+    one = spark.createDataFrame([(1, "m", "s", 2, 5)], ERROR)
+    table.update(one, 0)
+    write = table._write
+    table._write = lambda rows, a, b: write(rows, a, b) if a == b else (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        table.update(one, 1)
+    assert table.runs(spark) == ([(0, 0), (1, 1)], []) and table.current(spark).first().occurrences == 4
+    table._write = write
+    table.update(one, 1)  # the batch is run again
+    assert table.runs(spark)[0] == [(0, 1)] and table.current(spark).first().occurrences == 4
+
+
+@pytest.mark.parametrize("late, fan", [(3, 2), (64, 100)])
+def test_object_state_of_rows_in_any_order(spark, late, fan):
+    rng = random.Random(8)
+    rows = [(s, o, n, rng.random() < 0.5) for s in (1, 2) for n in range(14) for o in range(6) if rng.random() < 0.7]
+    parts, left = [], list(rows)
+    while left:  # each part takes rows up to ``late`` snapshots behind the newest one
+        low = min(r[2] for r in left)
+        part = [r for r in left if r[2] <= low + late - 1 and (r[2] == low or rng.random() < 0.4)]
+        left = [r for r in left if r not in part]
+        parts.append(part + rng.sample(part, len(part) // 4))
+    schema = "session_id long, object_id long, snap_no long, shown boolean"
+    table = M.object_table(fresh_dir(spark, "objects"), late, chunk=4, fan=fan)
+    for i, part in enumerate(parts):
+        table.update(spark.createDataFrame(part, schema), i)
+    cols = ["session_id", "newly_observed", "activations", "reused_activations", "hidden_transitions", "reuse_rate"]
+    read = lambda df: sorted(tuple(r) for r in df.select(*cols).collect())
+    assert read(L.object_moves(table.current(spark))) == read(L.object_lifecycle(spark.createDataFrame(rows, schema)))
+    if fan == 2:  # what is settled is one row per object
+        held = table._read(spark, table.runs(spark)[0])
+        assert held.where("closed").groupBy("session_id", "object_id").count().agg(F.max("count")).first()[0] == 1
 
 
 SAMPLES = "session_id long, ts_us long, last_time double"
