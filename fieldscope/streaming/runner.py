@@ -106,7 +106,7 @@ class LogTable:
         merge: Callable[[DataFrame], DataFrame],
         settle: Callable[[DataFrame], DataFrame] | None = None,
         finish: Callable[[DataFrame], DataFrame] | None = None,
-        buckets: int = 64,
+        buckets: int = 16,
         fan: int = 8,
     ):
         self.path, self.keys, self.collapse, self.merge = path.rstrip("/"), list(keys), collapse, merge

@@ -1,5 +1,6 @@
 """Evidence store, migration, retention, history, metadata."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from fieldscope.functions import wording as W
@@ -85,22 +86,96 @@ def test_accounts_share_tickets(spark):
     assert store.prune(W.STORE_BYTES, 1) == 1 and [r.ticket[-4:] for r in store.records().collect()] == ["0002"]
 
 
-def test_existing_tickets_are_skipped_and_writers_take_turns(spark):
-    store = EvidenceStore(spark, fresh_dir(spark, "store"), lock_wait_s=0)
-    imported = spark.createDataFrame([("a", "FSCOPE-20231114-221321-0007", 5, "x"), ("a", "odd", 5, "x")], "account string, ticket string, created_at long, content string")
-    from fieldscope.sources import store as module
-
-    module._dated(S.evidence_envelope(imported)).write.partitionBy("created_date").parquet(store.records_path)
+def test_numbers_of_imported_tickets_are_passed_over(spark):
+    store = EvidenceStore(spark, fresh_dir(spark, "store"))
+    store.import_records(spark.createDataFrame([("a", "FSCOPE-20231114-221321-0007", 5, "x"), ("a", "odd", 5, "x")], "account string, ticket string, created_at long, content string"))
     assert [r.ticket[-4:] for r in store.append(spark.createDataFrame([export(1)], EXPORT)).collect()] == ["0008"]
-    with store._writing():
-        import pytest
-
-        with pytest.raises(TimeoutError):
-            store.append(spark.createDataFrame([export(2)], EXPORT))
-    store.clear()
+    assert store.clear() == 3
     assert [r.ticket[-4:] for r in store.append(spark.createDataFrame([export(2)], EXPORT)).collect()] == ["0009"]
 
 
+class Lost(Exception):
+    pass
+
+
+def state(store):
+    records = store.records()
+    ids = store.last_ids()
+    return (
+        [] if records is None else sorted((r.account, r.ticket) for r in records.collect()),
+        [] if ids is None else sorted((r.account, r.last_id) for r in ids.collect()),
+    )
+
+
+@pytest.mark.parametrize("step", ["_write_ids", "_write_records", "_publish"])
+@pytest.mark.parametrize("after", [False, True])
+def test_a_writer_lost_at_any_step_leaves_one_snapshot_or_the_other(spark, monkeypatch, step, after):
+    path = fresh_dir(spark, "store")
+    EvidenceStore(spark, path).append(spark.createDataFrame([export(1), export(2, at=1700090000)], EXPORT))
+    old = state(EvidenceStore(spark, path))
+    writer = EvidenceStore(spark, path)
+    real = getattr(writer, step)
+
+    def lost(*args):
+        if after:
+            real(*args)
+        raise Lost
+
+    monkeypatch.setattr(writer, step, lost)
+    with pytest.raises(Lost):
+        writer.append(spark.createDataFrame([export(3)], EXPORT))
+    published = step == "_publish" and after
+    now = state(EvidenceStore(spark, path))
+    assert (now == old) != published and len(now[0]) == 2 + published
+    if step != "_write_ids":
+        gone = spark.createDataFrame([("a", old[0][0][1])], "account string, ticket string")
+        with pytest.raises(Lost):
+            writer.delete(gone)
+        assert len(state(EvidenceStore(spark, path))[0]) == len(now[0]) - published
+    # nothing holds the next writer up
+    again = EvidenceStore(spark, path).append(spark.createDataFrame([export(4)], EXPORT)).collect()
+    assert again[0].ticket.endswith("0004" if published else "0003")
+
+
+def test_records_without_a_time_can_be_deleted(spark):
+    store = EvidenceStore(spark, fresh_dir(spark, "store"))
+    schema = "account string, ticket string, created_at long, content string"
+    store.import_records(spark.createDataFrame([("a", "T-1", None, "x"), ("a", "T-2", None, "y"), ("a", "T-3", 5, "z")], schema))
+    assert store.delete(spark.createDataFrame([("a", "T-1")], "account string, ticket string")) == 1
+    assert sorted(r.ticket for r in store.records().collect()) == ["T-2", "T-3"]
+
+
+def test_the_second_writer_takes_its_change_up_again(spark, monkeypatch):
+    path = fresh_dir(spark, "store")
+    first, second = EvidenceStore(spark, path), EvidenceStore(spark, path)
+    real, seen = second._publish, []
+
+    def late(version, content):
+        if not seen:
+            first.append(spark.createDataFrame([export(1)], EXPORT))
+        seen.append(version)
+        return real(version, content)
+
+    monkeypatch.setattr(second, "_publish", late)
+    got = second.append(spark.createDataFrame([export(2)], EXPORT)).collect()
+    assert seen == [1, 2] and got[0].ticket.endswith("0002")
+    assert [t[-4:] for _, t in state(first)[0]] == ["0001", "0002"] and state(first)[1] == [("a", 2)]
+
+
+def test_many_small_appends_are_put_together(spark, monkeypatch):
+    from fieldscope.sources import store as module
+
+    monkeypatch.setattr(module, "IDS", 2)
+    store = EvidenceStore(spark, fresh_dir(spark, "store"))
+    for i in range(4):
+        store.append(spark.createDataFrame([export(i)], EXPORT))
+    before = state(store)
+    assert len(store.snapshot()[1]["ids"]) <= 2 and len(store.snapshot()[1]["records"]) == 4
+    assert store.compact(3) == 1 and store.compact(3) == 0
+    assert len(store.snapshot()[1]["records"]) == 1 and state(store) == before and before[1] == [("a", 4)]
+    assert store.vacuum(older_s=-5) > 4 and state(store) == before
+
+
 def test_oversize_is_rejected_but_takes_an_id(spark):
     df = spark.createDataFrame([export(1, "x" * 20), export(2, "y")], EXPORT)
     numbered = S.evidence_number(df)

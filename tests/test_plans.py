@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fieldscope.plans import quantiles
+from fieldscope.plans.quantiles import with_code
 from fieldscope.plans import bucket_of, chunk_of, nearest_rank, previous_row, running_total, split_points, top_per_key, transition_totals
 
 
@@ -41,11 +43,35 @@ def test_nearest_rank_equals_sorted_position(skewed):
             assert got[key][name] == values[max(1, math.ceil(len(values) * p)) - 1]
 
 
-def test_close_values_are_cut_finer(spark):
-    """200,000 values within a thousandth fall into one bucket; its parts are ordered apart."""
-    df = spark.range(200_000).selectExpr("1 as k", "1.0e9 + id * 10.0 as v")
-    got = nearest_rank(df, ["k"], {"v": [("a", 0.5), ("b", 0.999)]})
-    assert tuple(got.collect()[0]) == (1, 1.0e9 + 99_999 * 10.0, 1.0e9 + 199_799 * 10.0)
+def test_codes_have_the_order_of_doubles(spark):
+    import struct
+
+    rng = random.Random(3)
+    values = [0.0, 5e-324, -5e-324, 2.0**-1022, 2.0**-1023, 1.0, math.nextafter(1.0, 0), math.nextafter(1.0, 2), 1.7976931348623157e308, float("inf"), float("-inf"), 4e-7, 2.0**52 + 1, 8.0, 1e23]
+    values += [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(4000)] + [2.0**k for k in range(-1074, 1024)] + [math.nextafter(2.0**k, 0) for k in range(-1020, 1024)]
+    values = [v for v in values if v == v]
+    got = with_code(spark.createDataFrame([(v,) for v in values], "v double"), "v", "c").collect()
+    bits = lambda v: struct.unpack("<q", struct.pack("<d", abs(v)))[0] * (-1 if v < 0 else 1)
+    assert [r.c for r in got] == [bits(r.v) for r in got]
+    odd = with_code(spark.sql("select explode(array(double('inf'), double('NaN'))) as v"), "v", "c").collect()
+    assert odd[0].c < odd[1].c
+
+
+@pytest.mark.parametrize("few, most", [(1 << 16, 200_000), (0, 200_000), (0, 0)])
+@pytest.mark.parametrize("value", ["1.0e9 + id * 10.0", "1.0e-9 + id * 1e-11", "1.0 + id * 2.3e-16", "cast(id % 3 as double) - 1", "-id * 1e300"])
+def test_close_values_are_told_apart(spark, monkeypatch, few, most, value):
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "MOST", most)
+    df = spark.range(20_000).selectExpr("1 as k", f"{value} as v")
+    held = sorted(r.v for r in df.collect())
+    got = nearest_rank(df, ["k"], {"v": [("a", 0.5), ("b", 0.999), ("c", 0.0)]}).collect()
+    assert [tuple(r) for r in got] == [(1, held[9_999], held[19_979], held[0])]
+
+
+def test_small_values_do_not_share_a_prefix(spark):
+    df = spark.range(100_000).selectExpr("1 as k", "1e-9 + id * 2e-11 as v")
+    largest = with_code(df, "v", "c").groupBy(F.shiftright("c", quantiles.SHIFTS[0])).count().agg(F.max("count")).first()[0]
+    assert largest < 5_000
 
 
 def test_chunks_cut_rows_that_share_their_first_column(spark):
@@ -140,5 +166,6 @@ def test_hot_keys_are_shuffled_by_chunk(skewed):
     first = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line][-1]
     assert "_chunk" in first
     plan = plan_of(nearest_rank(skewed[1], ["k"], {"v": [("p", 0.5)]}))
-    first = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line][-1]
-    assert "_b" in first
+    lines = plan.splitlines()
+    counted = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line and "_p#" in line)
+    assert "partial_count" in lines[counted + 1]  # what is shuffled are counts
