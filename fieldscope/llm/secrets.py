@@ -48,7 +48,7 @@ RULES = (
     ),
     Rule("access", r"AKIA[A-Z0-9]+", least=20, literals=(("akia",),), base=True),
     Rule("hex", r"[0-9a-f]{24,}", base=True),  # the runs of at least 24
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", literals=(("-----begin ",), ("private key-----",))),
+    Rule("private_key", r"-----BEGIN (?:[A-Z ]* )?PRIVATE KEY-----", literals=(("-----begin ",), ("private key-----",))),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", literals=(("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),)),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", literals=(("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"),)),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}", literals=(("aiza",),)),

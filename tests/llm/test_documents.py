@@ -289,3 +289,9 @@ def license_set(matches):
 def test_licenses_of_nothing(nothing, docs, spark):
     assert licenses.license_matches(nothing).collect() == []
     assert licenses.license_matches(docs, spark.createDataFrame([(None, "a b c d e f"), ("x", None), ("y", "a b")], "license string, template string")).collect() == []
+
+
+def test_a_long_run_of_words_after_a_key_header_is_survived(spark):
+    texts = ["-----BEGIN " + "AB " * 200_000, "-----BEGIN " + "AB " * 50_000 + "PRIVATE KEY----- x", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----BEGIN KEY-----"]
+    found = secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: [(s.start, s.end) for s in r.spans] for r in found} == {0: [], 1: [(0, 150_011 + 16)], 2: [(0, 31)], 3: [(0, 27)], 4: []}
