@@ -187,10 +187,12 @@ class Utf8Stream:
     """Incremental UTF-8 decoding: bytes in, characters out as soon as they are complete.
 
     The state is the unfinished character: its bytes so far, how many are missing, and the range that the next
-    byte must fall into. A byte outside it ends the unfinished character as one U+FFFD.
+    byte must fall into. A byte outside it ends the unfinished character as one U+FFFD; ``escaped``, as a lone surrogate
+    for each of its bytes, from which the bytes can be had back (``bytes_of``).
     """
 
-    def __init__(self) -> None:
+    def __init__(self, escaped: bool = False) -> None:
+        self.escaped = escaped
         self.pending, self.missing, self.low, self.high, self.replaced = b"", 0, 0x80, 0xBF, 0
 
     def _lead(self, byte: int) -> bool:
@@ -213,6 +215,14 @@ class Utf8Stream:
         self.missing, self.low, self.high = self.missing - 1, 0x80, 0xBF
         return True
 
+    def _broken(self) -> str:
+        self.missing, self.replaced = 0, self.replaced + 1
+        return self.pending.decode("utf-8", "surrogateescape") if self.escaped else "\ufffd"
+
+    @staticmethod
+    def bytes_of(text: str) -> bytes:
+        return text.encode("utf-8", "surrogateescape")
+
     def feed(self, data: bytes) -> str:
         out, at = [], 0
         while self.missing and at < len(data):  # finish what the last bytes began
@@ -221,9 +231,7 @@ class Utf8Stream:
                 if not self.missing:
                     out.append(self.pending.decode("utf-8"))
             else:
-                out.append("\ufffd")
-                self.replaced += 1
-                self.missing = 0
+                out.append(self._broken())
         end = len(data)
         if not self.missing:
             for back in range(1, min(3, len(data) - at) + 1):  # hold back a character that is not complete
@@ -238,14 +246,11 @@ class Utf8Stream:
         except UnicodeDecodeError:
             text = data[at:end].decode("utf-8", "replace")
             self.replaced += text.count("\ufffd") - data[at:end].count(b"\xef\xbf\xbd")
-            out.append(text)
+            out.append(data[at:end].decode("utf-8", "surrogateescape") if self.escaped else text)
         return "".join(out)
 
     def finish(self) -> str:
-        if not self.missing:
-            return ""
-        self.missing, self.replaced = 0, self.replaced + 1
-        return "\ufffd"
+        return self._broken() if self.missing else ""
 
 
 class Coder:
@@ -263,17 +268,16 @@ class Coder:
         return self.segments.encode(text) if text else b""
 
     def decode(self, ids: bytes | None, step: int = 8192) -> tuple[bytes, int]:
-        """The tokens' bytes, and how many places would read as U+FFFD."""
+        """The bytes of the text that the stream decoder makes of the tokens, and how many places would read as U+FFFD."""
         numbers = np.frombuffer(ids or b"", "<u4")
         strange = numbers >= len(self.tokens)
-        stream, out, unknown = Utf8Stream(), [], int(strange.sum())
+        stream, out, unknown = Utf8Stream(escaped=True), [], int(strange.sum())
         if unknown:
             numbers = numbers[~strange]
         for at in range(0, len(numbers), step):
             chunk = b"".join(map(self.tokens.__getitem__, numbers[at : at + step].tolist()))
-            stream.feed(chunk)
-            out.append(chunk)
-        stream.finish()
+            out.append(stream.bytes_of(stream.feed(chunk)))
+        out.append(stream.bytes_of(stream.finish()))
         return b"".join(out), stream.replaced + unknown
 
 

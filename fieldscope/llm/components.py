@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fieldscope.session import pin
 
 SALTS = 16
+SHARES = 10_000
+LEAST_SHARE = 500  # rows
 
 
 def connected(edges: DataFrame, label: str = "links") -> DataFrame:
@@ -45,5 +47,19 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFra
     return salted.join(spread, [key, "_salt"]).drop("_salt")
 
 
+def balanced_join(rows: DataFrame, table: DataFrame, key: str, by: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined to ``table``, which has a row per ``key`` with its ``count`` of the ``total`` rows.
+
+    Keys of over a SHARES-th of the rows are dealt to as many tasks as their share asks for. There are fewer than SHARES such
+    keys, whatever the size of the tables, so they can be broadcast; all other keys are joined as they are.
+    """
+    part = max(total // SHARES, LEAST_SHARE)
+    hot = table.where(F.col(count) > part).select(key, F.ceil(F.col(count) / F.lit(part)).cast("int").alias("_parts"))
+    parted = rows.join(F.broadcast(hot), key, "left")
+    parted = parted.withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(count) / F.lit(part)), F.lit(1)).cast("int") - 1))).drop(count)
+    return parted.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def _pairs(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").distinct()

@@ -105,10 +105,11 @@ templates as (select license, w, len(w) as m, list_distinct({SHINGLES.format(w="
 ds as (select distinct doc_id, unnest({SHINGLES.format(w="w")}) as s from d where len(w) >= 5),
 pairs as (select distinct doc_id, license, w, m from ds join (select license, w, m, unnest(s) as s from templates) using (s)),
 win as (select doc_id, license, tw, st, w[st + 1:st + 2 * m] as v from (
-    select doc_id, license, pairs.w as tw, m, d.w, unnest(range(0, greatest(ceil(len(d.w) / m)::bigint - 2, 0) + 1)) * m as st from pairs join d using (doc_id))),
-scored as (select doc_id, license, st, (len(list_intersect(list_distinct({SHINGLES.format(w="v")}), s)) / len(s))::double as c
-    from win join (select license, w as tw, s from templates) using (license, tw))
-select doc_id, license, arg_min(st, (-c, st))::bigint as start, max(c) as containment from scored where c >= 0.8 group by all
+    select doc_id, license, pairs.w as tw, m, d.w, unnest(range(0, greatest(len(d.w) - 2 * m, 0) + 1)) as st from pairs join d using (doc_id))),
+held as (select doc_id, license, st, s, {SHINGLES.format(w="v")} as vs from win join (select license, w as tw, s from templates) using (license, tw)),
+scored as (select doc_id, license, (len(list_intersect(list_distinct(vs), s)) / len(s))::double as c,
+    st + list_position(list_transform(vs, lambda x: list_contains(s, x)), true) - 1 as place from held)
+select doc_id, license, arg_min(place, (-c, place))::bigint as start, max(c) as containment from scored where c >= 0.8 group by all
 """
 
 INFILL = r"""

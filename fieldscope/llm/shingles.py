@@ -58,15 +58,16 @@ def texts_in(words: Column) -> Column:
 def windows_of(rows: DataFrame, asked: DataFrame, first: Column, length: Column) -> DataFrame:
     """A row per row of ``asked`` (row_key, ...) with ``texts``: the shingles of its window of the row's words.
 
-    The windows of a row come to its text together, so that the text is split once.
+    The windows of a row come to its text together, so that the text is split once; they are cut from its words one by one.
     """
     wanted = [c for c in asked.columns if c != "row_key"]
     gathered = asked.withColumn("_first", first).withColumn("_length", length)
     gathered = gathered.groupBy("row_key").agg(F.collect_list(F.struct(*wanted, "_first", "_length")).alias("_asked"))
     joined = rows.join(sendable(gathered, "asked-windows"), "row_key")
-    cut = once(words_of("text"), lambda words: F.transform("_asked", lambda a: F.struct(a.alias("asked"), F.slice(words, a["_first"] + 1, a["_length"]).alias("words"))))
-    windows = joined.select("row_key", "doc_id", F.explode(cut).alias("_w"))
-    return windows.select("row_key", "doc_id", *[F.col(f"_w.asked.{c}").alias(c) for c in wanted], texts_in(F.col("_w.words")).alias("texts"))
+    split = joined.select("row_key", "doc_id", words_of("text").alias("_words"), "_asked")
+    windows = split.select("row_key", "doc_id", "_words", F.explode("_asked").alias("_w"))
+    texts = texts_in(F.slice("_words", F.col("_w._first") + 1, F.col("_w._length")))
+    return windows.select("row_key", "doc_id", *[F.col(f"_w.{c}").alias(c) for c in wanted], texts.alias("texts"))
 
 
 def sendable(table: DataFrame, label: str, most: int = SMALL) -> DataFrame:

@@ -261,6 +261,27 @@ def test_leaks_at_every_start(spark):
     assert got == {k: (s, pytest.approx(v)) for k, (s, v) in want.items()} and want[1, 0][0] == 29 and (4, 0) in want
 
 
+def test_leaks_by_repeated_shingles(spark):
+    """Similarity 0.8 and little more, of which one shingle repeated on either side takes a large part: no pair is lost."""
+    items, texts = [], []
+    for i in range(60):
+        shared = [f"s{i}w{k}" for k in range(120)]
+        repeated, other = shared + ["xx"] * 14, shared + [f"o{i}w{k}" for k in range(14)]
+        items.append((i, " ".join(repeated if i % 2 else other)))
+        texts.append((i, " ".join(["before"] * 3 + (other if i % 2 else repeated) + ["after"] * 3)))
+    found = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i in range(60)]
+    assert all(0.8 <= r.similarity < 0.81 for r in found)
+
+
+def test_fingerprints_count_repeats_as_elements(spark):
+    row = spark.sql("select array('a', 'b', 'a', 'a') as x, array('a', 'a', 'b', 'a') as y, array('a', 'b') as z, cast(array() as array<string>) as none")
+    x, y, z, none = row.select(*[decontaminate.fingerprint(c) for c in row.columns]).first()
+    assert x == y != z and none == 0
+    hashes = spark.sql("select array(xxhash64(xxhash64('a'), 0), xxhash64(xxhash64('a'), 1), xxhash64(xxhash64('a'), 2), xxhash64(xxhash64('b'), 0))").first()[0]
+    assert x & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > 4)
+
+
 def test_without_leaks(docs, rows, items):
     table, texts = items
     found = {r for r, _ in brute.leaks([t for _, t in rows], texts)}
@@ -282,6 +303,19 @@ def test_licenses(spark, docs):
     assert {(d, licenses.TEMPLATES[d // 100][0]) for d, _ in table} <= found
 
 
+def test_licenses_at_every_place(spark):
+    """A notice with up to twelve words inserted in its middle, at every place modulo twice its length: found wherever it stands."""
+    notice = next(t for name, t in licenses.TEMPLATES if name == "MIT" and t.startswith("Permission")).split()
+    short = "Released under the MIT License".split()
+    texts = {}
+    for k in range(60):
+        for grown in (0, 5, 10, 12):
+            texts[k * 100 + grown] = [f"p{i}" for i in range(k)] + notice[:14] + [f"x{i}" for i in range(grown)] + notice[14:] + ["tail"] * (k % 3 * 40)
+        texts[k * 100 + 50] = [f"q{i}" for i in range(k)] + short + [f"r{k}n{i}" for i in range(30)]
+    found = licenses.license_matches(spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.start for r in found if r.license == "MIT"} == {d: d // 100 for d in texts}
+
+
 def license_set(matches):
     return {(r.doc_id, r.license) for r in matches.collect()}
 

@@ -76,6 +76,18 @@ def test_utf8_stream(step):
         stream = bpe.Utf8Stream()
         text = "".join(stream.feed(data[i : i + step]) for i in range(0, len(data), step)) + stream.finish()
         assert text == data.decode("utf-8", "replace") and stream.replaced == text.count("�")
+        exact = bpe.Utf8Stream(escaped=True)
+        parts = [exact.feed(data[i : i + step]) for i in range(0, len(data), step)] + [exact.finish()]
+        assert b"".join(map(exact.bytes_of, parts)) == data and exact.replaced == stream.replaced
+
+
+def test_decoding_takes_its_bytes_from_the_stream():
+    coder = bpe.Coder(RANKS, public.PATTERN)
+    for data in ("é漢🙂 naïve".encode() * 5, b"\xe6\xbc", b"a\xf0\x9f\x99b\xff\xe9"):
+        numbers = np.array([coder.tokens.index(bytes((b,))) for b in data], "<u4").tobytes()
+        for step in (1, 2, 3, 5):  # chunks that cut characters
+            back, replaced = coder.decode(numbers, step)
+            assert back == data and replaced == data.decode("utf-8", "replace").count("\ufffd")
 
 
 def test_token_files(spark, docs, rows, tmp_path):
