@@ -11,16 +11,17 @@ from fieldscope.session import fresh_dir, pin
 
 
 class _Levels:
-    """Result of a level-by-level walk: one folder per level, readable as one table."""
+    """Result of a walk in steps: one folder per step, readable as one table with the step's number as ``column``."""
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, column: str = "depth"):
         self.spark = spark
+        self.column = column
         self.path = fresh_dir(spark, label)
         self.schema = None
 
-    def add(self, df: DataFrame, depth: int) -> DataFrame | None:
-        """Write a level, which ends its lineage; None if it has no rows."""
-        folder = f"{self.path}/depth={depth}"
+    def add(self, df: DataFrame, number: int) -> DataFrame | None:
+        """Write a step, which ends its lineage; None if it has no rows."""
+        folder = f"{self.path}/{self.column}={number}"
         df.write.parquet(folder)
         self.schema = df.schema
         level = self.spark.read.schema(df.schema).parquet(folder)
@@ -28,29 +29,67 @@ class _Levels:
 
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(self.path).withColumn(
-            "depth", F.col("depth").cast("int")
+            self.column, F.col(self.column).cast("int")
         )
 
 
+def chain_hops(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, to, w, last) of every node inside a chain: one way in, one way out, and no root.
+
+    ``to`` is the first node along the chain that is not inside it, ``w`` edges away, ``last`` the node before, which names the
+    chain. Pointers are doubled, so a chain of n nodes takes log2(n) rounds, and nodes that have arrived are
+    not joined again. Nodes on closed rings, which no root can enter, are left out.
+    """
+    out = links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.min("dst").alias("to")).where("n = 1").drop("n")
+    into = links.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")).where("n = 1").select("id")
+    inside = out.join(into, "id").join(roots.select("id"), "id", "left_anti")
+    hops = pin(inside.select("id", "to", F.lit(1).cast("long").alias("w"), F.col("id").alias("last"), F.lit(True).alias("open")), "chain-hops")
+    nodes = hops.count()
+    reach = 1
+    while reach <= nodes and not hops.where("open").isEmpty():
+        onward = hops.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("w").alias("_w"), F.col("last").alias("_last"))
+        moved = hops.where("open").join(onward, "to", "left").select(
+            "id", F.coalesce("_to", "to").alias("to"), (F.col("w") + F.coalesce("_w", F.lit(0))).alias("w"), F.coalesce("_last", "last").alias("last"), F.col("_to").isNotNull().alias("open")
+        )
+        hops = pin(hops.where("not open").unionByName(moved), "chain-hops")
+        reach *= 2
+    return hops.where(F.col("w") <= nodes).drop("open")
+
+
 def graph_reach(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Nodes reachable from ``roots`` (column ``id``) over ``edges`` (``src``, ``dst``) with their least depth.
 
     ``max_depth`` stops the walk early; ``truncated`` then tells at each node of the last level whether an edge leads on
-    to a node that was not reached.
+    to a node that was not reached. Edges with a null end lead nowhere.
 
-    One hash join per level: the new frontier is what the edges lead to and no earlier
-    level has. Edges and levels are written to the shared folder, so a level never goes
-    back further than the one before.
+    Chains are bridged first (``chain_hops``): the walk takes one hash join per branching on a path, not per node. A round
+    hands on only the nodes that it reaches for the first time or by fewer edges than before. Then the nodes inside a
+    chain get their depth from the node before it. Rounds are written to the shared folder.
     """
-    links = pin(edges.select("src", "dst").distinct(), "links")
-    levels = _Levels(edges.sparkSession, "reach")
-    frontier = levels.add(roots.select("id").distinct(), 0)
-    depth = 0
-    while frontier is not None and (max_depth is None or depth < max_depth):
-        depth += 1
-        step = links.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = levels.add(step.join(levels.all().select("id"), "id", "left_anti"), depth)
-    reached = levels.all()
+    links = pin(edges.select("src", "dst").where("src <> dst").distinct(), "links")
+    starts = pin(roots.select("id").distinct(), "roots")
+    hops = chain_hops(links, starts)
+    heads = links.join(hops.select(F.col("id").alias("src")), "src", "left_anti").join(hops.withColumnRenamed("id", "dst"), "dst", "left")
+    bridges = pin(heads.select("src", F.coalesce("to", "dst").alias("dst"), (F.coalesce("w", F.lit(0)) + 1).alias("w"), "last"), "bridges")
+    shortest = pin(bridges.groupBy("src", "dst").agg(F.min("w").alias("w")), "bridge-lengths")
+
+    rounds = _Levels(edges.sparkSession, "reach", "round")
+    at = F.lit(0).cast("long").alias("depth")
+    frontier, number = rounds.add(starts.select("id", at), 0), 0
+    while frontier is not None:
+        number += 1
+        step = shortest.join(frontier.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("w") + F.col("depth")).alias("depth"))
+        if max_depth is not None:
+            step = step.where(F.col("depth") <= max_depth)
+        known = rounds.all().groupBy("id").agg(F.min("depth").alias("_depth"))
+        better = step.join(known, "id", "left").where(F.col("_depth").isNull() | (F.col("depth") < F.col("_depth")))
+        frontier = rounds.add(better.select("id", "depth"), number)
+    walked = rounds.all().groupBy("id").agg(F.min("depth").alias("depth"))
+    chains = bridges.where("last is not null").join(walked.withColumnRenamed("id", "src"), "src").select("last", (F.col("depth") + F.col("w")).alias("_end"))
+    inside = hops.join(chains, "last").select("id", (F.col("_end") - F.col("w")).alias("depth"))
+    if max_depth is not None:
+        inside = inside.where(F.col("depth") <= max_depth)
+    reached = pin(walked.unionByName(inside).withColumn("depth", F.col("depth").cast("int")), "reached")
     if max_depth is None:
         return reached.withColumn("truncated", F.lit(False))
     leaving = links.join(reached.filter(F.col("depth") == max_depth).select(F.col("id").alias("src")), "src")

@@ -1,6 +1,7 @@
 """Trees, documents, graphs, closures."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -308,6 +309,54 @@ def test_reach(spark):
     assert [r.id for r in bounded] == [1, 2, 3] and bounded[0].truncated
 
 
+def shortest(edges, roots, limit=None):
+    depth, level = {r: 0 for r in roots}, list(roots)
+    while level and (limit is None or depth[level[0]] < limit):
+        after = []
+        for a in level:
+            for b in edges.get(a, ()):
+                if b not in depth:
+                    depth[b] = depth[a] + 1
+                    after.append(b)
+        level = after
+    return depth
+
+
+@pytest.mark.parametrize("limit", [None, 7])
+def test_graph_reach_over_chains_rings_and_branches(spark, limit):
+    """Chains of all lengths between random nodes, two ways of different length, rings, loops, repeated edges, roots inside a chain."""
+    rng = random.Random(11)
+    pairs, fresh = [(rng.randrange(25), rng.randrange(25)) for _ in range(30)], iter(range(100, 10**6))
+    for length in (1, 2, 3, 5, 8, 13, 30):
+        a, b = rng.randrange(25), rng.randrange(25)
+        nodes = [a, *(next(fresh) for _ in range(length)), b]
+        pairs += zip(nodes, nodes[1:])
+    pairs += [(50, 51), (51, 52), (52, 50), (60, 60), (0, 70), (70, 70), (0, 71), (71, 72), (72, 73), (0, 73), (73, 74), (None, 1), (1, None)] + pairs[:5]
+    inside = pairs[60][0] if pairs[60][0] is not None else 0
+    roots = [0, 51, inside, 999_999]
+    graph = {}
+    for a, b in pairs:
+        if a is not None and b is not None:
+            graph.setdefault(a, set()).add(b)
+    got = G.graph_reach(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(r,) for r in roots + roots], "id long"), limit).collect()
+    want = shortest(graph, dict.fromkeys(roots), limit)
+    assert len(got) == len(want) and {r.id: r.depth for r in got} == want
+    assert {r.id for r in got if r.truncated} == {a for a in want if want[a] == limit and any(b not in want for b in graph.get(a, ()))}
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    steps = []
+    add = G._Levels.add
+    monkeypatch.setattr(G._Levels, "add", lambda self, df, number: steps.append(number) or add(self, df, number))
+    pins = []
+    monkeypatch.setattr(G, "pin", lambda df, label, pin=G.pin: pins.append(label) or pin(df, label))
+    n = 10_000
+    edges = spark.range(n).selectExpr("id as src", "id + 1 as dst")
+    got = G.graph_reach(edges, spark.createDataFrame([(0,)], "id long"))
+    assert got.where("depth = id").count() == got.count() == n + 1
+    assert len(steps) <= 3 and pins.count("chain-hops") <= 16
+
+
 def test_load_closure(spark):
     entries = spark.createDataFrame([(0, "a.xml"), (0, "z.lua"), (0, "a.xml"), (1, "none.lua")], "build int, path string")
     references = spark.createDataFrame(
