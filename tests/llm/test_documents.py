@@ -329,3 +329,14 @@ def test_a_long_run_of_words_after_a_key_header_is_survived(spark):
     texts = ["-----BEGIN " + "AB " * 200_000, "-----BEGIN " + "AB " * 50_000 + "PRIVATE KEY----- x", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----BEGIN KEY-----"]
     found = secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: [(s.start, s.end) for s in r.spans] for r in found} == {0: [], 1: [(0, 150_011 + 16)], 2: [(0, 31)], 3: [(0, 27)], 4: []}
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    from fieldscope.llm import components
+
+    monkeypatch.setattr(components, "LEAST_SHARE", 3)
+    rows = spark.createDataFrame([(k, 100 * k + i) for k, n in ((1, 50), (2, 3), (3, 4), (4, 1)) for i in range(n)], "fp long, row_key long")
+    table = rows.groupBy("fp").count().selectExpr("fp", "count as n", "-fp as root")
+    joined = components.balanced_join(rows, table, "fp", "row_key", "n", rows.count())
+    assert joined.columns == ["fp", "row_key", "root"]
+    same([tuple(r) for r in joined.collect()], [(r.fp, r.row_key, -r.fp) for r in rows.collect()])
