@@ -52,7 +52,7 @@ def secret_spans() -> str:
     quote = lambda text: "'" + text.replace("'", "''") + "'"
     parts = []
     for rank, rule in enumerate(secrets.RULES):
-        pattern = quote(rule.pattern.replace("((?i)", "((?i:").replace("api_?key)", "api_?key))"))
+        pattern = quote(rule.pattern)
         parts.append(
             f"select doc_id, {rank} as rank, '{rule.kind}' as kind, {rule.least} as least, string_split_regex(t, {pattern}) as gaps, "
             f"regexp_extract_all(t, {pattern}, 0) as hits, regexp_extract_all(t, {pattern}, {rule.group}) as vals from d where regexp_matches(t, {pattern})"

@@ -1,9 +1,9 @@
 """Secret scans.
 
-Method: a trigram inverted index. Each rule's pattern gives a Boolean query over the trigrams that every match must
-hold: any of some alternatives, each with all of its trigrams. Postings (trigram, document) are kept for the trigrams
-that queries ask for; the postings of an alternative are intersected, and the documents that are left
-are verified by the pattern. A rule without mandatory trigrams scans all documents.
+Method: a trigram inverted index. A Boolean query over the trigrams that every match must hold is derived from each
+rule's pattern (``trigrams``). Postings (trigram, document) are kept for the trigrams that queries ask for; they are
+intersected and united as the queries say, and the documents that are left are verified by the pattern. A rule
+without mandatory trigrams scans all documents.
 
 Only DataFrame functions; offsets are code points.
 """
@@ -11,12 +11,12 @@ Only DataFrame functions; offsets are code points.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldscope.llm import blocks
+from fieldscope.llm import blocks, shingles, trigrams
 from fieldscope.session import pin
 
 
@@ -24,15 +24,13 @@ from fieldscope.session import pin
 class Rule:
     """``pattern`` is a Java regular expression; a match counts if ``group`` has ``least`` characters.
 
-    ``literals`` spell out what the pattern requires, as a sequence of choices: each match contains, in a row and in
-    lower case, one string of each. ``base`` rules enter the base digest in this order.
+    ``base`` rules enter the base digest in this order.
     """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
-    literals: tuple[tuple[str, ...], ...] = ()
     base: bool = False
 
 
@@ -40,53 +38,40 @@ class Rule:
 RULES = (
     Rule(
         "assign",
-        r"""((?i)password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
         group=2,
         least=6,
-        literals=(("password", "passwd", "secret", "token", "apikey", "api_key"),),
         base=True,
     ),
-    Rule("access", r"AKIA[A-Z0-9]+", least=20, literals=(("akia",),), base=True),
+    Rule("access", r"AKIA[A-Z0-9]+", least=20, base=True),
     Rule("hex", r"[0-9a-f]{24,}", base=True),  # the runs of at least 24
-    Rule("private_key", r"-----BEGIN (?:[A-Z ]* )?PRIVATE KEY-----", literals=(("-----begin ",), ("private key-----",))),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", literals=(("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),)),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", literals=(("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"),)),
-    Rule("google", r"AIza[A-Za-z0-9_-]{35}", literals=(("aiza",),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", literals=(("eyj",), (".eyj",))),
+    Rule("private_key", r"-----BEGIN (?:[A-Z ]* )?PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
 )
 
 
-def trigram_query(rule: Rule) -> list[list[str]]:
-    """The alternatives of a rule, each a set of trigrams that a match holds all of; none if some choice is too short."""
-    found = []
-    for choice in product(*rule.literals):
-        grams = sorted({text[i : i + 3] for text in choice for i in range(len(text) - 2)})
-        if not grams:
-            return []
-        found.append(grams)
-    return found if rule.literals else []
-
-
 def postings(rows: DataFrame, grams: list[str]) -> DataFrame:
     """(trigram, row_key): which of the trigrams each text holds, letters in either case; a row each."""
-    held = F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams])
+    held = F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams], F.lit(None).cast("string"))
     return rows.select("row_key", F.lower("text").alias("low")).select("row_key", F.explode(F.array_compact(held)).alias("trigram"))
 
 
-def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(row_key, kinds): the rules one of whose alternatives a row's postings satisfy.
+def _holds(query, held: str) -> Column:
+    """Whether an array of trigrams satisfies a query."""
+    if isinstance(query, str):
+        return F.array_contains(held, query)
+    parts = [_holds(q, held) for q in sorted(query[1], key=str)]
+    return reduce((lambda a, b: a & b) if query[0] == "and" else (lambda a, b: a | b), parts)
 
-    The intersection gathers, for each row and alternative, a bit for each trigram that it asks for; all must be there.
-    """
-    asked = [
-        (gram, f"{rule.kind} {i}", rule.kind, 1 << n, (1 << len(grams)) - 1)
-        for rule in rules
-        for i, grams in enumerate(trigram_query(rule))
-        for n, gram in enumerate(grams)
-    ]
-    questions = index.sparkSession.createDataFrame(asked, "trigram string, alternative string, kind string, bit long, all_bits long")  # bounded by the rules
-    hits = index.join(F.broadcast(questions), "trigram").groupBy("row_key", "alternative", "kind", "all_bits").agg(F.bit_or("bit").alias("bits"))
-    return hits.where("bits = all_bits").groupBy("row_key").agg(F.collect_set("kind").alias("kinds"))
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(row_key, kinds): the rules whose query a row's postings satisfy. A row has no more postings than queries have trigrams."""
+    held = index.groupBy("row_key").agg(F.collect_set("trigram").alias("held"))
+    kinds = F.array_compact(F.array(*[F.when(_holds(trigrams.trigram_query(r.pattern), "held"), r.kind) for r in rules], F.lit(None).cast("string")))
+    return held.select("row_key", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
 def _matches(rule: Rule) -> Column:
@@ -117,8 +102,9 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str =
         blocks.row_key(doc_id, text).alias("row_key"),
         F.col(text).cast("string").alias("text"),
     )
-    indexed = tuple(r for r in rules if trigram_query(r))
-    grams = sorted({g for r in indexed for alternative in trigram_query(r) for g in alternative})
+    queries = {r: trigrams.trigram_query(r.pattern) for r in rules}
+    indexed = tuple(r for r in rules if queries[r] is not True)
+    grams = sorted(set().union(*map(trigrams.grams_of, queries.values())))
     index = pin(postings(rows, grams).repartition("trigram", "row_key").sortWithinPartitions("trigram"), "trigram-index")
 
     nothing = F.array().cast("array<struct<kind:string,gap:int,length:int,counted:boolean>>")
@@ -126,7 +112,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str =
     scanned = rows.select("row_key", F.concat(*full, nothing).alias("found"))
 
     asked = candidates(index, indexed)
-    joined = rows.join(asked, "row_key")
+    joined = rows.join(shingles.sendable(asked, "secret-candidates"), "row_key")
     verified = joined.select("row_key", F.concat(*[F.when(F.array_contains("kinds", r.kind), _matches(r)).otherwise(nothing) for r in indexed], nothing).alias("found"))
 
     hits = scanned.where(F.size("found") > 0).union(verified.where(F.size("found") > 0)).dropDuplicates(["row_key", "found"])

@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pytest
 
-from fieldscope.llm import decontaminate, licenses, quality, secrets, simhash, substrings, suffixes
+from fieldscope.llm import decontaminate, licenses, quality, secrets, simhash, substrings, suffixes, trigrams
 
 
 def same(got, want):
@@ -194,10 +194,83 @@ def test_secrets_by_every_rule(spark):
         assert kind in kinds[i]
 
 
-def test_trigram_queries():
-    by_kind = {r.kind: secrets.trigram_query(r) for r in secrets.RULES}
-    assert by_kind["hex"] == [] and ["ken", "oke", "tok"] in by_kind["assign"]
-    assert all(len(grams) < 63 for query in by_kind.values() for grams in query)
+PATTERNS = [r.pattern for r in secrets.RULES] + [
+    "abc", "a[bc]d|efg+h", "(?:ab|cd){2,}ef", "x(?:foo|bar)?yz[0-9]{3}", "(?i:Key)-(?:one|two|three)\\d+", "a{4}b{0,2}c", "[abc][def][ghi][jkl]end",
+    "(?:[a-h]{3}|q)tail", "(?:lead|[a-z]+)(?:er|ing)", "^begin\\b.*?end$", "(?:a|bc|def)(?:g|hi|jkl)", "\u00c9t\u00e9 abc", "(abc)\\1", "(?=abc)abcd", "(?:aaa|aaab)ccc(?:|ddd)", "(?:(?:xy)+z|w)ing",
+]
+
+
+def samples(parsed, draw):
+    """A string that the pattern matches, up to assertions, at random."""
+    from re import _constants as C
+
+    out = ""
+    for op, value in parsed:
+        if op is C.LITERAL:
+            out += chr(value)
+        elif op is C.IN:
+            kind, v = draw.choice(value)
+            out += chr(v) if kind is C.LITERAL else chr(draw.randint(*v)) if kind is C.RANGE else "7"
+        elif op is C.ANY:
+            out += draw.choice("xyz ")
+        elif op is C.BRANCH:
+            out += samples(draw.choice(value[1]), draw)
+        elif op is C.SUBPATTERN:
+            out += samples(value[3], draw)
+        elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+            for _ in range(draw.randint(value[0], min(value[1], value[0] + 3))):
+                out += samples(value[2], draw)
+    return out
+
+
+def satisfied(query, text):
+    if query is True:
+        return True
+    if isinstance(query, str):
+        return query in text
+    return (all if query[0] == "and" else any)(satisfied(q, text) for q in query[1])
+
+
+def test_every_match_satisfies_the_query_of_its_pattern():
+    import random
+    import re
+
+    from re import _parser
+
+    draw, tried = random.Random(5), 0
+    for pattern in PATTERNS:
+        query = trigrams.trigram_query(pattern)
+        for _ in range(400):
+            text = samples(_parser.parse(pattern), draw)
+            if re.search(pattern, text):
+                tried += 1
+                assert satisfied(query, ("." + draw.choice([text, text.upper() if "(?i" in pattern else text]) + ".").lower()), (pattern, text, query)
+    assert tried > 6000
+
+
+def test_queries_ask_for_what_patterns_require():
+    query = trigrams.trigram_query
+    assert query("abcd") == ("and", frozenset(["abc", "bcd"])) and query("[a-z]{24}") is True and query("ab|cde") is True
+    assert query("abc|xyz") == ("or", frozenset(["abc", "xyz"])) and query("ab[cd]") == ("or", frozenset(["abc", "abd"]))
+    assert query("(?:abc)+") == "abc" and query("abc.*def") == ("and", frozenset(["abc", "def"])) and query("(?:ab)*") is True
+    assert query("(?:ab){2,}") == ("and", frozenset(["aba", "bab"])) and query("(?:abc)?") is True
+    # what Java alone reads, or reads in its own way
+    assert query(r"abc\h+") is True and query("abc[a-z&&[^b]]") is True and query("(?iu:kiss)") is True and query("abc(") is True
+    asked = {r.kind: query(r.pattern) for r in secrets.RULES}
+    assert asked["hex"] is True and all(q is not True for kind, q in asked.items() if kind != "hex")
+
+
+def test_rules_of_their_own(spark):
+    """Rules that no one spelled out literals for: found by their derived queries as by the pattern alone."""
+    import re
+
+    rules = (secrets.Rule("colour", "(?:red|green)-[0-9]{2}"), secrets.Rule("digits", "[0-9]{5}"), secrets.Rule("opt", "ab(?:cd)?ef"))
+    texts = ["red-12 green-7 green-77", "12345 abef abcdef", "RED-12", "", None, "abcd ef", "red-\n12 99999 red-00"]
+    found = secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rules).collect()
+    want = [(i, sorted((m.start(), n, m.end()) for n, r in enumerate(rules) for m in re.finditer(r.pattern, t or ""))) for i, t in enumerate(texts)]
+    same([(r.doc_id, [(s.start, s["rank"], s.end) for s in r.spans]) for r in found], want)
+    only = (secrets.Rule("digits", "[0-9]{5}"),)  # nothing to index
+    assert sum(len(r.spans) for r in secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), only).collect()) == 2
 
 
 def test_masked_documents(docs, rows):
