@@ -193,15 +193,16 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", doc_i
 
 def judged(measured: DataFrame, limits: DataFrame, stratum: str = "lang") -> DataFrame:
     """``measured`` with base_failed and kept: false if the base rule fails, or a rule's bin reaches the cutoff of the stratum."""
-    limits = limits.select(F.col("_stratum"), *[F.col(r).alias(f"_cut_{r}") for r in RULES])
+    group, *cuts = [blocks.spare(c, measured.columns) for c in ("_stratum", *[f"_cut_{r}" for r in RULES])]
+    limits = limits.select(F.col("_stratum").alias(group), *[F.col(r).alias(c) for r, c in zip(RULES, cuts)])
     if limits.count() <= SMALL_TABLE:
         limits = F.broadcast(limits)
-    rows = measured.join(limits, F.col(f"`{stratum}`").cast("string").eqNullSafe(F.col("_stratum")), "left")
+    rows = measured.join(limits, F.col(f"`{stratum}`").cast("string").eqNullSafe(F.col(group)), "left")
     within = F.lit(True)
-    for rule, bin_ in _bins().items():
-        within &= F.coalesce(bin_ < F.col(f"_cut_{rule}"), F.lit(True))
+    for (_, bin_), cut in zip(_bins().items(), cuts, strict=True):
+        within &= F.coalesce(bin_ < F.col(cut), F.lit(True))
     rows = rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & within)
-    return rows.drop("_stratum", *[f"_cut_{r}" for r in RULES])
+    return rows.drop(group, *cuts)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", doc_id: str = "doc_id", text: str = "text") -> DataFrame:

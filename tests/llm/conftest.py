@@ -29,7 +29,7 @@ def rows():
 @pytest.fixture(scope="session")
 def docs(spark, rows):
     """The rows with the other columns of documents, and with names that the operators use themselves."""
-    clash = "signals block row_key _row_key fp spans _spans kept part place words bucket"
+    clash = "signals block row_key _row_key fp spans _spans kept part place words bucket _stratum _cut_duplicate_lines _good"
     table = [(d, t, ["en", "fr", None][i % 3], f"src{i % 2}", len(t or "")) + tuple(f"{i}" for _ in clash.split()) for i, (d, t) in enumerate(rows)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash.split())
     return spark.createDataFrame(table, schema).repartition(3)
