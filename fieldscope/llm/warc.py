@@ -16,6 +16,7 @@ import re
 import sys
 import uuid
 import zlib
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
@@ -58,27 +59,29 @@ def _unline(text: str) -> str:
     return re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), text)
 
 
-def _page(number) -> str:
-    return "none" if number is None else str(number)
+def _urn(page_id, digest: str) -> str:
+    """A record's id: of pages with equal ids, each payload is one of its own."""
+    return f"<urn:page:{'none' if page_id is None else page_id}:{digest}>"
 
 
-def _record(page_id, url, html, digest, size, refers_to) -> bytes:
+def _record(page_id, url, html, digest, size, refers_to, date) -> bytes:
     kind = "response" if refers_to is None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = http + (html or "").encode() if refers_to is None else http
     lines = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:page:{_page(page_id)}>"),
+        ("WARC-Record-ID", _urn(page_id, digest)),
+        ("WARC-Date", date),
         ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()),
         ("X-Payload-Length", str(size)),
         ("Content-Type", "application/http;msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
     if url is not None:
-        lines.insert(2, ("WARC-Target-URI", _line(url)))
+        lines.insert(3, ("WARC-Target-URI", _line(url)))
     if refers_to is not None:
-        lines.insert(2, ("WARC-Refers-To", f"<urn:page:{refers_to}>"))
-        lines.insert(2, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
+        lines.insert(3, ("WARC-Refers-To", _urn(refers_to, digest)))
+        lines.insert(3, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
     return _header(lines) + block + b"\r\n\r\n"
 
 
@@ -111,14 +114,16 @@ def with_originals(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     return found.withColumn("refers_to", F.when(F.col("page_id") < F.col("_best"), F.col("_best"))).drop("_best")
 
 
-def write_archives(pages: DataFrame, path: str) -> DataFrame:
+def write_archives(pages: DataFrame, path: str, date: datetime | None = None) -> DataFrame:
     """Write archives below ``path`` and return the index as a table that is written at ``path/index``.
 
+    ``date`` is when the pages were fetched (with a time zone), the same in every record; by default, when this function was called.
     ``pages`` has page_id, url and html; other columns are not read. Null html: empty payload. Null url: no target
     in the record. Null ids are smaller than all others and never revisited; of rows that repeat the largest id each is a response.
     """
     spark = pages.sparkSession
     folder = _uri(path)
+    stamp = (date or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")  # read once: a task that runs again writes the same
 
     def written(batches):
         filesystem, root = _filesystem(folder)
@@ -134,7 +139,7 @@ def write_archives(pages: DataFrame, path: str) -> DataFrame:
                             stream.close()
                         name, at = f"part-{task.partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0
                         stream = filesystem.open_output_stream(f"{root}/{name}", compression=None)
-                    record = _record(row["page_id"], row["url"], row["html"], row["digest"], row["size"], row["refers_to"])
+                    record = _record(row["page_id"], row["url"], row["html"], row["digest"], row["size"], row["refers_to"], stamp)
                     packer = zlib.compressobj(1, zlib.DEFLATED, 31)  # one gzip member
                     data = packer.compress(record) + packer.flush()
                     stream.write(data)
@@ -169,7 +174,7 @@ def read_records(selected: DataFrame, path: str, gap: int = GAP) -> DataFrame:
         )
 
         def number(urn):
-            text = urn[len("<urn:page:") : -1]
+            text = urn.split(":")[2]
             return None if text == "none" else int(text)
 
         name = source = None

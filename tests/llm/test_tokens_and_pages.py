@@ -160,6 +160,27 @@ def test_archives(spark, tmp_path):
     assert [r.page_id for r in some] == [8]
 
 
+def test_records_have_the_fields_the_format_demands(spark, tmp_path):
+    import gzip
+    from datetime import datetime, timedelta, timezone
+
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(pages, str(tmp_path), datetime(2024, 1, 2, 3, 4, 5, tzinfo=timezone(timedelta(hours=1)))).count()
+    data = b"".join(gzip.open(f).read() for f in sorted(tmp_path.glob("*.warc.gz")))
+    records = []
+    while data:  # one after the other, as a reader without an index has them
+        fields = warc.parse(data)
+        head, length = data.index(b"\r\n\r\n") + 4, int(fields["Content-Length"])
+        assert data[head + length : head + length + 4] == b"\r\n\r\n"
+        records.append(fields)
+        data = data[head + length + 4 :]
+    assert len(records) == len(PAGES) and {f["WARC-Date"] for f in records} == {"2024-01-02T02:04:05Z"}
+    ids = {f["WARC-Record-ID"] for f in records}
+    assert all({"WARC-Type", "WARC-Record-ID", "WARC-Payload-Digest"} <= set(f) for f in records)
+    assert all(f["WARC-Refers-To"] in ids for f in records if f["WARC-Type"] == "revisit") and any(f["WARC-Type"] == "revisit" for f in records)
+    assert len(ids) == len({(p, h or "") for p, _, h in PAGES})
+
+
 def test_archives_of_nothing(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_records(warc.write_archives(pages, str(tmp_path / "warc")), str(tmp_path / "warc")).collect() == []
