@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
@@ -171,9 +173,9 @@ def metadata_bound(
     none = F.filter(F.array("_e"), lambda _: F.lit(False))
     both = F.concat(F.array("_e"), F.coalesce(F.when(F.col("_e.type") == "map", inner), none))
     rows = level1.select(*[F.col(f"`{c}`") for c in base], F.explode(both).alias("_e"))
-    raw = F.expr("try_variant_get(_e.value, '$', 'string')")
-    text = raw if max_bytes is None else byte_truncate(raw, max_bytes, "")
-    cut = F.lit(False) if max_bytes is None else F.coalesce(F.octet_length(raw) > max_bytes, F.lit(False)) & (F.col("_e.type") != "map")
+    raw = F.when(F.col("_e.type") != "map", F.expr("try_variant_get(_e.value, '$', 'string')"))
+    text = raw if max_bytes is None else _bound(raw, lambda t: byte_truncate(t, max_bytes, ""))
+    cut = F.lit(False) if max_bytes is None else F.coalesce(F.octet_length(raw) > max_bytes, F.lit(False))
     return rows.select(
         *[F.col(f"`{c}`") for c in base],
         F.col("_e.key_path").alias("key_path"),
@@ -186,23 +188,31 @@ def metadata_bound(
 def _kept_entries(value: Column, prefix: Column, maps: bool, most: int | None) -> Column:
     """The entries of an object variant that can be kept, by key, as an array of (key_path, type, value, more)."""
 
-    def typed(entry):
-        shape = F.call_function("schema_of_variant", entry["value"])
-        kind = F.when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean")
-        kind = kind.when(shape.isin("BIGINT", "DOUBLE") | shape.startswith("DECIMAL"), "number")
-        kind = kind.when(shape.startswith("OBJECT"), "map") if maps else kind
-        return F.struct(F.concat(prefix, entry["key"]).alias("key_path"), kind.alias("type"), entry["value"].alias("value"))
+    def typed(key, found):
+        kind = _bound(
+            F.call_function("schema_of_variant", found),
+            lambda shape: F.when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean")
+            .when(shape.isin("BIGINT", "DOUBLE") | shape.startswith("DECIMAL"), "number")
+            .when(F.lit(maps) & shape.startswith("OBJECT"), "map"),
+        )
+        return F.struct(F.concat(prefix, key).alias("key_path"), kind.alias("type"), found.alias("value"))
+
+    def by_key(entries):
+        # variants have no order: sort the keys and look each value up by its place
+        places = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"))))
+        return F.filter(F.transform(places, lambda k: typed(k["key"], F.get(entries, k["at"])["value"])), lambda e: e["type"].isNotNull())
+
+    def first(kept):
+        more = F.lit(False) if most is None else F.size(kept) > most
+        return F.transform(kept if most is None else F.slice(kept, 1, most), lambda e: F.struct(e["key_path"], e["type"], e["value"], more.alias("more")))
 
     fields = F.call_function("try_variant_get", value, F.lit("$"), F.lit("map<string,variant>"))
-    # variants have no order: sort the keys and look each value up by its place
-    entries = F.map_entries(fields)
-    by_key = F.array_sort(F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"))))
-    inside = F.transform(by_key, lambda k: typed(F.get(entries, k["at"])))
-    kept = F.filter(inside, lambda e: e["type"].isNotNull())
-    if most is None:
-        return F.transform(kept, lambda e: F.struct(e["key_path"], e["type"], e["value"], F.lit(False).alias("more")))
-    more = F.size(kept) > most
-    return F.transform(F.slice(kept, 1, most), lambda e: F.struct(e["key_path"], e["type"], e["value"], more.alias("more")))
+    return _bound(F.map_entries(fields), lambda entries: _bound(by_key(entries), first))
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once: a lambda's argument is, a column that is named again is not."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def evidence_prune(records: DataFrame, max_bytes: int = W.STORE_BYTES, max_records: int = W.STORE_RECORDS) -> DataFrame:

@@ -222,6 +222,12 @@ def test_metadata_bounds(spark):
     assert S.metadata_bound(many).count() == 300
 
 
+def test_metadata_is_parsed_once(spark):
+    df = spark.createDataFrame([(1, '{"a":1}')], "id int, metadata string")
+    plan = S.metadata_bound(df)._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("try_parse_json") == 1 and plan.count("map_entries") == 2
+
+
 def test_history(spark):
     rows = [("a", i, f"code {i}", f"result {i}", "true", str(i)) for i in range(1200)] + [("b", 1, "c" * 13000, None, None, "bad")]
     df = H.history_normalize(spark.createDataFrame(rows, "account string, seq long, code string, result string, succeeded string, timestamp string"))

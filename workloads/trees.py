@@ -6,6 +6,7 @@ from fieldscope.functions.text import variable_names as names_of
 from fieldscope.operators import documents as D
 from fieldscope.operators import graph as G
 from fieldscope.operators import trees as T
+from fieldscope.plans.spread import spread
 from workloads import views as V
 from workloads.registry import query
 
@@ -385,5 +386,5 @@ def metadata_bound(spark, d):
         F.expr("repeat(event_type, cast(event_id % 900 + 1 as int))").alias("name"), F.lit(True).alias("flag"),
         F.struct(F.lit(5).alias("n"), F.struct(F.lit(1).alias("x")).alias("deep")).alias("inner"),
     ))
-    rows = V.table(spark, d, "events").select(F.col("event_id").alias("record_id"), F.when(F.col("event_id") % 100 != 0, body).otherwise("{broken").alias("metadata"))
-    return bound(rows)
+    events = spread(V.table(spark, d, "events").select("event_id", "event_type"))
+    return bound(events.select(F.col("event_id").alias("record_id"), F.when(F.col("event_id") % 100 != 0, body).otherwise("{broken").alias("metadata")))
