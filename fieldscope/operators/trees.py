@@ -235,45 +235,61 @@ def key_search(placed: DataFrame, text: str, limit: int = 200, max_depth: int |
     )
 
 
-def _grams(text: Column, size: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, size)))
-
-
 def _holding(keys: DataFrame, needles: DataFrame) -> DataFrame:
     """(low, needle): which of the lower-case keys hold which needles.
 
-    Both are distinct. A needle is looked up by its first three letters (or all of a shorter one) among the grams
-    of the keys, and verified.
+    Both are distinct. The places of a key where the first three letters of a needle stand (or all of a shorter one) are
+    found by these letters; there, pieces as long as the needles that begin so are looked up whole. Needles that share
+    their first letters are thus not tried one by one.
     """
-    size = F.least(F.length("needle"), F.lit(GRAM))
-    asked = needles.filter(F.length("needle") > 0).select("needle", F.substring(F.col("needle"), F.lit(1), size).alias("gram"))
-    sizes = [row[0] for row in asked.select(F.length("gram")).distinct().collect()]  # three numbers at most
-    grams = [F.when(F.length("low") >= n, _grams(F.col("low"), F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sizes]
-    parts = keys.select("low", F.explode(F.concat(*grams, F.array().cast("array<string>"))).alias("gram"))
-    return parts.join(asked, "gram").filter(F.contains("low", F.col("needle"))).select("low", "needle")
+    length = F.length("needle")
+    asked = needles.filter(length > 0).select("needle", F.substring(F.col("needle"), F.lit(1), F.least(length, F.lit(GRAM))).alias("gram"), length.alias("size"))
+    grams = asked.groupBy("gram").agg(F.collect_set("size").alias("sizes"))
+    long = [row[0] for row in asked.select(F.length("gram")).distinct().collect()]  # three numbers at most
+
+    def places(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length("low") - n + 1), lambda i: F.struct(i.alias("at"), F.substring(F.col("low"), i, F.lit(n)).alias("gram")))
+        return F.when(F.length("low") >= n, each).otherwise(F.array().cast("array<struct<at:int,gram:string>>"))
+
+    parts = keys.select("low", F.explode(F.concat(*map(places, long), F.array().cast("array<struct<at:int,gram:string>>"))).alias("_p")).select("low", "_p.*")
+    pieces = parts.join(grams, "gram").select("low", "at", F.explode("sizes").alias("size")).filter(F.col("at") + F.col("size") - 1 <= F.length("low"))
+    pieces = pieces.select("low", F.substring(F.col("low"), F.col("at"), F.col("size")).alias("needle"), "at")
+    # the first place of a needle stands for the others
+    return pieces.filter(F.call_function("instr", F.col("low"), F.col("needle")) == F.col("at")).join(asked.select("needle"), "needle").select("low", "needle")
+
+
+def _best(hits: DataFrame, search: list[str], limit: int) -> DataFrame:
+    """The first matches of each search and how many it has."""
+    totals = hits.groupBy(*search).agg(F.count(F.lit(1)).alias("total_matches"))
+    shown = top_per_key(hits, search, [F.col(c) for c in SEARCH_ORDER], limit)
+    return shown.join(totals, search).select(*search, "rank", "id", "key", "match", "total_matches")
 
 
 def search_fallback(placed: DataFrame, queries: DataFrame, limit: int = 200, max_depth: int | None = None) -> DataFrame:
     """Answer each query (``query_id``, ``needle``, ``scope_id``) below its scope node, or, if nothing
     is found there, among the top-level keys of all documents.
 
-    Any number of queries: needles are joined to the keys that hold them. An empty needle finds nothing.
+    Any number of queries: needles are joined to the keys that hold them, each different search (a needle in a scope, a
+    needle in all documents) is made once, and its first matches go to the queries that ask for it. An empty needle finds nothing.
     """
     asked = queries.select("query_id", F.lower(F.trim("needle")).alias("needle"), "scope_id")
+    searches = asked.select("needle", "scope_id").distinct()
     keyed = placed.withColumn("low", F.lower("key"))
-    found = _holding(keyed.select("low").distinct(), asked.select("needle").distinct())
-    pairs = keyed.join(found, "low").join(asked, "needle")
-    place = F.array_position(F.transform("chain", lambda c: c["id"]), F.col("scope_id"))
-    below = F.col("depth") + 1 - place
-    local = (place > 0) & (below >= 1 if max_depth is None else below.between(1, max_depth + 1))
-    # A top-level key below its own scope counts for both searches.
-    scopes = F.array_compact(F.array(F.when(local, "local"), F.when(F.col("depth") == 1, "global")))
-    hits = _hits(pairs.withColumn("scope", F.explode(scopes)), F.col("needle"))
-    near = hits.groupBy("query_id").agg(F.max((F.col("scope") == "local").cast("int")).alias("_local"))
-    chosen = hits.join(near, "query_id").filter((F.col("scope") == "local") | (F.col("_local") == 0))
-    totals = chosen.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_matches"))
-    shown = top_per_key(chosen, ["query_id"], [F.col(c) for c in SEARCH_ORDER], limit)
-    return shown.join(totals, "query_id").select("query_id", "scope", "rank", "id", "key", "match", "total_matches")
+    found = pin(_holding(keyed.select("low").distinct(), asked.select("needle").distinct()), "holding")
+    at = F.call_function("instr", F.col("low"), F.col("needle"))
+    match = F.when(F.col("low") == F.col("needle"), 1).when(at == 1, 2).otherwise(3).alias("match")
+
+    first = F.lit(1) if max_depth is None else F.greatest(F.lit(1), F.col("depth") - max_depth)
+    above = F.transform(F.slice("chain", first, F.greatest(F.col("depth") + 1 - first, F.lit(0))), lambda c: c["id"])
+    inside = keyed.select("id", "key", "path", "low", F.explode(above).alias("scope_id"))
+    inside = inside.join(searches.select("scope_id").distinct(), "scope_id", "left_semi")
+    near = inside.join(found, "low").join(searches, ["needle", "scope_id"]).select("needle", "scope_id", "id", "key", "path", match)
+    near = pin(_best(pin(near, "near"), ["needle", "scope_id"], limit), "near-best")
+    far = keyed.filter("depth = 1").join(found, "low").select("needle", "id", "key", "path", match)
+    nothing = asked.join(near.select("needle", "scope_id").distinct(), ["needle", "scope_id"], "left_anti")
+
+    told = lambda answers, scope: answers.select("query_id", F.lit(scope).alias("scope"), "rank", "id", "key", "match", "total_matches")
+    return told(asked.join(near, ["needle", "scope_id"]), "local").unionByName(told(nothing.join(_best(far, ["needle"], limit), "needle"), "global"))
 
 
 TYPE_RANK = {"secret": 0, "number": 1, "string": 2, "boolean": 3}

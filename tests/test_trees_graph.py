@@ -376,3 +376,22 @@ def test_owner_frames(spark):
     reached = spark.createDataFrame([(1,), (9,)], "id long")
     got = {r.object_id: (r.via_graph, r.via_source) for r in G.owner_frames(objects, "Mine", reached).collect()}
     assert got == {1: (1, 1), 9: (1, 0)}
+
+
+def test_search_fallback_repeats_no_search(spark, placed):
+    """Needles that share their first letters, many queries of one search: pairs are made per search, not per query."""
+    needles = ["n", "ne", "nes", "nest", "nested", "nestor", "alpha", "alphabet", " ADD ", ""]
+    asked = spark.createDataFrame([(i, needles[i % 10], (20, 1, 5, None)[i // 10 % 4]) for i in range(400)], "query_id int, needle string, scope_id long")
+    rows = placed.collect()
+    want = set()
+    for q in asked.collect():
+        needle = q.needle.strip().lower()
+        hits = [r for r in rows if needle and needle in r.key.lower()]
+        near = [r for r in hits if q.scope_id in [c.id for c in r.chain[:-1]]]
+        chosen = near or [r for r in hits if r.depth == 1]
+        want |= {(q.query_id, "local" if near else "global", r.id, len(chosen)) for r in chosen}
+    assert {(r.query_id, r.scope, r.id, r.total_matches) for r in T.search_fallback(placed, asked).collect()} == want
+    lows, long = spark.createDataFrame([("abcdef",), ("xyzabc",)], "low string"), spark.createDataFrame([(f"abc{i}",) for i in range(3000)] + [("abc",)], "needle string")
+    held = T._holding(lows, long)
+    assert sorted(tuple(r) for r in held.collect()) == [("abcdef", "abc"), ("xyzabc", "abc")]
+    assert "Contains(" not in held._jdf.queryExecution().analyzed().toString()  # needles of the same beginning are not tried one by one
