@@ -13,6 +13,7 @@ from fieldscope.session import pin
 # Bits of the code that are left out at each level: sign, exponent and five bits of the fraction first, then 16 at a time.
 SHIFTS = (47, 31, 15, 0)
 FEW = 1 << 16  # values below one prefix that are put in order at once
+SMALL = 256  # rows of a key that are sorted as they are: so few hardly share a prefix, and counting them saves nothing
 MOST = 200_000  # ranks looked for that go to all tasks: some 60 bytes and the key each
 
 
@@ -45,7 +46,38 @@ def nearest_rank(
     """``sorted[max(1, ceil(n * p))]`` per key; null (no row) when a key has no value.
 
     ``points`` maps a numeric column to ``(alias, p)`` pairs; one column per alias
-    comes out. A radix selection: values are counted by the first bits of their code, before the shuffle, which tells
+    comes out. Rows of a key are counted first: up to 256 are sorted in one group, which takes one shuffle however many
+    keys there are; more are never gathered (see ``_radix_rank``).
+    """
+    sizes = pin(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).dropna(subset=list(keys)), "sizes")
+    large = sizes.filter(F.col("_rows") > SMALL).select(*keys)
+    count = sizes.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("_rows") > SMALL).alias("large")).first()
+    if not count["large"]:
+        return _sorted_rank(df, keys, points)
+    if count["large"] == count["all"]:
+        return _radix_rank(df, keys, points)
+    few = F.broadcast(large) if count["large"] <= MOST else large
+    return _sorted_rank(df.join(few, list(keys), "left_anti"), keys, points).unionByName(
+        _radix_rank(df.join(few, list(keys), "left_semi"), keys, points)
+    )
+
+
+def _sorted_rank(df: DataFrame, keys: Sequence[str], points: Mapping[str, Sequence[tuple[str, float]]]) -> DataFrame:
+    """Ranks of keys of few rows: each column's values in order, and the value at the place asked for."""
+    ordered = [F.sort_array(F.collect_list(F.col(name).cast("double"))).alias(f"_v{i}") for i, name in enumerate(points)]
+    known = df.dropna(subset=list(keys)).groupBy(*keys).agg(*ordered)
+    known = known.filter(F.greatest(*[F.size(f"_v{i}") for i in range(len(points))], F.lit(0)) > 0)
+
+    def at(values: str, p: float) -> Column:
+        return F.get(values, F.greatest(F.lit(1), F.ceil(F.size(values).cast("double") * F.lit(float(p)))).cast("int") - 1)
+
+    return known.select(*keys, *[at(f"_v{i}", p).alias(a) for i, pairs in enumerate(points.values()) for a, p in pairs])
+
+
+def _radix_rank(df: DataFrame, keys: Sequence[str], points: Mapping[str, Sequence[tuple[str, float]]]) -> DataFrame:
+    """Ranks of keys of any size by radix selection.
+
+    Values are counted by the first bits of their code, before the shuffle, which tells
     the prefix that holds each rank; only values with that prefix are then counted by the bits that follow, and so on. No
     value crosses a shuffle but as a count, and a prefix has no more than 65,536 parts to put in order.
     """

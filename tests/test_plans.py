@@ -169,3 +169,18 @@ def test_hot_keys_are_shuffled_by_chunk(skewed):
     lines = plan.splitlines()
     counted = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line and "_p#" in line)
     assert "partial_count" in lines[counted + 1]  # what is shuffled are counts
+
+
+def test_keys_of_few_rows_are_sorted_beside_hot_ones(spark):
+    rows = [(k, None if k % 7 == 0 else float((i * 37 + k) % 101) - 50, float(i)) for k in range(300) for i in range(1 + k % 9)]
+    rows += [(1000, float(i * 7919 % 3001), None) for i in range(3000)] + [(None, 1.0, 1.0)]
+    points = {"v": [("a", 0.0), ("b", 0.5), ("c", 0.95)], "w": [("d", 1.0)]}
+    small = spark.createDataFrame([r for r in rows if r[0] != 1000], "k int, v double, w double")
+    assert "_p#" not in plan_of(nearest_rank(small, ["k"], points))  # no counts by prefix where no key has many rows
+    got = {r.k: tuple(r)[1:] for r in nearest_rank(spark.createDataFrame(rows, "k int, v double, w double"), ["k"], points).collect()}
+    held = {}
+    for k, v, w in rows:
+        held.setdefault(k, ([], []))[0].append(v)
+        held[k][1].append(w)
+    at = lambda values, p: (lambda s: s[max(1, math.ceil(len(s) * p)) - 1] if s else None)(sorted(x for x in values if x is not None))
+    assert got == {k: (at(v, 0.0), at(v, 0.5), at(v, 0.95), at(w, 1.0)) for k, (v, w) in held.items() if k is not None}
