@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -32,28 +32,44 @@ def elapsed_stream(records: DataFrame, captures: DataFrame) -> DataFrame:
 
 
 RING_COLUMNS = ["ts_us", "seq", "event"]
+STEP = 4096  # records put in order at once
+RING_BLOCK, CONTROL_BLOCK = 16, 64  # sessions of a state
 RING_OUT = "session_id bigint, shard int, ts_us bigint, seq bigint, event string"
 
 
+def block(size: int) -> Column:
+    """Sessions that share a state: at most ``size`` numbers that follow each other. A state is read and written by a call to the JVM each."""
+    return F.floor(F.col("session_id") / size)
+
+
 class NewestRecords(StatefulProcessor):
-    """Keeps the newest records of a (session, shard) and reports those that are new among them, each once."""
+    """Keeps the newest records of each session of a (block, shard) and reports those that are new among them, each once."""
 
     def __init__(self, limit: int):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "ts_us bigint, seq bigint, event string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame(list(self.kept.get()), columns=RING_COLUMNS) if self.kept.exists() else None
-        known = set() if kept is None else set(kept["seq"])
-        for part in rows:
-            part = part[RING_COLUMNS]
-            both = part if kept is None else pd.concat([kept, part])
-            kept = both.sort_values(["ts_us", "seq"], ascending=False).drop_duplicates("seq").head(self.limit)
-        self.kept.put([(int(t), int(s), e) for t, s, e in kept.itertuples(index=False)])
-        entered = kept[~kept["seq"].isin(known)]
-        yield entered.assign(session_id=key[0], shard=key[1])[["session_id", "shard", *RING_COLUMNS]]
+        self.state = handle.getListState("kept", "session_id bigint, ts_us bigint, seq bigint, event string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        kept = {}
+        for session, *record in self.state.get():
+            kept.setdefault(session, []).append(tuple(record))
+        known = {(session, record[1]) for session, records in kept.items() for record in records}
+        while part := list(islice(rows, STEP)):
+            arrived = {}
+            for r in part:
+                arrived.setdefault(r.session_id, []).append((r.ts_us, r.seq, r.event))
+            for session, records in arrived.items():
+                once = {}
+                for record in sorted([*kept.get(session, ()), *records], key=lambda r: r[:2], reverse=True):
+                    once.setdefault(record[1], record)
+                kept[session] = list(islice(once.values(), self.limit))
+        entered = [(session, record) for session, records in kept.items() for record in records if (session, record[1]) not in known]
+        if entered:
+            self.state.put([(session, *record) for session, records in kept.items() for record in records])
+        for session, (ts_us, seq, event) in entered:
+            yield Row(session_id=session, shard=key[1], ts_us=ts_us, seq=seq, event=event)
 
     def close(self) -> None:
         pass
@@ -63,11 +79,11 @@ def ring_state_stream(records: DataFrame, limit: int = 500, shards: int = 16) ->
     """The newest ``limit`` records per session as bounded state.
 
     A busy session is spread over shards that keep ``limit`` each; ``ring_contents`` reads
-    the session's newest out of them.
+    the session's newest out of them. Sessions of neighbouring numbers share a state.
     """
     use_rocksdb(records.sparkSession)
     keyed = records.select("session_id", F.pmod(F.xxhash64("seq"), F.lit(shards)).cast("int").alias("shard"), *RING_COLUMNS)
-    return keyed.groupBy("session_id", "shard").transformWithStateInPandas(
+    return keyed.withColumn("_block", block(RING_BLOCK)).groupBy("_block", "shard").transformWithState(
         statefulProcessor=NewestRecords(limit), outputStructType=RING_OUT, outputMode="Append", timeMode="None"
     )
 
@@ -124,39 +140,51 @@ CONTROL_OUT = "session_id bigint, capture_no bigint, started_us bigint, ended_us
 
 
 class CaptureControl(StatefulProcessor):
-    """Explicit captures of a session: start, stop with a reason, or the time limit."""
+    """Explicit captures of the sessions of a block: start, stop with a reason, or the time limit."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "capture_no bigint, started_us bigint, limit_us bigint")
-        self.count = handle.getValueState("count", "n bigint")
-
-    def _end(self, key, at_us: int, reason: str) -> tuple:
-        number, started, _ = self.open.get()
-        self.open.clear()
-        return key[0], number, started, at_us, reason
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        done = []
-        batch = pd.concat(list(rows)).dropna(subset=["action"]).sort_values("ts_us", kind="stable")
-        for at_us, action, duration in zip(batch["ts_us"], batch["action"], batch["duration_us"]):
-            if self.open.exists() and at_us >= self.open.get()[2]:
-                done.append(self._end(key, self.open.get()[2], "complete"))
-            if action == "start" and not self.open.exists():
-                number = (self.count.get()[0] if self.count.exists() else 0) + 1
-                self.count.update((number,))
-                limit = int(at_us + duration)
-                self.open.update((number, int(at_us), limit))
-                self.handle.registerTimer(limit // 1000)
-            elif action != "start" and self.open.exists():
-                done.append(self._end(key, int(at_us), action))
-        yield pd.DataFrame(done, columns=["session_id", "capture_no", "started_us", "ended_us", "reason"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        done = []
-        if self.open.exists() and self.open.get()[2] // 1000 <= expiredTimerInfo.getExpiryTimeInMs():
-            done.append(self._end(key, self.open.get()[2], "complete"))
-        yield pd.DataFrame(done, columns=["session_id", "capture_no", "started_us", "ended_us", "reason"])
+        self.state = handle.getListState("sessions", "session_id bigint, capture_no bigint, started_us bigint, limit_us bigint")
+
+    def _read(self) -> dict:
+        return {session: (number, started, limit) for session, number, started, limit in self.state.get()}
+
+    def _write(self, sessions: dict) -> None:
+        self.state.put([(session, *held) for session, held in sessions.items()])
+        limits = [limit for _, _, limit in sessions.values() if limit is not None]
+        if limits:  # a block has a timer for the first of its limits
+            self.handle.registerTimer(min(limits) // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        sessions, changed = self._read(), False
+        control = [(r.ts_us, r.session_id, r.action, r.duration_us) for r in rows if r.action is not None]
+        for at_us, session, action, duration in sorted(control, key=lambda r: r[0]):
+            number, started, limit = before = sessions.get(session, (0, None, None))
+            if started is not None and at_us >= limit:
+                yield self._end(session, number, started, limit, "complete")
+                started = limit = None
+            if action == "start" and started is None:
+                number, started, limit = number + 1, at_us, at_us + duration
+            elif action != "start" and started is not None:
+                yield self._end(session, number, started, at_us, action)
+                started = limit = None
+            if (number, started, limit) != before:
+                sessions[session], changed = (number, started, limit), True
+        if changed:
+            self._write(sessions)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        sessions, upto = self._read(), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        over = [(session, held) for session, held in sessions.items() if held[2] is not None and held[2] // 1000 <= upto]
+        for session, (number, started, limit) in over:
+            sessions[session] = (number, None, None)
+            yield self._end(session, number, started, limit, "complete")
+        if sessions:
+            self._write(sessions)
+
+    @staticmethod
+    def _end(session: int, number: int, started: int, at_us: int, reason: str) -> Row:
+        return Row(session_id=session, capture_no=number, started_us=started, ended_us=at_us, reason=reason)
 
     def close(self) -> None:
         pass
@@ -174,8 +202,9 @@ def capture_control_stream(control: DataFrame, longest_seconds: int = 180, delay
     )
     return (
         event_time(capped, delay=delay)
-        .groupBy("session_id")
-        .transformWithStateInPandas(
+        .withColumn("_block", block(CONTROL_BLOCK))
+        .groupBy("_block")
+        .transformWithState(
             statefulProcessor=CaptureControl(), outputStructType=CONTROL_OUT, outputMode="Append", timeMode="EventTime"
         )
     )

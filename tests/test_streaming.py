@@ -213,3 +213,22 @@ def test_thinning_equals_the_sequential_rule(spark, span):
     for session in (1, 2, 3, 4):
         want = greedy([r[2] for r in rows if r[0] == session], 1000)
         assert sorted(r.ts_us for r in got if r.session_id == session) == want
+
+
+def test_sessions_that_share_a_state_stay_apart(spark):
+    """Neighbouring sessions are kept by one state each 16 or 64: none sees the others' records, limits or numbers."""
+    rows = [(s, s * 1000 + i, START + (i * 7919 % 101) * SECOND, f"E{i % 3}") for s in range(-20, 100) for i in range(1 + s % 9)]
+    stream, batch = staged(spark, [rows[:200], rows[200:]], "session_id long, seq long, ts_us long, event string")
+    got = C.ring_contents(S.run_to_table(C.ring_state_stream(stream, 4, 2), "ring"), 4)
+    want = {}
+    for s, seq, ts, _ in rows:
+        want.setdefault(s, []).append((ts, seq))
+    want = {(s, seq) for s, records in want.items() for _, seq in sorted(records, reverse=True)[:4]}
+    assert {(r.session_id, r.seq) for r in got.collect()} == want
+    starts = [(s, START + s * SECOND, "start", (5 + s % 50) * SECOND) for s in range(130)]
+    stops = [(s, START + (s + 3) * SECOND, "manual", None) for s in range(0, 130, 10)]
+    stream = staged(spark, [starts + stops], "session_id long, ts_us long, action string, duration_us long")[0]
+    live, end = S.closable(stream, session_id=-1)
+    done = {tuple(r) for r in S.run_to_table(C.capture_control_stream(live, 60), "control", end=end).collect()}
+    assert done == {(s, 1, at, at + (3 if s % 10 == 0 else 5 + s % 50) * SECOND, "manual" if s % 10 == 0 else "complete") for s, at, _, _ in starts}
+    assert C.RING_BLOCK > 1 and C.CONTROL_BLOCK > 1
