@@ -79,7 +79,8 @@ def _radix_rank(df: DataFrame, keys: Sequence[str], points: Mapping[str, Sequenc
 
     Values are counted by the first bits of their code, before the shuffle, which tells
     the prefix that holds each rank; only values with that prefix are then counted by the bits that follow, and so on. No
-    value crosses a shuffle but as a count, and a prefix has no more than 65,536 parts to put in order.
+    value crosses a shuffle but as a count, and a prefix has no more than 65,536 parts to put in order. Values and their
+    codes are written to the shared folder once.
     """
     measures = F.array(
         *[F.struct(F.lit(name).alias("m"), F.col(name).cast("double").alias("v")) for name in points]
@@ -89,7 +90,7 @@ def _radix_rank(df: DataFrame, keys: Sequence[str], points: Mapping[str, Sequenc
         .select(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
         .filter(F.col("_v").isNotNull())
     )
-    values = with_code(values, "_v", "_code")
+    values = pin(with_code(values, "_v", "_code"), "codes")  # read once per level: working a code out takes longer than reading it
     wanted = F.create_map(
         *[
             part

@@ -184,3 +184,8 @@ def test_keys_of_few_rows_are_sorted_beside_hot_ones(spark):
         held[k][1].append(w)
     at = lambda values, p: (lambda s: s[max(1, math.ceil(len(s) * p)) - 1] if s else None)(sorted(x for x in values if x is not None))
     assert got == {k: (at(v, 0.0), at(v, 0.5), at(v, 0.95), at(w, 1.0)) for k, (v, w) in held.items() if k is not None}
+
+
+def test_codes_of_hot_keys_are_worked_out_once(skewed):
+    plan = nearest_rank(skewed[1].filter("k = 0"), ["k"], {"v": [("p", 0.5)]})._jdf.queryExecution().optimizedPlan().toString()
+    assert "LOG2" not in plan.upper()  # the levels read the codes that the first pass wrote
