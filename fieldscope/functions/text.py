@@ -73,7 +73,7 @@ def source_attribution(location: Column) -> Column:
     own = addon != ""
     game = path.rlike("[Bb]lizzard|[Ff]rame[Xx][Mm][Ll]")
     return F.struct(
-        F.when(own, addon).when(game, "Blizzard").otherwise("unknown").alias("source"),
+        F.coalesce(F.nullif(addon, F.lit("")), F.when(game, "Blizzard").otherwise("unknown")).alias("source"),
         F.when(own, F.concat(F.regexp_extract(path, pattern, 2), F.lit(":"), F.regexp_extract(path, pattern, 3)))
         .otherwise(path)
         .alias("source_file"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldscope.plans import quantiles
 from fieldscope.plans.quantiles import with_code
+from fieldscope.plans.spread import portions
 from fieldscope.plans import bucket_of, chunk_of, nearest_rank, previous_row, running_total, split_points, top_per_key, transition_totals
 
 
@@ -189,3 +190,14 @@ def test_keys_of_few_rows_are_sorted_beside_hot_ones(spark):
 def test_codes_of_hot_keys_are_worked_out_once(skewed):
     plan = nearest_rank(skewed[1].filter("k = 0"), ["k"], {"v": [("p", 0.5)]})._jdf.queryExecution().optimizedPlan().toString()
     assert "LOG2" not in plan.upper()  # the levels read the codes that the first pass wrote
+
+
+def test_portions_hold_a_bounded_number_of_rows(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") % 500)
+    cores = spark.sparkContext.defaultParallelism
+    assert portions(df, "k", rows=1000 // cores + 1) is df  # few rows stay as they are
+    dealt = portions(df, "k", rows=50)
+    assert dealt.rdd.getNumPartitions() == 20
+    totals = dealt.groupBy("k", (F.col("id") % 2).alias("odd")).agg(F.sum("id").alias("s"))
+    assert plan_of(totals).count("Exchange") == 1  # the aggregate needs no shuffle of its own
+    assert sorted((r.k, r.s) for r in totals.collect()) == [(k, 2 * k + 500) for k in range(500)]

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldscope.plans.spread import portions
+
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -126,23 +128,33 @@ metric_counters AS (
 
 def object_snapshots(spark, d):
     """Object snapshots: supplier = session, part = object, ship year = snapshot."""
-    li = table(spark, d, "lineitem").groupBy(
+    lines = table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("session_id"),
         F.year("l_shipdate").cast("bigint").alias("snap_no"),
         F.col("l_partkey").alias("object_id"),
-    ).agg(
+        "l_quantity",
+        "l_extendedprice",
+    )
+    li = portions(lines, "session_id", "snap_no", "object_id").groupBy("session_id", "snap_no", "object_id").agg(
         F.sum(F.col("l_quantity").cast("bigint")).alias("q"),
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("price"),
     )
-    part = table(spark, d, "part").select("p_partkey", "p_type", "p_brand")
+    k = F.col("p_partkey")
+    # Texts are made once per part, not once per row of the join.
+    part = table(spark, d, "part").select(
+        "p_partkey",
+        F.concat(F.lit("root.children["), k.cast("string"), F.lit("]")).alias("path"),
+        F.when(k % 23 != 0, F.col("p_type")).alias("object_type"),
+        F.concat(F.lit("Interface/AddOns/"), F.regexp_replace("p_brand", "#", ""), F.lit("/f.lua:"), k.cast("string")).alias("location"),
+    )
     return li.join(part, li.object_id == part.p_partkey).select(
         "session_id",
         "snap_no",
         "object_id",
-        F.concat(F.lit("root.children["), F.col("object_id").cast("string"), F.lit("]")).alias("path"),
-        F.when(F.col("object_id") % 23 != 0, F.col("p_type")).alias("object_type"),
-        F.concat(F.lit("Interface/AddOns/"), F.regexp_replace("p_brand", "#", ""), F.lit("/f.lua:"), F.col("object_id").cast("string")).alias("location"),
+        "path",
+        "object_type",
+        "location",
         (F.col("q") % 2 == 0).alias("shown"),
         (F.col("q") % 3 == 0).alias("on_update"),
         F.when(F.col("object_id") % 29 != 0, F.col("price")).alias("self_time"),
