@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from fieldscope.functions import wording as W
 from fieldscope.functions.text import byte_truncate, quoted
 from fieldscope.plans import bucket_of, running_total, split_points, top_per_key
+from fieldscope.plans.spread import spread
 from fieldscope.session import pin
 
 IDENTIFIER = "^[_A-Za-z][_A-Za-z0-9]*$"
@@ -30,7 +31,7 @@ def _walked(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     missing parent are dropped.
     """
     step = F.struct("id", "key")
-    state = pin(nodes.select("id", F.col("parent_id").alias("up"), F.array(step).alias("chain"), F.lit(False).alias("cyclic")), "ancestry")
+    state = pin(spread(nodes.select("id", "parent_id", "key")).select("id", F.col("parent_id").alias("up"), F.array(step).alias("chain"), F.lit(False).alias("cyclic")), "ancestry")
     reach = 1
     while (max_depth is None or reach < max_depth + 2) and not state.filter(F.col("up").isNotNull()).isEmpty():
         upper = state.select(F.col("id").alias("_id"), F.col("up").alias("_next"), F.col("chain").alias("_above"), F.col("cyclic").alias("_round"))
@@ -60,7 +61,7 @@ def ancestry(nodes: DataFrame, max_depth: int | None = None, extra: Sequence[str
     rooted = _walked(nodes, max_depth).filter(F.col("up").isNull() & ~F.col("cyclic"))
     if max_depth is not None:
         rooted = rooted.filter(F.size("chain") <= max_depth + 2)
-    placed = nodes.select("id", "parent_id", "key", "kind", "value", *extra).join(rooted.select("id", "chain"), "id")
+    placed = spread(nodes.select("id", "parent_id", "key", "kind", "value", *extra)).join(rooted.select("id", "chain"), "id")
     return placed.withColumn("depth", F.size("chain") - 1)
 
 
@@ -353,11 +354,16 @@ def path_resolve(requests: DataFrame, placed: DataFrame) -> DataFrame:
     """
     tokens = path_tokens(F.col("path"))
     empty = F.regexp_replace(F.coalesce(F.col("path"), F.lit("")), r"\s", "") == ""
-    asked = requests.select(
-        "request_id",
-        "doc_id",
-        F.when(empty, "path_required").when(tokens.isNull(), "path_invalid").alias("reason"),
-        canonical_path(tokens).alias("canonical"),
+    # Paths are read once, and what was read is kept for both answers.
+    read = requests.select("request_id", "doc_id", empty.alias("_empty"), tokens.alias("_tokens"))
+    asked = pin(
+        read.select(
+            "request_id",
+            "doc_id",
+            F.when(F.col("_empty"), "path_required").when(F.col("_tokens").isNull(), "path_invalid").alias("reason"),
+            canonical_path(F.col("_tokens")).alias("canonical"),
+        ),
+        "asked",
     )
     typed = F.transform("path", lambda k: F.concat(F.when(k.rlike(r"^-?\d+$"), "n:").otherwise("s:"), k))
     known = placed.select("doc_id", canonical_path(typed).alias("canonical"), "id", "kind")

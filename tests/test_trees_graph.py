@@ -395,3 +395,12 @@ def test_search_fallback_repeats_no_search(spark, placed):
     held = T._holding(lows, long)
     assert sorted(tuple(r) for r in held.collect()) == [("abcdef", "abc"), ("xyzabc", "abc")]
     assert "Contains(" not in held._jdf.queryExecution().analyzed().toString()  # needles of the same beginning are not tried one by one
+
+
+def test_nodes_of_one_file_are_placed_by_all_cores(spark):
+    from workloads import views
+
+    nodes = views.nodes(spark, "/root/testdata/sf0.001")
+    assert nodes.rdd.getNumPartitions() == 1
+    placed = T.ancestry(nodes)
+    assert placed.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and placed.count() == nodes.count()
