@@ -203,9 +203,10 @@ def fingerprints(docs: DataFrame, doc_id: str, json_column: str) -> DataFrame:
     )
 
 
-# Tokens of serialised text: white space, a quoted string, a marker line, punctuation, or a bare word.
+# Tokens of serialised text after white space, which is never given back: a quoted string, a marker line, punctuation, or a bare word.
+SPACE = " \t\r\n"
 TOKEN = re.compile(
-    r"""(?P<space>[ \t\r\n]+)|(?P<quoted>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<marker>\.\.\.[^\r\n]*)|(?P<mark>[\[\]{},=])|(?P<word>[^,\r\n{}\[\]="']+)""",
+    r"""[ \t\r\n]*+(?:(?P<mark>[\[\]{},=])|(?P<quoted>"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+')|(?P<marker>\.\.\.[^\r\n]*)|(?P<word>[^,\r\n{}\[\]="']+))""",
     re.S,
 )
 ROOT = re.compile(r"(?:^|\n)\[1\]\s*=")
@@ -225,13 +226,14 @@ class _Malformed(Exception):
 
 def _tokens(text: str):
     at = 0
-    while at < len(text):
-        found = TOKEN.match(text, at)
-        if not found:
+    for found in TOKEN.finditer(text):
+        if found.start() != at:  # something that is no token was passed over
             raise _Malformed
         at = found.end()
-        if found.lastgroup != "space":
-            yield found.lastgroup, found.group()
+        kind = found.lastgroup
+        yield kind, found[kind]
+    if text[at:].strip(SPACE):
+        raise _Malformed
 
 
 def _scalar_kind(token: str) -> str:
@@ -254,7 +256,10 @@ def parse_tree(text: str | None, max_nodes: int | None = None) -> list[tuple[int
         return None
     rows: list[tuple[int, int, str, str, str]] = []
     open_tables: list[list[int]] = []  # row and entries so far of each table around the place
-    stream = [*_tokens(text[start.start():].lstrip("\n")), ("end", "")]
+    try:
+        stream = [*_tokens(text[start.start():].lstrip("\n")), ("end", "")]
+    except _Malformed:
+        return None
     at = 0
 
     def key() -> str:
