@@ -67,25 +67,34 @@ def transition_totals(
     (key, chunk); what crosses a chunk border is added from one row per chunk.
     """
     row = F.struct(*order, *[c for c in cols if c not in order])
+    here, prev, zero = F.col("_row"), F.col("_prev"), F.lit(0).cast("bigint")
+    known = lambda value: F.coalesce(value, zero)
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
+    across = W.partitionBy(*keys).orderBy("_chunk")
+    upto = lambda window: window.rowsBetween(W.unboundedPreceding, 0)
+    # Sums run along a window and its last row has them all: no aggregate of structs, which would be by sorting.
     stepped = df.withColumn("_chunk", chunk).select(
-        *keys, "_chunk", row.alias("_row"), F.lag(row).over(inside).alias("_prev"), F.lead(F.lit(1)).over(inside).alias("_more")
+        *keys, "_chunk", *order, row.alias("_row"), F.lag(row).over(inside).alias("_prev"), F.lead(F.lit(1)).over(inside).alias("_more"),
+        F.first(row).over(upto(inside)).alias("first"),
     )
-    here, prev = F.col("_row"), F.col("_prev")
-    chunks = stepped.groupBy(*keys, "_chunk").agg(
-        *[F.sum(F.when(prev.isNotNull(), step(prev, here))).alias(name) for name, step in measures.items()],
-        F.max(F.when(prev.isNull(), here)).alias("first"),
-        F.max(F.when(F.col("_more").isNull(), here)).alias("last"),
+    steps = {name: F.when(prev.isNotNull(), known(step(prev, here))).otherwise(zero) for name, step in measures.items()}
+    chunks = (
+        stepped.withColumns(steps)
+        .withColumns({name: F.sum(name).over(upto(inside)) for name in measures})
+        .filter(F.col("_more").isNull())
+        .select(*keys, "_chunk", *measures, "first", here.alias("last"))
     )
-    linked = chunks.withColumn("_prev", F.lag("last").over(W.partitionBy(*keys).orderBy("_chunk")))
-    border = lambda step: F.when(prev.isNotNull(), step(prev, F.col("first")))
-    return linked.groupBy(*keys).agg(
-        *[
-            F.sum(F.coalesce(F.col(name), F.lit(0)) + F.coalesce(border(step), F.lit(0))).alias(name)
-            for name, step in measures.items()
-        ],
-        F.min("first").alias("first"),
-        F.max("last").alias("last"),
+    linked = chunks.withColumns(
+        {"_prev": F.lag("last").over(across), "_more": F.lead(F.lit(1)).over(across), "_first": F.first("first").over(upto(across))}
+    )
+    borders = {
+        name: F.col(name) + F.when(prev.isNotNull(), known(step(prev, F.col("first")))).otherwise(zero) for name, step in measures.items()
+    }
+    return (
+        linked.withColumns(borders)
+        .withColumns({name: F.sum(name).over(upto(across)) for name in measures})
+        .filter(F.col("_more").isNull())
+        .select(*keys, *measures, F.col("_first").alias("first"), "last")
     )
 
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from fieldscope.plans.spread import portions
 from workloads import load
 
 SMALL = "/root/testdata/sf0.001"
@@ -42,3 +43,18 @@ def test_query_equals_sql(spark, con, name):
     want = sorted((tuple(r[columns.index(c)] for c in sorted(columns)) for r in relation.fetchall()), key=repr)
     got = sorted((tuple(r[c] for c in sorted(columns)) for r in df.collect()), key=repr)
     assert got == want
+
+
+def test_objects_are_dealt_by_their_number(spark, monkeypatch):
+    from workloads import views
+
+    monkeypatch.setattr(views, "portions", lambda df, *keys: portions(df, *keys, rows=500))
+    whole = views.object_snapshots(spark, SMALL)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and views.table(spark, SMALL, "lineitem").count() > 2000
+    assert whole.count() == whole.select("session_id", "snap_no", "object_id").distinct().count()
+
+
+def test_object_report_reads_what_its_layers_left(spark):
+    read = entry.queries()["object_report"](spark, SMALL).inputFiles()
+    assert read and not [f for f in read if f.startswith(f"file://{SMALL}/")]  # each layer is worked out once, whatever the report asks of it

@@ -138,17 +138,17 @@ CPU_SQL = f"""
 
 
 class Layers:
-    """What the reports of all captures are made of; ``keep`` is applied to what several reports share."""
+    """What the reports of all captures are made of; ``keep`` is applied to what several reports share, objects come ``without`` some columns."""
 
-    def __init__(self, spark, d, keep=lambda df, label: df):
-        self.spark, self.d, self.keep = spark, d, keep
+    def __init__(self, spark, d, keep=lambda df, label: df, without=()):
+        self.spark, self.d, self.keep, self.without = spark, d, keep, without
         self.samples = V.samples(spark, d)
         self.counters = V.metric_counters(spark, d)
         self.functions = V.function_snapshots(spark, d)
 
     @cached_property
     def objects(self):
-        return self.keep(V.object_snapshots(self.spark, self.d), "objects")
+        return self.keep(V.object_snapshots(self.spark, self.d).drop(*self.without), "objects")
 
     @cached_property
     def summary(self):
@@ -166,6 +166,18 @@ class Layers:
     def churn(self):
         return self.keep(L.function_churn(self.functions), "churn")
 
+    @cached_property
+    def lifecycle(self):
+        return self.keep(L.object_lifecycle(self.objects), "lifecycle")
+
+    @cached_property
+    def totals(self):
+        return self.keep(L.object_totals(self.objects), "totals")
+
+    @cached_property
+    def pools(self):
+        return self.keep(L.pool_activity(V.pool_snapshots(self.spark, self.d)), "pools")
+
     @cached_property
     def storage(self):
         return self.keep(L.storage_delta(V.storage_roots(self.spark, self.d)), "storage")
@@ -190,9 +202,10 @@ class Layers:
 
     def object_report(self):
         coarse = self.functions.withColumn("snap_no", F.expr("snap_no div 8000"))
+        final = self.totals.groupBy("session_id").agg(F.max("snap_no").alias("snap_no"))
+        shown = self.objects.join(final, ["session_id", "snap_no"], "left_semi")  # all that the report tells by type and source
         return R.object_report(
-            L.object_lifecycle(self.objects), L.object_totals(self.objects), L.counts_by_type(self.objects),
-            L.counts_by_source(self.objects), L.new_functions(coarse), self.churn, L.pool_activity(V.pool_snapshots(self.spark, self.d)),
+            self.lifecycle, self.totals, L.counts_by_type(shown), L.counts_by_source(shown), L.new_functions(coarse), self.churn, self.pools
         )
 
     def storage_report(self):
@@ -293,7 +306,7 @@ OBJECT_SQL = f"""
 
 @query("object_report", f"WITH {OBJECT_CTE} {OBJECT_SQL}", OBJECT_VIEWS)
 def object_report(spark, d):
-    return Layers(spark, d).object_report()
+    return Layers(spark, d, pin, ("path", "self_time", "self_calls")).object_report()
 
 
 TIMELINE_SQL = f"""
