@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldscope.operators.errors import error_occurrences
 from fieldscope.operators.lifecycle import CHUNK, object_moves
 from fieldscope.plans import transition_totals
+from fieldscope.plans.spread import portions
 from fieldscope.streaming.runner import LogTable
 
 OBJECT = ["session_id", "object_id"]
@@ -16,7 +17,7 @@ LATE = 64  # snapshots by which a row may come late
 
 def observations(snapshots: DataFrame) -> DataFrame:
     """Each observation as a stretch of one snapshot; a repeated one counts once."""
-    seen = snapshots.groupBy(*OBJECT, F.col("snap_no").alias("first_snap")).agg(F.max("shown").alias("born_shown"))
+    seen = portions(snapshots, *OBJECT).groupBy(*OBJECT, F.col("snap_no").alias("first_snap")).agg(F.max("shown").alias("born_shown"))
     zero = F.lit(0).cast("bigint")
     return seen.select(
         *OBJECT, zero.alias("activations"), zero.alias("hidden"), "born_shown", F.col("born_shown").alias("last_shown"),

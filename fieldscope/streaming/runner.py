@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldscope.plans.spread import portions
 from fieldscope.session import fresh_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -87,6 +88,9 @@ def run_to_table(stream: DataFrame, label: str, output_mode: str = "append", end
     return spark.read.schema(stream.schema).parquet(path)
 
 
+MERGE_ROWS = 100_000  # rows of the log that one task merges at a time: a merge holds them several times over
+
+
 class LogTable:
     """A keyed table that a stream keeps up to date as a log of runs, merged when there are enough of them.
 
@@ -135,7 +139,9 @@ class LogTable:
         jvm, _, files = self._files(spark)
         paths = [f"{self.path}/run={a}_{b}" for a, b in runs]
         filled = [p for p in paths if any(s.isDirectory() for s in files.listStatus(jvm.org.apache.hadoop.fs.Path(p)))]
-        return spark.read.option("basePath", self.path).parquet(*filled).drop("_bucket", "run") if filled else None
+        if not filled:
+            return None
+        return portions(spark.read.option("basePath", self.path).parquet(*filled).drop("_bucket", "run"), *self.keys, rows=MERGE_ROWS)
 
     def _write(self, rows: DataFrame, first: int, last: int) -> None:
         bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")

@@ -232,3 +232,13 @@ def test_sessions_that_share_a_state_stay_apart(spark):
     done = {tuple(r) for r in S.run_to_table(C.capture_control_stream(live, 60), "control", end=end).collect()}
     assert done == {(s, 1, at, at + (3 if s % 10 == 0 else 5 + s % 50) * SECOND, "manual" if s % 10 == 0 else "complete") for s, at, _, _ in starts}
     assert C.RING_BLOCK > 1 and C.CONTROL_BLOCK > 1
+
+
+def test_log_is_merged_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(S, "MERGE_ROWS", 10)
+    table = M.object_table(fresh_dir(spark, "objects"))
+    for batch in range(3):
+        table.update(spark.createDataFrame([(1, o, batch, (o + batch) % 2 == 0) for o in range(40)], "session_id long, object_id long, snap_no long, shown boolean"), batch)
+    held = table._read(spark, table.runs(spark)[0])
+    assert held.count() == 120 and held.rdd.getNumPartitions() == 12
+    assert sorted((r.object_id, r.activations, r.hidden) for r in table.current(spark).collect()) == [(o, 1, 1) for o in range(40)]
