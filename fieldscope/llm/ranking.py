@@ -33,9 +33,7 @@ GROUP = 16 << 20  # bytes of a Parquet row group
 SEGMENT = """m long, piece int, ids array<long>, terms array<string>, df array<int>, top_tf array<int>,
     term_runs array<int>, run_tf array<int>, run_n array<int>, posts array<int>"""
 FOUND = "item int, doc_id long, score long"
-# A term: fixed value.
-PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-# Bytes of terms: digits, letters, and every byte of characters beyond ASCII.
+# Bytes of terms, [^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+: digits, letters, and every byte of characters beyond ASCII.
 TERM = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
@@ -59,6 +57,15 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(borders), pa.py_buffer(kept)), first
 
 
+def term_numbers(texts: pa.Array) -> pa.Array:
+    """The number of terms of each text; null has none."""
+    data, offsets = arrays.text_bytes(texts)
+    out = np.zeros(len(offsets) - 1, np.int64)
+    for a, b in arrays.doc_slices(offsets):
+        out[a:b] = np.diff(term_runs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])[2])
+    return pa.array(out, pa.int64())
+
+
 def impacts(tf: np.ndarray, m: int) -> np.ndarray:
     tf = tf.astype(np.int64)
     return 1_000_000_000 * tf // (1000 * tf + 8 * m)
@@ -104,8 +111,7 @@ def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     Other columns are not read.
     """
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    n = F.coalesce(F.regexp_count("text", F.lit(PATTERN)), F.lit(0)).cast("long")
-    chosen = sharding.read_again_alike(chosen).withColumn("n", n)
+    chosen = sharding.read_again_alike(chosen).withColumn("n", F.arrow_udf(term_numbers, "long")("text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64
     chosen.groupBy("n").agg(F.count(F.lit(1)).alias("docs"), F.sum(size).alias("bytes")).write.parquet(f"{path}/lengths")
     lengths = read_lengths(docs.sparkSession, path)

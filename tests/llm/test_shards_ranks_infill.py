@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -156,6 +157,24 @@ def test_ranked_search_of_nothing(spark, nothing, tmp_path):
     assert ranking.search(spark, str(tmp_path / "j"), items.limit(0)).collect() == []
 
 
+def test_lengths_are_counted_without_a_regular_expression(spark, docs, rows, tmp_path, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a list of all terms of a text is built to count them")
+
+    monkeypatch.setattr(F, "regexp_count", refuse)
+    ranking.build_index(docs, str(tmp_path / "i"))
+    lengths = ranking.read_lengths(spark, str(tmp_path / "i")).collect()
+    assert {r["n"]: r["docs"] for r in lengths} == Counter(len(terms(t)) for _, t in rows)
+
+
+@pytest.mark.parametrize("start", [0, 3])
+def test_term_numbers_by_slices(start):
+    texts = ["ends in a term", "term first", None, "", "é" * 1_500_000, "a b-c_d.e", " 漢字 x\x00y@Z[z`q{r\x7fs", "one two " * 400_000, "é", "A1 ~ \u0080 🙂"]
+    got = ranking.term_numbers(pa.array(texts, pa.string())[start:])
+    assert got.to_pylist() == [len(terms(t)) for t in texts[start:]]
+    assert ranking.term_numbers(pa.array([], pa.string())).to_pylist() == []
+
+
 def test_equal_rows_are_dealt_over_pieces(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ranking, "PIECE", 10_000)
     docs = spark.range(3000).selectExpr("7L as doc_id", "'same words' as text").repartition(3)
