@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldscope.llm import bpe, decontaminate, quality, queries, secrets, simhash
-from fieldscope.session import fresh_dir
+from fieldscope.session import WIDE, fresh_dir, in_few_tasks
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked SimHash fingerprints: that of the smallest id."""
-    return simhash.one_of_each(docs)
+    return in_few_tasks(simhash.one_of_each(docs), docs.count(), WIDE)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked; n_chars follows the text."""
-    masked = secrets.masked(docs)
+    masked = in_few_tasks(secrets.masked(docs), docs.count(), WIDE)
     return masked.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else masked
 
 

@@ -12,15 +12,15 @@ SHARES = 10_000
 LEAST_SHARE = 500  # rows
 
 
-def connected(edges: DataFrame, label: str = "links") -> DataFrame:
+def connected(edges: DataFrame, label: str = "links", rows: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node that can be reached.
 
     Alternating star contraction: every node hands its larger neighbours to its smallest one, then its smaller
     ones, until each component is a star. Rounds grow with the logarithm of the longest path; each is
-    written to the shared folder. Neighbours are never gathered: the least is aggregated before the shuffle, and its way back to
+    written to the shared folder, by few tasks if there are only about ``rows`` edges. Neighbours are never gathered: the least is aggregated before the shuffle, and its way back to
     the edges is salted, since the centre of a star may stand in most of them.
     """
-    stars = pin(_pairs(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), label)
+    stars = pin(_pairs(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), label, rows)
     before = None
     while True:
         found = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -32,7 +32,7 @@ def connected(edges: DataFrame, label: str = "links") -> DataFrame:
         larger = _pairs(_with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")))
         smallest = _with_least(larger, larger.groupBy("u").agg(F.min("v").alias("m")))
         both_ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")
-        stars = pin(_pairs(smallest.select(both_ends).select("x.u", "x.v")), label)
+        stars = pin(_pairs(smallest.select(both_ends).select("x.u", "x.v")), label, rows)
 
 
 def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:

@@ -110,13 +110,19 @@ def signals(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     Null text counts as empty. An input column named ``signals`` is replaced.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c.lower() != "signals"]
-    source = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias(blocks.spare("_measured", names)))
+    passed = [F.col(f"`{c}`") for c in names]
+    if text in names and docs.schema[text].dataType == T.StringType():
+        measured = names.index(text)  # sent once
+    else:
+        measured = len(names)
+        passed.append(F.col(f"`{text}`").cast("string").alias(blocks.spare("_measured", names)))
+    source = docs.select(*passed)
     kinds = T.StructType([T.StructField(s, T.LongType()) for s in SIGNALS])
     schema = T.StructType([source.schema[c] for c in names] + [T.StructField("signals", kinds)])
 
     def counted(batches):
         for batch in batches:
-            data, offsets = arrays.text_bytes(batch.column(len(names)))
+            data, offsets = arrays.text_bytes(batch.column(measured))
             parts = []
             for a, b in arrays.doc_slices(offsets):
                 parts.append(measure(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
@@ -169,7 +175,8 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", doc_i
         .join(marks, "_id")
     )
     rows = held.select("_stratum", "_good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), b.alias("bin")) for r, b in _bins().items()])).alias("x"))
-    counts = pin(rows.groupBy("_stratum", "x.rule", "x.bin").agg(F.sum("_good").alias("good"), F.sum(1 - F.col("_good")).alias("bad")), "holdout-counts")
+    bins = sum(highest + 1 for _, _, highest in RULES.values())  # of a stratum
+    counts = pin(rows.groupBy("_stratum", "x.rule", "x.bin").agg(F.sum("_good").alias("good"), F.sum(1 - F.col("_good")).alias("bad")), "holdout-counts", bins)
     strata = max(1, counts.select("_stratum").distinct().count())
     of_rule = Window.partitionBy("_stratum", "rule")
     down = of_rule.orderBy(F.desc("bin"))  # a table of strata x rules x bins, however many documents there are
@@ -188,7 +195,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", doc_i
     tests = tests.withColumn("p", tail("k_good", "of_good")).withColumn("gain", share_of("bad") - PRICE * share_of("good"))
     best = F.max(F.when((F.col("p") <= level) & (F.col("gain") > 0), F.struct("gain", "bin")))["bin"]
     chosen = tests.groupBy("_stratum").pivot("rule", list(RULES)).agg(best)
-    return pin(chosen, "cutoffs")
+    return pin(chosen, "cutoffs", strata)
 
 
 def judged(measured: DataFrame, limits: DataFrame, stratum: str = "lang") -> DataFrame:

@@ -173,15 +173,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", tex
     Rows with equal fingerprints are one class from the start, however many they are; an empty table gives none.
     """
     marked = pin(fingerprints(docs, words, doc_id, text), "fingerprints")
-    classes = pin(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprint-classes")
-    roots = components.connected(links(classes.select("fp")), "fingerprint-links").withColumnRenamed("node", "fp")
+    rows = marked.count()
+    classes = pin(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprint-classes", rows)
+    roots = components.connected(links(classes.select("fp")), "fingerprint-links", rows).withColumnRenamed("node", "fp")
     component = roots.join(classes.drop("n"), "fp").groupBy("root").agg(F.min("least").alias("_least"))
     linked = components.salted_join(roots, component, "root", "fp")
     alone = F.col("root").isNull()
     named = classes.join(linked, "fp", "left").select(
         "fp", "n", F.coalesce("root", "fp").alias("root"), F.when(alone, F.col("least")).otherwise(F.col("_least")).alias("component_id")
     )
-    return components.balanced_join(marked, named, "fp", "row_key", "n", marked.count())
+    return components.balanced_join(marked, named, "fp", "row_key", "n", rows)
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
