@@ -15,7 +15,7 @@ from pyspark import cloudpickle
 # The functions run on executors that may not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-PIECE = 1 << 20  # bytes hashed in one go, so that work arrays stay small
+PIECE = 1 << 18  # bytes hashed in one go, so that work arrays stay small: a worker keeps the memory of the largest
 
 
 def worker_cache(name: str, build):
@@ -149,7 +149,7 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def doc_slices(offsets: np.ndarray, most: int = 2 << 20):
+def doc_slices(offsets: np.ndarray, most: int = 1 << 19):
     """Ranges of whole documents of about ``most`` bytes each; a longer document stands alone."""
     at, n = 0, len(offsets) - 1
     while at < n:
