@@ -26,6 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEPT_STEPS = 500_000  # transitions and token pairs kept before they are worked out anew
 LOOKAHEAD = 512  # bytes held back before what is certain is emitted; longer than any token
+LANES, SHORT = 8192, 64  # pieces that go through the transducer together, and bytes of the longest of them
 
 ENCODED = "doc_id long, ids binary, n_tokens long"
 DECODED = "doc_id long, ids binary, n_tokens long, decoded binary, replaced long"
@@ -37,6 +38,40 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+class Moves:
+    """Steps of the transducer in two arrays, looked up for many pieces at once: an open-addressed table of numbers above 0."""
+
+    def __init__(self, most: int):
+        bits = most.bit_length()
+        self.keys, self.values = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        self.last, self.shift, self.held = (1 << bits) - 1, np.uint64(64 - bits), 0
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, 0 where there is none."""
+        at = self.slots(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.values[at], 0)
+        left = np.flatnonzero((held != keys) & (held != 0))
+        while len(left):
+            at[left] = at[left] + 1 & self.last
+            held = self.keys[at[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (held != 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: list[int]) -> None:
+        """Adds keys that differ and are not in the table yet."""
+        for key, at, value in zip(keys.tolist(), self.slots(keys).tolist(), values, strict=True):
+            while self.keys[at]:
+                at = at + 1 & self.last
+            self.keys[at], self.values[at] = key, value
+        self.held += len(values)
+
+
 class Transducer:
     """Encodes pieces by ranks, byte by byte.
 
@@ -50,6 +85,9 @@ class Transducer:
         self.children: dict[int, int] = {}  # node << 8 | byte -> node
         self.ending, self.depth = [-1], [0]  # of each node: the token that ends there, its number of bytes
         self.lengths = {rank: len(token) for token, rank in ranks.items()}
+        self.sizes = np.zeros(max(ranks.values(), default=-1) + 1, np.int64)
+        for rank, length in self.lengths.items():
+            self.sizes[rank] = length
         for token, rank in ranks.items():
             node = 0
             for byte in token:
@@ -68,6 +106,8 @@ class Transducer:
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.steps: dict[int, int] = {}  # state << 8 | byte -> next state << 24 | token that ends there + 1
+        self.moves = Moves(KEPT_STEPS + LANES * SHORT)  # the same, of pieces that go together; number 0 is no state
+        self.number(())
         self.start = self.number((0,))
 
     def number(self, state: tuple) -> int:
@@ -102,10 +142,10 @@ class Transducer:
 
     def follows(self, before: int, token: int) -> bool:
         """Whether the two stay apart: at no time does a join over the border come before the next join on either side."""
-        if before < 0:
-            return self.merged(self.tokens[token]) == [self.tokens[token]]
         key = before << 32 | token
         fit = self.fits.get(key)
+        if fit is None and before < 0:
+            fit = self.fits[key] = self.merged(self.tokens[token]) == [self.tokens[token]]
         if fit is None:
             if len(self.fits) >= KEPT_STEPS:
                 self.fits.clear()
@@ -130,15 +170,19 @@ class Transducer:
     def step(self, state: int, byte: int) -> tuple[int, int]:
         """State after one more byte, and the token that ends there."""
         grown, by = [], -1
+        children, ending, fits = self.children, self.ending, self.fits
         for end in self.states[state]:
-            node = self.children.get(end >> 24 << 8 | byte)
+            node = children.get(end >> 24 << 8 | byte)
             if node is None:
                 continue
             last = end & 0xFFFFFF
             grown.append(node << 24 | last)
-            token = self.ending[node]
-            if by < 0 and token >= 0 and self.follows(last - 1, token):
-                by = token
+            if by < 0:
+                token = ending[node]
+                if token >= 0:
+                    fit = fits.get(last - 1 << 32 | token)
+                    if self.follows(last - 1, token) if fit is None else fit:
+                        by = token
         grown.append(by + 1)
         return self.number(tuple(grown)), by
 
@@ -159,12 +203,66 @@ class Transducer:
             upto -= self.lengths[trail[upto - 1]]
         return out[::-1]
 
+    def make_room(self) -> None:
+        if len(self.steps) + self.moves.held >= KEPT_STEPS:
+            self.restart()
+
+    def many(self, pieces: list[bytes]) -> list[bytes]:
+        """``ids`` of each piece as little-endian 32-bit numbers. Short pieces take their steps together, byte by byte."""
+        out = [None] * len(pieces)
+        short = []
+        for i, piece in enumerate(pieces):
+            if 0 < len(piece) <= SHORT and piece not in self.ranks:
+                short.append(i)
+            else:
+                out[i] = np.array(self.ids(piece), "<u4").tobytes()
+        short.sort(key=lambda i: len(pieces[i]), reverse=True)
+        for at in range(0, len(short), LANES):
+            some = short[at : at + LANES]
+            for i, ids in zip(some, self._together([pieces[i] for i in some]), strict=True):
+                out[i] = ids
+        return out
+
+    def _together(self, pieces: list[bytes]) -> list[bytes]:
+        """``many`` of LANES pieces at most, the longest first."""
+        self.make_room()
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        begins = np.cumsum(lengths) - lengths
+        states = np.full(len(pieces), self.start, np.int64)
+        trail = np.zeros((int(lengths[0]), len(pieces)), np.int32)  # the last token at each position
+        for j in range(len(trail)):
+            live = int(np.searchsorted(-lengths, -j))  # pieces of more than j bytes
+            keys = states[:live] << 8 | data[begins[:live] + j]
+            moves = self.moves.get(keys)
+            unknown = np.flatnonzero(moves == 0)
+            if len(unknown):
+                new, which = np.unique(keys[unknown], return_inverse=True)
+                found = [state << 24 | by + 1 for state, by in (self.step(key >> 8, key & 0xFF) for key in new.tolist())]
+                self.moves.put(new, found)
+                moves[unknown] = np.array(found, np.int64)[which]
+            states[:live] = moves >> 24
+            trail[j, :live] = (moves & 0xFFFFFF) - 1
+        upto, lanes, rounds = lengths.copy(), np.arange(len(pieces)), []
+        counts = np.zeros(len(pieces), np.int64)
+        while len(lanes):  # the ways back, a token of each piece a round
+            tokens = trail[upto[lanes] - 1, lanes]
+            rounds.append((lanes, tokens))
+            counts[lanes] += 1
+            upto[lanes] -= self.sizes[tokens]
+            lanes = lanes[upto[lanes] > 0]
+        ends = np.cumsum(counts)
+        ids = np.empty(int(ends[-1]), "<u4")
+        for back, (lanes, tokens) in enumerate(rounds, 1):
+            ids[ends[lanes] - back] = tokens
+        packed = ids.tobytes()
+        return [packed[a:b] for a, b in zip(((ends - counts) * 4).tolist(), (ends * 4).tolist())]
+
     def ids(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.steps) >= KEPT_STEPS:
-            self.restart()
+        self.make_room()
         out: list[int] = []
         state, known = self.start, self.steps.get
         trail: list[int] = []  # the last token at each position after the emitted ones
@@ -261,12 +359,21 @@ class Coder:
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        transducer = Transducer(ranks)
-        self.segments = segments.Segments(segments.split_pattern(pattern), lambda piece: transducer.ids(piece.encode()))
+        self.transducer = Transducer(ranks)
+        self.segments = segments.Segments(segments.split_pattern(pattern), lambda piece: self.transducer.ids(piece.encode()))
 
     def encode(self, text: str | None) -> bytes:
         return self.segments.encode(text) if text else b""
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """``encode`` of each text; what is new in them is worked out together."""
+        self.segments.renew()
+        new = self.segments.new_pieces(texts)
+        self.segments.ready = dict(zip(new, self.transducer.many([piece.encode() for piece in new]), strict=True))
+        done = [self.segments.encode_next(t) if t else b"" for t in texts]
+        self.segments.ready = {}
+        return done
+
     def decode(self, ids: bytes | None, step: int = 8192) -> tuple[bytes, int]:
         """The bytes of the text that the stream decoder makes of the tokens, and how many places would read as U+FFFD."""
         numbers = np.frombuffer(ids or b"", "<u4")
@@ -295,7 +402,7 @@ def _coded(source: DataFrame, rank_file: str, pattern: str, read_text: bool, wri
         coder = arrays.worker_cache(f"bpe {rank_file} {pattern}", lambda: Coder(rank_file, pattern))
         for part in _parts(batches):
             if read_text:
-                ids = [coder.encode(t) for t in part["text"].to_pylist()]
+                ids = coder.encode_all(part["text"].to_pylist())
                 columns = [part["doc_id"], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
             else:
                 ids = part["ids"].to_pylist()

@@ -54,7 +54,8 @@ class Segments:
     """Encodes texts to little-endian 32-bit ids; ``ids_of`` gives the ids of one piece, ``kept`` is the size of a table."""
 
     def __init__(self, pattern, ids_of, kept=None):
-        self.ids = lambda piece: b"".join([n.to_bytes(4, "little") for n in ids_of(piece)])
+        self.ready: dict[str, bytes] = {}  # pieces that are worked out already
+        self.ids = lambda piece: self.ready.get(piece) or b"".join([n.to_bytes(4, "little") for n in ids_of(piece)])
         self.find = pattern.findall
         self.pieces = _Kept(self.ids, kept or KEPT)
         self.spaced = _Kept(self.after_blank, kept or KEPT)
@@ -62,17 +63,44 @@ class Segments:
     def whole(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
+    def new_pieces(self, texts) -> list[str]:
+        """The pieces of the words that no table has yet; without those of texts that the pattern cuts."""
+        words, heads = set(), set()
+        for text in texts:
+            if text and not UNSAFE.search(text):
+                head, *rest = text.split(" ")
+                heads.add(head)
+                words.update(rest)
+        known, older, pieces = self.spaced, self.spaced.older, set()
+        for head in heads:
+            pieces.update(self.find(head))
+        for word in words:
+            if word not in known and word not in older:
+                plain = word[:-1] if word[-1:] in MARKS else word
+                if not (plain.isalpha() and (plain.isascii() or max(plain) < PLAIN)):
+                    pieces.update(self.find(" " + word))
+                elif plain is word or plain not in known and plain not in older:
+                    pieces.add(" " + plain)
+        return [p for p in pieces if p not in self.pieces and p not in self.pieces.older]
+
     def after_blank(self, rest: str) -> bytes:
         """A blank and what follows it; a plain word, and one with a mark after it, need no search."""
-        if rest.isalpha() and max(rest) < PLAIN:
+        if rest.isalpha() and (rest.isascii() or max(rest) < PLAIN):
             return self.ids(" " + rest)
         word, mark = rest[:-1], rest[-1:]
-        if mark in MARKS and word.isalpha() and max(word) < PLAIN:
+        if mark in MARKS and word.isalpha() and (word.isascii() or max(word) < PLAIN):
             return self.spaced[word] + self.pieces[mark]
         return self.whole(" " + rest)
 
-    def encode(self, text: str) -> bytes:
+    def renew(self) -> None:
         self.pieces, self.spaced = self.pieces.renewed(), self.spaced.renewed()
+
+    def encode(self, text: str) -> bytes:
+        self.renew()
+        return self.encode_next(text)
+
+    def encode_next(self, text: str) -> bytes:
+        """``encode`` by the tables as they are: none begins."""
         if UNSAFE.search(text):
             return self.whole(text)
         head, *rest = text.split(" ")
