@@ -1,8 +1,12 @@
 """Operators on documents against their plain versions."""
 
+import os
+from collections import Counter
+
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldscope.llm import decontaminate, licenses, quality, secrets, simhash, substrings, suffixes, trigrams
 
@@ -347,6 +351,38 @@ def test_leaks_by_repeated_shingles(spark):
     assert all(0.8 <= r.similarity < 0.81 for r in found)
 
 
+def test_leaks_keep_texts_in_their_rows(spark, docs, rows, items, monkeypatch, tmp_path):
+    """No text of a document is written to a work table or shuffled, and a row of many windows counts as many: the same pairs either way."""
+    from fieldscope import session
+    from fieldscope.llm import shingles
+
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    table, texts = items
+    want = {(rows[r][0], i): s for (r, i), s in brute.leaks([t for _, t in rows], texts).items()}
+    got = decontaminate.leaks(docs, table)
+    assert {(r.doc_id, r.item_id): r.similarity for r in got.collect()} == pytest.approx(want)
+    held = [(d.rsplit("-", 1)[0], spark.read.parquet(str(tmp_path / d))) for d in os.listdir(tmp_path)]
+    assert [d for d, t in held if any(kind == "array<string>" for _, kind in t.dtypes)] == []
+    n_windows, n_rows = max((shingles.total(t, F.size("_asked")), t.count()) for d, t in held if d == "asked-windows")
+    assert n_rows < n_windows
+
+    for most, sent in ((n_windows, True), (n_rows, False)):
+        monkeypatch.setattr(shingles, "SMALL", most)
+        assert {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(docs, table).collect()} == pytest.approx(want)
+        assert sent == (not any(d.startswith("asked-keys") for d in os.listdir(tmp_path)))
+
+
+def test_elements_are_occurrences(spark):
+    lists = [["a"], ["b", "a"], ["x y", "a", "x y", "b", "x y", "a"], ["a"] * 300, [], ["c", "c", "b"]]
+    others = [["a"], ["a", "a", "b"], ["x y"] * 2 + ["a"] * 4, ["a"] * 200, ["a"], ["b"]]
+    table = spark.createDataFrame(list(zip(lists, others)), "x array<string>, y array<string>")
+    got = table.select(decontaminate.elements(F.col("x")).alias("e"), decontaminate.weighted_jaccard(F.col("x"), decontaminate.elements(F.col("y"))).alias("s")).collect()
+    for x, y, r in zip(lists, others, got):
+        a, b = Counter(x), Counter(y)
+        assert sorted(r.e) == sorted(t if k == 1 else f"{t}#{k}" for t, n in a.items() for k in range(1, n + 1))
+        assert r.s == sum((a & b).values()) / sum((a | b).values())
+
+
 def test_fingerprints_count_repeats_as_elements(spark):
     row = spark.sql("select array('a', 'b', 'a', 'a') as x, array('a', 'a', 'b', 'a') as y, array('a', 'b') as z, cast(array() as array<string>) as none")
     x, y, z, none = row.select(*[decontaminate.fingerprint(c) for c in row.columns]).first()
